@@ -1,0 +1,46 @@
+"""Connected components by alternating large-star and small-star steps, all on DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmark.llm.common import cut, remove
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.expr("max(a)"), F.expr("max(b)")).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b: long); root is its component's least node.
+
+    Each round links every node to the least of its neighbours, which takes O(log n) rounds or so
+    in practice. The minima are aggregated before the shuffle; every round's edges are written to
+    the shared folder, so that neither lineage nor a lost executor matters.
+    """
+    now, path = cut(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
+    )
+    before = _mark(now)
+    while before[0]:
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = (
+            large.join(least, "a")
+            .select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .where("a <> b")
+            .union(least.select("a", F.col("m").alias("b")))
+            .distinct()
+        )
+        after, new = cut(small, "edges")
+        remove(now.sparkSession, path)
+        now, path, mark = after, new, _mark(after)
+        if mark == before:
+            break
+        before = mark
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+        now.select("b", "b").distinct()
+    )
