@@ -71,6 +71,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.withColumn("th", F.xxhash64("text")).mapInArrow(hashed, "id long, th long, fp long")
 
 
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64))  # of a signed integer it would count the magnitude's bits
+
+
 def _links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(member, first member) for each component of one bucket: searched outward from one at a time."""
     left, found = fps, []
@@ -78,7 +82,7 @@ def _links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         first, left = left[0], left[1:]
         ahead = [first]
         while ahead and len(left):
-            near = np.bitwise_count(left ^ ahead.pop()) <= radius
+            near = _differing(left, ahead.pop()) <= radius
             found += [(int(x), int(first)) for x in left[near]]
             ahead += list(left[near])
             left = left[~near]
@@ -107,7 +111,7 @@ def _scan(batches: Iterator[pa.RecordBatch], radius: int, bucket: int) -> Iterat
             done[-1] = size[-1] > bucket  # the last run may go on in the next batch
         pairs = starts[done & (size == 2) & (key[starts] != dense)]
         x, y = fps[pairs], fps[pairs + 1]
-        near = np.bitwise_count(x ^ y) <= radius
+        near = _differing(x, y) <= radius
         out.extend((int(a), int(b), False) for a, b in zip(x[near], y[near]))
         for at, n in zip(starts[done & ((size > 2) | (key[starts] == dense))], size[done & ((size > 2) | (key[starts] == dense))]):
             run = fps[at : at + n]
