@@ -65,12 +65,11 @@ def test_buckets_and_midpoints_agree(spark):
     base = rng.integers(-(2**63), 2**63 - 1, 40)
     fps = {int(b) for b in base}
     for b in base[:20]:
-        x = int(b)
+        x = int(b) & (2**64 - 1)
         for _ in range(15):
             for bit in rng.choice(64, rng.integers(1, 6), replace=False):
                 x ^= 1 << int(bit)
-            x = x - (1 << 64) if x >= 1 << 63 else x
-            fps.add(x)
+            fps.add(x - (1 << 64) if x >> 63 else x)
     fps = sorted(fps)
     comps = brute_components(fps, [f & (2**64 - 1) for f in fps])
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
