@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import op3_simhash_dedup
+from quillmark.llm import op3_simhash_dedup, op5_decontamination, op8_toxicity, op9_sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,3 +17,10 @@ def _on(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES["op3_simhash_near_dedup"] = _on("documents", op3_simhash_dedup.query)
+QUERIES["op5_benchmark_decontamination"] = lambda spark, d: op5_decontamination.query(
+    spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+)
+QUERIES["op8_toxicity_cnn"] = lambda spark, d: op8_toxicity.query(
+    spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+)
+QUERIES["op9_sstable_shards"] = _on("documents", op9_sstable.query)
