@@ -34,7 +34,9 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIM = 8
 BUCKETS = 1 << 16
-EPOCHS = 6
+EPOCHS = 4
+#: Gradient steps at least; a small sample is gone through more often.
+STEPS = 200
 BATCH = 32
 RATE = 0.08
 #: Words whose filter values a worker keeps at a time.
@@ -72,47 +74,52 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         if model.embed is not None:
-            self.kernel = np.concatenate([k[o] for k in model.kernels for o in range(len(k))], axis=1)
+            # by offset: what the word that stands there adds to the filters that reach so far
+            self.kernels = [np.concatenate([k[o] for k in model.kernels if len(k) > o], axis=1) for o in range(WIDTHS[-1])]
+            self.bias = np.concatenate(model.biases)
             self._clear()
 
     def _clear(self) -> None:
         self.rows: dict[bytes, int] = {}
-        self.table = np.zeros((1024, self.kernel.shape[1]), np.float32)  # row 0 is padding
+        self.tables = [np.zeros((4096, k.shape[1]), np.float32) for k in self.kernels]  # row 0 is padding
         self.used = 1
 
+    def _add(self, new: list[bytes]) -> None:
+        end = self.used + len(new)
+        vectors = self.model.embed[np.array(list(map(subword_ids, new)))].sum(axis=1)
+        for k, kernel in enumerate(self.kernels):
+            if end > len(self.tables[k]):
+                more = np.zeros((max(2 * len(self.tables[k]), end), kernel.shape[1]), np.float32)
+                more[: self.used] = self.tables[k][: self.used]
+                self.tables[k] = more
+            self.tables[k][self.used : end] = vectors @ kernel
+        self.rows.update(zip(new, range(self.used, end)))
+        self.used = end
+
     def _ids(self, words: list[bytes]) -> list[int]:
-        new = dict.fromkeys(w for w in words if w not in self.rows)
-        if new:
+        try:
+            return list(map(self.rows.__getitem__, words))
+        except KeyError:
+            new = list(set(words).difference(self.rows))
             if self.used + len(new) > WORDS:
                 self._clear()
-                new = dict.fromkeys(words)
-            if self.used + len(new) > len(self.table):
-                more = np.zeros((max(2 * len(self.table), self.used + len(new)), self.table.shape[1]), np.float32)
-                more[: self.used] = self.table[: self.used]
-                self.table = more
-            ids = np.array([subword_ids(w) for w in new])
-            self.table[self.used : self.used + len(new)] = self.model.embed[ids].sum(axis=1) @ self.kernel
-            self.rows.update(zip(new, range(self.used, self.used + len(new))))
-            self.used += len(new)
-        return list(map(self.rows.__getitem__, words))
+                new = list(set(words))
+            self._add(new)
+            return list(map(self.rows.__getitem__, words))
 
     def pooled(self, words: list[bytes]) -> np.ndarray:
-        best, most = None, WIDTHS[-1] - 1
+        best, more = None, WIDTHS[-1] - 1
         for at in range(0, max(1, len(words)), PIECE):
-            ids = np.zeros(min(PIECE, len(words) - at) + 2 * most, np.int64)
-            piece = words[at : at + PIECE + most]
-            ids[: len(piece)] = self._ids(piece)
-            values, col, parts = self.table[ids], 0, []
             n = max(1, min(PIECE, len(words) - at))
-            for width, bias in zip(WIDTHS, self.model.biases):
-                y = values[:n, col : col + FILTERS]
-                for o in range(1, width):
-                    y = y + values[o : n + o, col + o * FILTERS : col + (o + 1) * FILTERS]
-                parts.append(np.maximum(y.max(axis=0) + bias, 0))
-                col += width * FILTERS
-            here = np.concatenate(parts)
+            piece = words[at : at + n + more]
+            ids = np.zeros(n + more, np.int64)
+            ids[: len(piece)] = self._ids(piece)
+            y = self.tables[0].take(ids[:n], axis=0)
+            for o in range(1, WIDTHS[-1]):
+                y[:, o * FILTERS :] += self.tables[o].take(ids[o : n + o], axis=0)
+            here = y.max(axis=0)
             best = here if best is None else np.maximum(best, here)
-        return best
+        return np.maximum(best + self.bias, 0)
 
     def score(self, text: str | None) -> float:
         if self.model.embed is None:
@@ -162,7 +169,7 @@ def train(texts: list[str | None], labels: list[int], share: float, langs: list[
 
     held = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~held)
-    for epoch in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(fit)))):
         rng.shuffle(fit)
         for at in range(0, len(fit), BATCH):
             g = {k: np.zeros_like(v) for k, v in p.items() if k != "embed"}

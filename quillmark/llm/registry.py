@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import op3_simhash_dedup, op5_decontamination, op8_toxicity, op9_sstable
+from quillmark.llm import (
+    op2_url_filter,
+    op3_simhash_dedup,
+    op5_decontamination,
+    op7_secrets,
+    op8_toxicity,
+    op9_sstable,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +31,6 @@ QUERIES["op8_toxicity_cnn"] = lambda spark, d: op8_toxicity.query(
     spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 )
 QUERIES["op9_sstable_shards"] = _on("documents", op9_sstable.query)
+QUERIES["op2_url_digest_filter"] = _on("pages", op2_url_filter.query)
+ORACLES["op2_url_digest_filter"] = op2_url_filter.SQL
+QUERIES["op7_secret_markov"] = _on("documents", op7_secrets.query)
