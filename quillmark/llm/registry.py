@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import (
+    op10_fingerprints,
     op2_url_filter,
     op3_simhash_dedup,
     op5_decontamination,
@@ -34,3 +35,4 @@ QUERIES["op9_sstable_shards"] = _on("documents", op9_sstable.query)
 QUERIES["op2_url_digest_filter"] = _on("pages", op2_url_filter.query)
 ORACLES["op2_url_digest_filter"] = op2_url_filter.SQL
 QUERIES["op7_secret_markov"] = _on("documents", op7_secrets.query)
+QUERIES["op10_simhash_fingerprints"] = _on("documents", op10_fingerprints.query)
