@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quillmark.llm import (
+    op1_fixity,
     op10_fingerprints,
     op2_url_filter,
     op3_simhash_dedup,
+    op4_mixing,
     op5_decontamination,
+    op6_line_dedup,
     op7_secrets,
     op8_toxicity,
     op9_sstable,
@@ -36,3 +40,11 @@ QUERIES["op2_url_digest_filter"] = _on("pages", op2_url_filter.query)
 ORACLES["op2_url_digest_filter"] = op2_url_filter.SQL
 QUERIES["op7_secret_markov"] = _on("documents", op7_secrets.query)
 QUERIES["op10_simhash_fingerprints"] = _on("documents", op10_fingerprints.query)
+QUERIES["op1_warc_merkle_fixity"] = _on("pages", op1_fixity.query)
+ORACLES["op1_warc_merkle_fixity"] = op1_fixity.SQL
+QUERIES["op4_temperature_mixing"] = _on("documents", op4_mixing.query)
+QUERIES["op6_line_suffix_dedup"] = _on("documents", op6_line_dedup.query)
+ORACLES["op6_line_suffix_dedup"] = op6_line_dedup.SQL
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
