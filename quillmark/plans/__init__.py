@@ -1 +1 @@
-"""plans."""
+"""The named queries, by family."""

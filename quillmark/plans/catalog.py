@@ -24,3 +24,6 @@ def query(name: str, sql: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["a00_flagship"](spark, sf_dir)
+
+
+from quillmark.plans import relational, texts  # noqa: E402, F401  (they register themselves)
