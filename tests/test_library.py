@@ -39,7 +39,7 @@ def test_sections_and_fields():
     got = extract.fields(text)
     assert got["requirements"] == "A doctorate and patience with cells."
     assert got["summary"].startswith("The Smith Lab")
-    assert (got["contact_email"], got["deadline"], got["duration"]) == ("jobs@lab.example.org", "2026-02-01", "year")
+    assert (got["contact_email"], got["deadline"], got["duration"]) == ("jobs@lab.example.org", "2026-02-01", "2 years")
     assert got["info_urls"] == ["https://lab.example.org/jobs"] and got["salary"].startswith("USD 60,000")
     assert extract.fields("group of Prof. Ada Lovelace is hiring")["leader"] == "Ada Lovelace"
     assert extract.fields(None) == {} and extract.fields("") == {}
