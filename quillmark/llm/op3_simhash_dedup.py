@@ -217,7 +217,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     )
     again = Window.partitionBy(*keys).orderBy(F.lit(0))
     return (
-        marked.join(first, keys)
+        marked.join(first.hint("merge"), keys)  # by one plan at every size
         .withColumn("__n", F.row_number().over(again))
         .where("__n = 1")
         .select(*docs.columns)

@@ -159,7 +159,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     again = Window.partitionBy(*by).orderBy(F.lit(0))
     times = F.col("__passes") + (F.row_number().over(again) <= F.col("__extra")).cast("long")
     return (
-        marked.join(taken, by)
+        marked.join(taken.hint("merge"), by)  # by one plan at every size
         .withColumn("__times", times)
         .where("__times > 0")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
