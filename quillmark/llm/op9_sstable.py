@@ -18,10 +18,14 @@ are kept, in the order of their texts' hashes; an empty table makes no shard; ex
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,8 @@ END_ID = 1
 BLOCK_BYTES = 1 << 16
 RESTART = 16
 MAGIC = b"QMSST001"
-#: Words whose ids a worker remembers at a time.
-CACHE = 400_000
+#: About so many pieces, and as many parts of pieces, does a worker remember the ids of; at most twice as many.
+CACHE = 150_000
 _FOOTER = struct.Struct("<QQQQQQI8s")
 _ENTRY = struct.Struct("<BBI")
 
@@ -58,38 +62,90 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Recent:
+    """Values by key. What the last few batches used stays; the rest is forgotten in time."""
+
+    def __init__(self, size: int, learn):
+        self.size, self.learn, self.now, self.old = size, learn, {}, {}
+
+    def of(self, keys: set) -> dict:
+        """A dictionary that has all of ``keys``."""
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+        missing = keys.difference(self.now)
+        old = [k for k in missing if k in self.old]
+        self.now.update(zip(old, map(self.old.__getitem__, old)))
+        self.now.update(self.learn(missing.difference(old)))
+        return self.now
+
+
 class Encoder:
     """The tokenizers library's ids of whole texts, as bytes.
 
-    This vocabulary's pre-tokenizer never joins what white space parts, so each piece between ASCII
-    white space is encoded once, by the library, and remembered.
+    This vocabulary's pre-tokenizer never joins what white space parts, nor a letter and a mark, so pieces
+    between ASCII white space, and within them words and marks, are encoded once and remembered. Pieces
+    with apostrophes (contractions) or ``<`` (special tokens) stay whole. Parts of ASCII alone, which
+    neither normalizer nor byte alphabet change, go straight to the library's model.
     """
 
+    PLAIN = re.compile(rb"[!-&(-;=-~]+")
+    PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+    MARKS = b".,;:!?"
+
     def __init__(self, path: str, cache: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has a core of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.model = self.tokenizer.model
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.width, self.code = (4, "I") if wide else (2, "H")
         self.kind = np.dtype(f"<u{self.width}")
-        self.cache, self.known = cache, {}
+        self.pieces, self.parts = Recent(cache, self._pieces), Recent(cache, self._parts)
+
+    def split(self, piece: bytes) -> list[bytes]:
+        if piece.isalpha():  # of bytes: ASCII letters alone
+            return [piece.lower()]
+        core = piece.rstrip(self.MARKS)
+        if core.isalpha():
+            return [core.lower(), piece[len(core) :]]
+        if self.PLAIN.fullmatch(piece):
+            return self.PARTS.findall(piece.lower())
+        if core and len(core) < len(piece) and core.decode("utf-8", "surrogatepass")[-1].lower().isalpha():
+            return [core, piece[len(core) :]]
+        return [piece]
+
+    def _pieces(self, new: set) -> dict:
+        cut = {p: self.split(p) for p in new}
+        known = self.parts.of({x for parts in cut.values() for x in parts})
+        return {p: known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts)) for p, parts in cut.items()}
+
+    def _parts(self, new: set) -> dict:
+        found, rest, code, tokenize = {}, [], self.code, self.model.tokenize
+        for part in new:
+            if part.isalpha() or self.PLAIN.fullmatch(part):
+                found[part] = array(code, [t.id for t in tokenize(part.decode())]).tobytes()
+            else:
+                rest.append(part)
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
+            texts = [p.decode("utf-8", "surrogatepass") for p in some]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                found[part] = array(code, e.ids).tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        out = []
-        for pieces in split:
-            new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-            if new:
-                if len(self.known) + len(new) > self.cache:
-                    self.known, new = {}, list(dict.fromkeys(pieces))
-                for at in range(0, len(new), 4096):
-                    part = new[at : at + 4096]
-                    found = self.tokenizer.encode_batch([p.decode("utf-8", "surrogatepass") for p in part], add_special_tokens=False)
-                    for piece, e in zip(part, found):
-                        self.known[piece] = np.array(e.ids, self.kind).tobytes()
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return out
+        known = self.pieces.of(set().union(*split))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder; it outlives the task, with what it remembers."""
+    return Encoder(path)
 
 
 class Bloom:
@@ -242,11 +298,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         where, folder = filesystem(path)
         name, own = f"{folder}/part-{task.partitionId():06d}.sst", f"{folder}/.part-{task.partitionId():06d}.{task.taskAttemptId()}"
         writer = encoder = None
-        for batch in rebatched(batches, 256):
+        for batch in rebatched(batches, 128):
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(vocabulary)
+                encoder = encoder_of(vocabulary)
                 stream = where.open_output_stream(own)
                 writer = Writer(stream, encoder.width)
                 end = np.array([end_id], encoder.kind).tobytes()
