@@ -97,3 +97,16 @@ def _fields(s: pd.Series) -> pd.DataFrame:
 def posting(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and the fields of each text."""
     return df.select(key, _fields(F.col(text)).alias("f")).select(key, "f.*")
+
+
+# Labels and the patterns that call for them, in order.
+CONTRACTS = [("Full-time", r"full[- ]time"), ("Part-time", r"part[- ]time"), ("Fixed-term", r"fixed[- ]term|limited to|temporary"), ("Permanent", r"\bpermanent\b|tenure"), ("Renewable", r"renewable|possibility of extension")]
+DEGREES = [("Doctorate", r"\bph\.?\s?d\b|doctorate|doctoral degree"), ("Master", r"\bm\.?sc\b|master'?s"), ("Bachelor", r"\bb\.?sc\b|bachelor")]
+SKILLS = [("Python", r"\bpython\b"), ("R", r"\bprogramming in r\b|\br studio\b|\brstudio\b"), ("Sequencing", r"sequencing|\bngs\b"), ("CRISPR", r"crispr"), ("Microscopy", r"microscop"), ("Machine learning", r"machine learning|deep learning"), ("Cloning", r"\bcloning\b"), ("Mass spectrometry", r"mass spec|lc-ms")]
+
+
+def label_columns(text) -> dict:
+    """contract, degree and skills of a text, as column expressions."""
+    from quillmark.functions.text import first_label, labels
+
+    return {"contract": F.array_join(labels(text, CONTRACTS), ", "), "degree": first_label(text, DEGREES), "skills": F.array_join(F.slice(labels(text, SKILLS), 1, 10), ", ")}

@@ -183,3 +183,49 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def merge_distinct(parts: list, sep: str = "; ") -> Column:
+    """The filled parts joined, each once whatever its case, in order."""
+    given = F.filter(F.array(*(F.trim(col(p)) for p in parts)), lambda x: F.coalesce(x, F.lit("")) != "")
+    lows = F.transform(given, F.lower)
+    return F.array_join(F.filter(given, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1), sep)
+
+
+def split_preferred(c) -> tuple[Column, Column]:
+    """(required, preferred): a requirements text cut at a marker such as "Preferred:", else by its parts."""
+    t = col(c)
+    marker = r"(?is)^(.*?)\b(?:preferred|desirable|nice to have)(?: qualifications| skills)?\s*:\s*(.*)$"
+    parts = F.filter(F.split(t, r"[;\n]+"), lambda x: F.trim(x) != "")
+    soft = lambda x: F.lower(x).rlike(r"prefer|desirable|advantage|a plus|ideally")
+    has = t.rlike(marker)
+    hard = F.array_join(F.transform(F.filter(parts, lambda x: ~soft(x)), lambda x: F.trim(x)), "; ")
+    easy = F.array_join(F.transform(F.filter(parts, soft), lambda x: F.trim(x)), "; ")
+    return F.when(has, F.trim(F.regexp_extract(t, marker, 1))).otherwise(hard), F.when(has, F.trim(F.regexp_extract(t, marker, 2))).otherwise(easy)
+
+
+def without_boilerplate(c, patterns: list[str]) -> Column:
+    """Lines that match no pattern, without later repeats of the first line."""
+    lines = F.filter(F.split(col(c), r"\r?\n"), lambda x: ~F.lower(x).rlike("|".join(f"(?:{p})" for p in patterns)))
+    first = F.get(F.filter(lines, lambda x: F.trim(x) != ""), F.lit(0))
+    kept = F.filter(lines, lambda x, i: (F.trim(x) != F.trim(first)) | (F.length(F.trim(first)) <= 5) | (i == F.array_position(lines, first) - 1))
+    return F.array_join(kept, "\n")
+
+
+def url_score(c, domain, words: list[str]) -> Column:
+    """3 for the domain, 2 for any of the words, 1 for an academic host."""
+    host, t = url_host(c), F.lower(col(c))
+    any_word = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w)) if words else F.lit(False)
+    return F.when(F.contains(host, F.lower(col(domain))), 3).otherwise(0) + F.when(any_word, 2).otherwise(0) + F.when(host.rlike(r"\.(edu|ac\.[a-z]{2})$"), 1).otherwise(0)
+
+
+def full_name(c) -> Column:
+    """At least two words, none of a single letter."""
+    words = F.split(norm(c), " ")
+    return (F.size(words) >= 2) & F.forall(words, lambda w: F.length(w) > 1)
+
+
+def slug_words(c) -> Column:
+    """The last path segment of a url as words."""
+    segment = F.regexp_extract(col(c), r"([^/?#]+)/?(?:[?#].*)?$", 1)
+    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(segment, r"\.[a-z]+$", ""), r"[-_+]+", " ")))

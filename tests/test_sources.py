@@ -50,3 +50,62 @@ def test_profile_and_order(spark):
     assert profile.keywords == ("yeast",) and profile.exclude == ("physics",) and profile.regions["US"] == 1
     jobs = spark.createDataFrame([("b", "EU", 1, 5, "yeast"), ("a", "US", 2, None, ""), ("c", "US", 1, 9, "")], "url string, region string, tier int, h_index int, title string").withColumns({"field": F.lit(""), "description": F.lit("")})
     assert [r.url for r in scoring.ranked(scoring.scored(jobs, profile), profile).collect()] == ["c", "a", "b"]
+
+
+def test_cards_and_registered_functions(spark):
+    from quillmark.functions.register import register
+
+    register(spark)
+    page = '<ul><li class="job x"><h4><a href="/1">First <b>job</b></a></h4>Paris<br>now</li><li class="ad">no</li><li class="job"><a href="/2">Second</a></li></ul>'
+    spark.createDataFrame([(1, page), (2, "<p>nothing</p>"), (3, None)], "k int, html string").createOrReplaceTempView("listing")
+    got = spark.sql("SELECT k, c.* FROM listing, LATERAL parse_cards(html, 'div.job|li.job') c ORDER BY href").collect()
+    assert [tuple(r) for r in got] == [(1, "/1", "First job", "First job Parisnow"), (1, "/2", "Second", "Second")]
+    row = spark.sql("SELECT norm_text('  A  b ') a, cosine_sim(array(1D, 0D), array(1D)) b, seq_ratio('abc', 'abd') c, strip_accents('é') d").first()
+    assert (row.a, row.b, round(row.c, 3), row.d) == ("a b", 1.0, 0.667, "e")
+
+
+def test_sqlite_and_workbook(spark, tmp_path):
+    import sqlite3
+
+    from quillmark.sources.tables import SqliteTable, read_workbook, write_workbook
+
+    db = sqlite3.connect(tmp_path / "s.db")
+    db.execute("CREATE TABLE jobs (id INTEGER PRIMARY KEY, title TEXT, score REAL)")
+    db.executemany("INSERT INTO jobs VALUES (?, ?, ?)", [(k, f"t{k} <&>", k / 2) for k in range(9)])
+    db.commit()
+    spark.dataSource.register(SqliteTable)
+    found = spark.read.format("sqlite_table").option("path", str(tmp_path / "s.db")).option("dbtable", "jobs").option("partitions", "3").load()
+    assert sorted((r.id, r.title, r.score) for r in found.collect()) == [(k, f"t{k} <&>", k / 2) for k in range(9)]
+    write_workbook({"US": found.orderBy("id"), "EU": found.limit(0)}, str(tmp_path / "w.xlsx"))
+    back = read_workbook(str(tmp_path / "w.xlsx"))
+    assert back["US"][0] == ["id", "title", "score"] and back["US"][3] == ["2", "t2 <&>", "1.0"] and len(back["EU"]) == 1
+
+
+def test_more_text_functions(spark):
+    from quillmark.functions import extract
+    from quillmark.functions import text as X
+
+    a, b = X.split_preferred(F.lit("Degree in biology; Python is a plus; patience"))
+    assert (one(spark, a), one(spark, b)) == ("Degree in biology; patience", "Python is a plus")
+    a, b = X.split_preferred(F.lit("A degree.\nPreferred: CRISPR"))
+    assert (one(spark, a), one(spark, b)) == ("A degree.", "CRISPR")
+    assert one(spark, X.merge_distinct([F.lit("A b"), F.lit("a B"), F.lit(""), F.lit(None).cast("string"), F.lit("c")])) == "A b; c"
+    assert one(spark, X.without_boilerplate(F.lit("Great job\nshow more\nGreat job\ntext"), ["^show more"])) == "Great job\ntext"
+    assert one(spark, X.url_score(F.lit("https://bio.uni.edu/lab"), F.lit("uni.edu"), ["lab"])) == 6
+    assert one(spark, X.full_name(F.lit("Ada Lovelace"))) and not one(spark, X.full_name(F.lit("A Lovelace")))
+    assert one(spark, X.slug_words(F.lit("https://x.org/u/university-of-basel.html?q=1"))) == "University Of Basel"
+    got = spark.range(1).select(*(c.alias(n) for n, c in extract.label_columns(F.lit("Full-time, fixed-term; PhD with CRISPR and Python")).items())).first()
+    assert tuple(got) == ("Full-time, Fixed-term", "Doctorate", "Python, CRISPR")
+
+
+def test_entry_without_training_data(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "quillmark", tmp_path / "quillmark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
