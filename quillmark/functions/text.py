@@ -195,7 +195,7 @@ def merge_distinct(parts: list, sep: str = "; ") -> Column:
 def split_preferred(c) -> tuple[Column, Column]:
     """(required, preferred): a requirements text cut at a marker such as "Preferred:", else by its parts."""
     t = col(c)
-    marker = r"(?is)^(.*?)\b(?:preferred|desirable|nice to have)(?: qualifications| skills)?\s*:\s*(.*)$"
+    marker = r"(?is)^(.*?)\s*\b(?:preferred|desirable|nice to have)(?: qualifications| skills)?\s*:\s*(.*)$"
     parts = F.filter(F.split(t, r"[;\n]+"), lambda x: F.trim(x) != "")
     soft = lambda x: F.lower(x).rlike(r"prefer|desirable|advantage|a plus|ideally")
     has = t.rlike(marker)
