@@ -145,7 +145,7 @@ def marked(docs: DataFrame, least_lines: int = LINES, least_words: int = WORDS,
     lines, _ = cut(line_table(rows, text_col), "lines")
     gone, _ = cut(deletions(lines, least_lines, least_words), "gone")
     named = gone.select(F.col("a").alias("__a"), F.col("w").alias("__w"), F.col("gone").alias("__gone"))
-    return rows.join(named, ["__a", "__w"], "left").drop("__a", "__w")
+    return rows.join(named.hint("merge"), ["__a", "__w"], "left").drop("__a", "__w")  # by one plan at every size
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
