@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left
@@ -43,7 +44,7 @@ BLOCK_BYTES = 1 << 16
 RESTART = 16
 MAGIC = b"QMSST001"
 #: About so many pieces, and as many parts of pieces, does a worker remember the ids of; at most twice as many.
-CACHE = 150_000
+CACHE = 400_000
 _FOOTER = struct.Struct("<QQQQQQI8s")
 _ENTRY = struct.Struct("<BBI")
 
@@ -85,7 +86,8 @@ class Encoder:
     This vocabulary's pre-tokenizer never joins what white space parts, nor a letter and a mark, so pieces
     between ASCII white space, and within them words and marks, are encoded once and remembered. Pieces
     with apostrophes (contractions) or ``<`` (special tokens) stay whole. Parts of ASCII alone, which
-    neither normalizer nor byte alphabet change, go straight to the library's model.
+    neither normalizer nor byte alphabet change, go straight to the library's model, and so do words of
+    Latin letters, whose single characters the library's normalizer and byte alphabet have translated.
     """
 
     PLAIN = re.compile(rb"[!-&(-;=-~]+")
@@ -99,7 +101,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
+        self.model, self.letters = self.tokenizer.model, {}
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.width, self.code = (4, "I") if wide else (2, "H")
         self.kind = np.dtype(f"<u{self.width}")
@@ -122,11 +124,29 @@ class Encoder:
         known = self.parts.of({x for parts in cut.values() for x in parts})
         return {p: known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts)) for p, parts in cut.items()}
 
+    def _letter(self, c: str) -> str:
+        """What the model sees of a Latin letter; empty for what isn't one, before or after normalizing."""
+        normal = self.tokenizer.normalizer.normalize_str(c) if c.isalpha() and c < "\u0250" else ""
+        return "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)) if normal.isalpha() else ""
+
+    def _word(self, text: str) -> str:
+        """What the model sees of a word of Latin letters, or an empty string if it isn't one."""
+        letters = self.letters
+        for c in set(text).difference(letters):
+            if len(letters) > 4096:
+                letters.clear()
+                return ""
+            letters[c] = self._letter(c)
+        seen = [letters[c] for c in text]
+        return "".join(seen) if all(seen) and unicodedata.is_normalized("NFC", text) else ""
+
     def _parts(self, new: set) -> dict:
         found, rest, code, tokenize = {}, [], self.code, self.model.tokenize
         for part in new:
             if part.isalpha() or self.PLAIN.fullmatch(part):
                 found[part] = array(code, [t.id for t in tokenize(part.decode())]).tobytes()
+            elif word := self._word(part.decode("utf-8", "surrogatepass")):
+                found[part] = array(code, [t.id for t in tokenize(word)]).tobytes()
             else:
                 rest.append(part)
         for at in range(0, len(rest), 1024):

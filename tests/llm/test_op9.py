@@ -35,9 +35,9 @@ def test_odd_rows(spark):
 
 def test_pieces_are_encoded_as_the_whole_text():
     rng = random.Random(4)
-    marks = ["'s", "'ll", "<|startoftext|>", "<|endoftext|>", "́", " ", " ", "\x1c", "\x85", "ΑΣ", "Σ", "İ", "ﬁ", "12", "é", "漢字", "😀", "\x00", "a", "B", "!", "...", "é!?", "Ü.", "<", "|", "it's,", "x.y", "3.5", "-_", " ", "\n", "\t ", "\x0b", "\r\n"]
+    marks = ["'s", "'ll", "<|startoftext|>", "<|endoftext|>", "́", " ", " ", "\x1c", "\x85", "ΑΣ", "Σ", "İ", "ﬁ", "12", "é", "漢字", "😀", "\x00", "a", "B", "!", "...", "é!?", "Ü.", "ñ", "ß", "Ǆ", "ĳ", "ŉ", "ª", "ü", "ɐ", "ʰ", "Œ", "<", "|", "it's,", "x.y", "3.5", "-_", " ", "\n", "\t ", "\x0b", "\r\n"]
     encoder = op9.Encoder(op9.tokenizer_path(), cache=50)
-    for _ in range(1500):
+    for _ in range(3000):
         text = "".join(rng.choice(marks) for _ in range(rng.randrange(30)))
         whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode([text])[0], encoder.kind).tolist() == whole, repr(text)
