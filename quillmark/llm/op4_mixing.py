@@ -134,7 +134,7 @@ def plan(rows: DataFrame, target_entropy: float | None = None, max_repetition: f
         .join(starts, ["s", "grp"])
         .select("s", "block", "t", (F.col("g0") + F.col("b0")).alias("at"))
         .join(wanted, "s")
-        .withColumn("state", F.when(F.col("at") + F.col("t") <= F.col("rest"), 2).when(F.col("at") <= F.col("rest"), 1).otherwise(0))
+        .withColumn("state", F.when(F.col("rest") == 0, 0).when(F.col("at") + F.col("t") <= F.col("rest"), 2).when(F.col("at") <= F.col("rest"), 1).otherwise(0))
         .select("s", "block", "weight", "repetition", "passes", (F.col("rest") - F.col("at")).alias("room"), "state")
     )
     placed, _ = cut(placed, "placed")

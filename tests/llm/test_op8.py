@@ -62,6 +62,6 @@ def test_pieces_do_not_show():
     whole, piece = op8.Scorer(model).pooled(words), op8.PIECE
     try:
         for op8.PIECE in (1, 2, 3, 5):
-            assert np.allclose(op8.Scorer(model).pooled(words), whole)
+            assert np.allclose(op8.Scorer(model).pooled(words), whole, atol=1e-5)  # of 32-bit sums
     finally:
         op8.PIECE = piece
