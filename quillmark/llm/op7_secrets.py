@@ -97,10 +97,12 @@ def train(words: list[str]) -> Markov:
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCS) -> Markov:
     """Train on the distinct words of at most ``sample`` documents."""
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.xxhash64(text).alias("k"), text.alias("t")).where("t is not null")
+    keyed = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("k"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    # first the least hashes of distinct texts, which are small, then those texts alone
+    last = keyed.select("k").distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    rows = keyed.where(F.col("k") <= last).select("t").distinct().limit(sample) if last is not None else keyed.limit(0)
     words: dict[str, None] = {}
-    for r in rows.orderBy("k", "t").limit(sample).collect():
+    for r in rows.collect():
         words.update(dict.fromkeys(re.findall(r"(?<!\S)[A-Za-z]{2,15}(?!\w)", r.t)))
     return train(sorted(words))
 
