@@ -207,6 +207,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
         .select(F.coalesce("k.id", F.lit(0)).alias("__id"), F.col("k.id").isNull().alias("__null"), F.col("k.th").alias("__th")),
         "first",
     )
+    return keep_first(docs, first, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each row of ``first`` (__id: 0 for null, __null, __th)."""
     keys = ["__id", "__null", "__th"]
     marked = docs.withColumns(
         {
