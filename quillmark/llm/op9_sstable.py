@@ -10,7 +10,9 @@ A shard holds the documents of one range of identifiers, in ascending order:
 
 Keys are 9 bytes, big-endian and order-preserving; values are the ids, little-endian, 2 bytes each where
 the vocabulary allows. Lookup reads the footer, asks the filter, searches the index, then the restarts of
-one block. A task writes under a name of its own and renames when it is done, so a retried task is harmless.
+one block. A task writes under names of its own; the driver gives those of the tasks that succeeded their final
+names and removes the others, so that lost executors and repeated tasks are harmless. A task's shards end at
+``SHARD_BYTES``.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows of one id
 are kept, in the order of their texts' hashes; an empty table makes no shard; extra columns are ignored.
@@ -18,9 +20,11 @@ are kept, in the order of their texts' hashes; an empty table makes no shard; ex
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import sys
 import unicodedata
 import zlib
 from array import array
@@ -30,21 +34,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import partitions, rebatched, scratch
+from quillmark.llm.common import partitions, scratch
 
 END_ID = 1
 BLOCK_BYTES = 1 << 16
 RESTART = 16
 MAGIC = b"QMSST001"
-#: About so many pieces, and as many parts of pieces, does a worker remember the ids of; at most twice as many.
-CACHE = 400_000
+#: Of about so many distinct parts of texts does a worker remember the ids; at most of twice as many.
+CACHE = 150_000
+#: Bytes of text that are cut up at a time; a longer text is one batch.
+BATCH_BYTES = 8 << 20
+#: Bytes of data blocks from which a task ends a shard and begins the next, which bounds index and filter.
+SHARD_BYTES = 256 << 20
 _FOOTER = struct.Struct("<QQQQQQI8s")
 _ENTRY = struct.Struct("<BBI")
 
@@ -69,30 +78,48 @@ class Recent:
     def __init__(self, size: int, learn):
         self.size, self.learn, self.now, self.old = size, learn, {}, {}
 
-    def of(self, keys: set) -> dict:
-        """A dictionary that has all of ``keys``."""
+    def of(self, keys: list) -> list:
+        """The values of the distinct ``keys``, in their order."""
         if len(self.now) > self.size:
             self.now, self.old = {}, self.now
-        missing = keys.difference(self.now)
-        old = [k for k in missing if k in self.old]
-        self.now.update(zip(old, map(self.old.__getitem__, old)))
-        self.now.update(self.learn(missing.difference(old)))
-        return self.now
+        now, old = self.now, self.old
+        missing = [k for k in keys if k not in now]
+        if old:
+            now.update((k, old[k]) for k in missing if k in old)
+            missing = [k for k in missing if k not in now]
+        now.update(zip(missing, self.learn(missing)))
+        return list(map(now.__getitem__, keys))
 
 
 class Encoder:
     """The tokenizers library's ids of whole texts, as bytes.
 
-    This vocabulary's pre-tokenizer never joins what white space parts, nor a letter and a mark, so pieces
-    between ASCII white space, and within them words and marks, are encoded once and remembered. Pieces
-    with apostrophes (contractions) or ``<`` (special tokens) stay whole. Parts of ASCII alone, which
-    neither normalizer nor byte alphabet change, go straight to the library's model, and so do words of
-    Latin letters, whose single characters the library's normalizer and byte alphabet have translated.
+    Batches are cut and deduplicated by Arrow, and each distinct part meets the library once. That is right
+    for one normalizer and pre-tokenizer, ``KNOWN``, which never join what ASCII white space parts, nor a letter
+    and a mark behind it; with any other tokenizer whole texts are encoded. A piece between white space loses
+    its ``MARKS`` at the end if the library itself parts them from the character before. What is left is given
+    to the library's model if it is plain ASCII, which neither normalizer nor byte alphabet change but for case,
+    or a word of Latin letters, whose single characters the library has translated; else to the library.
     """
 
+    # The normalizer and pre-tokenizer that the cutting rules are written for.
+    KNOWN = {
+        "normalizer": {
+            "type": "Sequence",
+            "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+        },
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
     PLAIN = re.compile(rb"[!-&(-;=-~]+")
     PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-    MARKS = b".,;:!?"
+    #: ASCII punctuation that is in no contraction and no special token.
+    MARKS = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has a core of its own
@@ -101,28 +128,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.letters = self.tokenizer.model, {}
+        settings = json.loads(self.tokenizer.to_str())
+        special = [x["content"] for x in settings["added_tokens"]]
+        self.cuts = all(settings[k] == v for k, v in self.KNOWN.items()) and all(re.fullmatch(r"<[^<>\s]*>", x) and not set(x) & set(self.MARKS) for x in special)
+        self.model, self.letters, self.parting = self.tokenizer.model, {}, {}
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.width, self.code = (4, "I") if wide else (2, "H")
         self.kind = np.dtype(f"<u{self.width}")
-        self.pieces, self.parts = Recent(cache, self._pieces), Recent(cache, self._parts)
-
-    def split(self, piece: bytes) -> list[bytes]:
-        if piece.isalpha():  # of bytes: ASCII letters alone
-            return [piece.lower()]
-        core = piece.rstrip(self.MARKS)
-        if core.isalpha():
-            return [core.lower(), piece[len(core) :]]
-        if self.PLAIN.fullmatch(piece):
-            return self.PARTS.findall(piece.lower())
-        if core and len(core) < len(piece) and core.decode("utf-8", "surrogatepass")[-1].lower().isalpha():
-            return [core, piece[len(core) :]]
-        return [piece]
-
-    def _pieces(self, new: set) -> dict:
-        cut = {p: self.split(p) for p in new}
-        known = self.parts.of({x for parts in cut.values() for x in parts})
-        return {p: known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts)) for p, parts in cut.items()}
+        self.parts = Recent(cache, self._parts)
+
+    def _parted(self, c: str) -> bool:
+        """Does the library part a mark from the character (or none) before it?"""
+        if c not in self.parting:
+            if len(self.parting) > 4096:
+                self.parting.clear()
+            normal = self.tokenizer.normalizer.normalize_str(c + "!")
+            self.parting[c] = c not in "<>|'" and normal[-1:] == "!" and self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)[-1][0] == "!" and c != ""
+        return self.parting[c]
 
     def _letter(self, c: str) -> str:
         """What the model sees of a Latin letter; empty for what isn't one, before or after normalizing."""
@@ -140,26 +162,78 @@ class Encoder:
         seen = [letters[c] for c in text]
         return "".join(seen) if all(seen) and unicodedata.is_normalized("NFC", text) else ""
 
-    def _parts(self, new: set) -> dict:
-        found, rest, code, tokenize = {}, [], self.code, self.model.tokenize
-        for part in new:
-            if part.isalpha() or self.PLAIN.fullmatch(part):
-                found[part] = array(code, [t.id for t in tokenize(part.decode())]).tobytes()
-            elif word := self._word(part.decode("utf-8", "surrogatepass")):
-                found[part] = array(code, [t.id for t in tokenize(word)]).tobytes()
-            else:
-                rest.append(part)
-        for at in range(0, len(rest), 1024):
-            some = rest[at : at + 1024]
-            texts = [p.decode("utf-8", "surrogatepass") for p in some]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                found[part] = array(code, e.ids).tobytes()
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 1024):
+            out += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False)]
+        return out
+
+    def _parts(self, new: list[bytes]) -> list[bytes]:
+        found, rest, code, tokenize, plain = [b""] * len(new), [], self.code, self.model.tokenize, self.PLAIN.fullmatch
+        for k, part in enumerate(new):
+            if part.isalpha():  # of bytes: ASCII letters alone
+                found[k] = array(code, [t.id for t in tokenize(part.lower().decode())]).tobytes()
+            elif plain(part):
+                found[k] = array(code, [t.id for x in self.PARTS.findall(part.lower()) for t in tokenize(x.decode())]).tobytes()
+            elif part:
+                text = part.decode()
+                if word := self._word(text):
+                    found[k] = array(code, [t.id for t in tokenize(word)]).tobytes()
+                else:
+                    rest.append((k, text))
+        for (k, _), ids in zip(rest, self._whole([t for _, t in rest])):
+            found[k] = ids
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.pieces.of(set().union(*split))
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+    def _pieces(self, pieces: pa.StringArray) -> pa.BinaryArray:
+        """The ids of distinct pieces without ASCII white space."""
+        core = pc.ascii_rtrim(pieces, characters=self.MARKS)
+        last = pc.utf8_slice_codeunits(core, -1, sys.maxsize).dictionary_encode()
+        parted = pa.array([self._parted(c) for c in last.dictionary.to_pylist()], pa.bool_()).take(last.indices)
+        core = pc.if_else(parted, core, pieces)
+        marks = pc.binary_slice(pieces.cast(pa.binary()), 0, 0)
+        if pc.any(parted).as_py():
+            begin = pc.binary_length(core).to_numpy()
+            offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+            marks = _sliced(pieces, offsets[:-1] + begin, offsets[1:])
+        core = pc.if_else(pc.ascii_is_alpha(core), pc.ascii_lower(core), core)
+        both = pa.concat_arrays([core.cast(pa.binary()), marks]).dictionary_encode()
+        ids = pa.array(self.parts.of(both.dictionary.to_pylist()), pa.binary()).take(both.indices)
+        return pc.binary_join_element_wise(ids[: len(pieces)], ids[len(pieces) :], b"")
+
+    def encode(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each text, little-endian, ``width`` bytes each."""
+        if not self.cuts:
+            return pa.array(self._whole(texts.to_pylist()), pa.binary())
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.flatten().dictionary_encode()
+        if not len(flat):
+            return pa.array([b""] * len(texts), pa.binary())
+        ids = self._pieces(flat.dictionary).take(flat.indices)
+        bounds = np.frombuffer(split.buffers()[1], np.int32)[split.offset : split.offset + len(split) + 1]
+        places = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        offsets = np.ascontiguousarray(places[bounds - bounds[0]])
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), ids.buffers()[2]])
+
+
+def _sliced(values: pa.StringArray, begin: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
+    """The bytes [begin, end) of the buffer behind ``values``; each slice ends before the next begins."""
+    data = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] else np.empty(0, np.uint8)
+    size = end - begin
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    places = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[places]))])
+
+
+def sized_batches(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts in ``column`` have about ``size`` bytes, or a single longer one."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
 
 
 @lru_cache(maxsize=1)
@@ -302,41 +376,56 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
-SHARDS = "shard int, path string, docs long, tokens long"
+SHARDS = "shard int, part int, path string, docs long, tokens long"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """Write ``docs`` as shards under ``path`` and return a row (shard, path, docs, tokens) for each."""
+def write(
+    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES
+) -> list:
+    """Write ``docs`` as shards under ``path`` and return a row (shard, part, path, docs, tokens) for each, in order."""
     vocabulary = tokenizer or tokenizer_path()
     spark = docs.sparkSession
-    filesystem(path)[0].create_dir(filesystem(path)[1])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    where, folder = filesystem(path)
+    where.create_dir(folder)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         where, folder = filesystem(path)
-        name, own = f"{folder}/part-{task.partitionId():06d}.sst", f"{folder}/.part-{task.partitionId():06d}.{task.taskAttemptId()}"
-        writer = encoder = None
-        for batch in rebatched(batches, 128):
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                encoder = encoder_of(vocabulary)
-                stream = where.open_output_stream(own)
-                writer = Writer(stream, encoder.width)
-                end = np.array([end_id], encoder.kind).tobytes()
-            for i, ids in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+        encoder = writer = None
+        done = []
+
+        def close() -> None:
+            writer.close()
+            writer.stream.close()
+            done.append((task.partitionId(), len(done), name, writer.docs, writer.tokens))
+
+        for batch in sized_batches(batches, "text", BATCH_BYTES):
+            encoder = encoder or encoder_of(vocabulary)
+            end = np.array([end_id], encoder.kind).tobytes()
+            for i, ids in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("text")).to_pylist()):
+                if writer is None:
+                    name = f"{folder}/.attempt-{task.taskAttemptId()}-{task.partitionId():06d}-{len(done):04d}"
+                    writer = Writer(where.open_output_stream(name), encoder.width)
                 writer.add(key_of(i), ids + end)
+                if writer.at >= shard_bytes:
+                    close()
+                    writer = None
         if writer is not None:
-            writer.close()
-            stream.close()
-            where.move(own, name)
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([task.partitionId()], pa.int32()), "path": [name], "docs": [writer.docs], "tokens": [writer.tokens]}
-            )
-
-    return sorted(ordered.mapInArrow(shard, SHARDS).collect())  # a row for each shard
+            close()
+        columns = list(zip(*done)) if done else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "part", "path", "docs", "tokens"])
+
+    found = []
+    for r in sorted(ordered.mapInArrow(shard, SHARDS).collect()):  # a row for each shard
+        name = f"{folder}/part-{r.shard:06d}-{r.part:04d}.sst"
+        where.move(r.path, name)
+        found.append(Row(shard=r.shard, part=r.part, path=name, docs=r.docs, tokens=r.tokens))
+    for x in where.get_file_info(pafs.FileSelector(folder)):  # of attempts that were lost
+        if x.base_name.startswith(".attempt-"):
+            where.delete_file(x.path)
+    return found
 
 
 def read(spark: SparkSession, path: str, shards: list) -> DataFrame:
