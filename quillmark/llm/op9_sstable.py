@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import partitions, scratch
+from quillmark.llm.common import partitions, scratch, sized_batches
 
 END_ID = 1
 BLOCK_BYTES = 1 << 16
@@ -225,17 +225,6 @@ def _sliced(values: pa.StringArray, begin: np.ndarray, end: np.ndarray) -> pa.Bi
     return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[places]))])
 
 
-def sized_batches(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices whose texts in ``column`` have about ``size`` bytes, or a single longer one."""
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy())
-        at = 0
-        while at < batch.num_rows:
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-            yield batch.slice(at, upto - at)
-            at = upto
-
-
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """A worker's encoder; it outlives the task, with what it remembers."""

@@ -32,6 +32,7 @@ QUERIES["op3_simhash_near_dedup"] = _on("documents", op3_simhash_dedup.query)
 QUERIES["op5_benchmark_decontamination"] = lambda spark, d: op5_decontamination.query(
     spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
 )
+ORACLES["op5_benchmark_decontamination"] = op5_decontamination.SQL
 QUERIES["op8_toxicity_cnn"] = lambda spark, d: op8_toxicity.query(
     spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 )

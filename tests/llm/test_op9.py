@@ -8,7 +8,7 @@ from pyarrow import fs as pafs
 from tokenizers import Tokenizer
 
 from quillmark.llm import op9_sstable as op9
-from quillmark.llm.common import scratch
+from quillmark.llm.common import scratch, sized_batches
 from tests.llm.conftest import SF
 
 
@@ -71,7 +71,7 @@ def test_other_tokenizers_take_whole_texts():
 
 def test_batches_and_shards_are_bounded_by_bytes(spark):
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (5, 5, 30, 0, 1, 10)]})
-    assert [b.num_rows for b in op9.sized_batches(iter([batch, batch.slice(0, 0)]), "text", 10)] == [2, 1, 2, 1]
+    assert [b.num_rows for b in sized_batches(iter([batch, batch.slice(0, 0)]), "text", 10)] == [2, 1, 2, 1]
     docs = spark.range(300).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 2000) as text").repartition(2)
     path = scratch(spark, "shards")
     shards = op9.write(docs, path, shard_bytes=500)
