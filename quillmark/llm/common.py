@@ -60,6 +60,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns called __0, __1 and so on, so that none clashes with those that an operator adds;
+    and the new name of each."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*(f"__{i}" for i in range(len(docs.columns)))), names
+
+
+def renamed(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those columns of ``found`` that came from ``docs`` through ``plain``, by their own names."""
+    return found.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def ascii_lower(text: Column | str) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,16 +8,17 @@ and a hit counts only if the stored string equals the candidate. The longest rul
 is the list's default.
 
 The file is written to the shared folder and handed to the executors by Spark, so it need not be on a disk
-that they share. It is built on the driver, for at most ``MOST`` rules.
+that they share. It is built on the driver, where the rules are; each ``PART`` of them have a file of their own.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and the default verdict;
 repeated rows are judged one by one; an empty table gives an empty table; of a rule given twice the last
-verdict holds.
+verdict holds; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import ascii_lower, rebatched, scratch
+from quillmark.llm.common import ascii_lower, plain, rebatched, scratch
 
 #: The rules of the production list.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 DEFAULT = "allow"
-MOST = 50_000_000
+#: Rules of one file; more rules make more files, all of which are probed.
+PART = 50_000_000
 VERDICTS = ("allow", "block")
 _MAGIC = np.frombuffer(b"QMURL001", np.uint64)[0]
 
@@ -52,8 +54,6 @@ def keys(strings: list[bytes]) -> np.ndarray:
 
 def pack(rules: dict[str, str]) -> bytes:
     """The file: a header of four numbers, then sorted keys, places, verdicts and strings."""
-    if len(rules) > MOST:
-        raise ValueError(f"more than {MOST} rules")
     strings = [r.encode() for r in rules]
     digests = keys(strings)
     order = np.argsort(digests, kind="stable")
@@ -131,8 +131,27 @@ class Index:
         return [r if r is None else r.decode() for r in rules], verdicts
 
 
+def parts(rules: dict[str, str], size: int) -> Iterator[dict[str, str]]:
+    left = iter(rules.items())
+    while (part := dict(islice(left, size))) or not rules:
+        yield part
+        if not rules:
+            return
+
+
+def judge(lists: list[Index], hosts: list[str], paths: list[str], default: str = DEFAULT) -> tuple[list[str | None], list[str]]:
+    """The longest rule of all lists for each url, and its verdict."""
+    rules: list[str | None] = [None] * len(hosts)
+    verdicts = [default] * len(hosts)
+    for index in lists:
+        for k, (rule, verdict) in enumerate(zip(*index.judge(hosts, paths, default))):
+            if rule is not None and (rules[k] is None or len(rule) > len(rules[k])):
+                rules[k], verdicts[k] = rule, verdict
+    return rules, verdicts
+
+
 def share(spark: SparkSession, rules: dict[str, str]) -> str:
-    """Write the list to the shared folder, hand it out, and return the name under which workers find it."""
+    """Write a list to the shared folder, hand it out, and return the name under which workers find it."""
     uri = scratch(spark, "urls")
     where = spark._jvm.org.apache.hadoop.fs.Path(uri)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -143,28 +162,29 @@ def share(spark: SparkSession, rules: dict[str, str]) -> str:
     return uri.rsplit("/", 1)[1]
 
 
-def judged(pages: DataFrame, rules: dict[str, str] | None = None, url_col: str = "url", keep: list[str] | None = None, default: str = DEFAULT) -> DataFrame:
-    """The columns ``keep`` of ``pages`` (all by default) with __host, __path, __rule and __verdict."""
+def judged(pages: DataFrame, rules: dict[str, str] | None = None, url_col: str = "url", keep: list[str] | None = None, default: str = DEFAULT, part: int = PART) -> DataFrame:
+    """The columns ``keep`` of ``pages`` (all by default), and in the last four columns host, path, rule and
+    verdict, whatever the others are called."""
     names = pages.columns if keep is None else keep
-    name = share(pages.sparkSession, RULES if rules is None else rules)
-    host, path = host_path(F.col(f"`{url_col}`").cast("string"))
-    slim = pages.select(*(F.col(f"`{c}`") for c in names), host.alias("__host"), path.alias("__path"))
-    schema = slim.withColumns({"__rule": F.lit(None).cast("string"), "__verdict": F.lit(None).cast("string")}).schema
+    files = [share(pages.sparkSession, some) for some in parts(RULES if rules is None else rules, part)]
+    held, short = plain(pages)
+    host, path = host_path(F.col(short[url_col]).cast("string"))
+    slim = held.select(*(short[c] for c in names), host.alias("host"), path.alias("path"))
+    schema = slim.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(SparkFiles.get(name))
+        lists = [Index(SparkFiles.get(f)) for f in files]
         for batch in rebatched(batches, 8192):
-            found, verdicts = index.judge(batch.column("__host").to_pylist(), batch.column("__path").to_pylist(), default)
+            found, verdicts = judge(lists, batch.column("host").to_pylist(), batch.column("path").to_pylist(), default)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=[*batch.schema.names, "__rule", "__verdict"]
+                [*batch.columns, pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=[*batch.schema.names, "rule", "verdict"]
             )
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).toDF(*names, "host", "path", "rule", "verdict")
 
 
 def query(pages: DataFrame) -> DataFrame:
-    found = judged(pages, keep=["page_id"])
-    return found.select("page_id", *(F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+    return judged(pages, keep=["page_id"])
 
 
 SQL = """

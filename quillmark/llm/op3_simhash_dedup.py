@@ -18,10 +18,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, rebatched
+from quillmark.llm.common import cut, plain, rebatched, renamed
 from quillmark.llm.components import components
 
 RADIUS = 4
@@ -182,17 +182,22 @@ def midpoint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return far.join(least, "mid").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, fp, component_id) of every row; component_id is the least id of its group."""
+def _rooted(docs: DataFrame, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, th, fp) of every row, (fp, first, least, root) of every fingerprint): first is its least id, least its
+    first row as (null, id, th), root names its group."""
     rows, _ = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct, _ = cut(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    least = F.min(F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("th"))).alias("least")
+    distinct, _ = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), least), "distinct")
     roots = components(links(distinct.select("fp"), radius))
     rooted, _ = cut(
-        distinct.join(roots, distinct.fp == roots.node, "left").select(
-            "fp", "first", F.coalesce("root", "fp").alias("root")
-        ),
-        "rooted",
+        distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "least", F.coalesce("root", "fp").alias("root")), "rooted"
     )
+    return rows, rooted
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, fp, component_id) of every row; component_id is the least id of its group."""
+    rows, rooted = _rooted(docs, radius, id_col, text_col)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes, _ = cut(rooted.join(named, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("id", "th", "fp", "component_id")
@@ -200,33 +205,28 @@ def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_c
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: of its least id, or (all null) of its least text hash."""
-    held = groups(docs, radius, id_col, text_col)
-    first, _ = cut(
-        held.groupBy("component_id")
-        .agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("th"))).alias("k"))
-        .select(F.coalesce("k.id", F.lit(0)).alias("__id"), F.col("k.id").isNull().alias("__null"), F.col("k.th").alias("__th")),
-        "first",
-    )
-    return keep_first(docs, first, id_col, text_col)
+    _, rooted = _rooted(docs, radius, id_col, text_col)
+    first = rooted.groupBy("root").agg(F.min("least").alias("k"))
+    kept, _ = cut(first.select(F.coalesce("k.id", F.lit(0)).alias("id"), F.col("k.null").alias("null"), F.col("k.th").alias("th")), "first")
+    return keep_first(docs, kept, id_col, text_col)
 
 
 def keep_first(docs: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of ``docs`` for each row of ``first`` (__id: 0 for null, __null, __th)."""
-    keys = ["__id", "__null", "__th"]
-    marked = docs.withColumns(
-        {
-            "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
-            "__null": F.col(id_col).isNull(),
-            "__th": F.xxhash64(F.col(text_col).cast("string")),
-        }
-    )
-    again = Window.partitionBy(*keys).orderBy(F.lit(0))
-    return (
-        marked.join(first.hint("merge"), keys)  # by one plan at every size
-        .withColumn("__n", F.row_number().over(again))
-        .where("__n = 1")
-        .select(*docs.columns)
+    """One row of ``docs`` for each row of ``first`` (id: 0 for null, null, th). Of rows alike in id and text the one
+    whose other columns have the least hash is taken, before rows are shuffled."""
+    keys = ["id", "null", "th"]
+    rows, short = plain(docs)
+    others = [f for f in rows.schema.fields if f.name not in (short[id_col], short[text_col]) and f.dataType.typeName() not in ("map", "variant")]
+    every = F.struct(*rows.columns)
+    one = rows.select(
+        F.coalesce(F.col(short[id_col]).cast("long"), F.lit(0)).alias("id"),
+        F.col(short[id_col]).isNull().alias("null"),
+        F.xxhash64(F.col(short[text_col]).cast("string")).alias("th"),
+        F.xxhash64(F.lit(0), *(f.name for f in others)).alias("o"),
+        every.alias("row"),
     )
+    kept = one.groupBy(*keys).agg(F.min_by("row", "o").alias("row")).join(first.hint("merge"), keys)  # by one plan at every size
+    return renamed(kept.select("row.*"), docs)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut
+from quillmark.llm.common import cut, plain, renamed
 
 #: No source is repeated more often than this, where the budget covers every source once.
 MAX_REPETITION = 1.5
@@ -93,18 +93,27 @@ def exponent(sources: DataFrame, total: int, least: int, most: int, target_entro
     return _evaluate(sources, [low if target_entropy is not None else high], total)[0]
 
 
-def plan(rows: DataFrame, target_entropy: float | None = None, max_repetition: float | None = MAX_REPETITION, budget: float | None = None) -> DataFrame:
-    """``rows`` (as ``sized`` gives them) with block, weight, repetition, passes and extra.
+def plan(rows: DataFrame, **targets) -> DataFrame:
+    """``rows`` (as ``sized`` gives them) with block, weight, repetition, passes and extra. A row is taken ``passes``
+    times, and once more if ``extra`` is 1."""
+    planned = by_key(rows, **targets).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    return planned.withColumn("extra", (F.col("j") <= F.col("extra")).cast("long")).drop("c", "j")
+
+
+def by_key(rows: DataFrame, target_entropy: float | None = None, max_repetition: float | None = MAX_REPETITION, budget: float | None = None) -> DataFrame:
+    """The distinct ``rows`` with their count c, block, weight, repetition, passes and extra: how many of the c are taken
+    once more than ``passes`` times.
 
     ``budget`` is the mixture's tokens as a multiple of all tokens; None is the least that takes every
-    document once. A document is taken ``passes`` times, and once more if ``extra`` is 1.
+    document once.
     """
     if target_entropy is not None:
         max_repetition = None
-    n_rows = rows.count()
+    distinct, _ = cut(rows.groupBy(*_KEY, "n").agg(F.count(F.lit(1)).alias("c")), "distinct")
+    n_rows = distinct.agg(F.sum("c")).first()[0] or 0
     n_blocks = max(1, n_rows // BLOCK_ROWS)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "i", "th"), F.lit(n_blocks)))
-    blocks, _ = cut(dealt.groupBy("s", "block").agg(F.sum("n").alias("t")), "blocks")
+    dealt = distinct.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "i", "th"), F.lit(n_blocks)))
+    blocks, _ = cut(dealt.groupBy("s", "block").agg(F.sum(F.col("n") * F.col("c")).alias("t")), "blocks")
     sources, _ = cut(blocks.groupBy("s").agg(F.sum("t").alias("tokens")), "sources")
     seen = sources.where("tokens > 0").agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
     total, least, most = (x or 0 for x in seen)
@@ -139,32 +148,32 @@ def plan(rows: DataFrame, target_entropy: float | None = None, max_repetition: f
     )
     placed, _ = cut(placed, "placed")
     told = dealt.join(placed, ["s", "block"])
-    upto = Window.partitionBy("s", "block").orderBy(F.xxhash64(F.lit(SEED + 2), "i", "th"), "i", "th").rowsBetween(Window.unboundedPreceding, 0)
-    out = [*_KEY, "n", "block", "weight", "repetition", "passes"]
-    broken = told.where("state = 1").withColumn("extra", (F.sum("n").over(upto) <= F.col("room")).cast("long")).select(*out, "extra")
-    return told.where("state <> 1").select(*out, (F.col("state") == 2).cast("long").alias("extra")).unionByName(broken)
+    upto = Window.partitionBy("s", "block").orderBy(F.xxhash64(F.lit(SEED + 2), "i", "th"), "i", "th").rowsBetween(Window.unboundedPreceding, -1)
+    out = [*_KEY, "n", "c", "block", "weight", "repetition", "passes"]
+    left = F.col("room") - F.coalesce(F.sum(F.col("n") * F.col("c")).over(upto), F.lit(0))
+    fits = F.when(F.col("left") < 0, 0).when(F.col("n") == 0, F.col("c")).otherwise(F.least("c", F.floor(F.col("left") / F.greatest("n", F.lit(1)))))
+    broken = told.where("state = 1").withColumn("left", left).withColumn("extra", fits.cast("long"))
+    return told.where("state <> 1").select(*out, F.when(F.col("state") == 2, F.col("c")).otherwise(0).cast("long").alias("extra")).unionByName(broken.select(*out, "extra"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
     """``docs`` as the mixture has them: each row as often as it is taken."""
-    rows, _ = cut(sized(docs, id_col, text_col, source_col), "sized")
+    held, short = plain(docs)
+    columns = (short[id_col], short[text_col], short[source_col])
+    rows, _ = cut(sized(held, *columns), "sized")
     taken, _ = cut(
-        plan(rows, **targets).groupBy(F.coalesce("i", F.lit(0)).alias("__i"), F.col("i").isNull().alias("__null"), F.col("th").alias("__th"), F.col("s").alias("__s")).agg(
-            F.max("passes").alias("__passes"), F.sum("extra").alias("__extra")
-        ), "taken",
-    )
-    i, th, s = keys(id_col, text_col, source_col)
-    by = ["__i", "__null", "__th", "__s"]
-    marked = docs.withColumns({"__i": F.coalesce(i, F.lit(0)), "__null": i.isNull(), "__th": th, "__s": s})
-    again = Window.partitionBy(*by).orderBy(F.lit(0))
-    times = F.col("__passes") + (F.row_number().over(again) <= F.col("__extra")).cast("long")
-    return (
-        marked.join(taken.hint("merge"), by)  # by one plan at every size
-        .withColumn("__times", times)
-        .where("__times > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-        .select(*docs.columns)
+        by_key(rows, **targets).select(F.coalesce("i", F.lit(0)).alias("i"), F.col("i").isNull().alias("null"), "th", "s", "c", "passes", "extra"), "taken"
     )
+    i, th, s = keys(*columns)
+    by = ["i", "null", "th", "s"]
+    told = held.withColumns({"i": F.coalesce(i, F.lit(0)), "null": i.isNull(), "th": th, "s": s})
+    some = (F.col("extra") > 0) & (F.col("extra") < F.col("c"))
+    out = told.join(taken.where(~some).hint("merge"), by).withColumn("times", F.col("passes") + (F.col("extra") > 0).cast("long"))  # by one plan at every size
+    ends = taken.where(some)  # one key a source at most: repeated rows at which its broken pass ends
+    if not ends.isEmpty():
+        again = Window.partitionBy(*by).orderBy(F.lit(0))
+        out = out.unionByName(told.join(ends, by).withColumn("times", F.col("passes") + (F.row_number().over(again) <= F.col("extra")).cast("long")))
+    return renamed(out.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))), docs)
 
 
 def query(docs: DataFrame) -> DataFrame:

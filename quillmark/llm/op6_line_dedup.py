@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, partitions
+from quillmark.llm.common import cut, partitions, plain, renamed
 
 LINES = 4
 WORDS = 50
@@ -148,11 +148,12 @@ def marked(docs: DataFrame, least_lines: int = LINES, least_words: int = WORDS,
     return rows.join(named.hint("merge"), ["__a", "__w"], "left").drop("__a", "__w")  # by one plan at every size
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``docs`` without the lines of later copies."""
-    text = F.col(f"`{text_col}`")
-    found = marked(docs, text_col=text_col, **more)
-    return found.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept_text(text, F.col("__gone")))).select(*docs.columns)
+    rows, short = plain(docs)
+    text = F.col(short[text_col])
+    found = marked(rows, id_col=short[id_col], text_col=short[text_col], **more)
+    return renamed(found.withColumn(short[text_col], F.when(F.col("__gone").isNull(), text).otherwise(kept_text(text, F.col("__gone")))), docs)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ Two first-order models, of random strings and of ordinary identifiers, are train
 samples; a token whose log-likelihood ratio exceeds a threshold is a secret. Random samples are drawn from
 the alphabets that keys use; ordinary ones are words, paths and identifiers joined from words of at most
 ``SAMPLE_DOCS`` documents, taken by hash. The threshold is the one that ``FALSE_SHARE`` of the ordinary
-samples exceed, and at least ``FLOOR``.
+samples exceed, and at least ``FLOOR``. Judged are all runs of ``LEAST`` or more characters that keys are made of;
+shorter ones are too little evidence for either model, and are found by the patterns only.
 
 Defined results: a null or empty text has no spans; positions count code points, ends are exclusive;
-repeated rows and null ids are kept; an empty table gives an empty table; extra columns don't matter.
+repeated rows and null ids are kept; an empty table gives an empty table; extra columns are kept by ``scan``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import rebatched
+from quillmark.llm.common import plain, rebatched
 
 # The patterns of the base kinds, with the least length of each.
 ASSIGN = re.compile(
@@ -33,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 or more among the maximal r
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SAMPLE_DOCS = 1000
 SAMPLES = 6000
@@ -132,38 +134,40 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, model: Markov, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) and found: array<struct<kind, start, stop, base>>."""
+    """The columns ``keep`` of ``docs`` (all by default), and in the last column, whatever the others are
+    called, found: array<struct<kind, start, stop, base>>."""
     names = docs.columns if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    rows, short = plain(docs)
+    slim = rows.select(*(short[c] for c in names), F.col(short[text_col]).cast("string").alias("text"))
     kind = "array<struct<kind:string,start:long,stop:long,base:boolean>>"
-    schema = slim.drop("__text").withColumn("__found", F.lit(None).cast(kind)).schema
+    schema = slim.drop("text").withColumn("found", F.lit(None).cast(kind)).schema
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         markov = held.value
         for batch in rebatched(batches, 1024):
             out = []
-            for t in batch.column("__text"):
+            for t in batch.column("text"):
                 text = t.as_py() or ""
                 base = base_spans(text)
                 spans = sorted(base + added_spans(text, base, markov))
                 out.append([{"kind": KINDS[k], "start": a, "stop": b, "base": k < 3} for a, k, b in spans])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, arrow)], names=[*batch.schema.names[:-1], "__found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, arrow)], names=[*batch.schema.names[:-1], "found"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).toDF(*names, "found")
 
 
 def query(docs: DataFrame) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.stop.cast("string"))), ",")
-    of = lambda kind: F.size(F.filter("__found", lambda s: s.kind == kind)).cast("long")
+    of = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long")
     return scan(docs, fit(docs), keep=["doc_id"]).select(
         "doc_id",
         of("assign").alias("n_assign"),
         of("access").alias("n_access"),
         of("hex").alias("n_hex"),
-        F.sha2(text(F.filter("__found", lambda s: s.base)), 256).alias("base_sha256"),
-        text(F.col("__found")).alias("spans"),
+        F.sha2(text(F.filter("found", lambda s: s.base)), 256).alias("base_sha256"),
+        text(F.col("found")).alias("spans"),
     )
 
 

@@ -5,13 +5,14 @@ unseen compounds of a known stem still mean something. Filters of width 1, 2 and
 text, each is max-pooled, and a logistic layer turns the pooled values into a score. Language decides
 only which threshold ``reject`` holds the score against, never the score.
 
-The classifier is fitted on a bounded sample, ``SAMPLE`` labelled rows of each class, taken by hash. Class
+The classifier is fitted on a bounded sample, ``SAMPLE`` labelled rows of each class and ``SAMPLE_BYTES`` of text, taken by hash. Class
 weights restore the shares of all labelled rows, so that scores are probabilities.
 
 Defined results: a null, blank or wordless text is scored like any other (all pooled values are those of
 padding); rows with a null doc_id are scored and count as not held out; labels that are null or belong
 to no document are ignored, and of contradicting labels of one id the toxic one counts; without usable
-labels of both classes every score is the share of toxic labels, 0 if there are none; extra columns don't matter.
+labels of both classes every score is the share of toxic labels, 0 if there are none; of several texts of one id the
+one of least hash is learnt from; extra columns are kept by ``scored`` and ``reject``.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import rebatched, word_list
+from quillmark.llm.common import cut, plain, rebatched, renamed, word_list
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 4000
+#: Bytes of their texts that are gathered on the driver, at most; rows come in the order of their ids' hashes.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -249,7 +252,7 @@ def _fold(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, by_language: bool = True) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, by_language: bool = True, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Train on at most ``sample`` labelled documents of each class outside the held-out fold."""
     known = (
         labels.where("toxic is not null and doc_id is not null")
@@ -266,34 +269,53 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, by_language: b
         return Model(rate=share)
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame(rows, "doc_id long, __y int"))  # 2 * sample rows at most
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(["lang"] if by_language else [])).join(ids, "doc_id")
-    found = sorted(map(tuple, texts.dropDuplicates(["doc_id"]).collect()), key=lambda r: (zlib.crc32(str(r[0]).encode(), 5), r[0]))
+    text, lang = F.col("text").cast("string"), (F.col("lang") if by_language else F.lit(None)).cast("string")
+    each = docs.select(F.col("doc_id").cast("long"), F.struct(F.xxhash64(text), text.alias("text"), lang.alias("lang")).alias("x")).join(ids, "doc_id")
+    texts, _ = cut(each.groupBy("doc_id", "__y").agg(F.min("x").alias("x")).select("doc_id", "x.text", "x.lang", "__y"), "sample")
+    sizes = texts.select("doc_id", "__y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect()
+    wanted, left = [], sample_bytes
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r.doc_id).encode(), 5), r.doc_id)):
+        if r.size <= left:
+            wanted.append(r.doc_id)
+            left -= r.size
+    few = F.broadcast(spark.createDataFrame([(i,) for i in wanted], "doc_id long"))
+    found = sorted(map(tuple, texts.join(few, "doc_id").collect()), key=lambda r: (zlib.crc32(str(r[0]).encode(), 5), r[0]))
     return train([r[1] for r in found], [r[-1] for r in found], share, [r[2] for r in found] if by_language else None)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all of them by default) and the score, in a last column __score."""
+    """The columns ``keep`` of ``docs`` (all by default) and, in the last column, whatever the others are called,
+    the score."""
     names = docs.columns if keep is None else keep
+    rows, short = plain(docs)
+    return _scored(rows, model, short[text_col], [short[c] for c in names]).toDF(*names, "score")
+
+
+def _scored(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` and score; the text goes to Python once, whether it is kept or not."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = slim.drop("__text").withColumn("__score", F.lit(0.0)).schema
+    also = text in keep and dict(docs.dtypes)[text] == "string"
+    slim = docs.select(*keep) if also else docs.select(*keep, F.col(text).cast("string").alias("text"))
+    read = text if also else "text"
+    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in rebatched(batches, 1024):
-            scores = pa.array([scorer.score(t.as_py()) for t in batch.column("__text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "__score"])
+        for batch in rebatched(batches, 512):
+            scores = pa.array([scorer.score(t.as_py()) for t in batch.column(read)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], names=[*keep, "score"])
 
     return slim.mapInArrow(score, schema)
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without those whose score reaches their language's threshold."""
+    rows, short = plain(docs)
     limit = F.lit(THRESHOLD)
     if model.thresholds:
         table = F.create_map(*(F.lit(x) for kv in model.thresholds.items() for x in kv))
-        limit = F.coalesce(table[F.col("lang")], limit)
-    return scored(docs, model).where(F.col("__score") < limit).drop("__score")
+        limit = F.coalesce(table[F.col(short["lang"])], limit)
+    return renamed(_scored(rows, model, short["text"], rows.columns).where(F.col("score") < limit), docs)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,6 +323,6 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         (_fold("doc_id") == 2).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
