@@ -1,14 +1,15 @@
 """Line dedup over a suffix array of line ids, in DataFrame functions only.
 
 Lines become ids, and the suffixes of every document's id sequence are sorted by prefix doubling: the rank
-of a suffix by its first 2p lines is that by its first p, refined by the rank of the suffix p lines on. A
-document's end, and every line that occurs once, equals nothing and settles a suffix's order; only suffixes
-whose first p lines occur again are carried on. Suffixes that share their first l lines are an interval
-of common prefixes at least l long; all its members but the first are later copies.
+of a suffix by its first 2p lines is that by its first p, refined by the rank of the suffix p lines on, until no two
+are alike. A document's end, and every line that occurs once, equals nothing. Ranks are places in ranges of the
+order, by which rows are dealt, so that a line that begins most suffixes is spread over tasks.
 
-A repeated run counts if it has ``LINES`` lines, or ``WORDS`` words. A run of more lines is the union of its
-windows of ``LINES`` lines, so suffixes are sorted to that depth; shorter windows count by their words. Lines
-under any window with an earlier occurrence (by doc_id, then line) are deleted.
+Neighbours in the array tell how many lines they share; the suffixes between two places where that is less than l are
+an interval of common prefixes at least l long. All its members but the earliest are later copies.
+
+A repeated run counts if it has ``LINES`` lines, or ``WORDS`` words. Lines under any counting run with an earlier
+occurrence (by doc_id, then line) are deleted; runs that overlap or meet make up the longest ones.
 
 Defined results: a null text has no lines and stays null; an empty one has a single, empty line; null
 ids come first; of rows of one id the order is that of their texts' hashes; repeated rows are copies of
@@ -49,69 +50,161 @@ def line_table(rows: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def in_order(rows: DataFrame, by: list, name: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``rows`` dealt to ranges of ``by`` and written, with ``part`` and ``at``, their places in that order from 0; and for
+    each range (part, rows in it). Equal rows are told apart by ``by``, so a common value is spread over ranges."""
+    spark = rows.sparkSession
+    dealt, _ = cut(rows.repartitionByRange(partitions(spark), *by).withColumn("part", F.spark_partition_id()), name)
+    sizes = sorted(map(tuple, dealt.groupBy("part").agg(F.count(F.lit(1))).collect()))  # a row for each range
+    bases, before = [], 0
+    for part, n in sizes:
+        bases.append((part, before))
+        before += n
+    base = F.broadcast(spark.createDataFrame(bases, "part int, base long"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1
+    return dealt.join(base, "part").withColumn("at", F.col("base") + at).drop("base"), sizes
+
+
+def _told(spark, rows: list[tuple], schema: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, schema))  # a row for each range
+
+
 def first_ranks(lines: DataFrame) -> DataFrame:
-    """(a, w, i, e, s, r) of the lines that occur more than once: r ranks the line, s counts its words and
+    """(a, w, i, e, n, r) of the lines that occur more than once: r ranks the line among them, n counts its words and
     e those before it in its document's stretch of such lines."""
-    spark = lines.sparkSession
     counts, _ = cut(lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
-    dealt, _ = cut(counts.repartitionByRange(partitions(spark), "h", "g").withColumn("part", F.spark_partition_id()), "sorted")
-    bases, at = [], 0
-    for part, c in sorted(map(tuple, dealt.groupBy("part").agg(F.sum("c")).collect())):  # a row for each partition
-        bases.append((part, at))
-        at += c
-    base = F.broadcast(spark.createDataFrame(bases, "part int, base long"))
-    before = Window.partitionBy("part").orderBy("h", "g").rowsBetween(Window.unboundedPreceding, -1)
+    ordered, _ = in_order(counts, ["h", "g"], "sorted")
+    sums = ordered.groupBy("part").agg(F.sum("c"))
+    bases, before = [], 0
+    for part, c in sorted(map(tuple, sums.collect())):
+        bases.append((part, before))
+        before += c
+    so_far = Window.partitionBy("part").orderBy("h", "g").rowsBetween(Window.unboundedPreceding, -1)
     ranks, _ = cut(
-        dealt.withColumn("r", F.coalesce(F.sum("c").over(before), F.lit(0))).join(base, "part").select("h", "g", (F.col("r") + F.col("base")).alias("r")), "ranks"
+        ordered.withColumn("s", F.coalesce(F.sum("c").over(so_far), F.lit(0))).join(_told(lines.sparkSession, bases, "part int, base long"), "part").select("h", "g", (F.col("s") + F.col("base")).alias("r")), "ranks"
     )
     e = F.sum("n").over(Window.partitionBy(*_DOC).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return lines.join(ranks, ["h", "g"]).select(*_DOC, "i", e.alias("e"), F.col("n").alias("s"), "r")
-
-
-def _ahead(column: str, lines: int) -> Column:
-    """``column`` of the suffix that starts so many lines on, null if it isn't carried on."""
-    return F.first(column).over(Window.partitionBy(*_DOC).orderBy("i").rangeBetween(lines, lines))
-
-
-def windows(ranked: DataFrame, p: int, length: int) -> DataFrame:
-    """(a, w, i, l, x, y, words): windows of ``length`` lines (p to 2p) that may occur again; equal (x, y)
-    mean equal lines, as two windows of p lines that overlap, or meet, make them up."""
-    if length == p:
-        return ranked.select(*_DOC, "i", F.lit(p).alias("l"), F.col("r").alias("x"), F.lit(-1).cast("long").alias("y"), F.col("s").alias("words"), "e")
-    on = length - p
-    return (
-        ranked.select(*_DOC, "i", F.lit(length).alias("l"), F.col("r").alias("x"), _ahead("r", on).alias("y"), (_ahead("e", on) + _ahead("s", on) - F.col("e")).alias("words"), "e")
-        .where("y is not null")
+    return lines.join(ranks, ["h", "g"]).select(*_DOC, "i", e.alias("e"), "n", "r")
+
+
+def doubled(ranked: DataFrame, tied: DataFrame, p: int) -> tuple[DataFrame, bool]:
+    """From the ranks of all suffixes by their first p lines to those by 2p of the ``tied`` ones (a, w, i, r): with
+    whether they still are, and whether any is. A suffix is ranked by its own rank, then by that of the suffix p lines
+    on; where there is none, the suffix ends there, which equals nothing and goes first."""
+    spark = ranked.sparkSession
+    ahead = ranked.select(*_DOC, (F.col("i") - p).cast("int").alias("i"), F.col("r").alias("y"))
+    pairs = tied.select(*_DOC, "i", F.col("r").alias("x")).join(ahead, [*_DOC, "i"], "left")
+    order = ["x", F.col("y").asc_nulls_first(), *_DOC, "i"]
+    ordered, _ = in_order(pairs, order, "pairs")
+    w = Window.partitionBy("part").orderBy("at")
+    x, y = F.lag("x").over(w), F.lag("y").over(w)
+    marked, _ = cut(
+        ordered.withColumns({"head": F.lag("at").over(w).isNull(), "nx": ~F.col("x").eqNullSafe(x), "ny": ~(F.col("x").eqNullSafe(x) & F.coalesce(F.col("y") == y, F.lit(False)))}), "marked"
     )
+    # what a range goes on with from the one before: the group and subgroup of its first row, and whether they go on
+    ends = marked.groupBy("part").agg(
+        F.min_by(F.struct("x", "y"), "at").alias("first"), F.max_by(F.struct("x", "y"), "at").alias("last"), F.max(F.when(F.col("nx"), F.col("at"))).alias("x0"), F.max(F.when(F.col("ny"), F.col("at"))).alias("y0")
+    )
+    rows, carried, x0, y0, last = sorted(ends.collect(), key=lambda r: r.part), [], None, None, None
+    for k, r in enumerate(rows):
+        same_x = last is not None and r.first.x == last.x
+        same_y = same_x and r.first.y is not None and r.first.y == last.y
+        following = rows[k + 1].first if k + 1 < len(rows) else None
+        goes_on = following is not None and following.x == r.last.x and r.last.y is not None and following.y == r.last.y
+        carried.append((r.part, same_x, same_y, x0, y0, goes_on))
+        # the range's first row is marked as new, which it is only if nothing is carried into it
+        only_x, only_y = r.x0, r.y0
+        x0 = x0 if same_x and r.first.x == r.last.x else only_x
+        y0 = y0 if same_y and (r.first.x, r.first.y) == (r.last.x, r.last.y) else only_y
+        last = r.last
+    told = marked.join(_told(spark, carried, "part int, same_x boolean, same_y boolean, x0 long, y0 long, goes_on boolean"), "part")
+    told = told.withColumns({"nx": F.col("nx") & ~(F.col("head") & F.col("same_x")), "ny": F.col("ny") & ~(F.col("head") & F.col("same_y"))})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    gx = F.coalesce(F.max(F.when(F.col("nx"), F.col("at"))).over(upto), F.col("x0"))
+    gy = F.coalesce(F.max(F.when(F.col("ny"), F.col("at"))).over(upto), F.col("y0"))
+    after = F.coalesce(~F.lead("ny").over(w), F.col("goes_on"))
+    new, _ = cut(told.select(*_DOC, "i", (F.col("x") + gy - gx).alias("r"), (~F.col("ny") | after).alias("more")), "ranked")
+    return new, not new.where("more").isEmpty()
+
+
+def suffix_array(first: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """((a, w, i, r) of every suffix that begins with a repeated line, in the order of r and, for what ends alike, of
+    place; the levels: k-th (a, w, i, r), ranks by the first 2^k lines of those that share them with another).
+
+    Prefixes double until no two suffixes are alike, however long a run occurs again."""
+    ranked = first.select(*_DOC, "i", "r")
+    levels, p = [ranked], 1
+    while True:
+        new, more = doubled(ranked, levels[-1], p)
+        settled = ranked.join(new.select(*_DOC, "i"), [*_DOC, "i"], "left_anti") if p > 1 else None
+        now = new.select(*_DOC, "i", "r")
+        ranked, _ = cut(now if settled is None else settled.unionByName(now), "suffixes")
+        if not more:
+            return ranked, levels
+        levels.append(cut(new.where("more").select(*_DOC, "i", "r"), "level")[0])
+        p *= 2
 
 
-def doubled(ranked: DataFrame, p: int) -> DataFrame:
-    """From ranks by p lines to ranks by 2p lines, of the suffixes whose first 2p lines occur again."""
-    pairs, _ = cut(windows(ranked, p, 2 * p), "pairs")
-    groups = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    before = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
-    ranks, _ = cut(groups.select("x", "y", (F.col("x") + F.coalesce(F.sum("c").over(before), F.lit(0))).alias("r")), "ranks")
-    return pairs.join(ranks, ["x", "y"]).select(*_DOC, "i", "e", F.col("words").alias("s"), "r")
+def common_prefixes(first: DataFrame, ranked: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(a, w, i, part, at, lcp): the suffix array with the number of lines that each suffix shares with the one
+    before it in the array.
+
+    Where the lines before the two are the same, the number is one less than that of the suffix one line earlier;
+    only the others, at which a repeated run begins, are worked out, through the levels from the longest down."""
+    spark = first.sparkSession
+    before = first.select(*_DOC, (F.col("i") + 1).cast("int").alias("i"), F.col("r").alias("b"))
+    rows = ranked.join(first.select(*_DOC, "i", F.col("r").alias("r1")), [*_DOC, "i"]).join(before, [*_DOC, "i"], "left")
+    ordered, _ = in_order(rows, ["r", *_DOC, "i"], "array")
+    w = Window.partitionBy("part").orderBy("at")
+    own = F.struct(*_DOC, "i", "r1", "b")
+    array, _ = cut(ordered.withColumn("prev", F.lag(own).over(w)), "array")
+    lasts = sorted(array.groupBy("part").agg(F.max_by(own, "at").alias("x")).collect(), key=lambda r: r.part)
+    told = [(r.part, tuple(p.x) if p is not None else None) for r, p in zip(lasts, [None, *lasts])]
+    carry = _told(spark, told, "part int, carried struct<a:long,w:long,i:int,r1:long,b:long>")
+    pairs = array.join(carry, "part").withColumn("prev", F.coalesce("prev", "carried")).drop("carried")
+    meets = F.coalesce(F.col("prev.r1") == F.col("r1"), F.lit(False))
+    follows = F.coalesce(F.col("prev.b") == F.col("b"), F.lit(False))
+    pairs, _ = cut(pairs.select(*_DOC, "i", "part", "at", "prev", meets.alias("meets"), (meets & follows).alias("follows")), "neighbours")
+    open_ = pairs.where("meets and not follows").select(*_DOC, "i", F.col("prev.a").alias("a2"), F.col("prev.w").alias("w2"), F.col("prev.i").alias("i2"), F.lit(0).alias("lcp"))
+    for k in reversed(range(len(levels))):
+        mine = levels[k].select(F.col("a"), F.col("w"), F.col("i").alias("j"), F.col("r").alias("r_1"))
+        theirs = levels[k].select(F.col("a").alias("a2"), F.col("w").alias("w2"), F.col("i").alias("j2"), F.col("r").alias("r_2"))
+        met = open_.withColumns({"j": F.col("i") + F.col("lcp"), "j2": F.col("i2") + F.col("lcp")}).join(mine, [*_DOC, "j"], "left").join(theirs, ["a2", "w2", "j2"], "left")
+        open_, _ = cut(met.select(*_DOC, "i", "a2", "w2", "i2", (F.col("lcp") + F.when(F.col("r_1") == F.col("r_2"), 1 << k).otherwise(0)).alias("lcp")), "lcp")
+    known = pairs.join(open_.select(*_DOC, "i", F.col("lcp").alias("known")), [*_DOC, "i"], "left")
+    # in the order of the text: what follows a run's begin is one less at each line
+    begin = F.when(~F.col("meets"), F.col("i")).when(~F.col("follows"), F.col("known") + F.col("i"))
+    so_far = Window.partitionBy(*_DOC).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return cut(known.select(*_DOC, "i", "part", "at", F.when(~F.col("meets"), 0).otherwise(F.last(begin, True).over(so_far) - F.col("i")).alias("lcp")), "prefixes")[0]
 
 
 def later_copies(lines: DataFrame, least_lines: int = LINES, least_words: int = WORDS) -> DataFrame:
-    """(a, w, i, l): windows of l lines from line i that count and have an earlier occurrence."""
-    ranked, _ = cut(first_ranks(lines), "suffixes")
-    found, p = [], 1
-    while True:
-        for length in range(p, min(2 * p - 1, least_lines) + 1):
-            some = windows(ranked, p, length)
-            found.append((some if length == least_lines else some.where(F.col("words") >= least_words)).drop("words", "e"))
-        if 2 * p > least_lines:
-            break
-        ranked, _ = cut(doubled(ranked, p), "suffixes")
-        p *= 2
-    every = found[0]
-    for some in found[1:]:
-        every = every.unionByName(some)
-    every, _ = cut(every, "windows")
-    firsts, _ = cut(every.groupBy("l", "x", "y").agg(F.min(F.struct("a", "w", "i")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "firsts")
-    return every.join(firsts, ["l", "x", "y"]).where("f <> struct(a, w, i)").select(*_DOC, "i", "l")
+    """(a, w, i, l): runs of l lines from line i that count and have an earlier occurrence.
+
+    The suffixes between two places where fewer than l lines are shared are an interval of common prefixes; all
+    its members but the earliest are later copies. An interval counts if l is ``least_lines``, or its lines have
+    ``least_words`` words. Longer runs are made up by those that begin at each of their lines."""
+    spark = lines.sparkSession
+    first, _ = cut(first_ranks(lines), "repeated")
+    ranked, levels = suffix_array(first)
+    array = common_prefixes(first, ranked, levels)
+    depths = range(1, least_lines + 1)
+    doc = Window.partitionBy(*_DOC).orderBy("i")
+    words = [F.when(F.max("i").over(doc.rowsBetween(0, l - 1)) == F.col("i") + (l - 1), F.sum("n").over(doc.rowsBetween(0, l - 1))).alias(f"w{l}") for l in depths]  # noqa: E741
+    rows, _ = cut(array.join(first.select(*_DOC, "i", *words), [*_DOC, "i"]), "array")
+    breaks = [F.max(F.when(F.col("lcp") < l, F.col("at"))).alias(f"b{l}") for l in depths]  # noqa: E741
+    carried, last = [], [None] * len(depths)
+    for r in sorted(rows.groupBy("part").agg(*breaks).collect(), key=lambda r: r.part):  # a row for each range
+        carried.append((r.part, *last))
+        last = [r[f"b{l}"] if r[f"b{l}"] is not None else old for l, old in zip(depths, last)]  # noqa: E741
+    told = rows.join(_told(spark, carried, "part int, " + ", ".join(f"c{l} long" for l in depths)), "part")  # noqa: E741
+    upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    named = told.select(*_DOC, "i", *(f"w{l}" for l in depths), *(F.coalesce(F.max(F.when(F.col("lcp") < l, F.col("at"))).over(upto), F.col(f"c{l}")).alias(f"v{l}") for l in depths))  # noqa: E741
+    each = F.array(*(F.struct(F.lit(l).alias("l"), F.col(f"v{l}").alias("v"), F.col(f"w{l}").alias("words")) for l in depths))  # noqa: E741
+    counting = named.select(*_DOC, "i", F.explode(each).alias("x")).select(*_DOC, "i", "x.*").where((F.col("l") == least_lines) | (F.col("words") >= least_words)).where("words is not null")
+    counting, _ = cut(counting.drop("words"), "intervals")
+    earliest = counting.groupBy("l", "v").agg(F.min(F.struct(*_DOC, "i")).alias("f")).select("l", "f.*")
+    return counting.select(*_DOC, "i", "l").join(earliest, [*_DOC, "i", "l"], "left_anti")
 
 
 def deletions(lines: DataFrame, least_lines: int = LINES, least_words: int = WORDS) -> DataFrame:
