@@ -1,15 +1,18 @@
 """Merkle fixity audit of WARC replicas.
 
 Records are laid out in the order of their identifiers, which gives each an offset; a leaf is an ordered
-range of offsets, its digest that of its records' digests. Every level joins 16 nodes in one until a root
-remains. The catalogue, the reference copy's tree, says which range a record belongs to, so that a record
-of another length damages its own range only. Replicas are compared from the root down, and only what lies
-below a mismatching node is looked at again.
+range of offsets, its digest that of its records' digests and of where each stands in the range. Every level joins 16
+nodes in one until a root remains. The catalogue says with which identifier each range begins. A replica has a tree of
+its own: its records stand where its own index says, or in the order of its identifiers, are dealt to ranges by
+those beginnings, and are hashed by their places there, so that a record that is missing, longer or out of place
+changes its own range only. Trees are compared from their roots down; only what lies below a mismatching node is looked
+at again, and only records of mismatching ranges are compared.
 
 Defined results: a null payload is a record of its own kind, different from an empty one; null identifiers
-come first; rows of one identifier are told apart by their digests' order; a record that the replica lacks is
-``missing``; one that the catalogue lacks has no range and is ``extra``; empty copies have an empty tree and
-nothing to report; extra columns don't matter.
+come first; records of one identifier are told apart by their digests, and equal ones counted; a record that the replica
+lacks is ``damaged`` if it has another one of that identifier instead, else ``missing``; one that the catalogue lacks is
+``extra``; one that stands before or behind others than in the catalogue is ``moved``; empty copies have an empty tree
+and nothing to report; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,35 +28,65 @@ FANOUT = 16
 _HEADER = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(id, dup, digest, size) of each record: header and payload as they would stand in the file."""
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", offset_col: str | None = None) -> DataFrame:
+    """(id, digest, size, c, place) of the distinct records, c of each: header and payload as they would stand in the
+    file, and, where ``offset_col`` tells, the least offset at which one does."""
     body = F.col(f"`{body_col}`").cast("string")
     record = F.concat(
         F.lit(_HEADER), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")), F.lit("\r\nContent-Length: "),
         F.coalesce(F.octet_length(body).cast("string"), F.lit("-")), F.lit("\r\n\r\n"), F.coalesce(body, F.lit("")), F.lit("\r\n\r\n"),
     )
-    slim = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("size"))
-    again = Window.partitionBy("id").orderBy("digest")
-    return slim.withColumn("dup", F.row_number().over(again))
+    place = F.col(f"`{offset_col}`").cast("long") if offset_col else F.lit(None).cast("long")
+    slim = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("long").alias("size"), place.alias("place"))
+    return slim.groupBy("id", "digest", "size").agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("place"))
+
+
+def _dealt(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` in ranges of ``order``, with the number of their range as part, written once."""
+    rows, _ = cut(rows, name)  # dealing by range reads it twice
+    return cut(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()), name)[0]
+
+
+def _told(spark, rows: list[tuple], schema: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, schema))  # a row for each range
 
 
 def laid_out(found: DataFrame) -> DataFrame:
-    """``found`` with each record's offset in identifier order. Sizes are summed within sorted
+    """``found`` with the offset of each record's first copy, in identifier order. Sizes are summed within sorted
     partitions; only a total for each partition passes through the driver."""
-    spark = found.sparkSession
-    found, _ = cut(found, "digests")  # dealing by range reads it twice
-    ordered = found.repartitionByRange(partitions(spark), F.col("id").asc_nulls_first(), "dup")
-    dealt, _ = cut(ordered.withColumn("part", F.spark_partition_id()), "records")
-    totals = sorted(map(tuple, dealt.groupBy("part").agg(F.sum("size")).collect()))
+    order = [F.col("id").asc_nulls_first(), "digest"]
+    dealt = _dealt(found, order, "records")
     bases, at = [], 0
-    for part, size in totals:
+    for part, size in sorted(map(tuple, dealt.groupBy("part").agg(F.sum(F.col("size") * F.col("c"))).collect())):
         bases.append((part, at))
         at += size
-    base = F.broadcast(spark.createDataFrame(bases, "part int, base long"))  # a row for each partition
-    before = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "dup").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).join(base, "part").select(
-        "id", "dup", "digest", "size", (F.col("base") + F.col("offset")).alias("offset")
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("c")).over(before), F.lit(0)))
+    return sums.join(_told(found.sparkSession, bases, "part int, base long"), "part").select(*found.columns, (F.col("base") + F.col("before")).alias("offset"))
+
+
+def beginnings(ours: DataFrame) -> DataFrame:
+    """(id, digest, range) with which each range of the catalogue begins; an empty digest stands before all of its id."""
+    first = ours.groupBy("range").agg(F.min(F.struct("offset", "id", "digest")).alias("f")).select("range", "f.id", "f.digest", "f.offset")
+    ids = ours.groupBy("id").agg(F.min("offset").alias("least"))
+    own = first.join(ids.withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i")))
+    return own.select("id", F.when(F.col("offset") == F.col("least"), "").otherwise(F.col("digest")).alias("digest"), "range")
+
+
+def ranged(theirs: DataFrame, begin: DataFrame) -> DataFrame:
+    """The replica's records with the range to which their identifier belongs: that which began last before it."""
+    both = theirs.select("id", "digest", "size", "c", "place", F.lit(None).cast("long").alias("range")).unionByName(
+        begin.select("id", "digest", F.lit(None).cast("long").alias("size"), F.lit(0).cast("long").alias("c"), F.lit(None).cast("long").alias("place"), "range")
     )
+    order = [F.col("id").asc_nulls_first(), "digest", F.col("c") > 0]
+    dealt = _dealt(both, order, "ranged")
+    carried, last = [], None
+    for r in sorted(dealt.groupBy("part").agg(F.max("range").alias("top")).collect(), key=lambda r: r.part):
+        carried.append((r.part, last))
+        last = r.top if r.top is not None else last
+    so_far = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    told = dealt.withColumn("here", F.max("range").over(so_far)).join(_told(theirs.sparkSession, carried, "part int, carried long"), "part")
+    return told.where("c > 0").select("id", "digest", "size", "c", "place", F.coalesce("here", "carried", F.lit(0)).alias("range"))
 
 
 def _joined(order: Column, digest: Column) -> Column:
@@ -61,9 +94,12 @@ def _joined(order: Column, digest: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), digest.alias("d")))), lambda x: x.d), ""), 256)
 
 
-def leaves(found: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(node, digest) of the ranges of ``found`` (range, digest and an order of records)."""
-    return found.groupBy(F.col("range").alias("node")).agg(_joined(F.struct("offset", "id", "dup"), F.col("digest")).alias("digest"))
+def leaves(found: DataFrame) -> DataFrame:
+    """(node, digest) of the ranges of ``found`` (range, offset and records): what stands there, and where from the
+    range's first record on."""
+    start = found.groupBy("range").agg(F.min("offset").alias("start"))
+    what = F.concat_ws(":", (F.col("offset") - F.col("start")).cast("string"), "digest", F.col("c").cast("string"))
+    return found.join(start, "range").groupBy(F.col("range").alias("node")).agg(_joined(F.struct("offset", "id", "digest"), what).alias("digest"))
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
@@ -85,27 +121,39 @@ def mismatching(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
             a, b = (x.join(wanted.withColumnRenamed("node", "up"), below, "left_semi") for x in (a, b))
         both = a.select("node", F.col("digest").alias("x")).join(b.select("node", F.col("digest").alias("y")), "node", "full")
         wanted, _ = cut(both.where("not x <=> y").select("node"), "differing")
+        if wanted.isEmpty():
+            break  # nothing below can differ
     return wanted
 
 
 def audit(catalogue: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(records of the catalogue laid out with their ranges, findings).
 
-    Both take what ``records`` returns. A finding has id, dup, range, offset, size, digest and status
-    (``damaged``, ``missing`` or ``extra``).
+    Both take what ``records`` returns. A finding has id, digest, range, offset (where that copy has it), size, n (how
+    many equal records it is about) and status (``damaged``, ``missing``, ``moved`` or ``extra``).
     """
-    ours, _ = cut(laid_out(catalogue).withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long")), "catalogue")
-    placed = ours.select(F.col("id").alias("i"), F.col("dup").alias("d"), "range", "offset")
-    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("dup") == F.col("d"))
-    theirs, _ = cut(replica.join(placed, same, "left").select("id", "dup", "range", "offset", "size", "digest"), "replica")
-    bad = mismatching(tree(leaves(ours)), tree(leaves(theirs.where("range is not null"))))
-    x = ours.join(bad.withColumnRenamed("node", "range"), "range", "left_semi").select("id", "dup", "range", "offset", "size", "digest")
-    y = theirs.join(bad.withColumnRenamed("node", "range"), "range", "left_semi").unionByName(theirs.where("range is null"))
-    y = y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns))
-    both = x.join(y, F.col("id").eqNullSafe(F.col("y_id")) & (F.col("dup") == F.col("y_dup")), "full")
-    status = F.when(F.col("y_dup").isNull(), "missing").when(F.col("dup").isNull(), "extra").otherwise("damaged")
-    pick = lambda c: F.when(F.col("dup").isNull(), F.col(f"y_{c}")).otherwise(F.col(c)).alias(c)
-    found = both.where("not digest <=> y_digest").select(*map(pick, ("id", "dup", "range", "offset", "size", "digest")), status.alias("status"))
+    ours, _ = cut(laid_out(catalogue.drop("place")).withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long")), "catalogue")
+    placed = ranged(replica, beginnings(ours))
+    own, _ = cut(placed, "placed")
+    theirs, _ = cut(laid_out(own).select("id", "digest", "size", "c", "range", F.coalesce("place", "offset").alias("offset")), "replica")
+    bad = mismatching(tree(leaves(ours)), tree(leaves(theirs))).withColumnRenamed("node", "range")
+    x, _ = cut(ours.join(bad, "range", "left_semi").select("id", "digest", "size", "c", "range", "offset"), "x")
+    y, _ = cut(theirs.join(bad, "range", "left_semi").select("id", "digest", "size", "c", "range", "offset"), "y")
+    right = y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns))
+    met, _ = cut(x.join(right, F.col("id").eqNullSafe(F.col("y_id")) & (F.col("digest") == F.col("y_digest")), "full"), "met")
+    here, there = F.coalesce("c", F.lit(0)), F.coalesce("y_c", F.lit(0))
+    lost = met.where(here > there).select("id", "digest", "range", "offset", "size", (here - there).alias("n"))
+    new = met.where(there > here).select(F.coalesce("y_id", "id").alias("id"), F.coalesce("y_digest", "digest").alias("digest"), F.col("y_range").alias("range"), F.col("y_offset").alias("offset"), F.col("y_size").alias("size"), (there - here).alias("n"))
+    ids = lambda df, c: df.select(F.col("id").alias(c)).distinct()
+    there_too = ids(new, "i").withColumn("too", F.lit(True))
+    here_too = ids(lost, "i").withColumn("too", F.lit(True))
+    gone = lost.join(there_too, F.col("id").eqNullSafe(F.col("i")), "left").withColumn("status", F.when(F.col("too"), "damaged").otherwise("missing"))
+    extra = new.join(here_too, F.col("id").eqNullSafe(F.col("i")), "left").where("too is null").withColumn("status", F.lit("extra"))
+    kept = met.where(F.col("c").isNotNull() & F.col("y_c").isNotNull())
+    rank = lambda o: F.row_number().over(Window.partitionBy("range").orderBy(o, "id", "digest"))  # noqa: E731  within a range of bounded bytes
+    moved = kept.select("id", "digest", "range", "offset", "size", F.least("c", "y_c").alias("n"), rank("offset").alias("mine"), rank("y_offset").alias("its")).where("mine <> its").withColumn("status", F.lit("moved"))
+    names = ["id", "digest", "range", "offset", "size", "n", "status"]
+    found, _ = cut(gone.select(*names).unionByName(extra.select(*names)).unionByName(moved.select(*names)), "findings")
     return ours, found
 
 
@@ -120,10 +168,13 @@ def replica_of(pages: DataFrame) -> DataFrame:
 def query(pages: DataFrame) -> DataFrame:
     """Every record of the catalogue, where it stands, its digest and what the audit says of the replica."""
     ours, found = audit(records(pages), records(replica_of(pages)))
-    named = found.select(F.col("id").alias("i"), F.col("dup").alias("d"), "status")
-    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("dup") == F.col("d"))
-    return ours.join(named, same, "left").select(
-        F.col("id").alias("page_id"), F.col("offset").alias("record_offset"), "size", F.col("range").alias("leaf"), F.col("digest").alias("record_sha256"), F.coalesce("status", F.lit("intact")).alias("status")
+    named = found.where("status <> 'extra'").groupBy(F.col("id").alias("i"), F.col("digest").alias("d")).agg(F.min_by("status", F.col("status") == "moved").alias("status"), F.max(F.when(F.col("status") != "moved", F.col("n"))).alias("n"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))
+    each = ours.join(named, same, "left").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    hit = F.col("status").isNotNull() & (F.col("j") >= F.col("c") - F.coalesce("n", "c"))  # of equal records the last are those that are gone
+    offset = F.col("offset") + F.col("j") * F.col("size")
+    return each.select(
+        F.col("id").alias("page_id"), offset.alias("record_offset"), "size", F.floor(offset / RANGE_BYTES).cast("long").alias("leaf"), F.col("digest").alias("record_sha256"), F.when(hit, F.col("status")).otherwise("intact").alias("status")
     )
 
 
