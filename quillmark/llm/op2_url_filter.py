@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import ascii_lower, plain, rebatched, scratch
+from quillmark.llm.common import ascii_lower, lean, plain, rebatched, scratch
 
 #: The rules of the production list.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
@@ -180,7 +180,7 @@ def judged(pages: DataFrame, rules: dict[str, str] | None = None, url_col: str =
                 [*batch.columns, pa.array(found, pa.string()), pa.array(verdicts, pa.string())], names=[*batch.schema.names, "rule", "verdict"]
             )
 
-    return slim.mapInArrow(run, schema).toDF(*names, "host", "path", "rule", "verdict")
+    return slim.mapInArrow(lean(run), schema).toDF(*names, "host", "path", "rule", "verdict")
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, plain, rebatched, renamed
+from quillmark.llm.common import cut, lean, plain, rebatched, renamed
 from quillmark.llm.components import components
 
 RADIUS = 4
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column("id"), batch.column("th"), pa.array(fps, pa.int64())], names=["id", "th", "fp"]
             )
 
-    return slim.withColumn("th", F.xxhash64("text")).mapInArrow(hashed, "id long, th long, fp long")
+    return slim.withColumn("th", F.xxhash64("text")).mapInArrow(lean(hashed), "id long, th long, fp long")
 
 
 def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     found, _ = cut(
         entries.repartition("key")
         .sortWithinPartitions("key", "fp")
-        .mapInArrow(lambda b: _scan(b, radius, bucket), "a long, b long, dense boolean")
+        .mapInArrow(lean(lambda b: _scan(b, radius, bucket)), "a long, b long, dense boolean")
         .distinct(),
         "links",
     )

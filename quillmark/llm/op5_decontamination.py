@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import WORD_BYTES, cut, rebatched, sized_batches, word_list
+from quillmark.llm.common import WORD_BYTES, cut, lean, rebatched, sized_batches, word_list
 
 WINDOW = 13
 #: Share of a document's words that must be hit for it to count as contaminated: 1 in 20.
@@ -38,7 +38,7 @@ SHARE = 20
 BITS = 1 << 26
 PROBES = 4
 #: Bytes of text that are hashed at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Parts into which the rows of one key of a join are dealt.
 SALTS = 16
 
@@ -103,8 +103,8 @@ def window_table(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                 [batch.column("words"), batch.column("ids"), pa.array(np.diff(starts), pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["words", "ids", "n", "keys"]
             )
 
-    listed = slim.mapInArrow(cut_up, "words string, id string").groupBy("words").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    table, _ = cut(listed.mapInArrow(keyed, "words string, ids array<string>, n int, keys array<long>"), "windows")
+    listed = slim.mapInArrow(lean(cut_up), "words string, id string").groupBy("words").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    table, _ = cut(listed.mapInArrow(lean(keyed), "words string, ids array<string>, n int, keys array<long>"), "windows")
     classes, _ = cut(table.select("ids").distinct().withColumn("cls", F.monotonically_increasing_id()), "classes")
     return cut(table.join(classes, "ids").select("words", "n", "keys", "cls"), "classed")[0], classes
 
@@ -161,7 +161,7 @@ def shingle_counts(docs: DataFrame, wanted: DataFrame, lone: bool, text_col: str
 
     return (
         docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-        .mapInArrow(count, "k long, n long")
+        .mapInArrow(lean(count), "k long, n long")
         .groupBy("k")
         .agg(F.sum("n").alias("n"))
     )
@@ -204,7 +204,7 @@ def candidates(docs: DataFrame, prefix: DataFrame, lone: bool, text_col: str, wi
                 [*(batch.column(c) for c in others), pa.array(np.diff(starts), pa.int64()), pa.array(found, kind)], names=[*others, "n_words", "found"]
             )
 
-    return slim.mapInArrow(probe, slim.drop(text_col).withColumns({"n_words": F.lit(0).cast("long"), "found": F.lit(None).cast(CANDIDATES)}).schema)
+    return slim.mapInArrow(lean(probe), slim.drop(text_col).withColumns({"n_words": F.lit(0).cast("long"), "found": F.lit(None).cast(CANDIDATES)}).schema)
 
 
 def _salted(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how: str = "inner") -> DataFrame:

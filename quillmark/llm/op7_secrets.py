@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import plain, rebatched
+from quillmark.llm.common import lean, plain, rebatched
 
 # The patterns of the base kinds, with the least length of each.
 ASSIGN = re.compile(
@@ -155,7 +155,7 @@ def scan(docs: DataFrame, model: Markov, text_col: str = "text", keep: list[str]
                 out.append([{"kind": KINDS[k], "start": a, "stop": b, "base": k < 3} for a, k, b in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, arrow)], names=[*batch.schema.names[:-1], "found"])
 
-    return slim.mapInArrow(run, schema).toDF(*names, "found")
+    return slim.mapInArrow(lean(run), schema).toDF(*names, "found")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, plain, rebatched, renamed, word_list
+from quillmark.llm.common import cut, lean, plain, rebatched, renamed, word_list
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 4000
@@ -43,7 +43,7 @@ STEPS = 200
 BATCH = 32
 RATE = 0.08
 #: Words whose filter values a worker keeps at a time.
-WORDS = 150_000
+WORDS = 30_000
 #: Words of a text that are convolved at a time; pieces overlap, so their size doesn't show.
 PIECE = 1 << 15
 
@@ -305,7 +305,7 @@ def _scored(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFr
             scores = pa.array([scorer.score(t.as_py()) for t in batch.column(read)], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], names=[*keep, "score"])
 
-    return slim.mapInArrow(score, schema)
+    return slim.mapInArrow(lean(score), schema)
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:

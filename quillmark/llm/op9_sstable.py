@@ -42,16 +42,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import partitions, scratch, sized_batches
+from quillmark.llm.common import lean, partitions, scratch, sized_batches
 
 END_ID = 1
 BLOCK_BYTES = 1 << 16
 RESTART = 16
 MAGIC = b"QMSST001"
 #: Of about so many distinct parts of texts does a worker remember the ids; at most of twice as many.
-CACHE = 150_000
+CACHE = 20_000
 #: Bytes of text that are cut up at a time; a longer text is one batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of data blocks from which a task ends a shard and begins the next, which bounds index and filter.
 SHARD_BYTES = 256 << 20
 _FOOTER = struct.Struct("<QQQQQQI8s")
@@ -407,7 +407,7 @@ def write(
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "part", "path", "docs", "tokens"])
 
     found = []
-    for r in sorted(ordered.mapInArrow(shard, SHARDS).collect()):  # a row for each shard
+    for r in sorted(ordered.mapInArrow(lean(shard), SHARDS).collect()):  # a row for each shard
         name = f"{folder}/part-{r.shard:06d}-{r.part:04d}.sst"
         where.move(r.path, name)
         found.append(Row(shard=r.shard, part=r.part, path=name, docs=r.docs, tokens=r.tokens))
@@ -440,7 +440,7 @@ def read(spark: SparkSession, path: str, shards: list) -> DataFrame:
                     yield _packed(out)
 
     table = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
-    return table.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInArrow(lean(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
