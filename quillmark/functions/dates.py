@@ -51,7 +51,10 @@ def relative(c, as_of: Column) -> Column:
 
 
 def urgency_colour(days: Column) -> Column:
-    """RRGGBB from red (due) to green (90 days off), grey without a date."""
-    x = F.greatest(F.lit(0), F.least(F.lit(90), days)) / F.lit(90.0)
-    part = lambda v: F.lpad(F.hex(F.round(v).cast("int")), 2, "0")
-    return F.when(days.isNull(), "DDDDDD").otherwise(F.concat(part(255 - x * 155), part(100 + x * 155), F.lit("64")))
+    """RRGGBB by the days left: a blend of two colours over 90 days, one of its own once they are over, null without
+    a date."""
+    # Shares of red, green and blue when due and from 90 days on; the colour of expired dates.
+    due, later, expired = (0.80, 0.00, 0.00), (0.84, 0.96, 0.89), "AAAAAA"
+    x = F.least(F.lit(90), days) / F.lit(90.0)
+    part = lambda a, b: F.lpad(F.hex(F.floor((F.lit(a) * (1 - x) + F.lit(b) * x) * 255)), 2, "0")
+    return F.when(days < 0, expired).when(days.isNotNull(), F.concat(*(part(a, b) for a, b in zip(due, later))))

@@ -48,6 +48,31 @@ def norm_institute(c) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"^the ", ""), r" (inc|ltd|gmbh|llc)$", ""))
 
 
+def dedup_title(c) -> Column:
+    """A title as duplicates are compared by: spellings of "postdoc" made one, a leading kind of post dropped."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(F.lower(col(c))), r"\s+", " "), r"\bpost[\s-]?doc(toral)?\b", "postdoc")
+    return F.regexp_replace(t, r"^(?:postdoc|research)\s+(?:position|fellow|researcher|associate)\s*[-:–]?\s*", "")
+
+
+# Names of sites, not of places; long names and their short forms, in the order they are replaced.
+SITES = "academic positions; academicpositions; the university; inside higher ed; phdfinder; higher ed jobs; higheredjobs; academickeys; chronicle of higher education; nature careers; nature; the; times higher education; researchgate; scholarshipdb; linkedin; indeed; glassdoor".split("; ")
+SHORT_FORMS = [
+    ("university of california, ", "uc "), ("university of california ", "uc "), ("massachusetts institute of technology", "mit"), ("california institute of technology", "caltech"),
+    ("university of north carolina at chapel hill", "unc"), ("university of north carolina", "unc"), ("unc school of medicine", "unc"), ("komen graduate training program ut mdacc", "md anderson"),
+    ("md anderson cancer center", "md anderson"), ("washington university in st. louis", "washu"), ("georgia institute of technology", "georgia tech"),
+]
+
+
+def dedup_institute(c) -> Column:
+    """An institute's name as duplicates are compared by: no accents, short forms, no trailing units; empty for sites."""
+    t = fold_latin(F.lower(F.trim(col(c))))
+    for long, short in SHORT_FORMS:
+        t = F.replace(t, F.lit(long), F.lit(short))
+    t = F.regexp_replace(t, r"\s*[-–—,]\s*(?:research center|centre|center|faculty|of the [\w\s]+academy|stipendier|stipendiemodul).*$", "")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.when(t.isin(*SITES) | t.contains("stipendi"), "").otherwise(t)
+
+
 def clean_text(c, most: int = 32000) -> Column:
     """Tags, emphasis marks and rules out, blanks collapsed, cut to ``most`` characters."""
     t = F.regexp_replace(col(c), r"<[^>]*>", " ")
@@ -119,6 +144,13 @@ def url_query(c, name: str) -> Column:
     return F.regexp_extract(col(c), rf"[?&]{name}=([^&#]*)", 1)
 
 
+def unwrapped(c) -> Column:
+    """The url that a search page's redirect points at, or the url itself."""
+    u = col(c)
+    inner = F.regexp_extract(u, r"[?&](?:uddg|url|u|q)=(https?(?:%3A|:)[^&#]+)", 1)
+    return F.when(inner != "", F.try_url_decode(inner)).otherwise(u)
+
+
 def first_date(c) -> Column:
     """The earliest ISO date in the text, null if none."""
     found = F.filter(F.transform(F.regexp_extract_all(col(c), F.lit(r"(\d{4}-\d{2}-\d{2})")), lambda d: F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).cast("date")), lambda d: d.isNotNull())

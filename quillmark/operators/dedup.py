@@ -1,14 +1,19 @@
-"""Duplicate postings: MinHash bands for candidates, a decision for each, and fusion of groups."""
+"""Duplicate postings: blocks and MinHash bands for candidates, a decision for each, components, and fusion."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quillmark.functions import text as X
+from quillmark.operators.graph import components
+from quillmark.shared import cut
+
+# The modulus of the permutations, their number and the number of bands.
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS = 128, 16
+#: Permutations whose minima one aggregate takes.
+CHUNK = 32
 
 
 def shingle_hashes(c: Column, width: int = 3) -> Column:
@@ -21,10 +26,17 @@ def shingle_hashes(c: Column, width: int = 3) -> Column:
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, signature): the least value of every permutation (a * x + b) mod p, a and b from a rule.
 
-    Shingles are exploded and the minima taken by an aggregate, so that all of it is generated code."""
+    Shingles are exploded and the minima taken by aggregates of ``CHUNK`` permutations each, few enough columns for
+    generated code; a chunk's minima are partially taken before its shuffle."""
     x = df.select(key, F.explode(shingle_hashes(F.col(text))).alias("x")).select(key, (F.col("x") % PRIME).alias("x"))
-    least = [F.min((F.lit(k * 1_103_515_245 % PRIME + 1).cast("long") * F.col("x") + F.lit(k * 12_345_677 % PRIME).cast("long")) % PRIME).alias(f"m{k}") for k in range(1, PERMUTATIONS + 1)]
-    return x.groupBy(key).agg(*least).select(key, F.array(*(f"m{k}" for k in range(1, PERMUTATIONS + 1))).alias("signature"))
+    chunks = PERMUTATIONS // CHUNK
+    # the permutations of a chunk: k = chunk * CHUNK + 1 ... (chunk + 1) * CHUNK
+    each = x.withColumn("chunk", F.explode(F.array(*map(F.lit, range(chunks)))))
+    number = lambda i: (F.col("chunk") * CHUNK + (i + 1)).cast("long")
+    value = lambda i: ((number(i) * 1_103_515_245 % PRIME + 1) * F.col("x") + number(i) * 12_345_677 % PRIME) % PRIME
+    least = each.groupBy(key, "chunk").agg(*(F.min(value(i)).alias(f"m{i}") for i in range(CHUNK)))
+    parts = least.select(key, F.struct("chunk", F.array(*(f"m{i}" for i in range(CHUNK))).alias("m")).alias("part"))
+    return parts.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list("part")), lambda p: p.m)).alias("signature"))
 
 
 def bands(sig: Column) -> Column:
@@ -43,7 +55,8 @@ def representatives(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def candidate_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(a, b): representatives of distinct texts that share a band, a before b."""
+    """(a, b): representatives of distinct texts that share a band, a before b. All pairs of a band are made: this is
+    the report of candidates; ``deduplicated`` doesn't expand a group it has already joined."""
     found = banded(representatives(df, key, text), key, text)
     left, right = found.select("band", "digest", F.col(key).alias("a")), found.select("band", "digest", F.col(key).alias("b"))
     return left.join(right, ["band", "digest"]).where("a < b").select("a", "b").distinct()
@@ -53,36 +66,144 @@ def jaccard(x: Column, y: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-def fuse(df: DataFrame, group: str, key: str, longest: str, fill: list[str]) -> DataFrame:
-    """One row a group: that with the longest ``longest``, its empty ``fill`` columns filled from the rest
-    in key order, and ``merged``, the number of rows it stands for."""
-    best = F.max_by(F.struct(key, longest, *fill), F.struct(F.length(longest), -F.col(key))).alias("r")
-    firsts = [F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col(key))).alias(f"__{c}") for c in fill]
-    found = df.groupBy(group).agg(best, *firsts, F.count(F.lit(1)).alias("merged"))
-    chosen = [F.when(F.coalesce(F.col(f"r.{c}").cast("string"), F.lit("")) != "", F.col(f"r.{c}")).otherwise(F.col(f"__{c}")).alias(c) for c in fill]
-    return found.select(group, f"r.{key}", f"r.{longest}", *chosen, "merged")
-
-
-def decide(title_a: str, title_b: str, place_a: str, place_b: str, person_a: str, person_b: str, threshold: float = 0.85) -> bool:
-    """Whether two postings are one, from likenesses of their titles and places and from who leads.
+def fuse(df: DataFrame, group: str, key: str, longest: str, fill: list[str], also: list[str] | None = None) -> DataFrame:
+    """One row a group, as if its rows were merged one by one in the order of ``key``: the row with the longest
+    ``longest`` (the earliest of equals) wins, and its empty ``fill`` columns come from those merged before it, the
+    last winner first, and then from those after it. ``merged`` is the number of rows it stands for.
 
-    Two known leaders that differ settle it; the same leader lowers what titles and places have to show.
+    A row that was the longest so far when it came has won once; later winners go before earlier ones, and rows that
+    never won follow in their order. Only lengths pass through the window that finds the winners.
+    """
+    also = also or []
+    size = F.length(F.coalesce(F.col(longest), F.lit("")))
+    so_far = Window.partitionBy(group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    won = df.select(group, key, size.alias("size")).withColumn("top", F.max("size").over(so_far))
+    ranked = won.select(key, (F.col("top").isNull() | (F.col("size") > F.col("top"))).alias("__won"))
+    rows = df.join(ranked, key)
+    place = F.struct((~F.col("__won")).alias("lost"), F.when(F.col("__won"), -F.col(key)).otherwise(F.col(key)).alias("at"))
+    firsts = [F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", place)).alias(f"__{c}") for c in fill]
+    found = rows.groupBy(group).agg(F.min_by(F.struct(key, longest, *also), place).alias("r"), *firsts, F.count(F.lit(1)).alias("merged"))
+    return found.select(group, f"r.{key}", f"r.{longest}", *(f"r.{c}" for c in also), *(F.col(f"__{c}").alias(c) for c in fill), "merged")
+
+
+# The likenesses that decide whether two postings are one.
+FULL_NAME = 0.3  # of title or place, for the same leader by full name
+ONE_NAME = ((0.7, 0.0), (0.35, 0.3), (0.25, 0.5))  # (title, place), all of a pair exceeded, for a single shared name
+SAME_PLACE = {True: 0.6, False: 0.85}  # of the title at one place, by whether both leaders are known
+TITLE, PLACE, THRESHOLD = 0.6, 0.4, 0.85
+SAME_LEADER_THERE = 0.4  # of the title, for one leader at one place
+# What a fused posting takes over from its duplicates where it has nothing itself.
+FILL = ["pi_name", "deadline", "department", "field", "keywords", "requirements", "conditions", "country", "region", "scholar_url", "lab_url", "dept_url", "h_index", "citations"]
+
+
+def same_posting(title: Column, place: Column, a: dict[str, Column], b: dict[str, Column], threshold: float = THRESHOLD) -> Column:
+    """Whether two postings are one, from the likenesses of their titles and places and from who leads. ``a`` and ``b``
+    have url, institute and person, normalised; an empty string is unknown.
+
+    Two known leaders that differ settle it; the same leader lowers what title and place have to show.
+    """
+    known = (a["person"] != "") & (b["person"] != "")
+    leader = known & (a["person"] == b["person"])
+    placed = (a["institute"] != "") & (b["institute"] != "")
+    place = F.when(placed, place).otherwise(0.0)
+    words = F.filter(F.split(a["person"], r"\s+"), lambda w: w != "")
+    full = (F.size(words) >= 2) & F.forall(words, lambda w: F.length(w) > 1)
+    by_full = leader & full & ((title > FULL_NAME) | (place > FULL_NAME) | ~placed)
+    one = F.lit(False)
+    for t, p in ONE_NAME:
+        one = one | ((title > t) & (place > p if p else F.lit(True)))
+    there = placed & (a["institute"] == b["institute"]) & (title >= F.when(known, SAME_PLACE[True]).otherwise(SAME_PLACE[False]))
+    close = TITLE * title + PLACE * place >= threshold
+    same_url = (a["url"] != "") & (a["url"] == b["url"])
+    return same_url | (~(known & ~leader) & (by_full | (leader & ~full & one) | there | close))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Likeness of two texts by their common blocks; of an empty one 0."""
+    return F.when((a == "") | (b == ""), 0.0).otherwise(X.sequence_ratio(a, b))
+
+
+def edit_likeness(a: Column, b: Column) -> Column:
+    """Likeness by edit distance, all in the JVM; of an empty text 0."""
+    return F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)).cast("double"))
+
+
+def prepared(jobs: DataFrame, key: str) -> DataFrame:
+    """(key, url, title, institute, person, text) of postings with url, title, institute and pi_name, normalised."""
+    clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    title, place, person = X.dedup_title(clean("title")), X.dedup_institute(clean("institute")), F.lower(F.trim(clean("pi_name")))
+    return jobs.select(F.col(key).cast("long").alias("k"), clean("url").alias("url"), title.alias("title"), place.alias("institute"), person.alias("person")).withColumn(
+        "text", F.concat_ws(" ", "title", "institute", "person")
+    )
+
+
+def links(rows: DataFrame, likeness=ratio, threshold: float = THRESHOLD, centres: int = 1) -> DataFrame:
+    """(a, b): links that join the duplicates among prepared ``rows``. Candidates share a url, a leader, or a band of
+    the texts' signatures. Members of a block first meet its least row only; then those pairs are made that are
+    still in different groups, so a block of copies isn't expanded into all its pairs."""
+    # postings alike in all that is compared are decided upon once; each but the least is tied to it
+    what = ["title", "institute", "person"]
+    kinds, _ = cut(rows.groupBy(*what, "text").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n")), "kinds")
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in ("k", *what)))
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(side(kinds, "a"), "k_a").join(side(kinds, "b"), "k_b")
+        part = lambda s: {"url": F.lit(""), "institute": F.col(f"institute_{s}"), "person": F.col(f"person_{s}")}
+        title = likeness(F.col("title_a"), F.col("title_b"))
+        place = likeness(F.col("institute_a"), F.col("institute_b"))
+        told = met.withColumns({"tl": title, "pl": place})
+        a, b = part("a"), part("b")
+        # one leader at one place needs less of the title
+        there = (a["person"] != "") & (a["person"] == b["person"]) & (a["institute"] != "") & (a["institute"] == b["institute"]) & (F.col("tl") > SAME_LEADER_THERE)
+        return told.where(there | same_posting(F.col("tl"), F.col("pl"), a, b, threshold)).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+
+    alone = decided(kinds.where("n > 1").select(F.col("k").alias("k_a"), F.col("k").alias("k_b"))).select(F.col("a").alias("least"))
+    copies = rows.join(kinds.where("n > 1").select(*what, F.col("k").alias("least")), what).join(alone, "least").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b"))
+    urls = rows.where("url <> ''").groupBy("url").agg(F.min("k").alias("first"))
+    linked, _ = cut(copies.unionByName(rows.join(urls, "url").where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))), "links")
+    people = kinds.where("person <> ''").select(F.concat(F.lit("p"), "person").alias("block"), "k")
+    bands = banded(kinds.select("k", "text"), "k", "text").select(F.concat_ws("-", "band", "digest").alias("block"), "k")
+    blocks = people.unionByName(bands)
+    many = blocks.groupBy("block").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks, _ = cut(blocks.join(many, "block").select("block", "k", "least"), "blocks")
+    first = blocks.where("k <> least").select(F.col("least").alias("k_a"), F.col("k").alias("k_b")).distinct()
+    met, _ = cut(decided(first), "met")
+    roots, _ = cut(components(linked.unionByName(met)), "roots")
+    held = blocks.join(roots.withColumnRenamed("node", "k"), "k", "left").select("block", "k", F.coalesce("root", "k").alias("root"))
+    open_ = held.groupBy("block").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("block")
+    held, _ = cut(held.join(open_, "block"), "open")
+    x, y = (held.select("block", F.col("k").alias(f"k_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
+    rest = x.join(y, "block").where("k_a < k_b and root_a <> root_b").select("k_a", "k_b").distinct().join(first, ["k_a", "k_b"], "left_anti")
+    return linked.unionByName(met).unionByName(decided(rest))
+
+
+def grouped(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESHOLD) -> DataFrame:
+    """``jobs`` with ``grp``, the least key of each posting's duplicates."""
+    rows, _ = cut(prepared(jobs, key), "prepared")
+    roots = components(links(rows, likeness, threshold))
+    return jobs.join(roots.select(F.col("node").alias("__k"), "root"), F.col(key).cast("long") == F.col("__k"), "left").withColumn("grp", F.coalesce("root", F.col(key).cast("long"))).drop("__k", "root")
+
+
+def deduplicated(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESHOLD, fill: list[str] | None = None) -> DataFrame:
+    """One posting for each group of duplicates, fused in the order of ``key``, with ``merged`` and ``alt_urls``: the
+    (url, source) of the others that came from other sources, where a leader is known.
+
+    Groups are connected components: postings that only a third one ties together are one, in whatever order
+    they came.
     """
-    from difflib import SequenceMatcher
-
-    like = lambda x, y: SequenceMatcher(None, x, y).ratio()
-    if person_a and person_b and person_a != person_b:
-        return False
-    title, place = like(title_a, title_b), like(place_a, place_b) if place_a and place_b else 0.0
-    if person_a and person_a == person_b:
-        if len(person_a.split()) > 1:
-            return title > 0.3 or place > 0.3 or not (place_a and place_b)
-        return title > 0.7 or (title > 0.35 and place > 0.3) or (place > 0.5 and title > 0.25)
-    if place_a and place_a == place_b and title >= 0.85:
-        return True
-    return 0.6 * title + 0.4 * place >= threshold
-
-
-@F.pandas_udf(T.BooleanType())
-def is_duplicate(ta: pd.Series, tb: pd.Series, ia: pd.Series, ib: pd.Series, pa: pd.Series, pb: pd.Series) -> pd.Series:
-    return pd.Series([decide(*(x or "" for x in row)) for row in zip(ta, tb, ia, ib, pa, pb)])
+    held, _ = cut(grouped(jobs, key, likeness, threshold), "grouped")
+    fill = [c for c in (FILL if fill is None else fill) if c in jobs.columns]
+    also = [c for c in jobs.columns if c not in (key, "description", *fill)]
+    best = fuse(held, "grp", key, "description", fill, also)
+    size = F.length(F.coalesce("description", F.lit("")))
+    slim = held.select("grp", F.col(key).alias("at"), "url", "source", (F.coalesce("pi_name", F.lit("")) != "").alias("led"), size.alias("size"))
+    so_far = Window.partitionBy("grp").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    marked = slim.withColumn("top", F.max("size").over(so_far)).withColumn("won", F.col("top").isNull() | (F.col("size") > F.col("top")))
+    last = marked.where("won").groupBy("grp").agg(F.max("at").alias("best_at"), F.max_by("source", "at").alias("best_source"))
+    told = marked.join(last, "grp")
+    before = told.where("at < best_at").groupBy("grp", "best_source").agg(F.max_by(F.struct("url", "source"), F.when(F.col("won"), F.col("at"))).alias("x"), F.max(F.col("at")).alias("at"), F.max("led").alias("led"))
+    prior = before.select("grp", F.struct(F.lit(-1).cast("long").alias("at"), "x.url", "x.source").alias("alt"), (F.col("led") & ~F.col("x.source").eqNullSafe(F.col("best_source"))).alias("ok"))
+    after = told.where("at > best_at").select("grp", F.struct(F.col("at").cast("long").alias("at"), "url", "source").alias("alt"), (F.col("led") & ~F.col("source").eqNullSafe(F.col("best_source"))).alias("ok"))
+    alts = prior.unionByName(after).where(F.col("ok") & (F.coalesce("alt.url", F.lit("")) != "")).groupBy("grp").agg(F.sort_array(F.collect_list("alt")).alias("alts"))
+    listed = F.coalesce(F.transform("alts", lambda a: F.struct(a.url.alias("url"), a.source.alias("source"))), F.array().cast("array<struct<url:string,source:string>>"))
+    return best.join(alts, "grp", "left").withColumn("alt_urls", listed).drop("alts").select(*jobs.columns, "grp", "merged", "alt_urls")

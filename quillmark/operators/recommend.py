@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Share of each part in the composite.
+from quillmark.shared import cut
+
+# The share of each part in the composite.
 WEIGHTS = {"similarity": 0.30, "connection": 0.25, "citation": 0.15, "tier": 0.10, "h_index": 0.20}
-#: Seed vectors that are broadcast at most.
-MOST_SEEDS = 10_000
+#: Seed vectors of one block, which is broadcast; more seeds take more blocks.
+SEED_BLOCK = 2_000
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -21,12 +25,47 @@ def cosine(x: Column, y: Column) -> Column:
 
 
 def nearest_seed(rows: DataFrame, seeds: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, best): the greatest cosine of each row with any seed; the seeds' number is checked."""
-    if seeds.limit(MOST_SEEDS + 1).count() > MOST_SEEDS:
-        raise ValueError(f"more than {MOST_SEEDS} seeds; search them with an index")
-    held = F.broadcast(seeds.select(F.col(vector).alias("__seed")).groupBy().agg(F.collect_list("__seed").alias("__seeds")))
-    best = F.array_max(F.transform("__seeds", lambda s: cosine(F.col(vector), s)))
-    return rows.join(held, F.lit(True)).select(key, best.alias("best"))
+    """(key, best): the greatest cosine of each row with any seed, 0 without seeds.
+
+    Seeds are compared in blocks of ``SEED_BLOCK``, with a running maximum; a block is a matrix in the workers, and the
+    cosines of a batch of rows are one product. Vectors of other lengths are padded with zeros."""
+    spark = rows.sparkSession
+    numbered, _ = cut(seeds.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").distinct(), "seeds")
+    n = numbered.count()
+    out = rows.select(key, F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast("double").alias("best"))
+    schema, blocks = out.schema, max(1, -(-n // SEED_BLOCK))
+    for k in range(blocks):
+        some = [r.v for r in numbered.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == k).collect()]
+        if some:
+            out = out.mapInArrow(_best_of(spark.sparkContext.broadcast(_unit(some))), schema)
+    return out.select(key, F.coalesce("best", F.lit(0.0)).alias("best"))
+
+
+def _unit(vectors: list) -> np.ndarray:
+    """The vectors as rows of one length each, padded with zeros; zero vectors stay."""
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        if v is not None:
+            out[k, : len(v)] = [0.0 if x is None else x for x in v]
+    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(size == 0, 1, size)
+
+
+def _best_of(held):
+    def run(batches):
+        seeds = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows = _unit(part.column("v").to_pylist())
+                width = max(rows.shape[1], seeds.shape[1])
+                pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
+                best = (pad(rows) @ pad(seeds).T).max(axis=1)
+                before = np.array([-2.0 if x is None else x for x in part.column("best").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.maximum(best, before))], names=part.schema.names)
+
+    return run
 
 
 def recency(age_years: Column) -> Column:

@@ -53,6 +53,33 @@ def deleted(earlier: DataFrame, later: DataFrame, known: DataFrame, key: str) ->
     return earlier.select(key).join(known.select(key), key, "left_semi").join(later.select(key), key, "left_anti").distinct()
 
 
+def run_log(results: DataFrame, source: str, started: str, error: str) -> DataFrame:
+    """One line a source: how many records it gave, how many failed, when it began and ended, and its status: ``ok``,
+    ``partial`` or ``failed``."""
+    bad = F.count_if(F.coalesce(F.col(error).cast("string"), F.lit("")) != "")
+    status = F.when(F.col("errors") == 0, "ok").when(F.col("found") > 0, "partial").otherwise("failed")
+    return results.groupBy(source).agg((F.count(F.lit(1)) - bad).alias("found"), bad.alias("errors"), F.min(started).alias("began"), F.max(started).alias("ended")).withColumn("status", status)
+
+
+def dismissed(store: DataFrame, tombstones: DataFrame, key: str, status: str = "status") -> DataFrame:
+    """``store`` with the status of all that has been dismissed set to that."""
+    marked = tombstones.select(key, F.lit(True).alias("__gone")).distinct()
+    return store.join(marked, key, "left").withColumn(status, F.when(F.col("__gone"), "dismissed").otherwise(F.col(status))).drop("__gone")
+
+
+def exported(store: DataFrame, keys: DataFrame, key: str, status: str = "status") -> DataFrame:
+    """``store`` with what has been exported marked, but for what was dismissed meanwhile."""
+    marked = keys.select(key, F.lit(True).alias("__out")).distinct()
+    return store.join(marked, key, "left").withColumn(status, F.when(F.col("__out") & (F.col(status) != "dismissed"), "exported").otherwise(F.col(status))).drop("__out")
+
+
+def upsert_edges(store: DataFrame, new: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Undirected edges (a, b, shared, recent) after ``new`` came in either orientation: the greater share, the latest
+    year, one row for each pair."""
+    both = store.unionByName(new).withColumns({a: F.least(a, b), b: F.greatest(a, b)})
+    return both.groupBy(a, b).agg(F.max("shared").alias("shared"), F.max("recent").alias("recent"))
+
+
 def merge_edges(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     """Undirected edges in one orientation: greatest weight and how often each came."""
     return edges.groupBy(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).agg(F.max(weight).alias(weight), F.count(F.lit(1)).alias("times"))

@@ -230,12 +230,12 @@ def c10(spark, d):
 
 @query(
     "c11_max_cosine_seed",
-    """WITH s AS (SELECT embedding AS sv FROM embeddings WHERE label = 0 AND vec_id < 100)
+    """WITH s AS (SELECT embedding AS sv FROM embeddings WHERE label = 0)
 SELECT vec_id, round(max(list_cosine_similarity(embedding::DOUBLE[], sv::DOUBLE[])), 6) AS best FROM embeddings, s GROUP BY vec_id""",
 )
 def c11(spark, d):
     e = table(spark, d, "embeddings")
-    found = recommend.nearest_seed(e, e.where("label = 0 and vec_id < 100"), "vec_id", "embedding")
+    found = recommend.nearest_seed(e, e.where("label = 0"), "vec_id", "embedding")
     return found.select("vec_id", F.round("best", 6).alias("best"))
 
 
@@ -244,13 +244,13 @@ def c12(spark, d):
     return store.merge_edges(table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity"), "l_partkey", "l_suppkey", "l_quantity")
 
 
-_SUPPLY = "(SELECT DISTINCT o_custkey, l_suppkey + 10000000 AS supp FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)"
+_SUPPLY = "(SELECT DISTINCT o_custkey, l_suppkey + 10000000 AS supp FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 @query(
     "c13_bfs_two_hop",
     f"""WITH RECURSIVE one AS {_SUPPLY}, e(src, dst) AS (SELECT o_custkey, supp FROM one UNION SELECT supp, o_custkey FROM one),
- walk(node, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, hop + 1 FROM walk JOIN e ON src = node WHERE hop < 2)
+ walk(node, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT DISTINCT dst, hop + 1 FROM walk JOIN e ON src = node WHERE hop < 2)
 SELECT node, min(hop) AS hop FROM walk GROUP BY node""",
 )
 def c13(spark, d):
@@ -260,7 +260,7 @@ def c13(spark, d):
 
 def _supply(spark, d):
     li, o = _t(spark, d, "lineitem", "orders")
-    one = li.where("l_linenumber = 1").join(o, li.l_orderkey == o.o_orderkey)
+    one = li.join(o, li.l_orderkey == o.o_orderkey)
     return one.select("o_custkey", (F.col("l_suppkey") + 10_000_000).alias("supp")).distinct()
 
 
@@ -389,8 +389,8 @@ def d15(spark, d):
 )
 def e01(spark, d):
     prio = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(9)
-    w = Window.partitionBy("o_orderstatus").orderBy(prio, F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("rank"))
+    slim = table(spark, d, "orders").select("o_orderstatus", prio.alias("prio"), "o_totalprice", "o_orderkey")
+    return ranking.ranked(slim, ["o_orderstatus"], ["prio", F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "rank")
 
 
 @query("e02_partition_topn", "SELECT r_name, o_orderkey, rank FROM (SELECT r_name, o_orderkey, row_number() OVER (PARTITION BY r_name ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) WHERE rank <= 10")
@@ -414,8 +414,10 @@ def e03(spark, d):
 
 @query("e04_bounded_flag", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY (text IS NOT NULL AND text <> ''), length(text), doc_id) <= 5 AS enrich FROM documents")
 def e04(spark, d):
-    w = Window.partitionBy("source").orderBy(F.coalesce(F.col("text"), F.lit("")) != "", F.length("text"), "doc_id")
-    return table(spark, d, "documents").select("doc_id", (F.row_number().over(w) <= 5).alias("enrich"))
+    size = F.length("text")
+    docs = table(spark, d, "documents").select("doc_id", "source", (F.coalesce(size, F.lit(0)) > 0).alias("has"), size.alias("size"))
+    first = ranking.top_n(docs, ["source"], ["has", "size", "doc_id"], 5).select("doc_id", F.lit(True).alias("enrich"))
+    return docs.join(first, "doc_id", "left").select("doc_id", F.coalesce("enrich", F.lit(False)).alias("enrich"))
 
 
 @query(

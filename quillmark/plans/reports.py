@@ -64,9 +64,10 @@ def l03(spark, d):
     return report.increment(jobs.where("o_orderkey % 2 = 0"), new, jobs.where("o_orderkey % 7 = 0")).select("url", "score")
 
 
-@query("l04_urgency_colour", "SELECT o_orderkey, CASE WHEN x IS NULL THEN 'DDDDDD' ELSE printf('%02X', round(255 - least(90, greatest(0, x)) / 90.0::DOUBLE * 155)::INT) || printf('%02X', round(100 + least(90, greatest(0, x)) / 90.0::DOUBLE * 155)::INT) || '64' END AS colour FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN date_diff('day', DATE '1999-01-01', o_orderdate::DATE) END AS x FROM orders)")
+@query("l04_urgency_colour", """SELECT o_orderkey, CASE WHEN d < 0 THEN 'AAAAAA' WHEN d IS NOT NULL THEN printf('%02X', floor((0.80::DOUBLE * (1 - x) + 0.84::DOUBLE * x) * 255)::INT) || printf('%02X', floor((0.0::DOUBLE * (1 - x) + 0.96::DOUBLE * x) * 255)::INT)
+ || printf('%02X', floor((0.0::DOUBLE * (1 - x) + 0.89::DOUBLE * x) * 255)::INT) END AS colour FROM (SELECT *, least(90, d) / 90.0::DOUBLE AS x FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN date_diff('day', DATE '1999-01-01', o_orderdate::DATE) % 120 END AS d FROM orders))""")
 def l04(spark, d):
-    days = F.when(F.col("o_orderkey") % 4 != 0, F.datediff("o_orderdate", _as_of()))
+    days = F.when(F.col("o_orderkey") % 4 != 0, F.datediff("o_orderdate", _as_of()) % 120)
     return table(spark, d, "orders").select("o_orderkey", dates.urgency_colour(days).alias("colour"))
 
 

@@ -17,14 +17,18 @@ VOCABULARY = ["the", "and", "tion", "der", "que", "ment", "ung", "license", "pas
 FIELDS = [("german", r"(^|[^a-z])(der|und)([^a-z]|$)"), ("french", r"(^|[^a-z])(le|les|que)([^a-z]|$)"), ("spanish", r"ción"), ("english", r"(^|[^a-z])the([^a-z]|$)")]
 
 
-@query("g01_norm_title", "SELECT p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS title FROM part")
+@query("g01_norm_title", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN 'postdoc: ' || p_name WHEN 3 THEN 'senior postdoc ' || p_name WHEN 4 THEN p_name WHEN 5 THEN 'lead ' || p_name END AS title FROM part")
 def g01(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.norm_title("p_name").alias("title"))
+    k = F.col("p_partkey") % 6
+    lead = F.when(k == 0, "").when(k == 1, "  Post-Doctoral   Fellow in ").when(k == 2, "POSTDOC: ").when(k == 3, "Senior\tpost doctorate ").when(k == 4, "Research Associate for ").otherwise("Lead  ")
+    return table(spark, d, "part").select("p_partkey", X.norm_title(F.concat(lead, F.initcap("p_name"))).alias("title"))
 
 
-@query("g02_norm_inst", "SELECT s_suppkey, trim(regexp_replace(lower(regexp_replace(s_name, '[,.]', ' ', 'g')), '\\s+', ' ', 'g')) AS name FROM supplier")
+@query("g02_norm_inst", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'universite de geneve ' || lower(s_name) WHEN 1 THEN 'acme ' || lower(s_name) WHEN 2 THEN lower(s_name) || ' zurich' WHEN 3 THEN lower(s_name) ELSE lower(s_name) || ' theory' END AS name FROM supplier")
 def g02(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", X.norm_institute("s_name").alias("name"))
+    k, n = F.col("s_suppkey") % 5, F.col("s_name")
+    name = F.when(k == 0, F.concat(F.lit("The Université  de Genève, "), n)).when(k == 1, F.concat(F.lit("ACME "), n, F.lit(", Inc."))).when(k == 2, F.concat(n, F.lit(" Zürich GmbH"))).when(k == 3, F.concat(F.lit("the "), n)).otherwise(F.concat(n, F.lit(" Theory")))
+    return table(spark, d, "supplier").select("s_suppkey", X.norm_institute(name).alias("name"))
 
 
 @query(
@@ -47,10 +51,12 @@ def g05(spark, d):
 
 @query(
     "g06_snippets",
-    """SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?][ \\t\\n\\x0B\\f\\r]+|\\n'), lambda s: length(trim(s)) > 20 AND (contains(lower(s), 'password') OR contains(lower(s), 'license'))))::INT AS n FROM documents""",
+    """SELECT doc_id, len(s)::INT AS n, sha256(array_to_string(list_transform(s, lambda x: substr(trim(x), 1, 500)), '|')) AS shown
+ FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[.!?][ \\t\\n\\x0B\\f\\r]+|\\n'), lambda s: length(trim(s)) > 20 AND (contains(lower(s), 'password') OR contains(lower(s), 'license'))) AS s FROM documents)""",
 )
 def g06(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(X.snippets("text", ["password", "license"])).alias("n"))
+    found = X.snippets("text", ["password", "license"])
+    return table(spark, d, "documents").select("doc_id", F.size(found).alias("n"), F.sha2(F.array_join(found, "|"), 256).alias("shown"))
 
 
 @query("g07_strip_html")
@@ -58,9 +64,10 @@ def g07(spark, d):
     return table(spark, d, "pages").select("page_id", X.strip_html("html").alias("text"))
 
 
-@query("g08_url_parse_unwrap", "SELECT page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) AS utm FROM pages")
+@query("g08_url_parse_unwrap", "SELECT page_id, url AS target, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) AS utm FROM pages")
 def g08(spark, d):
-    return table(spark, d, "pages").select("page_id", X.url_host("url").alias("host"), X.url_query("url", "page").alias("page"), X.url_query("url", "utm_source").alias("utm"))
+    wrapped = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://search.example/l/?kh=1&uddg="), F.url_encode("url"), F.lit("&rut=1"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", X.unwrapped(wrapped).alias("target"), X.url_host("url").alias("host"), X.url_query("url", "page").alias("page"), X.url_query("url", "utm_source").alias("utm"))
 
 
 @query("g09_keywords_list", "SELECT doc_id, array_to_string(list_filter(['the', 'and', 'tion', 'der', 'que', 'ment', 'ung', 'license', 'password'], lambda w: contains(lower(text), w)), ', ') AS keywords FROM documents")
@@ -174,11 +181,75 @@ def h04(spark, d):
     return pairs.select("a", "b", F.round(same, 6).alias("likeness")).where("likeness >= 0.5")
 
 
+#: Postings made of parts: each four have one origin, whose title, place and leader they give in several spellings.
+_POSTINGS = """
+WITH RECURSIVE p AS (SELECT a.p_partkey AS k, a.p_partkey % 4 AS v, md5('l' || b.p_partkey) AS m, b.p_name || ' ' || lower(b.p_type) || ' ' || substr(md5(b.p_partkey::VARCHAR), 1, 8) AS x, b.p_brand
+  FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 4),
+jobs AS (SELECT k, 'http://jobs/' || CASE WHEN k % 40 = 7 THEN 'shared' || k // 400 ELSE k::VARCHAR END AS url, CASE v WHEN 1 THEN 'Post-Doc position: ' ELSE 'Postdoctoral  fellow ' END || x AS title,
+  CASE v WHEN 2 THEN '' ELSE 'Institute ' || substr(md5(p_brand), 1, 12) END AS institute, CASE v WHEN 0 THEN 'Ada ' || substr(m, 1, 6) WHEN 2 THEN 'ADA ' || upper(substr(m, 1, 6)) WHEN 3 THEN 'Bob ' || substr(m, 1, 6) END AS pi_name,
+  repeat('d', (k * 7 % 13)::INT) AS description, CASE WHEN k % 3 = 0 THEN 'f' || k END AS field, CASE WHEN k % 5 = 0 THEN '' ELSE 'c' || k END AS country, 's' || k % 2 AS source FROM p),
+n AS (SELECT k, url, title, institute, person, title || ' ' || institute || ' ' || person AS t FROM (SELECT k, url, regexp_replace(regexp_replace(regexp_replace(lower(title), '\\s+', ' ', 'g'), '\\bpost[\\s-]?doc(toral)?\\b', 'postdoc', 'g'), '^(?:postdoc|research)\\s+(?:position|fellow|researcher|associate)\\s*[-:–]?\\s*', '') AS title,
+  lower(institute) AS institute, lower(coalesce(pi_name, '')) AS person FROM jobs)),
+s AS (SELECT DISTINCT k, ('0x' || substr(md5(substr(t, i::INT, 3)), 1, 8))::BIGINT % 2147483647 AS x FROM (SELECT k, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM n)),
+mh AS (SELECT k, q, min(((q * 1103515245 % 2147483647 + 1) * x + (q * 12345677 % 2147483647)) % 2147483647) AS v FROM s, (SELECT unnest(range(1, 129))::BIGINT AS q) GROUP BY 1, 2),
+b AS (SELECT k, ((q - 1) // 8)::INT AS band, md5(string_agg(v::VARCHAR, ',' ORDER BY q)) AS digest FROM mh GROUP BY 1, 2),
+c AS (SELECT x.k AS a, y.k AS b FROM b x JOIN b y ON x.band = y.band AND x.digest = y.digest AND x.k < y.k UNION SELECT x.k, y.k FROM n x JOIN n y ON x.person = y.person AND x.person <> '' AND x.k < y.k UNION SELECT x.k, y.k FROM n x JOIN n y ON x.url = y.url AND x.k < y.k),
+lk AS (SELECT a, b, x.url = y.url AS same_url, x.person AS px, y.person AS py, x.institute AS ix, y.institute AS iy, 1 - levenshtein(x.title, y.title) / greatest(length(x.title), length(y.title))::DOUBLE AS t,
+  CASE WHEN x.institute = '' OR y.institute = '' THEN 0.0::DOUBLE ELSE 1 - levenshtein(x.institute, y.institute) / greatest(length(x.institute), length(y.institute))::DOUBLE END AS p FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b),
+e AS (SELECT a, b FROM lk WHERE same_url OR (NOT (px <> '' AND py <> '' AND px <> py) AND ((px = py AND px <> '' AND (t > 0.3 OR p > 0.3 OR ix = '' OR iy = '')) OR (ix = iy AND ix <> '' AND t >= CASE WHEN px <> '' AND py <> '' THEN 0.6 ELSE 0.85 END) OR 0.6 * t + 0.4 * p >= 0.85))),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(k, r) AS (SELECT k, k FROM n UNION SELECT b, r FROM walk JOIN u ON a = k), g AS (SELECT k, min(r) AS grp FROM walk GROUP BY k)
+"""
+
+
+def _postings(spark, d):
+    part = table(spark, d, "part")
+    one = part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
+    k, v = F.col("k"), F.col("k") % 4
+    p = part.select(F.col("p_partkey").alias("k")).join(one, F.col("p_partkey") == F.col("k") - F.col("k") % 4)
+    hashed = lambda c, n: F.substring(F.md5(c.cast("string")), 1, n)
+    m = hashed(F.concat(F.lit("l"), F.col("p_partkey")), 6)
+    x = F.concat_ws(" ", "name", F.lower("type"), hashed(F.col("p_partkey"), 8))
+    return p.select(
+        "k",
+        F.concat(F.lit("http://jobs/"), F.when(k % 40 == 7, F.concat(F.lit("shared"), F.floor(k / 400))).otherwise(k.cast("string"))).alias("url"),
+        F.concat(F.when(v == 1, "Post-Doc position: ").otherwise("Postdoctoral  fellow "), x).alias("title"),
+        F.when(v == 2, "").otherwise(F.concat(F.lit("Institute "), hashed(F.col("brand"), 12))).alias("institute"),
+        F.when(v == 0, F.concat(F.lit("Ada "), m)).when(v == 2, F.concat(F.lit("ADA "), F.upper(m))).when(v == 3, F.concat(F.lit("Bob "), m)).alias("pi_name"),
+        F.repeat(F.lit("d"), (k * 7 % 13).cast("int")).alias("description"),
+        F.when(k % 3 == 0, F.concat(F.lit("f"), k)).alias("field"),
+        F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("c"), k)).alias("country"),
+        F.concat(F.lit("s"), k % 2).alias("source"),
+    )
+
+
+@query("h04_dedup_components", _POSTINGS + "SELECT k, grp FROM g")
+def h04_components(spark, d):
+    return dedup.grouped(_postings(spark, d), "k", dedup.edit_likeness).select("k", "grp")
+
+
+_FUSED = """, r AS (SELECT *, length(description) > coalesce(max(length(description)) OVER (PARTITION BY grp ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS won FROM jobs JOIN g USING (k)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY NOT won, CASE WHEN won THEN -k ELSE k END) AS place FROM r)
+SELECT grp, max(k) FILTER (WHERE place = 1) AS k, max(title) FILTER (WHERE place = 1) AS title, coalesce(arg_min(pi_name, place) FILTER (WHERE pi_name <> ''), '-') AS pi_name,
+ coalesce(arg_min(field, place) FILTER (WHERE field <> ''), '-') AS field, coalesce(arg_min(country, place) FILTER (WHERE country <> ''), '-') AS country, count(*) AS merged FROM o GROUP BY grp"""
+
+
+@query("h05_dedup_fused", _POSTINGS + _FUSED)
+def h05(spark, d):
+    best = dedup.deduplicated(_postings(spark, d), "k", dedup.edit_likeness)
+    dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return best.select("grp", "k", "title", dash("pi_name"), dash("field"), dash("country"), "merged")
+
+
+@query("h06_dedup_sequence_ratio")
+def h06(spark, d):
+    return dedup.deduplicated(_postings(spark, d), "k").withColumn("alt_urls", F.to_json("alt_urls"))
+
+
 @query(
-    "h05_dedup_fused",
+    "d14_fuse_longest",
     """SELECT c_mktsegment || c_nationkey AS grp, arg_max(c_custkey, (length(c_name), -c_custkey)) AS c_custkey, arg_max(c_name, (length(c_name), -c_custkey)) AS c_name, count(*) AS merged FROM customer GROUP BY 1""",
 )
-def h05(spark, d):
+def d14(spark, d):
     c = table(spark, d, "customer").withColumn("grp", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")))
     return dedup.fuse(c, "grp", "c_custkey", "c_name", []).select("grp", "c_custkey", "c_name", "merged")
 
@@ -195,17 +266,20 @@ def i01(spark, d):
 
 @query(
     "i02_recommend",
-    """WITH e AS (SELECT l_suppkey AS node, count(DISTINCT o_custkey) AS nbr, count(*) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), m AS (SELECT max(nbr) AS top FROM e)
-SELECT node, round_even(0.30 * 0 + 0.25 * (1 - 1 / (1 + nbr * 0.5::DOUBLE + total * 0.1::DOUBLE)) + 0.15 * (1 - 1 / (1 + total * 0.3::DOUBLE)) + 0.10 * (CASE s_nationkey % 5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.75 WHEN 3 THEN 0.5 WHEN 4 THEN 0.3 ELSE 0.15 END)
- + 0.20 * least(nbr / top::DOUBLE, 1.0), 4) AS score FROM e JOIN supplier ON node = s_suppkey, m ORDER BY score DESC, node LIMIT 20""",
+    """WITH e AS (SELECT l_suppkey AS node, count(DISTINCT o_custkey) AS nbr, count(*) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), m AS (SELECT max(nbr) AS top FROM e),
+ s AS (SELECT embedding AS sv FROM embeddings WHERE label = 0), v AS (SELECT vec_id, max(list_cosine_similarity(embedding::DOUBLE[], sv::DOUBLE[])) AS best FROM embeddings, s GROUP BY vec_id)
+SELECT node, round_even(0.30 * coalesce(best, 0) + 0.25 * (1 - 1 / (1 + nbr * 0.5::DOUBLE + total * 0.1::DOUBLE)) + 0.15 * (1 - 1 / (1 + total * 0.3::DOUBLE)) + 0.10 * (CASE s_nationkey % 5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.75 WHEN 3 THEN 0.5 WHEN 4 THEN 0.3 ELSE 0.15 END)
+ + 0.20 * least(nbr / top::DOUBLE, 1.0), 4) AS score FROM e JOIN supplier ON node = s_suppkey LEFT JOIN v ON vec_id = node, m ORDER BY score DESC, node LIMIT 20""",
 )
 def i02(spark, d):
     e = c14(spark, d).groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("nbr"), F.sum("citations").alias("total"))
     top = F.broadcast(e.agg(F.max("nbr").alias("top")))  # one row
     s = table(spark, d, "supplier")
-    placed = e.join(s, e.node == s.s_suppkey).join(top, F.lit(True))
+    vectors = table(spark, d, "embeddings")
+    best = recommend.nearest_seed(vectors, vectors.where("label = 0"), "vec_id", "embedding")
+    placed = e.join(s, e.node == s.s_suppkey).join(best, F.col("vec_id") == F.col("node"), "left").join(top, F.lit(True))
     parts = {
-        "similarity": F.lit(0.0),
+        "similarity": F.col("best"),
         "connection": 1 - 1 / (1 + F.col("nbr") * 0.5 + F.col("total") * 0.1),
         "citation": recommend.saturating(F.col("total"), 0.3),
         "tier": recommend.tier_score(F.col("s_nationkey") % 5),

@@ -92,9 +92,13 @@ def test_graph(spark):
 
 
 def test_decide_and_fuse(spark):
-    assert dedup.decide("postdoc in yeast", "postdoc in yeast", "mit", "", "ada b", "ada b")
-    assert not dedup.decide("same title", "same title", "mit", "mit", "ada b", "bob c")
-    assert dedup.decide("postdoc in yeast genetics", "postdoc in yeast genetics", "mit", "mit", "", "")
+    def decide(ta, tb, ia, ib, pa, pb):
+        a, b = ({"url": F.lit(""), "institute": F.lit(i), "person": F.lit(p)} for i, p in ((ia, pa), (ib, pb)))
+        return one(spark, dedup.same_posting(dedup.ratio(F.lit(ta), F.lit(tb)), dedup.ratio(F.lit(ia), F.lit(ib)), a, b))
+
+    assert decide("postdoc in yeast", "postdoc in yeast", "mit", "", "ada b", "ada b")
+    assert not decide("same title", "same title", "mit", "mit", "ada b", "bob c")
+    assert decide("postdoc in yeast genetics", "postdoc in yeast genetics", "mit", "mit", "", "")
     df = spark.createDataFrame([(1, 1, "short", None), (1, 2, "much longer", ""), (1, 3, "x", "pi"), (2, 4, "y", None)], "g long, k long, d string, p string")
     got = {tuple(r) for r in dedup.fuse(df, "g", "k", "d", ["p"]).collect()}
     assert got == {(1, 2, "much longer", "pi", 3), (2, 4, "y", None, 1)}
