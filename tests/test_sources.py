@@ -33,7 +33,8 @@ def test_dates(spark):
     assert one(spark, dates.without_year(F.lit("5 January"), F.lit("2026-12-31").cast("date"))) == date(2027, 1, 5)
     assert one(spark, dates.korean(F.lit("접수 26. 3. 1 ~ 26.4.15"))) == date(2026, 4, 15)
     assert one(spark, dates.relative(F.lit("30+ days ago"), as_of)) == date(2026, 5, 2)
-    assert one(spark, dates.urgency_colour(F.lit(None).cast("int"))) == "DDDDDD" and one(spark, dates.urgency_colour(F.lit(-5))) == "FF6464"
+    colours = {None: None, -5: "AAAAAA", 0: "CC0000", 45: "D17A71", 90: "D6F4E2", 400: "D6F4E2"}
+    assert {n: one(spark, dates.urgency_colour(F.lit(n).cast("int"))) for n in colours} == colours
 
 
 def test_report_sink_and_email(spark, tmp_path):
