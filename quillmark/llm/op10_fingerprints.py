@@ -104,13 +104,13 @@ def _bucket(bounds: list[int]) -> Column:
     lists = F.from_json(F.lit(json.dumps(chunks)), "array<array<bigint>>")
     reached = lambda array: F.size(F.filter(array, lambda b: b <= F.col("doc_id")))
     at = F.greatest(reached(tops) - 1, F.lit(0))
-    return (at * step + reached(F.get(lists, at))).cast("long")
+    return (at * step + reached(F.get(lists, at))).cast("int")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, next_rid, doc_id, text, next_text): every row with the row that follows it.
 
-    Rows are dealt to buckets of doc_id ranges, a few to a partition, by quantiles over all ids. To
+    Rows are dealt to buckets of doc_id ranges, one to a task, by quantiles over all ids. To
     each bucket goes a copy of the next bucket's first row as well, so texts are shuffled only once.
     """
     spark = docs.sparkSession
@@ -129,12 +129,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         dealt.join(heads, (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")))
         .groupBy("own", "before")
         .agg(F.min(F.struct(F.xxhash64("text").alias("th"), F.col("text"))).alias("m"))
-        .select(F.lit(None).cast("long").alias("doc_id"), "m.text", F.col("before").alias("bucket"), "own")
+        .select(F.lit(None).cast("long").alias("doc_id"), "m.text", F.col("before").cast("int").alias("bucket"), "own")
     )
-    rows = dealt.withColumn("own", F.lit(-1).cast("long")).unionByName(copies)
+    rows = dealt.withColumn("own", F.lit(-1).cast("long")).unionByName(copies).repartitionById(n, F.col("bucket"))
     order = Window.partitionBy("bucket").orderBy(F.col("own") >= 0, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     own = F.lead("own").over(order)
-    rid = F.shiftleft("bucket", 40) + F.row_number().over(order) - 1
+    rid = F.shiftleft(F.col("bucket").cast("long"), 40) + F.row_number().over(order) - 1
     return (
         rows.select("doc_id", "text", F.lead("text").over(order).alias("next_text"), rid.alias("rid"), own.alias("after"), "own")
         .where("own < 0")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, partitions
+from quillmark.llm.common import cut, partitions, placed
 
 #: Bytes of the ranges that the leaves stand for.
 RANGE_BYTES = 1 << 20
@@ -61,7 +61,7 @@ def laid_out(found: DataFrame) -> DataFrame:
         bases.append((part, at))
         at += size
     before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("c")).over(before), F.lit(0)))
+    sums = placed(dealt).withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("c")).over(before), F.lit(0)))
     return sums.join(_told(found.sparkSession, bases, "part int, base long"), "part").select(*found.columns, (F.col("base") + F.col("before")).alias("offset"))
 
 
@@ -85,7 +85,7 @@ def ranged(theirs: DataFrame, begin: DataFrame) -> DataFrame:
         carried.append((r.part, last))
         last = r.top if r.top is not None else last
     so_far = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    told = dealt.withColumn("here", F.max("range").over(so_far)).join(_told(theirs.sparkSession, carried, "part int, carried long"), "part")
+    told = placed(dealt).withColumn("here", F.max("range").over(so_far)).join(_told(theirs.sparkSession, carried, "part int, carried long"), "part")
     return told.where("c > 0").select("id", "digest", "size", "c", "place", F.coalesce("here", "carried", F.lit(0)).alias("range"))
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, partitions, plain, renamed
+from quillmark.llm.common import cut, partitions, placed, plain, renamed
 
 LINES = 4
 WORDS = 50
@@ -62,7 +62,7 @@ def in_order(rows: DataFrame, by: list, name: str) -> tuple[DataFrame, list[tupl
         before += n
     base = F.broadcast(spark.createDataFrame(bases, "part int, base long"))
     at = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1
-    return dealt.join(base, "part").withColumn("at", F.col("base") + at).drop("base"), sizes
+    return placed(dealt).withColumn("k", at).join(base, "part").withColumn("at", F.col("base") + F.col("k")).drop("base", "k"), sizes
 
 
 def _told(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -117,7 +117,7 @@ def doubled(ranked: DataFrame, tied: DataFrame, p: int) -> tuple[DataFrame, bool
         x0 = x0 if same_x and r.first.x == r.last.x else only_x
         y0 = y0 if same_y and (r.first.x, r.first.y) == (r.last.x, r.last.y) else only_y
         last = r.last
-    told = marked.join(_told(spark, carried, "part int, same_x boolean, same_y boolean, x0 long, y0 long, goes_on boolean"), "part")
+    told = placed(marked).join(_told(spark, carried, "part int, same_x boolean, same_y boolean, x0 long, y0 long, goes_on boolean"), "part")
     told = told.withColumns({"nx": F.col("nx") & ~(F.col("head") & F.col("same_x")), "ny": F.col("ny") & ~(F.col("head") & F.col("same_y"))})
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     gx = F.coalesce(F.max(F.when(F.col("nx"), F.col("at"))).over(upto), F.col("x0"))
@@ -197,7 +197,7 @@ def later_copies(lines: DataFrame, least_lines: int = LINES, least_words: int =
     for r in sorted(rows.groupBy("part").agg(*breaks).collect(), key=lambda r: r.part):  # a row for each range
         carried.append((r.part, *last))
         last = [r[f"b{l}"] if r[f"b{l}"] is not None else old for l, old in zip(depths, last)]  # noqa: E741
-    told = rows.join(_told(spark, carried, "part int, " + ", ".join(f"c{l} long" for l in depths)), "part")  # noqa: E741
+    told = placed(rows).join(_told(spark, carried, "part int, " + ", ".join(f"c{l} long" for l in depths)), "part")  # noqa: E741
     upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     named = told.select(*_DOC, "i", *(f"w{l}" for l in depths), *(F.coalesce(F.max(F.when(F.col("lcp") < l, F.col("at"))).over(upto), F.col(f"c{l}")).alias(f"v{l}") for l in depths))  # noqa: E741
     each = F.array(*(F.struct(F.lit(l).alias("l"), F.col(f"v{l}").alias("v"), F.col(f"w{l}").alias("words")) for l in depths))  # noqa: E741
