@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.shared import cut, partitions
+from quillmark.shared import cut, partitions, placed
 
 
 def top_n(df: DataFrame, by: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -29,8 +29,8 @@ def ranked(df: DataFrame, by: list[str], order: list, rank: str = "rank") -> Dat
         before, last = r.n_last + (before if goes_on and r.one else 0), r.last
     carry = F.broadcast(spark.createDataFrame(carried, "__part int, __carry long"))
     local = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order)).cast("long")
-    placed = dealt.withColumn("__local", local).join(carry, "__part").join(F.broadcast(ends.select("__part", F.col("first").alias("__first"))), "__part")
-    return placed.withColumn(rank, F.col("__local") + F.when(group.eqNullSafe(F.col("__first")), F.col("__carry")).otherwise(0)).drop("__part", "__local", "__carry", "__first")
+    told = placed(dealt, "__part").withColumn("__local", local).join(carry, "__part").join(F.broadcast(ends.select("__part", F.col("first").alias("__first"))), "__part")
+    return told.withColumn(rank, F.col("__local") + F.when(group.eqNullSafe(F.col("__first")), F.col("__carry")).otherwise(0)).drop("__part", "__local", "__carry", "__first")
 
 
 def global_rank(df: DataFrame, order: list, rank: str = "rank") -> DataFrame:
