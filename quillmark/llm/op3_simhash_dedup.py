@@ -203,8 +203,16 @@ def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_c
     return rows.join(classes, "fp").select("id", "th", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: of its least id, or (all null) of its least text hash."""
+def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", likeness: tuple[int, int] | None = None) -> DataFrame:
+    """``docs`` with one row of each group: of its least id, or (all null) of its least text hash.
+
+    With a ``likeness`` groups are those of ``near_copies``, by the share of five-word shingles. Texts that share four
+    of five differ in 9 or 10 of 64 bits, and balls that reach so far meet most of all fingerprints, so their pairs are
+    proposed by bands of minima instead of fingerprints."""
+    if likeness is not None:
+        from quillmark.llm import near_copies
+
+        return near_copies.one_of_each(docs, id_col, text_col, likeness)
     _, rooted = _rooted(docs, radius, id_col, text_col)
     first = rooted.groupBy("root").agg(F.min("least").alias("k"))
     kept, _ = cut(first.select(F.coalesce("k.id", F.lit(0)).alias("id"), F.col("k.null").alias("null"), F.col("k.th").alias("th")), "first")
