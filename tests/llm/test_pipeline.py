@@ -78,3 +78,20 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_rows_go_through_the_stages(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, `__0` string, score string, `a b` string"
+    long = "one two three four five six seven eight nine ten " * 30
+    rows = [(1, None, "en", "s"), (2, "", None, None), (3, long, "en", "s"), (3, long, "en", "s"), (None, long + "x", "en", "t"), (None, "word", "de", None), (4, "Σ" * 50_000, "el", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "z", "y", "x") for r in rows], names)
+    model = op8_toxicity.Model(rate=0.0)
+    kept = op8_toxicity.reject(docs, model)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns and {(r["__0"], r.score, r["a b"]) for r in kept.collect()} == {("z", "y", "x")}
+        if name == "near_dedup":
+            assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
+    shards = corpus_pipeline.token_output(spark, kept, SF).collect()
+    assert {r.doc_id for r in shards} == {None, 1, 3, 4} and min(r.start for r in shards) == 0
+    assert next(r.n_tokens for r in shards if r.doc_id == 1) == 1
