@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.shared import cut, partitions, placed, remove, scratch, shared_dir  # noqa: F401  for the operators
+from quillmark.shared import cut, partitions, placed, ranges, remove, scratch, shared_dir  # noqa: F401  for the operators
 
 
 def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, partitions, placed, plain, renamed
+from quillmark.llm.common import cut, placed, plain, ranges, renamed
 
 LINES = 4
 WORDS = 50
@@ -50,19 +50,19 @@ def line_table(rows: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def in_order(rows: DataFrame, by: list, name: str) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """``rows`` dealt to ranges of ``by`` and written, with ``part`` and ``at``, their places in that order from 0; and for
-    each range (part, rows in it). Equal rows are told apart by ``by``, so a common value is spread over ranges."""
+def in_order(rows: DataFrame, by: list, name: str, n: int) -> DataFrame:
+    """``rows`` dealt to ``n`` ranges of ``by`` and written, with ``part`` and ``at``, their places in that order from 0.
+    Equal rows are told apart by ``by``, so a common value is spread over ranges."""
     spark = rows.sparkSession
-    dealt, _ = cut(rows.repartitionByRange(partitions(spark), *by).withColumn("part", F.spark_partition_id()), name)
+    dealt, _ = cut(rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), name)
     sizes = sorted(map(tuple, dealt.groupBy("part").agg(F.count(F.lit(1))).collect()))  # a row for each range
     bases, before = [], 0
-    for part, n in sizes:
+    for part, size in sizes:
         bases.append((part, before))
-        before += n
+        before += size
     base = F.broadcast(spark.createDataFrame(bases, "part int, base long"))
     at = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1
-    return placed(dealt).withColumn("k", at).join(base, "part").withColumn("at", F.col("base") + F.col("k")).drop("base", "k"), sizes
+    return placed(dealt, n=n).withColumn("k", at).join(base, "part").withColumn("at", F.col("base") + F.col("k")).drop("base", "k")
 
 
 def _told(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -73,7 +73,7 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     """(a, w, i, e, n, r) of the lines that occur more than once: r ranks the line among them, n counts its words and
     e those before it in its document's stretch of such lines."""
     counts, _ = cut(lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
-    ordered, _ = in_order(counts, ["h", "g"], "sorted")
+    ordered = in_order(counts, ["h", "g"], "sorted", ranges(lines.sparkSession, counts.count()))
     sums = ordered.groupBy("part").agg(F.sum("c"))
     bases, before = [], 0
     for part, c in sorted(map(tuple, sums.collect())):
@@ -87,15 +87,15 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     return lines.join(ranks, ["h", "g"]).select(*_DOC, "i", e.alias("e"), "n", "r")
 
 
-def doubled(ranked: DataFrame, tied: DataFrame, p: int) -> tuple[DataFrame, bool]:
-    """From the ranks of all suffixes by their first p lines to those by 2p of the ``tied`` ones (a, w, i, r): with
-    whether they still are, and whether any is. A suffix is ranked by its own rank, then by that of the suffix p lines
+def doubled(ranked: DataFrame, tied: DataFrame, p: int, n: int) -> DataFrame:
+    """From the ranks of all suffixes by their first p lines to those by 2p of the ``tied`` ones (a, w, i, r), in ``n``
+    ranges: with whether they still are. A suffix is ranked by its own rank, then by that of the suffix p lines
     on; where there is none, the suffix ends there, which equals nothing and goes first."""
     spark = ranked.sparkSession
     ahead = ranked.select(*_DOC, (F.col("i") - p).cast("int").alias("i"), F.col("r").alias("y"))
     pairs = tied.select(*_DOC, "i", F.col("r").alias("x")).join(ahead, [*_DOC, "i"], "left")
     order = ["x", F.col("y").asc_nulls_first(), *_DOC, "i"]
-    ordered, _ = in_order(pairs, order, "pairs")
+    ordered = in_order(pairs, order, "pairs", n)
     w = Window.partitionBy("part").orderBy("at")
     x, y = F.lag("x").over(w), F.lag("y").over(w)
     marked, _ = cut(
@@ -117,14 +117,13 @@ def doubled(ranked: DataFrame, tied: DataFrame, p: int) -> tuple[DataFrame, bool
         x0 = x0 if same_x and r.first.x == r.last.x else only_x
         y0 = y0 if same_y and (r.first.x, r.first.y) == (r.last.x, r.last.y) else only_y
         last = r.last
-    told = placed(marked).join(_told(spark, carried, "part int, same_x boolean, same_y boolean, x0 long, y0 long, goes_on boolean"), "part")
+    told = placed(marked, n=n).join(_told(spark, carried, "part int, same_x boolean, same_y boolean, x0 long, y0 long, goes_on boolean"), "part")
     told = told.withColumns({"nx": F.col("nx") & ~(F.col("head") & F.col("same_x")), "ny": F.col("ny") & ~(F.col("head") & F.col("same_y"))})
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     gx = F.coalesce(F.max(F.when(F.col("nx"), F.col("at"))).over(upto), F.col("x0"))
     gy = F.coalesce(F.max(F.when(F.col("ny"), F.col("at"))).over(upto), F.col("y0"))
     after = F.coalesce(~F.lead("ny").over(w), F.col("goes_on"))
-    new, _ = cut(told.select(*_DOC, "i", (F.col("x") + gy - gx).alias("r"), (~F.col("ny") | after).alias("more")), "ranked")
-    return new, not new.where("more").isEmpty()
+    return cut(told.select(*_DOC, "i", (F.col("x") + gy - gx).alias("r"), (~F.col("ny") | after).alias("more")), "ranked")[0]
 
 
 def suffix_array(first: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -132,16 +131,18 @@ def suffix_array(first: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     place; the levels: k-th (a, w, i, r), ranks by the first 2^k lines of those that share them with another).
 
     Prefixes double until no two suffixes are alike, however long a run occurs again."""
-    ranked = first.select(*_DOC, "i", "r")
-    levels, p = [ranked], 1
+    spark, ranked = first.sparkSession, first.select(*_DOC, "i", "r")
+    levels, settled, p, left = [ranked], [], 1, first.count()
     while True:
-        new, more = doubled(ranked, levels[-1], p)
-        settled = ranked.join(new.select(*_DOC, "i"), [*_DOC, "i"], "left_anti") if p > 1 else None
-        now = new.select(*_DOC, "i", "r")
-        ranked, _ = cut(now if settled is None else settled.unionByName(now), "suffixes")
-        if not more:
+        new = doubled(ranked, levels[-1], p, ranges(spark, left))
+        ranked = new.select(*_DOC, "i", "r")
+        for done in settled:
+            ranked = ranked.unionByName(done)
+        left = new.where("more").count()
+        if not left:
             return ranked, levels
-        levels.append(cut(new.where("more").select(*_DOC, "i", "r"), "level")[0])
+        settled.append(new.where("not more").select(*_DOC, "i", "r"))
+        levels.append(new.where("more").select(*_DOC, "i", "r"))
         p *= 2
 
 
@@ -154,7 +155,7 @@ def common_prefixes(first: DataFrame, ranked: DataFrame, levels: list[DataFrame]
     spark = first.sparkSession
     before = first.select(*_DOC, (F.col("i") + 1).cast("int").alias("i"), F.col("r").alias("b"))
     rows = ranked.join(first.select(*_DOC, "i", F.col("r").alias("r1")), [*_DOC, "i"]).join(before, [*_DOC, "i"], "left")
-    ordered, _ = in_order(rows, ["r", *_DOC, "i"], "array")
+    ordered = in_order(rows, ["r", *_DOC, "i"], "array", ranges(spark, first.count()))
     w = Window.partitionBy("part").orderBy("at")
     own = F.struct(*_DOC, "i", "r1", "b")
     array, _ = cut(ordered.withColumn("prev", F.lag(own).over(w)), "array")
@@ -197,7 +198,7 @@ def later_copies(lines: DataFrame, least_lines: int = LINES, least_words: int =
     for r in sorted(rows.groupBy("part").agg(*breaks).collect(), key=lambda r: r.part):  # a row for each range
         carried.append((r.part, *last))
         last = [r[f"b{l}"] if r[f"b{l}"] is not None else old for l, old in zip(depths, last)]  # noqa: E741
-    told = placed(rows).join(_told(spark, carried, "part int, " + ", ".join(f"c{l} long" for l in depths)), "part")  # noqa: E741
+    told = placed(rows, n=ranges(spark, rows.count())).join(_told(spark, carried, "part int, " + ", ".join(f"c{l} long" for l in depths)), "part")  # noqa: E741
     upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     named = told.select(*_DOC, "i", *(f"w{l}" for l in depths), *(F.coalesce(F.max(F.when(F.col("lcp") < l, F.col("at"))).over(upto), F.col(f"c{l}")).alias(f"v{l}") for l in depths))  # noqa: E741
     each = F.array(*(F.struct(F.lit(l).alias("l"), F.col(f"v{l}").alias("v"), F.col(f"w{l}").alias("words")) for l in depths))  # noqa: E741
