@@ -53,9 +53,14 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def placed(df: DataFrame, part: str = "part") -> DataFrame:
-    """Rows dealt by the number of their range: one range a task, for windows over ranges."""
-    return df.repartitionById(partitions(df.sparkSession), F.col(part))
+def placed(df: DataFrame, part: str = "part", n: int | None = None) -> DataFrame:
+    """Rows dealt by the number of their range: one range a task, for windows over ``n`` ranges."""
+    return df.repartitionById(n or partitions(df.sparkSession), F.col(part))
+
+
+def ranges(spark: SparkSession, rows: int, each: int = 50_000) -> int:
+    """Into how many ranges so many slim rows are dealt: ``each`` or more to a range, up to the number of partitions."""
+    return max(1, min(partitions(spark), rows // each))
 
 
 def partitions(spark: SparkSession) -> int:
