@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from quillmark.llm import (
     op1_fixity,
     op10_fingerprints,
@@ -46,6 +45,3 @@ ORACLES["op1_warc_merkle_fixity"] = op1_fixity.SQL
 QUERIES["op4_temperature_mixing"] = _on("documents", op4_mixing.query)
 QUERIES["op6_line_suffix_dedup"] = _on("documents", op6_line_dedup.query)
 ORACLES["op6_line_suffix_dedup"] = op6_line_dedup.SQL
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
