@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEM = "title string, link string, description string, pubDate string, creator string"
-ARTICLE = "pmid string, title string, year int, authors array<struct<last: string, fore: string, affiliation: string>>"
 
 
 def rss(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -23,7 +22,8 @@ def rss_items(df: DataFrame, xml: str) -> DataFrame:
 
 
 def articles(df: DataFrame, xml: str) -> DataFrame:
-    """(pmid, title, year, authors, last_author) of each <PubmedArticle> in column ``xml``."""
+    """(pmid, title, year, published, abstract, authors, affiliations, last_author) of each <PubmedArticle> in column
+    ``xml``. ``published`` is the date as far as it is given; parts of an abstract are joined by blanks."""
     one = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)(<PubmedArticle\b.*?</PubmedArticle>)"))
     x = lambda path: F.element_at(F.xpath("a", F.lit(path)), 1)
     lasts, fores = F.xpath("a", F.lit("//Author/LastName/text()")), F.xpath("a", F.lit("//Author/ForeName/text()"))
@@ -31,7 +31,10 @@ def articles(df: DataFrame, xml: str) -> DataFrame:
         F.when(F.size(F.xpath("a", F.lit("//PMID/text()"))) > 0, x("//PMID/text()")).alias("pmid"),
         F.xpath_string("a", F.lit("//ArticleTitle")).alias("title"),
         F.xpath_int("a", F.lit("//PubDate/Year")).alias("year"),
+        F.concat_ws("-", *(F.when(F.xpath_string("a", F.lit(f"//PubDate/{part}")) != "", F.xpath_string("a", F.lit(f"//PubDate/{part}"))) for part in ("Year", "Month", "Day"))).alias("published"),
+        F.array_join(F.xpath("a", F.lit("//Abstract/AbstractText/text()")), " ").alias("abstract"),
         F.arrays_zip(lasts.alias("last"), fores.alias("fore")).alias("authors"),
+        F.array_distinct(F.xpath("a", F.lit("//Author//Affiliation/text()"))).alias("affiliations"),
         F.try_element_at(lasts, F.lit(-1)).alias("last_author"),
     )
 
@@ -41,10 +44,17 @@ def json_ld(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"))
 
 
+def ld_objects(script: Column) -> Column:
+    """The objects of an ld+json script: those of a list, of a graph, or the one that it is."""
+    inner = F.coalesce(F.get_json_object(script, "$.@graph"), script)
+    return F.when(F.trim(inner).startswith("["), F.from_json(inner, "array<string>")).otherwise(F.array(inner))
+
+
 def postings(df: DataFrame, html: str) -> DataFrame:
-    """``df`` with the fields of each JobPosting in its pages' structured data."""
+    """``df`` with the fields of each JobPosting in its pages' structured data; a type may be one of a list."""
     get = lambda path: F.get_json_object("__ld", path)
-    found = df.withColumn("__ld", F.explode(json_ld(F.col(html)))).where(get("$.@type") == "JobPosting")
+    objects = F.flatten(F.transform(json_ld(F.col(html)), ld_objects))
+    found = df.withColumn("__ld", F.explode(objects)).where(get("$.@type").rlike(r'^(\[.*")?JobPosting(".*\])?$'))
     return found.select(
         *df.columns,
         get("$.title").alias("title"),
@@ -62,6 +72,20 @@ def json_records(df: DataFrame, column: str, schema: str, path: str = "$") -> Da
     return df.withColumn("__i", F.explode(items)).select(*df.columns, "__i.*")
 
 
+def gathered(sources: dict) -> tuple[DataFrame | None, dict[str, str]]:
+    """(the union of those sources that could be opened, with a column ``source``; why the others couldn't). A
+    source is a function without arguments that returns a DataFrame; one that fails doesn't stop the rest."""
+    found, failed = [], {}
+    for name, open_ in sources.items():
+        try:
+            df = open_()
+            df.schema  # noqa: B018  a plan that can't be analysed fails here
+            found.append(df.withColumn("source", F.lit(name)))
+        except Exception as e:  # whatever a source raises is its own failure
+            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return (union(found) if found else None), failed
+
+
 def union(sources: list[DataFrame]) -> DataFrame:
     """All sources with the columns of any of them."""
     out = sources[0]

@@ -80,7 +80,7 @@ def _record(s: pd.Series) -> pd.DataFrame:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", _record(F.col("html")).alias("r")).select("page_id", "url", "r.title", "r.n_links", "r.text")
+    return pages.select("page_id", "url", _record(F.col("html")).alias("r")).select("page_id", "url", "r.title", "r.n_links", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("r.pairs")))).alias("pairs"), "r.text")
 
 
 @F.pandas_udf(LINKS)

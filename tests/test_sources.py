@@ -110,3 +110,26 @@ def test_entry_without_training_data(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_structured_data_in_lists_and_graphs(spark):
+    job = lambda t: '{"@type": "JobPosting", "title": "%s", "hiringOrganization": {"name": "x"}}' % t
+    script = lambda body: f'<script type="application/ld+json">{body}</script>'
+    html = script(job("one")) + script("[" + job("two") + ', {"@type": "Thing"}]') + script('{"@graph": [{"@type": "Org"}, ' + job("three") + "]}") + script(job("four").replace('"JobPosting"', '["JobPosting", "Thing"]')) + script("not json")
+    df = spark.createDataFrame([(1, html), (2, None)], "k long, html string")
+    assert sorted(r.title for r in feeds.postings(df, "html").collect()) == ["four", "one", "three", "two"]
+
+
+def test_articles_in_full(spark):
+    xml = "<S><PubmedArticle><PMID>7</PMID><ArticleTitle>T</ArticleTitle><Abstract><AbstractText>a</AbstractText><AbstractText>b</AbstractText></Abstract><PubDate><Year>2024</Year><Month>05</Month></PubDate><Author><LastName>L</LastName><ForeName>F</ForeName><AffiliationInfo><Affiliation>MIT</Affiliation></AffiliationInfo></Author></PubmedArticle></S>"
+    r = feeds.articles(spark.createDataFrame([(xml,)], "xml string"), "xml").first()
+    assert (r.pmid, r.abstract, r.published, r.affiliations, r.last_author) == ("7", "a b", "2024-05", ["MIT"], "L")
+
+
+def test_a_failing_source_does_not_stop_the_rest(spark):
+    def bad():
+        raise OSError("gone")
+
+    found, failed = feeds.gathered({"a": lambda: spark.range(2), "b": bad, "c": lambda: spark.range(1).select("nothing")})
+    assert found.count() == 2 and set(failed) == {"b", "c"} and failed["b"] == "OSError: gone"
+    assert feeds.gathered({"b": bad})[0] is None
