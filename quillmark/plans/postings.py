@@ -196,3 +196,36 @@ def d16(spark, d):
 @query("e09_global_rank", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
 def e09(spark, d):
     return ranking.global_rank(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "rank")
+
+
+_SCREENS = [
+    ("Must be a U.S. citizen to apply.", "http://lab.edu/x", "Department of Neuroscience, University of Basel, Basel", "Biological sciences»Biology›Biology of cells|Chemistry", "Postdoc", "813 postdoc positions", "<p>Verifying: unusual activity</p>"),
+    ("Open to all. Permanent residents may apply", "https://www.linkedin.com/in/x", "Somewhere else", "Physics", "Postdoc in x", "9 lives", "<html><script>let x = 1</script><body>hi</body></html>"),
+    ("No limits here", "ftp://lab.edu", "Broad Institute, Cambridge", "", "Post-Doc", "We hire", "<p>" + "plain words " * 30 + "</p>"),
+]
+
+
+@query(
+    "a12_screening",
+    """SELECT c_custkey, list_extract([true, true, false], (c_custkey % 3)::INT + 1) AS citizens, list_extract([true, false, false], (c_custkey % 3)::INT + 1) AS lab, list_extract(['University of Basel', 'Somewhere else', 'Broad Institute'], (c_custkey % 3)::INT + 1) AS place,
+ list_extract(['Biological sciences, Biology of cells, Chemistry', 'Physics', ''], (c_custkey % 3)::INT + 1) AS fields, list_extract([true, false, false], (c_custkey % 3)::INT + 1) AS listing, list_extract([true, false, false], (c_custkey % 3)::INT + 1) AS blocked, list_extract([true, true, false], (c_custkey % 3)::INT + 1) AS browser,
+ list_extract(['Department of Neuroscience', '-', '-'], (c_custkey % 3)::INT + 1) AS unit, c_acctbal >= 10 AND c_nationkey >= 15 AS leads FROM customer""",
+)
+def a12(spark, d):
+    from quillmark.functions import screening as S
+
+    k = F.col("c_custkey")
+    text, url, place, raw, title, desc, html = (_pick([r[i] for r in _SCREENS], k) for i in range(7))
+    return table(spark, d, "customer").select(
+        "c_custkey", S.citizens_only(text).alias("citizens"), S.lab_page(url).alias("lab"), S.institute_of(place).alias("place"), S.research_fields(raw).alias("fields"), S.listing_page(title, desc).alias("listing"),
+        S.blocked_page(html).alias("blocked"), S.needs_browser(html).alias("browser"), F.coalesce(S.department(place), F.lit("-")).alias("unit"), S.leads_a_group(F.col("c_acctbal"), F.col("c_nationkey"), F.lit(3)).alias("leads"),
+    )
+
+
+@query("a13_site_employer", "SELECT s_suppkey, list_extract([true, false, true], (s_suppkey % 3)::INT + 1) AS site, list_extract(['Kim', 'Ada', 'Hong'], (s_suppkey % 3)::INT + 1) AS surname, list_extract(['United States', 'South Korea', 'United Kingdom'], (s_suppkey % 3)::INT + 1) AS country FROM supplier")
+def a13(spark, d):
+    from quillmark.functions import screening as S
+
+    k = F.col("s_suppkey")
+    where = S.country_in(_pick(["Lab in Boston, MA, now", "서울 south korea", "Oxford, uk and korea"], k), ["ma", "ny"], ["san diego"], {"korea": "Korea", "south korea": "South Korea", "uk and korea": "United Kingdom"})
+    return table(spark, d, "supplier").select("s_suppkey", S.is_site(_pick(["LinkedIn ", "MIT", "Nature"], k)).alias("site"), S.surname_in_latin(_pick(["김철수", "Ada", "홍길동"], k)).alias("surname"), where.alias("country"))
