@@ -264,6 +264,17 @@ def i01(spark, d):
     return vectors.tfidf(table(spark, d, "conversations"), "conv_id", "text").withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    "i03_feature_vectors",
+    """WITH w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM conversations), c AS (SELECT conv_id, term, count(*) AS tf FROM w WHERE term NOT IN ('the', 'and', 'of', 'to', 'in') GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY 1), f AS (SELECT term, df FROM df, n WHERE df <= 0.95::DOUBLE * n ORDER BY total DESC, term LIMIT 500),
+x AS (SELECT conv_id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS v FROM c JOIN f USING (term), n)
+SELECT conv_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY conv_id)), 6) AS weight FROM x""",
+)
+def i03(spark, d):
+    return vectors.feature_vectors(table(spark, d, "conversations"), "conv_id", "text", ["the", "and", "of", "to", "in"]).withColumn("weight", F.round("weight", 6))
+
+
 @query(
     "i02_recommend",
     """WITH e AS (SELECT l_suppkey AS node, count(DISTINCT o_custkey) AS nbr, count(*) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), m AS (SELECT max(nbr) AS top FROM e),
