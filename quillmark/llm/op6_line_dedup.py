@@ -18,6 +18,8 @@ each other; a text that is repeated as a whole becomes empty; an empty table giv
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,9 @@ def _told(spark, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))  # a row for each range
 
 
-def first_ranks(lines: DataFrame) -> DataFrame:
-    """(a, w, i, e, n, r) of the lines that occur more than once: r ranks the line among them, n counts its words and
-    e those before it in its document's stretch of such lines."""
+def first_ranks(lines: DataFrame, least_lines: int = LINES) -> DataFrame:
+    """(a, w, i, r, b, w1, w2, ...) of the lines that occur more than once: r ranks the line among them, b the line
+    before it, if that one does as well, and w1 to w``least_lines`` count the words of so many such lines from here on."""
     counts, _ = cut(lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
     ordered = in_order(counts, ["h", "g"], "sorted", ranges(lines.sparkSession, counts.count()))
     sums = ordered.groupBy("part").agg(F.sum("c"))
@@ -83,8 +85,11 @@ def first_ranks(lines: DataFrame) -> DataFrame:
     ranks, _ = cut(
         ordered.withColumn("s", F.coalesce(F.sum("c").over(so_far), F.lit(0))).join(_told(lines.sparkSession, bases, "part int, base long"), "part").select("h", "g", (F.col("s") + F.col("base")).alias("r")), "ranks"
     )
-    e = F.sum("n").over(Window.partitionBy(*_DOC).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return lines.join(ranks, ["h", "g"]).select(*_DOC, "i", e.alias("e"), "n", "r")
+    doc = Window.partitionBy(*_DOC).orderBy("i")
+    before = F.when(F.lag("i").over(doc) == F.col("i") - 1, F.lag("r").over(doc))
+    upto = lambda l: doc.rowsBetween(0, l - 1)  # noqa: E731, E741
+    words = [F.when(F.max("i").over(upto(l)) == F.col("i") + (l - 1), F.sum("n").over(upto(l))).alias(f"w{l}") for l in range(1, least_lines + 1)]  # noqa: E741
+    return lines.join(ranks, ["h", "g"]).select(*_DOC, "i", "r", before.alias("b"), *words)
 
 
 def doubled(ranked: DataFrame, tied: DataFrame, p: int, n: int) -> DataFrame:
@@ -132,29 +137,34 @@ def suffix_array(first: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     Prefixes double until no two suffixes are alike, however long a run occurs again."""
     spark, ranked = first.sparkSession, first.select(*_DOC, "i", "r")
-    levels, settled, p, left = [ranked], [], 1, first.count()
+    left = among = first.count()
+    levels, settled, seen, p = [ranked], [], [], 1
+    every = lambda frames: reduce(DataFrame.unionByName, frames)
     while True:
         new = doubled(ranked, levels[-1], p, ranges(spark, left))
-        ranked = new.select(*_DOC, "i", "r")
-        for done in settled:
-            ranked = ranked.unionByName(done)
+        now, done, tied = (new.where(x).select(*_DOC, "i", "r") for x in ("true", "not more", "more"))
         left = new.where("more").count()
         if not left:
-            return ranked, levels
-        settled.append(new.where("not more").select(*_DOC, "i", "r"))
-        levels.append(new.where("more").select(*_DOC, "i", "r"))
+            return every([now, *settled]), levels
+        settled.append(done)
+        seen.append(done)
+        if 4 * left < among:  # from here on only documents that have tied suffixes are looked up
+            open_ = tied.select(*_DOC).distinct()
+            seen, among = [cut(every(seen).join(open_, _DOC, "left_semi"), "seen")[0]], left
+        ranked = every([tied, *seen])
+        levels.append(tied)
         p *= 2
 
 
 def common_prefixes(first: DataFrame, ranked: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """(a, w, i, part, at, lcp): the suffix array with the number of lines that each suffix shares with the one
-    before it in the array.
+    """(a, w, i, part, at, lcp, and the words of ``first``): the suffix array with the number of lines that each suffix
+    shares with the one before it in the array.
 
     Where the lines before the two are the same, the number is one less than that of the suffix one line earlier;
     only the others, at which a repeated run begins, are worked out, through the levels from the longest down."""
     spark = first.sparkSession
-    before = first.select(*_DOC, (F.col("i") + 1).cast("int").alias("i"), F.col("r").alias("b"))
-    rows = ranked.join(first.select(*_DOC, "i", F.col("r").alias("r1")), [*_DOC, "i"]).join(before, [*_DOC, "i"], "left")
+    words = [c for c in first.columns if c[0] == "w" and c != "w"]
+    rows = ranked.join(first.select(*_DOC, "i", F.col("r").alias("r1"), "b", *words), [*_DOC, "i"])
     ordered = in_order(rows, ["r", *_DOC, "i"], "array", ranges(spark, first.count()))
     w = Window.partitionBy("part").orderBy("at")
     own = F.struct(*_DOC, "i", "r1", "b")
@@ -165,7 +175,7 @@ def common_prefixes(first: DataFrame, ranked: DataFrame, levels: list[DataFrame]
     pairs = array.join(carry, "part").withColumn("prev", F.coalesce("prev", "carried")).drop("carried")
     meets = F.coalesce(F.col("prev.r1") == F.col("r1"), F.lit(False))
     follows = F.coalesce(F.col("prev.b") == F.col("b"), F.lit(False))
-    pairs, _ = cut(pairs.select(*_DOC, "i", "part", "at", "prev", meets.alias("meets"), (meets & follows).alias("follows")), "neighbours")
+    pairs, _ = cut(pairs.select(*_DOC, "i", "part", "at", "prev", *words, meets.alias("meets"), (meets & follows).alias("follows")), "neighbours")
     open_ = pairs.where("meets and not follows").select(*_DOC, "i", F.col("prev.a").alias("a2"), F.col("prev.w").alias("w2"), F.col("prev.i").alias("i2"), F.lit(0).alias("lcp"))
     for k in reversed(range(len(levels))):
         mine = levels[k].select(F.col("a"), F.col("w"), F.col("i").alias("j"), F.col("r").alias("r_1"))
@@ -176,7 +186,7 @@ def common_prefixes(first: DataFrame, ranked: DataFrame, levels: list[DataFrame]
     # in the order of the text: what follows a run's begin is one less at each line
     begin = F.when(~F.col("meets"), F.col("i")).when(~F.col("follows"), F.col("known") + F.col("i"))
     so_far = Window.partitionBy(*_DOC).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return cut(known.select(*_DOC, "i", "part", "at", F.when(~F.col("meets"), 0).otherwise(F.last(begin, True).over(so_far) - F.col("i")).alias("lcp")), "prefixes")[0]
+    return cut(known.select(*_DOC, "i", "part", "at", *words, F.when(~F.col("meets"), 0).otherwise(F.last(begin, True).over(so_far) - F.col("i")).alias("lcp")), "prefixes")[0]
 
 
 def later_copies(lines: DataFrame, least_lines: int = LINES, least_words: int = WORDS) -> DataFrame:
@@ -186,13 +196,10 @@ def later_copies(lines: DataFrame, least_lines: int = LINES, least_words: int =
     its members but the earliest are later copies. An interval counts if l is ``least_lines``, or its lines have
     ``least_words`` words. Longer runs are made up by those that begin at each of their lines."""
     spark = lines.sparkSession
-    first, _ = cut(first_ranks(lines), "repeated")
+    first, _ = cut(first_ranks(lines, least_lines), "repeated")
     ranked, levels = suffix_array(first)
-    array = common_prefixes(first, ranked, levels)
+    rows = common_prefixes(first, ranked, levels)
     depths = range(1, least_lines + 1)
-    doc = Window.partitionBy(*_DOC).orderBy("i")
-    words = [F.when(F.max("i").over(doc.rowsBetween(0, l - 1)) == F.col("i") + (l - 1), F.sum("n").over(doc.rowsBetween(0, l - 1))).alias(f"w{l}") for l in depths]  # noqa: E741
-    rows, _ = cut(array.join(first.select(*_DOC, "i", *words), [*_DOC, "i"]), "array")
     breaks = [F.max(F.when(F.col("lcp") < l, F.col("at"))).alias(f"b{l}") for l in depths]  # noqa: E741
     carried, last = [], [None] * len(depths)
     for r in sorted(rows.groupBy("part").agg(*breaks).collect(), key=lambda r: r.part):  # a row for each range
