@@ -42,6 +42,15 @@ def word_list(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+def give_back() -> None:
+    """Returns what allocators keep to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only where the C library has it
+        pass
+
+
 def lean(run):
     """``run``, an iterator over batches, that gives memory back to the system when it ends: workers live on, and what
     an allocator keeps in each of them would add up beside the next stage's."""
@@ -50,11 +59,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # only where the C library has it
-                pass
+            give_back()
 
     return tidy
 

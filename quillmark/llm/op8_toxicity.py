@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, lean, plain, rebatched, renamed, word_list
+from quillmark.llm.common import cut, give_back, lean, plain, rebatched, renamed, word_list
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 4000
@@ -145,7 +145,8 @@ def train(texts: list[str | None], labels: list[int], share: float, langs: list[
     docs = []
     for t in texts:
         docs.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in word_list(t)], np.int32))
-    subs = np.array([(0, 0, 0), *map(subword_ids, vocabulary)], np.int32)
+    subs = np.zeros((len(vocabulary) + 1, 3), np.int32)
+    subs[1:] = np.fromiter((k for w in vocabulary for k in subword_ids(w)), np.int32, 3 * len(vocabulary)).reshape(-1, 3)
     real = np.ones(len(subs), np.float32)
     real[0] = 0  # padding has no vector
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())).astype(np.float32)
@@ -280,7 +281,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, by_language: b
             left -= r.size
     few = F.broadcast(spark.createDataFrame([(i,) for i in wanted], "doc_id long"))
     found = sorted(map(tuple, texts.join(few, "doc_id").collect()), key=lambda r: (zlib.crc32(str(r[0]).encode(), 5), r[0]))
-    return train([r[1] for r in found], [r[-1] for r in found], share, [r[2] for r in found] if by_language else None)
+    model = train([r[1] for r in found], [r[-1] for r in found], share, [r[2] for r in found] if by_language else None)
+    del found
+    give_back()  # the driver has other things to do
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
