@@ -94,6 +94,11 @@ def _fields(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({n: [r.get(n) for r in rows] for n in NAMES}, columns=NAMES)
 
 
+@F.pandas_udf(T.StringType())
+def deadline_of(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: deadline(t) if t else None)
+
+
 def posting(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and the fields of each text."""
     return df.select(key, _fields(F.col(text)).alias("f")).select(key, "f.*")

@@ -19,3 +19,20 @@ def test_small_columns(spark):
     assert one(S.lab_page(none)) is False and one(S.is_site(none)) is False and one(S.needs_browser(none)) is True and one(S.institute_of(none)) == "" and one(S.department(none)) is None
     assert one(S.department(F.lit("in the School of Life Sciences and Medicine, Basel"))).startswith("School of Life Sciences and Medicine") and one(S.department(F.lit("서울대 생명과학과 모집"))) == "생명과학과"
     assert one(S.country_in(none, [], [], {"france": "France"})) is None
+
+
+def test_functions_under_sql_names(spark):
+    from quillmark.functions import text as X
+    from quillmark.functions.register import register
+    from quillmark.operators import dedup
+
+    register(spark)
+    rows = [(1, "Post-Doctoral  Fellow in Cells"), (2, "The Université de Genève, Inc."), (3, "ab"), (4, "합성생물학 연구")]
+    spark.createDataFrame(rows, "k long, t string").createOrReplaceTempView("named")
+    df = spark.table("named")
+    got = {r.k: r for r in spark.sql("SELECT k, norm_title(t) a, norm_inst(t) b, infer_field(t) c, minhash_sig(t) d, extract_pi('PI: Ada Byron.') e, extract_deadline('Deadline: 2026-03-01') f FROM named").collect()}
+    want = {r.k: r for r in df.select("k", X.norm_title("t").alias("a"), X.norm_institute("t").alias("b")).collect()}
+    signed = {r.k: r.signature for r in dedup.signatures(df, "k", "t").collect()}
+    for k, r in got.items():
+        assert (r.a, r.b, r.d, r.e, r.f) == (want[k].a, want[k].b, signed[k], "Ada Byron", "2026-03-01")
+    assert got[4].c == "Synthetic Biology" and got[1].c is None
