@@ -56,7 +56,7 @@ def in_order(rows: DataFrame, by: list, name: str, n: int) -> DataFrame:
     """``rows`` dealt to ``n`` ranges of ``by`` and written, with ``part`` and ``at``, their places in that order from 0.
     Equal rows are told apart by ``by``, so a common value is spread over ranges."""
     spark = rows.sparkSession
-    dealt, _ = cut(rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), name)
+    dealt, _ = cut(rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()).coalesce(n), name)
     sizes = sorted(map(tuple, dealt.groupBy("part").agg(F.count(F.lit(1))).collect()))  # a row for each range
     bases, before = [], 0
     for part, size in sizes:
@@ -150,7 +150,7 @@ def suffix_array(first: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         seen.append(done)
         if 4 * left < among:  # from here on only documents that have tied suffixes are looked up
             open_ = tied.select(*_DOC).distinct()
-            seen, among = [cut(every(seen).join(open_, _DOC, "left_semi"), "seen")[0]], left
+            seen, among = [cut(every(seen).join(open_, _DOC, "left_semi").coalesce(ranges(spark, among)), "seen")[0]], left
         ranked = every([tied, *seen])
         levels.append(tied)
         p *= 2
@@ -175,13 +175,14 @@ def common_prefixes(first: DataFrame, ranked: DataFrame, levels: list[DataFrame]
     pairs = array.join(carry, "part").withColumn("prev", F.coalesce("prev", "carried")).drop("carried")
     meets = F.coalesce(F.col("prev.r1") == F.col("r1"), F.lit(False))
     follows = F.coalesce(F.col("prev.b") == F.col("b"), F.lit(False))
-    pairs, _ = cut(pairs.select(*_DOC, "i", "part", "at", "prev", *words, meets.alias("meets"), (meets & follows).alias("follows")), "neighbours")
+    pairs, _ = cut(pairs.coalesce(ranges(spark, first.count())).select(*_DOC, "i", "part", "at", "prev", *words, meets.alias("meets"), (meets & follows).alias("follows")), "neighbours")
     open_ = pairs.where("meets and not follows").select(*_DOC, "i", F.col("prev.a").alias("a2"), F.col("prev.w").alias("w2"), F.col("prev.i").alias("i2"), F.lit(0).alias("lcp"))
+    few = ranges(spark, open_.count())  # files; where runs begin there are few rows
     for k in reversed(range(len(levels))):
         mine = levels[k].select(F.col("a"), F.col("w"), F.col("i").alias("j"), F.col("r").alias("r_1"))
         theirs = levels[k].select(F.col("a").alias("a2"), F.col("w").alias("w2"), F.col("i").alias("j2"), F.col("r").alias("r_2"))
         met = open_.withColumns({"j": F.col("i") + F.col("lcp"), "j2": F.col("i2") + F.col("lcp")}).join(mine, [*_DOC, "j"], "left").join(theirs, ["a2", "w2", "j2"], "left")
-        open_, _ = cut(met.select(*_DOC, "i", "a2", "w2", "i2", (F.col("lcp") + F.when(F.col("r_1") == F.col("r_2"), 1 << k).otherwise(0)).alias("lcp")), "lcp")
+        open_, _ = cut(met.select(*_DOC, "i", "a2", "w2", "i2", (F.col("lcp") + F.when(F.col("r_1") == F.col("r_2"), 1 << k).otherwise(0)).alias("lcp")).coalesce(few), "lcp")
     known = pairs.join(open_.select(*_DOC, "i", F.col("lcp").alias("known")), [*_DOC, "i"], "left")
     # in the order of the text: what follows a run's begin is one less at each line
     begin = F.when(~F.col("meets"), F.col("i")).when(~F.col("follows"), F.col("known") + F.col("i"))
