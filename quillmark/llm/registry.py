@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmark.llm import (
     op1_fixity,
     op10_fingerprints,
+    op13_whitening,
     op2_url_filter,
     op3_simhash_dedup,
     op4_mixing,
@@ -45,3 +46,4 @@ ORACLES["op1_warc_merkle_fixity"] = op1_fixity.SQL
 QUERIES["op4_temperature_mixing"] = _on("documents", op4_mixing.query)
 QUERIES["op6_line_suffix_dedup"] = _on("documents", op6_line_dedup.query)
 ORACLES["op6_line_suffix_dedup"] = op6_line_dedup.SQL
+QUERIES["op13_lobpcg_whitening"] = _on("embeddings", op13_whitening.query)
