@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmark.llm import (
     op1_fixity,
     op10_fingerprints,
+    op11_substring_dedup,
+    op12_divergence,
     op13_whitening,
     op2_url_filter,
     op3_simhash_dedup,
@@ -46,4 +48,8 @@ ORACLES["op1_warc_merkle_fixity"] = op1_fixity.SQL
 QUERIES["op4_temperature_mixing"] = _on("documents", op4_mixing.query)
 QUERIES["op6_line_suffix_dedup"] = _on("documents", op6_line_dedup.query)
 ORACLES["op6_line_suffix_dedup"] = op6_line_dedup.SQL
+QUERIES["op11_relative_lz_dedup"] = _on("documents", op11_substring_dedup.query)
+ORACLES["op11_relative_lz_dedup"] = op11_substring_dedup.SQL
+QUERIES["op12_source_divergence"] = _on("documents", op12_divergence.query)
+ORACLES["op12_source_divergence"] = op12_divergence.SQL
 QUERIES["op13_lobpcg_whitening"] = _on("embeddings", op13_whitening.query)
