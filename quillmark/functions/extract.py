@@ -1,8 +1,10 @@
-"""Fields of free-text postings. Position-free ones are column expressions; those that need the places of
-matches share one pandas UDF, so that a text is read once."""
+"""Fields of free-text postings: one chain for all of them, so that a text is read once. What a posting says of pay, length,
+start, degree and contract comes from ``terms``, who leads from ``people``; dates, addresses, links and sections are
+read here."""
 
 from __future__ import annotations
 
+import datetime
 import re
 
 import pandas as pd
@@ -10,37 +12,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONTHS = {m: k for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+from quillmark.functions import people, terms
+
 DATE = re.compile(
-    r"(?P<y>\d{4})[-/.](?P<m>\d{1,2})[-/.](?P<d>\d{1,2})|(?P<mon>[A-Za-z]{3,9})\.? (?P<d2>\d{1,2})(?:st|nd|rd|th)?,? (?P<y2>\d{4})|(?P<d3>\d{1,2})(?:st|nd|rd|th)? (?P<mon2>[A-Za-z]{3,9})\.? (?P<y3>\d{4})"
+    r"(?P<y>\d{4})(?P<sep>[-/.])(?P<m>\d{1,2})(?P=sep)(?P<d>\d{1,2})(?!\d)|(?<!\d)(?P<d1>\d{1,2})[/.](?P<m1>\d{1,2})[/.](?P<y1>\d{4})|(?P<yk>\d{4})\s*년\s*(?P<mk>\d{1,2})\s*월\s*(?P<dk>\d{1,2})\s*일"
+    r"|(?P<mon>[A-Za-z]{3,9})\.?[ -](?P<d2>\d{1,2})(?:st|nd|rd|th)?(?:, ?|[ -])(?P<y2>\d{4})|(?P<d3>\d{1,2})(?:st|nd|rd|th)?[ -](?P<mon2>[A-Za-z]{3,9})\.?[ -](?P<y3>\d{4})"
 )
-DUE = re.compile(r"(?i)deadline|apply by|closing date|applications? (?:due|close)|must be received by")
+DUE = re.compile(r"(?i)deadline|apply by|closing date|applications? (?:due|close)|must be received by|마감|(?:접수|모집)\s*기간|지원\s*기한")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 LINK = re.compile(r"https?://[^\s<>\"')\]]+")
 SECTIONS = {
-    "requirements": r"requirements?|qualifications?|your profile|what you bring",
-    "responsibilities": r"responsibilities|duties|your tasks|what you will do",
-    "conditions": r"we offer|benefits|conditions|what we offer",
-    "materials": r"how to apply|application (?:materials|documents)|to apply",
+    "requirements": r"requirements?|(?:minimum |basic |required )?qualifications?|your profile|what you bring|지원\s*자격|응시\s*자격|자격\s*(?:요건|조건)",
+    "preferred": r"(?:preferred|desired|desirable) (?:qualifications?|skills|experience)|nice to have|우대\s*(?:사항|조건)",
+    "responsibilities": r"(?:key )?responsibilities|duties|your tasks|what you will do|담당\s*업무|수행\s*업무|직무\s*내용",
+    "conditions": r"we offer|benefits|conditions|what we offer|근무\s*조건|복리\s*후생",
+    "materials": r"how to apply|application (?:materials|documents|procedure)|to apply|제출\s*서류|구비\s*서류",
 }
-HEADER = re.compile("(?im)^[ \t#*]*(?:" + "|".join(f"(?P<{k}>{v})" for k, v in SECTIONS.items()) + r")[ \t*]*:?[ \t]*$|(?i:\b(?:" + "|".join(f"(?P<{k}_>{v})" for k, v in SECTIONS.items()) + r")):")
-MONEY = re.compile(r"(?:[$€£]|USD|EUR|GBP)\s?\d[\d.,]*\d(?:\s?(?:-|–|to)\s?(?:[$€£]|USD|EUR|GBP)?\s?\d[\d.,]*\d)?(?:\s?(?:per|a|/)\s?(?:year|month|hour))?")
-SPAN = re.compile(r"(?i)\b(\d{1,2}|one|two|three|four|five|six)[- ](year|month)s?\b")
-LEADER = re.compile(r"(?:laboratory|lab|group|supervision|supervised by|led by|PI:?)(?: of| with)?:? (?:Prof(?:essor|\.)?|Dr\.?)? ?((?:[A-Z][\w'’-]+ ){1,2}[A-Z][\w'’-]+)")
+_ANY = lambda tail: "|".join(f"(?P<{k}{tail}>{v})" for k, v in SECTIONS.items())
+HEADER = re.compile("(?im)^[ \t#*]*(?:" + _ANY("") + r")[ \t*]*[:：]?[ \t]*$|(?i:(?<!\w)(?:" + _ANY("_") + r"))[:：]")
 
-NAMES = "deadline contact_email info_urls salary duration leader summary requirements responsibilities conditions materials".split()
+NAMES = "deadline contact_email info_urls salary duration start_date degree contract leader summary requirements preferred responsibilities conditions materials".split()
 FIELDS = T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "info_urls" else T.StringType()) for n in NAMES])
 
 
 def dates(text: str) -> list[tuple[int, str]]:
-    """(place, ISO date) of every date in the usual notations; impossible ones are left out."""
+    """(place, ISO date) of every date in the usual notations; impossible ones are left out. Of two numbers before a
+    year the first is the day, unless only the second can be."""
     found = []
     for m in DATE.finditer(text):
         g = m.groupdict()
-        month = g["m"] or MONTHS.get((g["mon"] or g["mon2"] or "")[:3].lower())
-        year, day = g["y"] or g["y2"] or g["y3"], g["d"] or g["d2"] or g["d3"]
-        if month and 1 <= int(month) <= 12 and 1 <= int(day) <= 31:
-            found.append((m.start(), f"{int(year):04d}-{int(month):02d}-{int(day):02d}"))
+        year, day = g["y"] or g["y1"] or g["yk"] or g["y2"] or g["y3"], g["d"] or g["d1"] or g["dk"] or g["d2"] or g["d3"]
+        month = g["m"] or g["m1"] or g["mk"] or terms.MONTHS.get((g["mon"] or g["mon2"]).lower(), 0)
+        if g["m1"] and int(month) > 12:
+            day, month = month, day
+        try:
+            found.append((m.start(), datetime.date(int(year), int(month), int(day)).isoformat()))
+        except ValueError:
+            continue
     return found
 
 
@@ -76,15 +84,12 @@ def fields(text: str | None) -> dict:
     if not text:
         return {}
     out = sections(text)
-    found = lambda p: (m := p.search(text)) and m.group(m.lastindex or 0)
-    money, span = MONEY.search(text), SPAN.search(text)
-    return out | {
+    told = {name: read(text) or None for name, read in terms.READERS.items()}
+    return out | told | {
         "deadline": deadline(text),
         "contact_email": contact(text),
         "info_urls": list(dict.fromkeys(u.rstrip(".,;") for u in LINK.findall(text)))[:3],
-        "salary": money and money.group(),
-        "duration": span and span.group(),
-        "leader": found(LEADER),
+        "leader": people.leader(text),
     }
 
 
@@ -104,14 +109,15 @@ def posting(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, _fields(F.col(text)).alias("f")).select(key, "f.*")
 
 
-# Labels and the patterns that call for them, in order.
-CONTRACTS = [("Full-time", r"full[- ]time"), ("Part-time", r"part[- ]time"), ("Fixed-term", r"fixed[- ]term|limited to|temporary"), ("Permanent", r"\bpermanent\b|tenure"), ("Renewable", r"renewable|possibility of extension")]
-DEGREES = [("Doctorate", r"\bph\.?\s?d\b|doctorate|doctoral degree"), ("Master", r"\bm\.?sc\b|master'?s"), ("Bachelor", r"\bb\.?sc\b|bachelor")]
+#: Labels of skills and the patterns that call for them, in order.
 SKILLS = [("Python", r"\bpython\b"), ("R", r"\bprogramming in r\b|\br studio\b|\brstudio\b"), ("Sequencing", r"sequencing|\bngs\b"), ("CRISPR", r"crispr"), ("Microscopy", r"microscop"), ("Machine learning", r"machine learning|deep learning"), ("Cloning", r"\bcloning\b"), ("Mass spectrometry", r"mass spec|lc-ms")]
 
 
 def label_columns(text) -> dict:
-    """contract, degree and skills of a text, as column expressions."""
-    from quillmark.functions.text import first_label, labels
+    """contract, the level of the degree, and skills of a text."""
+    from quillmark.functions.text import labels
 
-    return {"contract": F.array_join(labels(text, CONTRACTS), ", "), "degree": first_label(text, DEGREES), "skills": F.array_join(F.slice(labels(text, SKILLS), 1, 10), ", ")}
+    told = terms.terms(text, F.lit(""))
+    low = F.lower(told.degree)
+    level = F.when(low.rlike("^(ph|doctor|박사)"), "Doctorate").when(low != "", "Master")
+    return {"contract": told.contract, "degree": level, "skills": F.array_join(F.slice(labels(text, SKILLS), 1, 10), ", ")}

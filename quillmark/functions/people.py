@@ -1,137 +1,218 @@
 """Who leads: names of principal investigators in postings, titles and web pages.
 
-A name is looked for next to a cue: words such as "supervised by" before it, or "lab" after it. What stands there must
-pass a gate of words that no name begins or ends with. Where only a surname is found ("Badran Lab"), the text is
-searched for the first name that belongs to it.
+Runs of capitalised words are candidates. What stands beside a run, titles left aside, says whether it leads: a role
+("PI:"), a relation ("supervised by", "the group of") before it, or a unit ("Lab") or role behind it. Relations are a
+table of words with ranks; the best rank wins, then the first place. A gate keeps what isn't a person: words of
+postings and fields, and the names of places, which callers may extend. A surname alone ("Badran Lab") is completed
+from elsewhere in the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Collection, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORD = r"[A-ZÀ-ÖØ-Þ][\w'’]+(?:-[A-ZÀ-ÖØ-Þ]?[\w'’]+)*"
-_MIDDLE = r"(?:[A-Z]\.?|van|von|de|der|den|del|da|di|la|le|bin|al|" + _WORD + r")"
-NAME = rf"(?P<name>{_WORD}(?:\s+{_MIDDLE}){{0,2}}?\s+{_WORD})"
-TITLE = r"(?:(?:Prof(?:essor)?|Dr|Doctor|Assoc|Asst|PD)\b\.?[\s,]*)"
-LAB = r"(?:[Ll]ab(?:orator(?:y|ies))?|[Gg]roup|[Tt]eam)"
-
-#: Cues in the order in which they are tried: what stands before a name and what after it.
-CUES = [
-    (rf"{LAB}\s+(?i:of|led by|headed by|directed by)\s+{TITLE}*", ""),
-    (rf"\b(?:PI|(?i:principal\s+investigator|supervisor|advis[eo]r|project\s+(?:leader|coordinator)|program\s+coordinator|reporting\s+to|head\s+of\s+(?:programme|project)))\)?\s*[:=,-]?\s*{TITLE}*", ""),
-    (rf"{TITLE}+", rf"(?:['’]s?)?\s+(?:{LAB}|research)\b"),
-    (rf"(?i:supervision|direction|guidance|mentorship)\s+(?i:of)\s+{TITLE}*", ""),
-    (rf"(?i:contact|inquir(?:y|ies)|questions?|(?:message|send|sent)\s+to|directed\s+to)\s*:?\s*{TITLE}*", r"\s*(?:at\b|@|\(|\[)"),
-    (r"", rf"\s+(?:Lab(?:oratory)?|Group|Team)\b"),
-    (rf"(?i:directed|headed|led|managed|run|supervised|mentored)\s+(?i:by)\s+{TITLE}*", ""),
-    (rf"(?i:join|work\s+with|collaborat\w+\s+with|assist)\s+{TITLE}+", ""),
-    (rf"(?i:in)\s+(?:the\s+)?{TITLE}*", rf"\s+{LAB}\b"),
-    (rf"(?i:mentor(?:ing)?|mentored)\s*(?:(?i:by|is)\s|:)\s*{TITLE}*", ""),
-    (rf"(?i:directed|headed|led|supervised)\s+(?:at|in)\s+\w[\w\s,]{{0,60}}?\s+by\s+{TITLE}*", ""),
-    (rf"\(\s*{TITLE}+", r"\s*[,)]"),
-    (rf"(?i:faculty\s+(?:mentor|advis[eo]r|sponsor)|group\s+leader|lab(?:oratory)?\s+(?:director|head|manager))\s*[:,]?\s*{TITLE}*", ""),
-    (r"", r"\s*,\s*(?i:group\s+leader|lab(?:oratory)?\s+(?:head|director)|principal\s+investigator|project\s+leader)"),
-]
-_COMPILED = [re.compile(before + NAME + after) for before, after in CUES]
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\s\w]")
 _HANGUL = re.compile(r"[가-힣]{2,4}")
-KOREAN = [
-    re.compile(r"(?:연구\s*책임자|책임\s*교수|지도\s*교수|담당\s*교수|소속\s*책임자|PI)\s*[:：\s]\s*(?P<name>[가-힣]{2,4})(?=$|[\s(,/]|교수|박사)"),
-    re.compile(r"(?P<name>[가-힣]{2,4})\s*(?:교수|박사|연구원|선생)(?:님)?의?\s*(?:연구실|랩|Lab)"),
-]
-SURNAME_LABS = [
-    re.compile(rf"(?:Dr|Prof)\.?\s+(?P<name>{_WORD}(?:\s+{_WORD})?)['’]?s?\s+[Ll]ab"),
-    re.compile(rf"(?:^|[\s(\[-])(?P<name>{_WORD}(?:\s+[A-Z]\.?)?\s+{_WORD})['’]s\s+(?:[\w\s]*?\s)?Lab(?:oratory)?\b"),
-    re.compile(r"(?:^|[\s(\[-])(?P<name>[A-Z][a-z]{2,})\s+Lab(?:oratory)?(?=$|[\s)\],.:-])"),
-]
-MENTOR = re.compile(rf"(?i:(?:faculty\s+)?(?:mentor|advis[eo]r|sponsor))\s+{TITLE}*{NAME}")
-
-# Words that begin no name; words that are in no name; words that end no name of two.
-FIRST = frozenset(
-    """the a an this that our their his her about new old full part more all any each perform conduct manage develop lead apply aiming performing further former
-    research senior junior assistant associate postdoctoral postdoc fellow position positions professor profs doc phd msc bsc principal department center centre
-    earth life data cell gene protein human tissue stem drug vaccine plant animal marine tumor tumour cancer infection inflammation immune neural signal network method target
-    biological biomedical clinical computational molecular synthetic structural functional medical pharmaceutical chemical physical genetic genomic metabolic organic analytical
-    developmental evolutionary translational regenerative precision advanced applied basic general specific national international regional global european american central public
-    machine deep transfer digital quantum magnetic electric electron renewable energy climate world news info material collaborative environmental health based list join chapel ridge""".split()
-)
-SCIENCE = frozenset(
-    """biology chemistry physics engineering medicine science sciences research studies technology bioinformatics genomics proteomics metabolomics immunology neuroscience oncology
-    pathology pharmacology physiology biochemistry biophysics microbiology ecology genetics epigenetics field development discovery learning transduction microscopy spectrometry
-    imaging therapy university institute department faculty""".split()
-)
-LAST = frozenset(
-    """dna hr national modelling energy equity signalling signaling employment apply expired status description systems skills schedule leadership networks people harbor harbour
-    acoustics students food management measurement screening characterization calibration biotechnology have and from with at the for or in on of to""".split()
-)
-NOT_A_LAB = FIRST | SCIENCE | LAST | frozenset("virtual federal mobile special teaching testing training fabrication innovation computer media design muscle time alamos prague wallenberg".split())
+_POSSESSIVE = re.compile(r"['’]s?$")
+TITLES = {"prof", "professor", "dr", "doctor", "assoc", "asst", "pd"}
+PARTICLES = {"van", "von", "de", "der", "den", "del", "da", "di", "la", "le", "bin", "al"}
+UNITS = {"lab", "labs", "laboratory", "laboratories", "group", "team"}
+
+#: Words that are in no name: those of sentences, of posts and places of work, and of fields and their methods.
+SENTENCE = frozenset("a an the this that these our their his her its your my we you they it and or of in on at to for from with by as is are be will have has now here all any each more about new old full full-time part part-time please apply join see read view learn click contact work working perform conduct manage develop lead post expired current open next last first further former general special national international regional global federal public central virtual".split())
+WORK = frozenset("research researcher scientist science sciences scientific senior junior assistant associate postdoctoral postdoc post-doc fellow fellowship position positions job jobs career employment application applications candidate candidates student students staff people faculty professor doctor doc phd msc bsc principal investigator director head leader manager mentor advisor adviser supervisor department division institute institution university college school academy center centre hospital clinic company program programme project projects office unit lab labs laboratory group team teams campus foundation society council ministry agency network networks status description schedule skills leadership training teaching funding equity benefits food resources".split())
+FIELD = frozenset("life earth data cell cells gene genes genetic genomic protein proteins human tissue tumor tumour cancer stem drug vaccine plant plants animal marine immune neural signal brain medicine medical clinical biomedical biological computational molecular synthetic structural functional pharmaceutical chemical physical metabolic organic analytical translational precision advanced applied machine deep digital quantum renewable energy climate environmental health therapy discovery design learning engineering sequencing imaging editing computing modelling modeling signalling signaling screening testing manufacturing technology technologies systems material materials management measurement development evolution language vision robotics nutrition acoustics".split())
+NOT_NAMES = SENTENCE | WORK | FIELD
+_FIELD_ENDINGS = ("ology", "omics", "istry", "physics", "iatry", "ometry", "ography", "genetics")
+#: Directions and the like that begin names of places and of no person.
+_PLACE_BEGINNINGS = {"united", "north", "south", "east", "west", "northern", "southern", "eastern", "western", "los", "las", "fort", "port", "cape", "mount", "lake", "upper", "lower", "great", "republic", "saudi", "costa"}
+#: Places that read like names of persons. Callers give more of their own.
+PLACES = frozenset({"san francisco", "san diego", "san jose", "san antonio", "santa barbara", "santa cruz", "santa fe", "salt lake", "ann arbor", "palo alto", "hong kong", "sri lanka", "puerto rico", "el salvador", "buenos aires", "rio de janeiro", "sao paulo", "tel aviv", "abu dhabi", "kuala lumpur", "ho chi minh", "de kalb", "baton rouge", "des moines", "chapel hill", "cold spring", "cold spring harbor", "woods hole", "oak ridge", "los alamos"})
+
+
+class Run(NamedTuple):
+    words: tuple[str, ...]
+    begin: int  # tokens
+    end: int
+    possessive: bool
+
+    @property
+    def name(self) -> str:
+        return " ".join(self.words)
+
+
+def _plain(word: str) -> str:
+    return _POSSESSIVE.sub("", word).lower()
+
+
+def _word_of_name(word: str) -> bool:
+    """Could this be a given name or a surname by how it is written?"""
+    bare = _POSSESSIVE.sub("", word)
+    low = bare.lower()
+    if len(bare) < 2 or not bare[0].isupper() or low in NOT_NAMES or low.endswith(_FIELD_ENDINGS) or low in UNITS or low in TITLES:
+        return False
+    if bare.isupper() and len(bare) <= 4:
+        return False
+    return not low.isascii() or bool(re.search("[aeiouy]", low))
 
 
-def is_name(name: str | None) -> bool:
-    """Does this read as a person's full name?"""
-    if not name or len(name.strip()) < 4:
-        return bool(name and _HANGUL.fullmatch(name))
+def _place(words: list[str], places: Collection[str]) -> bool:
+    low = [w.lower().rstrip(".,;:") for w in words]
+    starts = [" ".join(low[:k]) for k in range(2, len(low) + 1)]
+    return low[0] in _PLACE_BEGINNINGS or any(s in PLACES or s in places for s in starts)
+
+
+def is_name(name: str | None, places: Collection[str] = ()) -> bool:
+    """Does this read as a person's full name? ``places``, in lower case, are names of places besides the known ones."""
+    if not name:
+        return False
     if _HANGUL.fullmatch(name):
         return True
-    words = [w.lower().rstrip(".,;:") for w in name.split()]
-    if len(words) < 2 or not name[0].isupper():
+    words = name.split()
+    if len(words) < 2 or len(name.strip()) < 4 or _place(words, places):
         return False
-    return words[0] not in FIRST and not SCIENCE.intersection(words) and not (len(words) == 2 and words[1] in LAST) and words[1] not in {"and", "from", "with", "at", "the", "for", "or", "in", "on", "of", "to"}
-
-
-def _cleaned(name: str) -> str:
-    """Without a possessive, and without words before it that begin no name."""
-    words = re.sub(r"['’]s?$", "", name.strip()).split()
-    while len(words) > 2 and words[0].lower() in FIRST:
-        del words[0]
-    return " ".join(words)
+    inner = lambda w: w.lower() in PARTICLES or re.fullmatch(r"[^\W\d_]\.?", w) is not None
+    ends = [w.rstrip(".,;:") for w in (words[0], words[-1])]
+    first = _word_of_name(ends[0]) or (len(words) > 2 and re.fullmatch(r"[A-ZÀ-Þ]", ends[0]) is not None)
+    return first and _word_of_name(ends[1]) and all(inner(w) or _word_of_name(w.rstrip(".,;:")) for w in words[1:-1])
+
+
+def _runs(t: list[str]) -> Iterator[Run]:
+    """The longest runs of words of a name: given names, initials and particles, up to four; single words as well."""
+    i = 0
+    while i < len(t):
+        if not _word_of_name(t[i]) or t[i].lower() in PARTICLES:
+            i += 1
+            continue
+        begin, words, end, own = i, [_POSSESSIVE.sub("", t[i])], i + 1, bool(_POSSESSIVE.search(t[i]))
+        k, pending = i + 1, []
+        while not own and k < len(t) and len(words) + len(pending) < 4:
+            if len(t[k]) == 1 and t[k].isalpha() and t[k].isupper():
+                pending.append(t[k] + "." * (k + 1 < len(t) and t[k + 1] == "."))
+                k += len(pending[-1])
+            elif t[k].lower() in PARTICLES and not t[k][0].isupper():
+                pending.append(t[k])
+                k += 1
+            elif _word_of_name(t[k]):
+                own = bool(_POSSESSIVE.search(t[k]))
+                words += [*pending, _POSSESSIVE.sub("", t[k])]
+                pending, k = [], k + 1
+                end = k
+            else:
+                break
+        yield Run(tuple(words), begin, end, own)
+        i = max(end, i + 1)
+
+
+#: Relations: what ends right before a name (titles, "the" and signs left aside), by rank. | parts alternatives of a word.
+BEFORE = (
+    (1, "lab|laboratory|laboratories|group|team of"),
+    (1, "lab|laboratory|laboratories|group|team led|headed|directed|run by"),
+    (2, "pi"),
+    (2, "principal investigator"),
+    (2, "supervisor|advisor|adviser"),
+    (2, "project|group leader"),
+    (2, "project|program|programme coordinator"),
+    (2, "head of project|programme|program"),
+    (2, "lab|laboratory director|head|manager"),
+    (2, "reporting to"),
+    (4, "supervision|direction|guidance|mentorship of"),
+    (7, "directed|headed|led|managed|run|supervised|mentored by"),
+    (10, "mentor"),
+    (10, "mentor is"),
+    (10, "faculty sponsor"),
+)
+_BEFORE = tuple((rank, tuple(frozenset(w.split("|")) for w in phrase.split())) for rank, phrase in BEFORE)
+CONTACTS = {"contact", "inquiry", "inquiries", "enquiries", "question", "questions", "message", "directed"}
+COMPANY = {"join", "with", "assist"}
+ROLES_BEHIND = (("group", "leader"), ("lab", "head"), ("laboratory", "head"), ("lab", "director"), ("laboratory", "director"), ("principal", "investigator"), ("project", "leader"))
+
+
+def _rank(t: list[str], run: Run) -> int | None:
+    """How well the words beside a run say that it leads: 1 is best; None if nothing does."""
+    k, titled, signs = run.begin - 1, False, set()
+    while k >= 0 and (t[k].lower() in TITLES or t[k] in ".,:=-–()" or t[k].lower() == "the"):
+        titled |= t[k].lower() in TITLES
+        if t[k] == "." and not titled and t[k - 1].lower() not in TITLES:
+            break
+        signs.add(t[k])
+        k -= 1
+    before = [w.lower() for w in t[max(0, k - 5) : k + 1]]
+    after = [w.lower() for w in t[run.end : run.end + 4]]
+    ranks = [rank for rank, phrase in _BEFORE if len(before) >= len(phrase) and all(w in p for w, p in zip(before[-len(phrase) :], phrase))]
+    unit = bool(after) and after[0] in UNITS
+    if titled and (unit or run.possessive or after[:1] == ["research"]):
+        ranks.append(3)
+    if CONTACTS.intersection(before[-2:]) and after[:1] and after[0] in ("at", "@", "(", "["):
+        ranks.append(5)
+    if unit and t[run.end][0].isupper():
+        ranks.append(6)
+    if titled and before and before[-1] in COMPANY:
+        ranks.append(8)
+    if unit and before and before[-1] == "in":
+        ranks.append(9)
+    if "by" in before[-1:] and re.search(r"\b(directed|headed|led|supervised) (at|in) ", " ".join(w.lower() for w in t[max(0, k - 14) : k + 1])):
+        ranks.append(11)
+    if titled and "(" in signs and after[:1] and after[0] in ")," :
+        ranks.append(12)
+    if after[:1] == [","] and tuple(after[1:3]) in ROLES_BEHIND:
+        ranks.append(13)
+    return min(ranks, default=None)
+
+
+KOREAN_ROLES = ("연구책임자", "책임교수", "지도교수", "담당교수", "소속책임자", "PI")
+_KOREAN = re.compile(r"(?:" + "|".join(r"\s*".join(re.escape(c) for c in w) for w in KOREAN_ROLES) + r")\s*[:：\s]\s*([가-힣]{2,4})(?=$|[\s(,/]|교수|박사)|([가-힣]{2,4})\s*(?:교수|박사|연구원|선생)(?:님)?의?\s*(?:연구실|랩|Lab)")
+
+
+def _of_unit(t: list[str], places: Collection[str]) -> str | None:
+    """The first run, one word or a full name, that a lab is named after."""
+    for run in _runs(t):
+        named = run.end < len(t) and t[run.end].lower() in ("lab", "laboratory") and (t[run.end][0].isupper() or run.possessive or t[run.begin - 1] in (".", "Dr", "Prof"))
+        if named and len(run.name) >= 3 and (is_name(run.name, places) if len(run.words) > 1 else run.words[0].lower() not in places):
+            return run.name
+    return None
 
 
-def full_name(surname: str | None, text: str | None) -> str | None:
-    """The first name that the text gives the surname, and the surname."""
+def full_name(surname: str | None, text: str | None, places: Collection[str] = ()) -> str | None:
+    """The full name that the text gives with the surname, one with a title before it first."""
     if not surname or not text:
         return None
-    flat, last = re.sub(r"\s+", " ", text), re.escape(surname)
-    for pattern in (rf"{TITLE}+(?P<first>{_WORD}(?:\s+[A-Z]\.?)?)\s+{last}\b", rf"\b(?P<first>[A-Z][a-z]{{2,}}(?:\s+[A-Z]\.)?)\s+{last}\b"):
-        for m in re.finditer(pattern, flat):
-            if is_name(found := f"{m['first']} {surname}"):
-                return found
-    return None
+    t = _TOKEN.findall(text)
+    runs = [r for r in _runs(t) if len(r.words) > 1 and r.name.endswith(" " + surname) and is_name(r.name, places)]
+    titled = [r for r in runs if {x.lower() for x in t[max(0, r.begin - 2) : r.begin]} & TITLES]
+    return next((r.name for r in (*titled, *runs)), None)
 
 
-def _of_lab(text: str) -> str | None:
-    for pattern in SURNAME_LABS:
-        for m in pattern.finditer(text):
-            name = _cleaned(m["name"])
-            if len(name) >= 3 and name.lower() not in NOT_A_LAB and (" " not in name or is_name(name)):
-                return name
-    return None
-
-
-def in_title(title: str | None) -> str | None:
+def in_title(title: str | None, places: Collection[str] = ()) -> str | None:
     """The name in a title such as "Badran Lab" or "faculty mentor Ada Byron"."""
-    if not title:
-        return None
-    m = MENTOR.search(title)
-    if m and is_name(m["name"]):
-        return m["name"]
-    return _of_lab(title)
-
-
-def leader(text: str | None) -> str | None:
-    """The name of who leads, by the first cue that has one; a surname alone if that is all there is."""
+    t = _TOKEN.findall(title or "")
+    for run in _runs(t):
+        k = run.begin - 1
+        while k >= 0 and (t[k].lower() in TITLES or t[k] in ".:,"):
+            k -= 1
+        if k >= 0 and t[k].lower() in ("mentor", "advisor", "adviser", "sponsor") and is_name(run.name, places):
+            return run.name
+    return _of_unit(t, places)
+
+
+def leader(text: str | None, places: Collection[str] = ()) -> str | None:
+    """The name of who leads, by the best cue that has one; a surname alone if that is all there is."""
     if not text:
         return None
-    flat = re.sub(r"\s+", " ", text)
-    for pattern in (*KOREAN, *_COMPILED):
-        for m in pattern.finditer(flat):
-            if is_name(name := _cleaned(m["name"])):
-                return name
-    surname = _of_lab(flat)
-    return surname and (full_name(surname, flat) or surname)
+    if m := _KOREAN.search(re.sub(r"\s+", " ", text)):
+        return m[1] or m[2]
+    t = _TOKEN.findall(text)
+    ranked = ((rank, run.begin, run.name) for run in _runs(t) if len(run.words) > 1 and is_name(run.name, places) and (rank := _rank(t, run)) is not None)
+    if best := min(ranked, default=None):
+        return best[2]
+    surname = _of_unit(t, places)
+    return surname and (full_name(surname, text, places) or surname)
 
 
 @F.pandas_udf(T.StringType())

@@ -184,14 +184,21 @@ def grouped(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESH
     return jobs.join(roots.select(F.col("node").alias("__k"), "root"), F.col(key).cast("long") == F.col("__k"), "left").withColumn("grp", F.coalesce("root", F.col(key).cast("long"))).drop("__k", "root")
 
 
-def deduplicated(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESHOLD, fill: list[str] | None = None) -> DataFrame:
+def deduplicated(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESHOLD, fill: list[str] | None = None, order: str = "components") -> DataFrame:
     """One posting for each group of duplicates, fused in the order of ``key``, with ``merged`` and ``alt_urls``: the
     (url, source) of the others that came from other sources, where a leader is known.
 
-    Groups are connected components: postings that only a third one ties together are one, in whatever order
-    they came.
+    By default groups are connected components: postings that only a third one ties together are one, in whatever order
+    they came. With ``order="greedy"`` postings come one by one in the order of ``key``, and each joins the first group it
+    is found to belong to, as that group stands by then (``greedy.ordered_groups``; likenesses are those of ``ratio``).
     """
-    held, _ = cut(grouped(jobs, key, likeness, threshold), "grouped")
+    if order == "greedy":
+        from quillmark.operators.greedy import ordered_groups
+
+        placed_ = ordered_groups(jobs, key, threshold).withColumnRenamed("k", "__k")
+        held, _ = cut(jobs.join(placed_, F.col(key).cast("long") == F.col("__k")).drop("__k"), "grouped")
+    else:
+        held, _ = cut(grouped(jobs, key, likeness, threshold), "grouped")
     fill = [c for c in (FILL if fill is None else fill) if c in jobs.columns]
     also = [c for c in jobs.columns if c not in (key, "description", *fill)]
     best = fuse(held, "grp", key, "description", fill, also)

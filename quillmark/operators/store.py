@@ -73,11 +73,19 @@ def exported(store: DataFrame, keys: DataFrame, key: str, status: str = "status"
     return store.join(marked, key, "left").withColumn(status, F.when(F.col("__out") & (F.col(status) != "dismissed"), "exported").otherwise(F.col(status))).drop("__out")
 
 
-def upsert_edges(store: DataFrame, new: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Undirected edges (a, b, shared, recent) after ``new`` came in either orientation: the greater share, the latest
-    year, one row for each pair."""
-    both = store.unionByName(new).withColumns({a: F.least(a, b), b: F.greatest(a, b)})
-    return both.groupBy(a, b).agg(F.max("shared").alias("shared"), F.max("recent").alias("recent"))
+def upsert_edges(store: DataFrame, new: DataFrame, a: str = "a", b: str = "b", order: list | None = None) -> DataFrame:
+    """Undirected edges (a, b, shared, recent) after those of ``new`` (a, b, shared) came one by one in the order of
+    ``order`` (columns of ``new``; by default the lesser share first), in either orientation. An edge that isn't there
+    yet is put in with what it shares as ``recent``; each later one raises ``shared`` if it has more, and counts
+    one in ``recent``. One row for each pair."""
+    turned = lambda df: df.withColumns({a: F.least(a, b), b: F.greatest(a, b)})
+    first = F.struct(*(order or ["shared"]), F.col("shared").alias("__shared"))
+    came = turned(new).groupBy(a, b).agg(F.max("shared").alias("__most"), F.min(first).getField("__shared").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    known = turned(store).select(a, b, "shared", "recent")
+    both = known.join(came, [a, b], "full")
+    kinds = {f.name: f.dataType for f in store.schema}
+    recent = F.when(F.col("__n").isNull(), F.col("recent")).when(F.col("recent").isNull(), F.col("__first") + F.col("__n") - 1).otherwise(F.col("recent") + F.col("__n"))
+    return both.select(a, b, F.greatest("shared", "__most").cast(kinds["shared"]).alias("shared"), recent.cast(kinds["recent"]).alias("recent"))
 
 
 def merge_edges(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:

@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["a00_flagship"](spark, sf_dir)
 
 
-from quillmark.plans import postings, relational, reports, texts  # noqa: E402, F401  (they register themselves)
+from quillmark.plans import extraction, postings, relational, reports, texts  # noqa: E402, F401  (they register themselves)

@@ -245,6 +245,11 @@ def h06(spark, d):
     return dedup.deduplicated(_postings(spark, d), "k").withColumn("alt_urls", F.to_json("alt_urls"))
 
 
+@query("h07_dedup_in_order")
+def h07(spark, d):
+    return dedup.deduplicated(_postings(spark, d), "k", order="greedy").withColumn("alt_urls", F.to_json("alt_urls"))
+
+
 @query(
     "d14_fuse_longest",
     """SELECT c_mktsegment || c_nationkey AS grp, arg_max(c_custkey, (length(c_name), -c_custkey)) AS c_custkey, arg_max(c_name, (length(c_name), -c_custkey)) AS c_name, count(*) AS merged FROM customer GROUP BY 1""",

@@ -14,8 +14,9 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``. Where that is unset, a temporary folder serves a single-JVM session (tests) and
-    the warehouse, which is shared as well, serves a cluster."""
+    """``spark.checkpoint.dir``. Where that is unset, a temporary folder serves a single-JVM session (tests), and on a
+    cluster a folder in the warehouse does, if that is in a store that all machines see; if it isn't, this raises, as every
+    cut would go to each machine's own disk."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -28,7 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, path, ignore_errors=True)
             _LOCAL[app] = "file://" + path
         return _LOCAL[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillmark"
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillmark")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if found.startswith("file:"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share; {found} is on each machine's own disk")
+    return found
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.shared import cut
+
 ITEM = "title string, link string, description string, pubDate string, creator string"
 
 
@@ -73,14 +75,13 @@ def json_records(df: DataFrame, column: str, schema: str, path: str = "$") -> Da
 
 
 def gathered(sources: dict) -> tuple[DataFrame | None, dict[str, str]]:
-    """(the union of those sources that could be opened, with a column ``source``; why the others couldn't). A
-    source is a function without arguments that returns a DataFrame; one that fails doesn't stop the rest."""
+    """(the union of those sources that could be read, with a column ``source``; why the others couldn't). A
+    source is a function without arguments that returns a DataFrame. Each is read by a job of its own into the shared
+    folder, so that one that fails, when it is opened or while it is read, leaves nothing behind and doesn't stop the rest."""
     found, failed = [], {}
     for name, open_ in sources.items():
         try:
-            df = open_()
-            df.schema  # noqa: B018  a plan that can't be analysed fails here
-            found.append(df.withColumn("source", F.lit(name)))
+            found.append(cut(open_(), "source")[0].withColumn("source", F.lit(name)))
         except Exception as e:  # whatever a source raises is its own failure
             failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
     return (union(found) if found else None), failed

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmark.functions import korean, people, terms
+from quillmark.functions import extract, korean, people, terms
 
 
 @pytest.mark.parametrize(
@@ -119,6 +119,115 @@ def test_korean_columns(spark):
     assert [rows[k].ok for k in range(7)] == [True, True, True, True, False, False, False]
 
 
+@pytest.mark.parametrize("name", ["San Francisco", "Los Angeles", "United States", "New York", "North Carolina", "Apply Now", "The Lab", "MIT", "Structural Genomics", "Ada", "Basel Research", ""])
+def test_no_names(name):
+    assert people.is_name(name) is False
+
+
+@pytest.mark.parametrize("name", ["Ahmed H. Badran", "J. Craig Venter", "Ludwig van der Meer", "Zoë Kravitz", "Østergaard Ravn", "Jean-Luc D'Arcy", "Mitchell Ho"])
+def test_more_names(name):
+    assert people.is_name(name) is True
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("The Apply Now Lab. x", None),
+        ("Join us in San Francisco. The team is led by the Cell Biology Group.", None),
+        ("PI: United States Department", None),
+        ("Work with Dr. Ada Byron on proofs. Contact: Grace Hopper (gh@example.org)", "Grace Hopper"),
+        ("The group is headed by Ludwig van der Meer.", "Ludwig van der Meer"),
+        ("Lise Meitner, Principal Investigator", "Lise Meitner"),
+        ("The project is directed at the University of Basel by Dr. Ada Byron.", "Ada Byron"),
+        ("a new position (Dr. Ada Byron) is open", "Ada Byron"),
+        ("Lab Director: Ahmed H. Badran", "Ahmed H. Badran"),
+    ],
+)
+def test_more_leaders(text, want):
+    assert people.leader(text) == want
+
+
+def test_places_are_given_by_the_caller():
+    assert people.is_name("Baton Vert") and not people.is_name("Baton Vert", {"baton vert"})
+    assert people.leader("PI: Baton Vert", {"baton vert"}) is None
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("stipend of 45.500 EUR per annum", "45,500 EUR per annum"),
+        ("Pay range: £35,000 to £40,000/yr", "£35,000 to £40,000/yr"),
+        ("compensation: $22.50 per hour", "$22.50 per hour"),
+        ("TV-L E13/E14", "TV-L E13/E14"),
+        ("Salary: 3 levels; Band 6", "Band 6"),
+        ("3 천만원", "3 천만원"),
+        ("₩60,000,000", "₩60,000,000"),
+        ("part 5 of 7", ""),
+    ],
+)
+def test_more_pay(text, want):
+    assert terms.salary(text) == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("appointment of up to three years", "three years"),
+        ("The contract is initially 12 months.", "12 months"),
+        ("renewable for 2 years", "2 years"),
+        ("Duration: until 2027-12-31", "until 2027-12-31"),
+        ("2026년 3월 31일 근무", ""),
+        ("We pay USD 60,000 per year for 2 years.", "2 years"),
+        ("in 3 years after the PhD, role", ""),
+    ],
+)
+def test_more_durations(text, want):
+    assert terms.duration(text) == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Anticipated start date: September 2026", "September 2026"),
+        ("available from 1 May 2026", "1 May 2026"),
+        ("Commencement = 2026-04-01", "2026-04-01"),
+        ("Begin March-15-2026", "March-15-2026"),
+        ("근무 시작일: 2026.03.01", "2026.03.01"),
+        ("채용 즉시", "채용 즉시"),
+        ("ASAP", "ASAP"),
+        ("founded in March 2020", ""),
+    ],
+)
+def test_more_starts(text, want):
+    assert terms.start_date(text) == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Application deadline: March 15, 2026", "2026-03-15"),
+        ("Deadline: 15 March 2026", "2026-03-15"),
+        ("Closing date: 15/06/2026", "2026-06-15"),
+        ("Deadline: Mar 1, 2026", "2026-03-01"),
+        ("지원 마감: 2026년 3월 31일", "2026-03-31"),
+        ("Closing Date August-8-2021", "2021-08-08"),
+        ("공고일: 2026년 3월 31일", None),
+        ("Deadline 2026-02-30", None),
+        ("Deadline 2026-04-31, then 2026-05-01", "2026-05-01"),
+    ],
+)
+def test_deadlines(text, want):
+    assert extract.deadline(text) == want
+
+
+def test_one_chain():
+    """The chain's columns are those of the extractors; there is no second version."""
+    text = "Postdoc. Salary: $60000 per year. Contract: 2 years, full-time. PhD in Physics. PI: Ada Byron. Start date: May 1, 2026."
+    got = extract.fields(text)
+    assert {n: got[n] for n in terms.READERS} == {n: read(text) for n, read in terms.READERS.items()} == {"salary": "$60,000 per year", "duration": "2 years", "start_date": "May 1, 2026", "degree": "PhD in Physics", "contract": "Full-time, Fixed-term"}
+    assert got["leader"] == people.leader(text) == "Ada Byron"
+
+
 @given(st.text(max_size=150))
 def test_any_text(text):
     people.leader(text), people.in_title(text), terms.salary(text), terms.duration(text), terms.start_date(text), terms.degree(text), terms.contract(text), korean.fields(text)
