@@ -12,7 +12,7 @@ Defined results: a null payload is a record of its own kind, different from an e
 come first; records of one identifier are told apart by their digests, and equal ones counted; a record that the replica
 lacks is ``damaged`` if it has another one of that identifier instead, else ``missing``; one that the catalogue lacks is
 ``extra``; one that stands before or behind others than in the catalogue is ``moved``; empty copies have an empty tree
-and nothing to report; extra columns don't matter.
+and nothing to report; a record longer than a range is a range of its own; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -89,6 +89,18 @@ def ranged(theirs: DataFrame, begin: DataFrame) -> DataFrame:
     return told.where("c > 0").select("id", "digest", "size", "c", "place", F.coalesce("here", "carried", F.lit(0)).alias("range"))
 
 
+def overhang(theirs: DataFrame, ours: DataFrame, range_bytes: int) -> DataFrame:
+    """``theirs``, laid out, with ranges of bounded bytes: what a range of the replica has beyond ``range_bytes`` goes to
+    further ranges, by the replica's own offsets, behind all of the catalogue's. A replica that is longer than its
+    catalogue, or has records behind its end, thus has more leaves and no longer ones; as the catalogue lacks these
+    leaves, all their records are compared."""
+    starts = theirs.groupBy("range").agg(F.min("offset").alias("start"))
+    last = ours.agg(F.coalesce(F.max("range"), F.lit(-1)).alias("last"))  # one row
+    told = theirs.join(starts, "range").crossJoin(F.broadcast(last))
+    beyond = F.col("offset") - F.col("start") >= range_bytes
+    return told.withColumn("range", F.when(beyond, F.col("last") + 1 + F.floor(F.col("offset") / range_bytes)).otherwise(F.col("range")).cast("long")).drop("start", "last")
+
+
 def _joined(order: Column, digest: Column) -> Column:
     """The digest over a node's children in order; a node has few, by size of range or by fan-out."""
     return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), digest.alias("d")))), lambda x: x.d), ""), 256)
@@ -135,7 +147,7 @@ def audit(catalogue: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYT
     ours, _ = cut(laid_out(catalogue.drop("place")).withColumn("range", F.floor(F.col("offset") / range_bytes).cast("long")), "catalogue")
     placed = ranged(replica, beginnings(ours))
     own, _ = cut(placed, "placed")
-    theirs, _ = cut(laid_out(own).select("id", "digest", "size", "c", "range", F.coalesce("place", "offset").alias("offset")), "replica")
+    theirs, _ = cut(overhang(laid_out(own), ours, range_bytes).select("id", "digest", "size", "c", "range", F.coalesce("place", "offset").alias("offset")), "replica")
     bad = mismatching(tree(leaves(ours)), tree(leaves(theirs))).withColumnRenamed("node", "range")
     x, _ = cut(ours.join(bad, "range", "left_semi").select("id", "digest", "size", "c", "range", "offset"), "x")
     y, _ = cut(theirs.join(bad, "range", "left_semi").select("id", "digest", "size", "c", "range", "offset"), "y")

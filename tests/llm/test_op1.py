@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillmark.llm import op1_fixity as op1
 from tests.llm.conftest import SF
 
@@ -70,3 +72,19 @@ def test_repeated_records_without_ids(spark):
     ours, found = op1.audit(*(op1.records(spark.createDataFrame(r, kind)) for r in (rows, other)), range_bytes=500)
     assert sum(r.c for r in ours.collect()) == 61
     assert sorted((r.status, r.n) for r in found.collect()) == [("damaged", 1)] * 3
+
+
+def test_ranges_of_a_long_replica_are_bounded(spark):
+    ours = spark.createDataFrame([(i, "u", "x" * 50) for i in range(3)], "page_id long, url string, html string")
+    long = spark.createDataFrame([(i, "u", "x" * 50 + ("!" if i == 1 else "")) for i in range(10_000)] + [(None, "u", str(i)) for i in range(2_000)], "page_id long, url string, html string")
+    for a, b in ((ours, long), (ours.limit(0), long)):
+        x, y = op1.records(a), op1.records(b)
+        laid = op1.laid_out(x.drop("place")).selectExpr("*", "offset div 4096 as range")
+        placed = op1.overhang(op1.laid_out(op1.ranged(y, op1.beginnings(laid))), laid, 4096)
+        assert max(r.b for r in placed.groupBy("range").agg(F.sum(F.col("size") * F.col("c")).alias("b")).collect()) < 2 * 4096
+        assert placed.count() == 12_000
+        got = op1.audit(x, y, 4096)[1].groupBy("status").agg(F.sum("n").alias("n")).collect()
+        n = a.count()
+        assert {r.status: r.n for r in got} == ({"extra": 11_997, "damaged": 1} if n else {"extra": 12_000})
+    back = op1.audit(op1.records(long), op1.records(ours), 4096)[1].groupBy("status").agg(F.sum("n").alias("n")).collect()
+    assert {r.status: r.n for r in back} == {"missing": 11_997, "damaged": 1}
