@@ -22,7 +22,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, partitions
+from quillmark.llm.common import cut, partitions, remove
 
 BITS = 128
 RADIUS = 6
@@ -96,43 +96,45 @@ def near(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     return index.join(asked, "key").where(differing <= radius).select("q_hi", "q_lo", "hi", "lo").distinct()
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` doc_id reaches, searched in two steps of about their root."""
+def _bucket(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the sorted ``bounds`` the row's (a, h) reaches, searched in two steps of about their root."""
     step = isqrt(len(bounds)) + 1
     chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
-    tops = F.from_json(F.lit(json.dumps([c[0] for c in chunks if c])), "array<bigint>")
-    lists = F.from_json(F.lit(json.dumps(chunks)), "array<array<bigint>>")
-    reached = lambda array: F.size(F.filter(array, lambda b: b <= F.col("doc_id")))
+    pair = "struct<a:bigint,h:bigint>"
+    listed = lambda some: [{"a": a, "h": h} for a, h in some]
+    tops = F.from_json(F.lit(json.dumps(listed(c[0] for c in chunks if c))), f"array<{pair}>")
+    lists = F.from_json(F.lit(json.dumps([listed(c) for c in chunks])), f"array<array<{pair}>>")
+    reached = lambda array: F.size(F.filter(array, lambda b: b <= F.struct("a", "h")))
     at = F.greatest(reached(tops) - 1, F.lit(0))
     return (at * step + reached(F.get(lists, at))).cast("int")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, next_rid, doc_id, text, next_text): every row with the row that follows it.
+    """(rid, next_rid, doc_id, text, next_text): every row with the row that follows it, by doc_id (null ids first), then by
+    the text's hash.
 
-    Rows are dealt to buckets of doc_id ranges, one to a task, by quantiles over all ids. To
-    each bucket goes a copy of the next bucket's first row as well, so texts are shuffled only once.
+    Rows are dealt to buckets, ranges of that order, one to a task; where ranges begin is taken from slim rows, so that
+    rows of one id are spread like any others. To each bucket goes a copy of the next bucket's first row as well, so texts
+    are shuffled only once.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    keyed = src.withColumns({"a": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
     n = 4 * partitions(spark)
-    shares = [i / n for i in range(1, n)]
-    found = src.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("b")).first().b
-    dealt = src.withColumn("bucket", _bucket(sorted(set(found or []))))
-    firsts = sorted(
-        (r.bucket, None if r.nulls else r.first)
-        for r in dealt.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.sum(F.col("doc_id").isNull().cast("long")).alias("nulls")).collect()
-    )  # a row for each bucket
-    follow = [(first, own, firsts[k - 1][0]) for k, (own, first) in enumerate(firsts)]
-    heads = F.broadcast(spark.createDataFrame(follow, "first long, own long, before long"))  # a row for each bucket
+    ordered, path = cut(keyed.select("a", "h").repartitionByRange(n, "a", "h").withColumn("part", F.spark_partition_id()), "order")
+    bounds = sorted(tuple(r.x) for r in ordered.groupBy("part").agg(F.min(F.struct("a", "h")).alias("x")).collect())  # a row for each range
+    remove(spark, path)
+    dealt = keyed.withColumn("bucket", _bucket(bounds[1:]))
+    follow = [(*first, k, (k - 1) % len(bounds)) for k, first in enumerate(bounds)]
+    heads = F.broadcast(spark.createDataFrame(follow, "fa long, fh long, own long, before int"))  # a row for each bucket
     copies = (
-        dealt.join(heads, (F.col("bucket") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy("own", "before")
-        .agg(F.min(F.struct(F.xxhash64("text").alias("th"), F.col("text"))).alias("m"))
-        .select(F.lit(None).cast("long").alias("doc_id"), "m.text", F.col("before").cast("int").alias("bucket"), "own")
+        dealt.join(heads, (F.col("bucket") == F.col("own")) & (F.col("a") == F.col("fa")) & (F.col("h") == F.col("fh")))
+        .groupBy("own", "before", "a", "h")
+        .agg(F.min("text").alias("text"))
+        .select(F.lit(None).cast("long").alias("doc_id"), "text", "a", "h", F.col("before").alias("bucket"), "own")
     )
     rows = dealt.withColumn("own", F.lit(-1).cast("long")).unionByName(copies).repartitionById(n, F.col("bucket"))
-    order = Window.partitionBy("bucket").orderBy(F.col("own") >= 0, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = Window.partitionBy("bucket").orderBy(F.col("own") >= 0, "a", "h")
     own = F.lead("own").over(order)
     rid = F.shiftleft(F.col("bucket").cast("long"), 40) + F.row_number().over(order) - 1
     return (

@@ -75,3 +75,19 @@ def test_near_finds_all_within_radius(spark):
     assert got == {(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= op10.RADIUS}
     with pytest.raises(ValueError):
         op10.near(df, df, 7)
+
+
+def test_rows_of_one_id_are_spread(spark):
+    rows = [(7, f"text {k}") for k in range(10_000)] + [(None, f"none {k}") for k in range(10_000)] + [(1, "a"), (9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = op10.with_next(docs)
+    sizes = [r.n for r in got.groupBy(F.shiftright("rid", 40).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 4 and max(sizes) < 4 * sorted(sizes)[len(sizes) // 2]
+    found = {r.rid: r for r in got.collect()}
+    assert len(found) == 20_002
+    r, seen = found[min(found)], []
+    while r.rid not in seen[:1]:  # a ring through all rows
+        seen.append(r.rid)
+        assert found[r.next_rid].text == r.next_text
+        r = found[r.next_rid]
+    assert len(seen) == 20_002 and [found[k].doc_id for k in seen[:10_000]] == [None] * 10_000 and [found[k].doc_id for k in (seen[10_000], seen[-1])] == [1, 9]
