@@ -12,7 +12,9 @@ that they share. It is built on the driver, where the rules are; each ``PART`` o
 
 Defined results: a null url, or one without ``://``, has an empty host and path and the default verdict;
 repeated rows are judged one by one; an empty table gives an empty table; of a rule given twice the last
-verdict holds; extra columns are kept, whatever their names.
+verdict holds; of rules as long as each other that fit a url the one with the longer host wins, of those the last in
+the order of their characters, in whatever files they stand; a very long url has as many candidates as its host has dots
+times the lengths of rules' paths; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -121,14 +123,20 @@ class Index:
             new = self.candidates(h, p)
             strings += new
             of += [k] * len(new)
-        rules: list[bytes | None] = [None] * len(hosts)
+        rules: list[str | None] = [None] * len(hosts)
         verdicts = [default] * len(hosts)
         places = self.find(strings)
         for j in np.flatnonzero(places >= 0):
-            k, s = of[j], strings[j]
-            if rules[k] is None or len(s) > len(rules[k]):
+            k, s = of[j], strings[j].decode("utf-8", "surrogatepass")
+            if rules[k] is None or weight(s) > weight(rules[k]):
                 rules[k], verdicts[k] = s, VERDICTS[self.verdicts[places[j]]]
-        return [r if r is None else r.decode() for r in rules], verdicts
+        return rules, verdicts
+
+
+def weight(rule: str) -> tuple[int, int, str]:
+    """Of rules that fit a url the one of most weight wins: the longest, of equals the one with the longer host, then the
+    last in the order of their characters; whichever file it stands in."""
+    return len(rule), len(rule.split("/", 1)[0]), rule
 
 
 def parts(rules: dict[str, str], size: int) -> Iterator[dict[str, str]]:
@@ -140,12 +148,12 @@ def parts(rules: dict[str, str], size: int) -> Iterator[dict[str, str]]:
 
 
 def judge(lists: list[Index], hosts: list[str], paths: list[str], default: str = DEFAULT) -> tuple[list[str | None], list[str]]:
-    """The longest rule of all lists for each url, and its verdict."""
+    """The rule of most weight of all lists for each url, and its verdict."""
     rules: list[str | None] = [None] * len(hosts)
     verdicts = [default] * len(hosts)
     for index in lists:
         for k, (rule, verdict) in enumerate(zip(*index.judge(hosts, paths, default))):
-            if rule is not None and (rules[k] is None or len(rule) > len(rules[k])):
+            if rule is not None and (rules[k] is None or weight(rule) > weight(rules[k])):
                 rules[k], verdicts[k] = rule, verdict
     return rules, verdicts
 

@@ -3,7 +3,7 @@
 Two first-order models, of random strings and of ordinary identifiers, are trained from labelled
 samples; a token whose log-likelihood ratio exceeds a threshold is a secret. Random samples are drawn from
 the alphabets that keys use; ordinary ones are words, paths and identifiers joined from words of at most
-``SAMPLE_DOCS`` documents, taken by hash. The threshold is the one that ``FALSE_SHARE`` of the ordinary
+``SAMPLE_DOCS`` documents and ``SAMPLE_BYTES`` of text, taken by hash. The threshold is the one that ``FALSE_SHARE`` of the ordinary
 samples exceed, and at least ``FLOOR``. Judged are all runs of ``LEAST`` or more characters that keys are made of;
 shorter ones are too little evidence for either model, and are found by the patterns only.
 
@@ -38,6 +38,10 @@ LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
 CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SAMPLE_DOCS = 1000
+#: Bytes of their texts, at most; what doesn't fit in what is left is passed over.
+SAMPLE_BYTES = 16 << 20
+#: Words that ordinary identifiers are made of.
+WORD = re.compile(r"(?<!\S)[A-Za-z]{2,15}(?!\w)")
 SAMPLES = 6000
 FALSE_SHARE = 1e-3
 FLOOR = 12.0
@@ -98,15 +102,30 @@ def train(words: list[str]) -> Markov:
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCS) -> Markov:
-    """Train on the distinct words of at most ``sample`` documents."""
+    """Train on the distinct words of at most ``sample`` documents and ``SAMPLE_BYTES`` of text. Tasks take the texts apart;
+    the driver gets their distinct words."""
     keyed = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("k"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     # first the least hashes of distinct texts, which are small, then those texts alone
     last = keyed.select("k").distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
-    rows = keyed.where(F.col("k") <= last).select("t").distinct().limit(sample) if last is not None else keyed.limit(0)
-    words: dict[str, None] = {}
-    for r in rows.collect():
-        words.update(dict.fromkeys(re.findall(r"(?<!\S)[A-Za-z]{2,15}(?!\w)", r.t)))
-    return train(sorted(words))
+    if last is None:
+        return train([])
+    sizes = keyed.where(F.col("k") <= last).groupBy("k").agg(F.max(F.octet_length("t")).alias("size")).orderBy("k").limit(sample).collect()
+    wanted, left = [], SAMPLE_BYTES
+    for k, size in sizes:
+        if size <= left:
+            wanted.append((k,))
+            left -= size
+    few = F.broadcast(docs.sparkSession.createDataFrame(wanted, "k long"))  # at most ``sample`` rows
+    schema = pa.schema([("w", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
+        for batch in rebatched(batches, 256):
+            for t in batch.column("t"):
+                words.update(WORD.findall(t.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], schema=schema)
+
+    return train(sorted(r.w for r in keyed.join(few, "k").select("t").mapInArrow(lean(run), "w string").distinct().collect()))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

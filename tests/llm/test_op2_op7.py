@@ -2,6 +2,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -43,6 +44,28 @@ def test_odd_urls(spark):
     assert sum(r.page_id is None for r in got) == 2 and op2.query(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [1, 2, 5])
+def test_ties_do_not_depend_on_files(spark, part):
+    rules = {"com/abc": "block", "x.com/a": "allow", "y.x.com/": "block", "com/": "allow", "net/a": "block"}
+    urls = {"h://x.com/abc": "x.com/a", "h://y.x.com/abc": "y.x.com/", "h://z.com/abc": "com/abc", "h://b.com/x": "com/", "h://net/": None}
+    for some in (rules, dict(reversed(rules.items()))):
+        pages = spark.createDataFrame([(u,) for u in urls], "url string")
+        got = {r.url: (r.rule, r.verdict) for r in op2.judged(pages, some, part=part).collect()}
+        assert got == {u: (rule, rules[rule] if rule else "allow") for u, rule in urls.items()}
+
+
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    texts = [f"word{chr(97 + k)} " + "x" * 5000 + f" short{chr(97 + k)}" for k in range(20)] + ["huge " * 10_000]
+    docs = spark.createDataFrame([(t,) for t in texts] * 2 + [(None,)], "text string")
+    seen = []
+    monkeypatch.setattr(op7, "train", lambda words: seen.append(words) or "model")
+    assert op7.fit(docs) == "model" and len(seen[-1]) == 41
+    monkeypatch.setattr(op7, "SAMPLE_BYTES", 20_000)
+    op7.fit(docs)
+    assert 6 <= len(seen[-1]) <= 8 and "huge" not in seen[-1]
+    assert op7.fit(docs.where("text is null")) == "model" and seen[-1] == []
+
+
 def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(op2, "keys", lambda strings: np.array([len(s) % 3 for s in strings], np.uint64))
     rules = {f"h{k}.example/{'p' * (k % 5)}": "block" if k % 2 else "allow" for k in range(40)}
