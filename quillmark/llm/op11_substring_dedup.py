@@ -303,12 +303,14 @@ def factored(rows: DataFrame, window: int) -> DataFrame:
 def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, spans): the stretches of words, from row to row by ``rid``, that repeated windows cover; not merged."""
     every, path = cut(anchors(rows, window), "anchors")
-    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    # tables of keys are written before they are joined, so that the other side's hot keys can be split
+    again, keys = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "again")
     places, _ = cut(every.join(again, "h"), "places")
     remove(rows.sparkSession, path)
+    remove(rows.sparkSession, keys)
     key = ["h", "c", "n"]
     unlike, _ = cut(places.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("rid"), F.min_by("s", "rid").alias("s")), "segments")
-    crowds = unlike.groupBy("h").agg(F.count(F.lit(1)).alias("k")).select("h", (F.col("k") > CROWD).alias("crowded"))
+    crowds, _ = cut(unlike.groupBy("h").agg(F.count(F.lit(1)).alias("k")).select("h", (F.col("k") > CROWD).alias("crowded")), "crowds")
     asked = unlike.join(crowds, "h").groupBy("rid").agg(F.collect_list(F.struct("s", *key, "m", "crowded")).alias("found"))  # of a text's own
     texts, _ = cut(_texts(rows.select("rid", "text").join(asked, "rid"), window), "words")
     single, _ = cut(_single_windows(texts.where("crowded"), window), "windows")
