@@ -124,6 +124,23 @@ def j07(spark, d):
     return jobs.drained(found, "update", jobs._latest("user_id"))
 
 
+@query("j08_cache_in_order")
+def j08(spark, d):
+    """Lookups by user and event type, in the order of time however they come; state goes when it has expired."""
+    from quillmark.streaming import expiring
+
+    rocks, name = expiring.ROCKS, "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, rocks)
+    try:
+        calls = jobs.events(spark, d).select("event_id", "ts", "user_id", "event_type")
+        whole = expiring.ended(calls, table(spark, d, "events").agg(F.max("ts").alias("ts")), "user_id", -1)
+        found = expiring.answered(whole, "user_id", expiring.NegativeCache(6 * 3600.0), "coalesce(event_type = 'error', false)", item="coalesce(event_type, '')", order="coalesce(event_id, -1)")
+        return jobs.drained(found, "append", lambda x: x.where("user_id <> -1").groupBy("user_id").agg(F.sum("looked_up").alias("looked_up"), F.sum("skipped").alias("skipped"), F.max("epoch").alias("epoch")))
+    finally:
+        spark.conf.set(name, old)
+
+
 @query(
     "l06_run_log",
     "SELECT event_type, found, errors, CASE WHEN errors = 0 THEN 'ok' WHEN found > 0 THEN 'partial' ELSE 'failed' END AS status FROM (SELECT event_type, count(*) FILTER (WHERE NOT (user_id % 3 = 0 OR event_type = 'error')) AS found, count(*) FILTER (WHERE user_id % 3 = 0 OR event_type = 'error') AS errors FROM (SELECT * REPLACE (CASE WHEN event_type = 'view' THEN 1 ELSE user_id END AS user_id) FROM events) GROUP BY 1)",
