@@ -12,15 +12,17 @@ CITIZENS = (
     r"(?i)U\.?S\.?\s*citizen|citizenship\s+(?:is\s+)?require|must\s+be\s+a?\s*(?:U\.?S\.?|American)\s*citizen|U\.?S\.?\s*persons?\s+only|(?:require|need)s?\s+(?:U\.?S\.?\s*)?(?:security\s+)?clearance|"
     r"\bITAR\b|\bEAR\b.*(?:restrict|require|compliance)|permanent\s+residents?\s+(?:only|eligible|may\s+apply)"
 )
-SOCIAL = "twitter.com x.com linkedin.com facebook.com youtube.com researchgate.net orcid.org github.com wikipedia.org".split()
+SOCIAL = ("twitter.com", "x.com", "linkedin.com", "facebook.com", "youtube.com", "researchgate.net", "orcid.org", "github.com", "wikipedia.org")
 BLOCKED = ["security check", "captcha", "verification successful", "ray id:", "unusual activity", "verifying that you're a real person"]
-ORGANISATIONS = "university institute college school hospital center centre lab".split()
+ORGANISATIONS = ("university", "institute", "college", "school", "hospital", "center", "centre", "lab")
 LEADER = {"h_index": 10, "papers": 15, "recent": 3}
-#: Latin spellings of the commonest Korean surnames.
-SURNAMES = dict(
-    zip("김 이 박 최 정 강 조 윤 장 임 한 오 서 신 권 황 안 송 류 전 홍 고 문 양 손 배 백 허 유 남 심 노 하 곽 성 차 주 우 구 민".split(),
-        "Kim Lee Park Choi Jung Kang Cho Yoon Jang Lim Han Oh Seo Shin Kwon Hwang Ahn Song Ryu Jeon Hong Ko Moon Yang Son Bae Baek Heo Yoo Nam Shim Noh Ha Kwak Sung Cha Joo Woo Koo Min".split())
-)
+# Latin spellings of the commonest Korean surnames.
+SURNAMES = {
+    "김": "Kim", "이": "Lee", "박": "Park", "최": "Choi", "정": "Jung", "강": "Kang", "조": "Cho", "윤": "Yoon", "장": "Jang", "임": "Lim", "한": "Han",
+    "오": "Oh", "서": "Seo", "신": "Shin", "권": "Kwon", "황": "Hwang", "안": "Ahn", "송": "Song", "류": "Ryu", "전": "Jeon", "홍": "Hong", "고": "Ko",
+    "문": "Moon", "양": "Yang", "손": "Son", "배": "Bae", "백": "Baek", "허": "Heo", "유": "Yoo", "남": "Nam", "심": "Shim", "노": "Noh", "하": "Ha",
+    "곽": "Kwak", "성": "Sung", "차": "Cha", "주": "Joo", "우": "Woo", "구": "Koo", "민": "Min",
+}
 
 
 def any_of(text: Column, words: list[str]) -> Column:

@@ -55,7 +55,11 @@ def dedup_title(c) -> Column:
 
 
 # Names of sites, not of places; long names and their short forms, in the order they are replaced.
-SITES = "academic positions; academicpositions; the university; inside higher ed; phdfinder; higher ed jobs; higheredjobs; academickeys; chronicle of higher education; nature careers; nature; the; times higher education; researchgate; scholarshipdb; linkedin; indeed; glassdoor".split("; ")
+SITES = (
+    "academic positions", "academicpositions", "the university", "inside higher ed", "phdfinder", "higher ed jobs", "higheredjobs",
+    "academickeys", "chronicle of higher education", "nature careers", "nature", "the", "times higher education", "researchgate",
+    "scholarshipdb", "linkedin", "indeed", "glassdoor",
+)
 SHORT_FORMS = [
     ("university of california, ", "uc "), ("university of california ", "uc "), ("massachusetts institute of technology", "mit"), ("california institute of technology", "caltech"),
     ("university of north carolina at chapel hill", "unc"), ("university of north carolina", "unc"), ("unc school of medicine", "unc"), ("komen graduate training program ut mdacc", "md anderson"),

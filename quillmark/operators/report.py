@@ -39,11 +39,15 @@ def rows(jobs: DataFrame, as_of: Column) -> DataFrame:
 
 # The columns of a report of postings and of leaders, and the sheets that a whole report has.
 JOB_COLUMNS = (
-    "Tier; Title; PI Name; Institute; Department; Country; Region; Field; Keywords; Position Summary; Responsibilities; Preferred Qualifications; Degree Required; Skills/Techniques; Requirements (Full); Salary; "
-    "Duration; Contract Type; Start Date; Conditions (Full); Posted Date; Deadline; Application Materials; Description; Contact Email; Info URL 1; Info URL 2; Info URL 3; Job URL; Job URL 2; Lab URL; Scholar URL; "
-    "Dept URL; Match Score; Source; Status"
-).split("; ")
-PI_COLUMNS = ["Name", "Institute", "Tier", "Country", "h-index", "Citations", "Fields", "Recommendation Score", "Recent Paper 1", "Recent Paper 2", "Scholar URL"]
+    "Tier", "Title", "PI Name", "Institute", "Department", "Country", "Region", "Field", "Keywords", "Position Summary", "Responsibilities",
+    "Preferred Qualifications", "Degree Required", "Skills/Techniques", "Requirements (Full)", "Salary", "Duration", "Contract Type",
+    "Start Date", "Conditions (Full)", "Posted Date", "Deadline", "Application Materials", "Description", "Contact Email", "Info URL 1",
+    "Info URL 2", "Info URL 3", "Job URL", "Job URL 2", "Lab URL", "Scholar URL", "Dept URL", "Match Score", "Source", "Status",
+)
+PI_COLUMNS = (
+    "Name", "Institute", "Tier", "Country", "h-index", "Citations", "Fields", "Recommendation Score", "Recent Paper 1", "Recent Paper 2",
+    "Scholar URL",
+)
 SHEETS = ("US", "EU", "Korea", "Other", "PIs", "Dashboard")
 
 
