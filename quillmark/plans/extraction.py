@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmark.functions import employer, extract
 from quillmark.operators import fuzzy, gazetteer
 from quillmark.plans.catalog import query
 from quillmark.session import table
@@ -65,3 +66,53 @@ def n02(spark, d):
 def n03(spark, d):
     all_, _ = cut(nodes.nodes(table(spark, d, "pages"), "page_id", "html"), "nodes")
     return nodes.descriptions(all_, "page_id")
+
+
+#: The expected fields of postings that are made of the columns of all parts.
+_FIELDS = """
+WITH x AS (SELECT *, 'Ka' || translate(substr(md5('n' || p_partkey), 1, 6), '0123456789', 'aeiouaeiou') AS sur, DATE '2026-01-01' + (p_partkey % 300)::INT AS begin, DATE '2025-06-01' + (p_partkey % 200)::INT AS due,
+  printf('%.2f', p_retailprice) AS price FROM part)
+SELECT p_partkey, 'EUR ' || CASE WHEN p_retailprice >= 999.995 THEN format('{:,}', split_part(price, '.', 1)::BIGINT) WHEN price LIKE '%.00' THEN split_part(price, '.', 1) ELSE price END || ' per month' AS salary,
+ p_size || ' months' AS duration, strftime(begin, '%B %-d, %Y') AS start_date, 'PhD in ' || p_type AS degree, CASE WHEN p_size % 2 = 0 THEN 'Full-time' ELSE 'Permanent' END AS contract, 'Ada ' || sur AS leader,
+ due::VARCHAR AS deadline, 'jobs@' || lower(sur) || '.example.org' AS contact_email, 'https://' || lower(sur) || '.example.org/' || p_partkey AS info_url, p_name || ' and patience with cells' AS requirements, p_type || ' and free lunches' AS conditions,
+ CASE WHEN p_size % 3 = 0 THEN p_brand || ' is a plus, says the group' END AS preferred FROM x
+"""
+
+
+@query("k07_posting_chain", _FIELDS)
+def k07(spark, d):
+    """All fields of postings made of the columns of all parts, by the one chain."""
+    k, s = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    sur = F.concat(F.lit("Ka"), F.translate(F.substring(F.md5(F.concat(F.lit("n"), k)), 1, 6), "0123456789", "aeiouaeiou"))
+    begin, due = (F.date_add(F.lit(day).cast("date"), (k % n).cast("int")) for day, n in (("2026-01-01", 300), ("2025-06-01", 200)))
+    host = F.concat(F.lower(sur), F.lit(".example.org"))
+    kind = F.when(F.col("p_size") % 2 == 0, "a full-time job").otherwise("a permanent job")
+    plus = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Preferred qualifications:\n"), "p_brand", F.lit(" is a plus, says the group\n"))).otherwise("")
+    text = F.concat(
+        F.lit("We look for someone who likes "), "p_name", F.lit(", "), kind, F.lit(".\nPI: Dr. Ada "), sur, F.lit(". Salary: EUR "), F.format_string("%.2f", "p_retailprice"), F.lit(" per month. Appointment for up to "), s("p_size"),
+        F.lit(" months. Starting date: "), F.date_format(begin, "MMMM d, yyyy"), F.lit(". Closing date: "), due.cast("string"), F.lit(". PhD in "), "p_type", F.lit(".\nContact: jobs@"), host, F.lit(" or https://"), host, F.lit("/"), k.cast("string"),
+        F.lit(" .\nRequirements:\n"), "p_name", F.lit(" and patience with cells\n"), plus, F.lit("We offer:\n"), "p_type", F.lit(" and free lunches\n"),
+    )
+    found = extract.posting(table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    names = ["salary", "duration", "start_date", "degree", "contract", "leader", "deadline", "contact_email"]
+    return found.select("p_partkey", *names, F.get("info_urls", F.lit(0)).alias("info_url"), "requirements", "conditions", "preferred")
+
+
+@query(
+    "k08_employers",
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'University of ' || x WHEN 1 THEN x || ' Institute for Science' ELSE 'Universität ' || x END AS name,
+ CASE c_custkey % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'label' WHEN 2 THEN 'seeks' WHEN 3 THEN 'about' ELSE 'name' END AS kind FROM (SELECT c_custkey, 'Ka' || translate(substr(md5('e' || c_custkey), 1, 6), '0123456789', 'aeiouaeiou') AS x FROM customer)""",
+)
+def k08(spark, d):
+    """Employers of postings made for all customers, each by another kind of evidence."""
+    k = F.col("c_custkey")
+    x = F.concat(F.lit("Ka"), F.translate(F.substring(F.md5(F.concat(F.lit("e"), k)), 1, 6), "0123456789", "aeiouaeiou"))
+    name = F.when(k % 3 == 0, F.concat(F.lit("University of "), x)).when(k % 3 == 1, F.concat(x, F.lit(" Institute for Science"))).otherwise(F.concat(F.lit("Universität "), x))
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit("Postdoc\nOrganisation/Company\n"), name, F.lit("\nDepartment of Physics")))
+        .when(k % 5 == 1, F.concat(F.lit("Postdoc.\nEmployer: "), name, F.lit(", "), F.col("c_mktsegment")))
+        .when(k % 5 == 2, F.concat(F.lit("Our School of Medicine is old. "), name, F.lit(" invites applications")))
+        .when(k % 5 == 3, F.concat(F.lit("We study cells. About "), name, F.lit(". Founded long ago.")))
+        .otherwise(F.concat(F.lit("Work with colleagues from "), name, F.lit(" and others.")))
+    )
+    return table(spark, d, "customer").select("c_custkey", employer.employer_of(text).alias("e")).select("c_custkey", "e.name", "e.kind")
