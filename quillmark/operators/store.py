@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions.text import SITES
+
 
 def filled(c: Column) -> Column:
     """Null where the value is null or an empty string."""
@@ -27,6 +29,63 @@ def upsert(store: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = (
     return left.join(right, key, "full").select(key, *map(merge, value))
 
 
+def _in_turn(new: DataFrame, keys: list[str], order: list | None, empty_counts: bool) -> DataFrame:
+    """One row for each key: of each column the last value that counts, in the order of ``order``."""
+    by = F.struct(*(order or [F.lit(0)]))
+    value = [c for c in new.columns if c not in keys]
+    counts = lambda c: F.col(c).isNotNull() if empty_counts else filled(F.col(c)).isNotNull()
+    return new.groupBy(*keys).agg(*(F.max_by(c, F.when(counts(c), by)).alias(c) for c in value))
+
+
+def upsert_jobs(store: DataFrame, new: DataFrame, tombstones: DataFrame | None = None, sites: tuple[str, ...] = SITES, order: list | None = None) -> DataFrame:
+    """``store`` (url and any columns) after the postings ``new`` came in, in the order of ``order``. Filled values
+    overwrite, but never a status, nothing of a posting that is dismissed, and no institute by the name of a job site, unless
+    what stands there is one too or nothing. Urls that are not there are added, unless they are in ``tombstones`` (url)."""
+    value = [c for c in store.columns if c != "url"]
+    known = new.select(*(c for c in new.columns if c in store.columns), *(order or [])) if order else new.select(*(c for c in new.columns if c in store.columns))
+    known = known.where("url is not null")
+    if "institute" in known.columns:  # among what comes, a site's name gives way as well
+        site = F.lower(F.trim(F.coalesce("institute", F.lit("")))).isin(*sites)
+        known = known.withColumn("__site", F.when(site, F.col("institute"))).withColumn("institute", F.when(~site, F.col("institute")))
+    came = _in_turn(known, ["url"], order, empty_counts=False).withColumn("__came", F.lit(True))
+    have = [c for c in value if c in came.columns]
+    right = came.select("url", "__came", *(["__site"] if "__site" in came.columns else []), *(F.col(c).alias(f"__{c}") for c in have))
+    both = store.withColumn("__here", F.lit(True)).join(right, "url", "full")
+    if tombstones is not None:
+        gone = tombstones.select("url", F.lit(True).alias("__gone")).distinct()
+        both = both.join(gone, "url", "left").where("__here or __gone is null").drop("__gone")
+    fixed = F.col("__here").isNotNull() & (F.coalesce(F.col("status"), F.lit("")) == "dismissed") if "status" in value else F.lit(False)
+
+    def merged(c: str) -> Column:
+        a = F.col(c)
+        if c not in have:
+            return a
+        b = F.col(f"__{c}")
+        if c == "status":
+            return F.when(F.col("__here").isNotNull(), a).otherwise(b)
+        if c == "institute":
+            old_site = F.lower(F.trim(F.coalesce(a, F.lit("")))).isin(*sites)
+            b = F.coalesce(b, F.when(filled(a).isNull() | old_site, F.col("__site")))
+        return F.when(fixed, a).otherwise(F.coalesce(filled(b), a))
+
+    return both.select("url", *(merged(c).alias(c) for c in value)).select(*store.columns)
+
+
+def upsert_people(store: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("name", "institute"), order: list | None = None) -> DataFrame:
+    """``store`` after the people ``new`` came in, in the order of ``order``: known by name and institute, where null is a
+    value like others; what isn't null overwrites, empty strings too; others are added."""
+    value = [c for c in store.columns if c not in keys]
+    came = _in_turn(new.select(*(c for c in new.columns if c in store.columns), *(order or [])), list(keys), order, empty_counts=True)
+    have = [c for c in value if c in came.columns]
+    right = came.select(*(F.col(k).alias(f"__{k}") for k in keys), *(F.col(c).alias(f"__{c}") for c in have), F.lit(True).alias("__came"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = store.withColumn("__here", F.lit(True)).join(right, on, "full")
+    name = lambda k: F.when(F.col("__here").isNotNull(), F.col(k)).otherwise(F.col(f"__{k}")).alias(k)
+    return both.select(*(name(k) for k in keys), *((F.coalesce(F.col(f"__{c}"), F.col(c)) if c in have else F.col(c)).alias(c) for c in value)).select(*store.columns)
+
+
 def insert_or_ignore(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return store.unionByName(new.dropDuplicates([key]).join(store.select(key), key, "left_anti").select(*store.columns))
 
