@@ -138,3 +138,16 @@ def email(counts: list[tuple[str, int]], best: list[tuple[str, str]], title: str
     head = "".join(f"<li>{html.escape(k)}: {n}</li>" for k, n in counts)
     body = "".join(f'<tr><td><a href="{html.escape(u, quote=True)}">{html.escape(t)}</a></td></tr>' for t, u in best)
     return f"<h1>{html.escape(title)}</h1><ul>{head}</ul><table>{body}</table>"
+
+
+def workbook(jobs: DataFrame, people: DataFrame, as_of: Column, key: str = "url", person: str = "name") -> DataFrame:
+    """The whole report as cells (``sources.report_store``): a sheet of postings for each region, the leaders, and the
+    dashboard, which is derived from the same rows in the same job."""
+    from quillmark.sources.report_store import cells
+
+    posts = job_columns(jobs.withColumn("__key", F.col(key)), "__key")
+    posts = cells(posts, sheet(F.col("Region")), "__key")
+    leaders = cells(pi_columns(people.withColumn("__key", F.col(person)), "__key"), F.lit("PIs"), "__key")
+    days = F.datediff(F.col("deadline"), as_of)
+    counts = jobs.select(sheet(F.col("region")).alias("of"), days.alias("days")).rollup("of").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("days").between(0, 7)).alias("week"), F.count_if(F.col("days").between(8, 30)).alias("month"))
+    return posts.unionByName(leaders).unionByName(cells(counts.withColumn("of", F.coalesce("of", F.lit("All"))), F.lit("Dashboard"), "of", 1))
