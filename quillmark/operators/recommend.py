@@ -11,8 +11,8 @@ from quillmark.shared import cut
 
 # The share of each part in the composite.
 WEIGHTS = {"similarity": 0.30, "connection": 0.25, "citation": 0.15, "tier": 0.10, "h_index": 0.20}
-#: Seed vectors of one block, which is broadcast; more seeds take more blocks.
-SEED_BLOCK = 2_000
+#: Vectors of a block of seeds, and of a block of rows.
+SEED_BLOCK, ROW_BLOCK = 2_000, 50_000
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -25,20 +25,25 @@ def cosine(x: Column, y: Column) -> Column:
 
 
 def nearest_seed(rows: DataFrame, seeds: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, best): the greatest cosine of each row with any seed, 0 without seeds.
-
-    Seeds are compared in blocks of ``SEED_BLOCK``, with a running maximum; a block is a matrix in the workers, and the
-    cosines of a batch of rows are one product. Vectors of other lengths are padded with zeros."""
-    spark = rows.sparkSession
-    numbered, _ = cut(seeds.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").distinct(), "seeds")
-    n = numbered.count()
-    out = rows.select(key, F.col(vector).cast("array<double>").alias("v"), F.lit(None).cast("double").alias("best"))
-    schema, blocks = out.schema, max(1, -(-n // SEED_BLOCK))
-    for k in range(blocks):
-        some = [r.v for r in numbered.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == k).collect()]
-        if some:
-            out = out.mapInArrow(_best_of(spark.sparkContext.broadcast(_unit(some))), schema)
-    return out.select(key, F.coalesce("best", F.lit(0.0)).alias("best"))
+    """(key, best): the greatest cosine of each row with any seed, 0 without seeds. Vectors of other lengths are padded with
+    zeros; a null vector is a zero vector.
+
+    Rows and seeds are dealt to blocks of at most about ``ROW_BLOCK`` and ``SEED_BLOCK``. Every two blocks meet in a task,
+    where their cosines are products of matrices, and of each row's maxima over the blocks of seeds the greatest counts. So a
+    row is shuffled once for each block of seeds and a seed once for each block of rows; nothing passes through the driver."""
+    distinct = seeds.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").distinct()
+    few, _ = cut(distinct.withColumn("h", F.xxhash64("v")), "seeds")
+    held, _ = cut(rows.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")), "rows")
+    n_seeds, n_rows = few.count(), held.count()
+    if not n_seeds:
+        return held.select(F.col("key").alias(key), F.lit(0.0).alias("best"))
+    s, r = -(-n_seeds // SEED_BLOCK), max(1, -(-n_rows // ROW_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.select("id", "v", F.pmod("id", F.lit(r)).cast("int").alias("rows"), every(s).alias("seeds"))
+    right = few.select("v", F.pmod("h", F.lit(s)).cast("int").alias("seeds"), every(r).alias("rows"))
+    met = left.groupBy("rows", "seeds").cogroup(right.groupBy("rows", "seeds")).applyInArrow(_best_of, "id long, best double")
+    best = met.groupBy("id").agg(F.max("best").alias("best"))
+    return held.select("id", "key").join(best, "id", "left").select(F.col("key").alias(key), F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -52,20 +57,16 @@ def _unit(vectors: list) -> np.ndarray:
     return out / np.where(size == 0, 1, size)
 
 
-def _best_of(held):
-    def run(batches):
-        seeds = held.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                rows = _unit(part.column("v").to_pylist())
-                width = max(rows.shape[1], seeds.shape[1])
-                pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
-                best = (pad(rows) @ pad(seeds).T).max(axis=1)
-                before = np.array([-2.0 if x is None else x for x in part.column("best").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.maximum(best, before))], names=part.schema.names)
-
-    return run
+def _best_of(rows: pa.Table, seeds: pa.Table) -> pa.Table:
+    """Of each of some rows the greatest cosine with any of some seeds."""
+    known, out = _unit(seeds.column("v").to_pylist()), []
+    for at in range(0, rows.num_rows, 1024):
+        part = _unit(rows.column("v").slice(at, 1024).to_pylist())
+        width = max(part.shape[1], known.shape[1])
+        pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
+        out.append((pad(part) @ pad(known).T).max(axis=1) if len(known) else np.zeros(len(part)))
+    best = np.concatenate(out) if out else np.zeros(0)
+    return pa.table({"id": rows.column("id"), "best": pa.array(best, pa.float64())})
 
 
 def recency(age_years: Column) -> Column:

@@ -159,3 +159,25 @@ def test_components(spark):
 
 def test_no_postings(spark):
     assert dedup.deduplicated(jobs(spark, []), "k").count() == 0
+
+
+def test_nearest_seed_in_blocks(spark, monkeypatch):
+    import math
+
+    from quillmark.operators import recommend
+
+    monkeypatch.setattr(recommend, "SEED_BLOCK", 3)
+    monkeypatch.setattr(recommend, "ROW_BLOCK", 7)
+    rng = random.Random(2)
+    vector = lambda: rng.choice([None, [], [0.0, 0.0], *([[rng.gauss(0, 1) for _ in range(rng.randrange(1, 5))]] * 6)])
+    rows, seeds = [(k % 20, vector()) for k in range(30)], [(k, vector()) for k in range(10)]
+
+    def cosine(a, b):
+        a, b = a or [], b or []
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / size if size else 0.0
+
+    a, b = (spark.createDataFrame(x, "k int, v array<double>") for x in (rows, seeds))
+    got = sorted((r.k, round(r.best, 9)) for r in recommend.nearest_seed(a, b, "k", "v").collect())
+    assert got == sorted((k, round(max(cosine(v, s) for _, s in seeds if s is not None), 9)) for k, v in rows)
+    assert {r.best for r in recommend.nearest_seed(a, b.limit(0), "k", "v").collect()} == {0.0}
