@@ -6,6 +6,7 @@ import os
 import shlex
 from pathlib import Path
 
+import pyspark
 from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
@@ -37,7 +38,7 @@ def submitted() -> set[str]:
             found.add("spark.master")
         elif flag == "--driver-memory":
             found.add("spark.driver.memory")
-    home = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", "/nonexistent"), "conf")
+    home = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "conf")
     defaults = Path(home, "spark-defaults.conf")
     if defaults.exists():
         found |= {line.split("=")[0].split()[0] for line in defaults.read_text().splitlines() if line.strip() and not line.lstrip().startswith("#")}
