@@ -10,7 +10,8 @@ shares a key is compared in full.
 
 Defined results: a null or blank text has fingerprint zero; the next document follows in ascending
 doc_id, nulls first, rows of one id by their texts' hashes; a single row is its own next; repeated rows are kept;
-an empty table gives an empty table; extra columns don't matter.
+a very long text has its votes added as packed sums that don't overflow; an empty table gives an empty table; extra
+columns don't matter.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ of each half's ball, what shares a key is a candidate, and the complete distance
 
 Defined results: a null or blank text has fingerprint zero and links like any other; repeated rows and
 equal fingerprints form one group; a null doc_id takes part but never names a group unless all its
-members' ids are null; an empty table gives an empty table; extra columns are ignored by ``groups`` and
+members' ids are null; a very long text is fingerprinted whole, by
+one row of a batch; an empty table gives an empty table; extra columns are ignored by ``groups`` and
 kept by ``one_of_each``.
 """
 

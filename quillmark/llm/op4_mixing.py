@@ -11,7 +11,7 @@ to blocks, to groups of blocks, to sources, so that a source with most of the ro
 
 Defined results: a null source is a source of its own; null or blank texts have no tokens, and a source
 without any has weight 0 and its documents are taken once; rows of one id and text and source are alike and
-told apart only by number; an empty table gives an empty table; extra columns are kept by ``mixed``.
+told apart only by number; a very long text counts by its tokens like any other and is never cut; an empty table gives an empty table; extra columns are kept by ``mixed``.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ set of windows' lists that occurs. Joins with windows and verdicts are salted, a
 
 Defined results: a null, blank or wordless text has no words, no hits and is clean; repeated items add only
 ids; items without words are left out; words in windows of an item with a null id are hit, but the id isn't
-listed; repeated documents each get a row; extra columns don't matter, and ``clean`` keeps them.
+listed; a very long text is a batch of its own and emits places like others; repeated documents each get a row; extra columns don't matter, and ``clean`` keeps them.
 """
 
 from __future__ import annotations

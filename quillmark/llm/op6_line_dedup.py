@@ -13,7 +13,8 @@ occurrence (by doc_id, then line) are deleted; runs that overlap or meet make up
 
 Defined results: a null text has no lines and stays null; an empty one has a single, empty line; null
 ids come first; of rows of one id the order is that of their texts' hashes; repeated rows are copies of
-each other; a text that is repeated as a whole becomes empty; an empty table gives an empty table; extra columns are kept by ``without_repeats``.
+each other; a text that is repeated as a whole becomes empty; a very long text is as many rows as it has
+lines, dealt like those of others, and a very long line a hash; an empty table gives an empty table; extra columns are kept by ``without_repeats``.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ samples exceed, and at least ``FLOOR``. Judged are all runs of ``LEAST`` or more
 shorter ones are too little evidence for either model, and are found by the patterns only.
 
 Defined results: a null or empty text has no spans; positions count code points, ends are exclusive;
-repeated rows and null ids are kept; an empty table gives an empty table; extra columns are kept by ``scan``.
+repeated rows and null ids are kept; a very long text is searched whole, by one row; an empty table gives an empty table; extra columns are kept by ``scan``.
 """
 
 from __future__ import annotations

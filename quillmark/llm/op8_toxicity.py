@@ -12,7 +12,7 @@ Defined results: a null, blank or wordless text is scored like any other (all po
 padding); rows with a null doc_id are scored and count as not held out; labels that are null or belong
 to no document are ignored, and of contradicting labels of one id the toxic one counts; without usable
 labels of both classes every score is the share of toxic labels, 0 if there are none; of several texts of one id the
-one of least hash is learnt from; extra columns are kept by ``scored`` and ``reject``.
+one of least hash is learnt from; of a very long text all words are pooled; extra columns are kept by ``scored`` and ``reject``.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ names and removes the others, so that lost executors and repeated tasks are harm
 ``SHARD_BYTES``.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows of one id
-are kept, in the order of their texts' hashes; an empty table makes no shard; extra columns are ignored.
+are kept, in the order of their texts' hashes; a very long text is a batch of its own; an empty table
+makes no shard; extra columns are ignored.
 """
 
 from __future__ import annotations
