@@ -3,8 +3,8 @@
 A window of a text is a keyword's length and ``OVER`` characters more, from each place on; its score is the ratio of
 characters in common blocks (Ratcliff-Obershelp). Few windows are scored. To reach a score, a window must share so many
 characters with the keyword, and, as blocks are parted by what isn't shared, so many pairs of neighbours; pairs are
-counted for all windows at once, characters for those that are left, and these are scored from the highest bound down
-until no bound exceeds the best score. Texts pass by once, whatever the number of keywords.
+counted for all windows at once; for those that are left the longest common subsequence is found, many windows at a
+time, and they are scored from the highest bound down until no bound exceeds the best score. Texts pass by once, whatever the number of keywords.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class Keyword:
         self.chars, self.times = np.unique(codes, return_counts=True)
         self.pairs = np.zeros(_TABLE, bool)
         self.pairs[_pairs(codes)] = True
+        self.places = np.array([sum(1 << k for k in np.flatnonzero(codes == c).tolist()) & ((1 << 64) - 1) for c in self.chars], np.uint64)
 
     def needed(self, window: int, threshold: float) -> tuple[int, int]:
         """How many characters, and pairs, a window of this length must share to reach ``threshold``."""
@@ -45,6 +46,20 @@ class Keyword:
         least = int(np.ceil(threshold * both / 2 - 1e-9))
         return least, 3 * least - both - 1  # a break between blocks costs a pair, and an unshared character on a side at least
 
+    def common(self, grid: np.ndarray) -> np.ndarray:
+        """At most how many characters each row of ``grid``, a window, has in common blocks with the keyword: the length of
+        their longest common subsequence, in which blocks lie; of keywords of 64 characters or more, the characters alone."""
+        size = len(self.low)
+        if size >= 64:
+            return sum(np.minimum((grid == c).sum(1), t) for c, t in zip(self.chars, self.times))
+        at = np.minimum(np.searchsorted(self.chars, grid), len(self.chars) - 1)
+        places = np.where(self.chars[at] == grid, self.places[at], np.uint64(0))
+        open_ = np.full(len(grid), np.uint64((1 << 64) - 1))  # a bit for each place that ends no longer subsequence
+        for k in range(grid.shape[1]):
+            used = open_ & places[:, k]
+            open_ = (open_ + used) | (open_ - used)
+        return size - np.bitwise_count(open_ & np.uint64((1 << size) - 1)).astype(np.int64)
+
     def match(self, low: str, codes: np.ndarray, pairs: np.ndarray, threshold: float) -> tuple[float, int, int]:
         """(best score, 0 if it is below ``threshold``; windows; windows that were scored) of a lower-cased text."""
         size, n = len(self.low), len(low)
@@ -66,8 +81,7 @@ class Keyword:
         for at in range(0, len(left), SLICE):
             some = left[at : at + SLICE]
             grid = padded[some[:, None] + np.arange(size + OVER)]
-            common = sum(np.minimum((grid == c).sum(1), t) for c, t in zip(self.chars, self.times))
-            bounds[at : at + SLICE] = 2.0 * common / both[at : at + SLICE]
+            bounds[at : at + SLICE] = 2.0 * self.common(grid) / both[at : at + SLICE]
         for k in np.argsort(-bounds, kind="stable"):
             if bounds[k] < threshold - 1e-12 or bounds[k] <= best:
                 break
