@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from quillmark.functions import extract, korean, people, terms
+from quillmark.functions import employer, extract, korean, people, terms
 from quillmark.functions import text as X
 from quillmark.sources.cards import parse_cards
 
@@ -25,6 +25,8 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("extract_deadline", extract.deadline_of)
     spark.udf.register("extract_pi", people.leader_of)
     spark.udf.register("extract_terms", terms.terms)
+    spark.udf.register("extract_employer", employer.employer_of)
+    spark.udf.register("valid_name", people.valid_name)
     spark.udf.register("korean_fields", korean.korean_fields)
     spark.udtf.register("parse_cards", parse_cards)
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION norm_text(t STRING) RETURNS STRING RETURN trim(regexp_replace(lower(t), '\\s+', ' '))")

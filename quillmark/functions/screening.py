@@ -67,6 +67,7 @@ def needs_browser(html, least: int = 120) -> Column:
 def listing_page(title, text) -> Column:
     """A list of posts that calls itself one: named only by the kind of post, beginning with a count."""
     t, d = F.lower(F.trim(F.coalesce(col(title), F.lit("")))), F.trim(F.coalesce(col(text), F.lit("")))
+    # fixed values: the kinds, and how such a list begins
     return t.isin("postdoctoral", "postdoc", "post-doc") & (d.rlike(r"^\d") | F.contains(d, F.lit("Postdoctoral positions\nFilters")))
 
 

@@ -72,6 +72,7 @@ def dedup_institute(c) -> Column:
     t = fold_latin(F.lower(F.trim(col(c))))
     for long, short in SHORT_FORMS:
         t = F.replace(t, F.lit(long), F.lit(short))
+    # fixed value: the units that are left out behind a dash or comma
     t = F.regexp_replace(t, r"\s*[-–—,]\s*(?:research center|centre|center|faculty|of the [\w\s]+academy|stipendier|stipendiemodul).*$", "")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
     return F.when(t.isin(*SITES) | t.contains("stipendi"), "").otherwise(t)

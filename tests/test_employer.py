@@ -54,6 +54,14 @@ def test_precision_on_built_postings():
     assert set(TEMPLATES) | {"known", "at"} == set(KINDS)
 
 
+def test_sql_names(spark):
+    from quillmark.functions.register import register
+
+    register(spark)
+    got = spark.sql("SELECT extract_employer('Employer: University of Basel').kind AS k, extract_employer('').name AS n, valid_name('Ada Byron') AS v, valid_name('San Francisco') AS w").first()
+    assert (got.k, got.n, got.v, got.w) == ("label", None, True, False)
+
+
 @given(st.text(max_size=200))
 def test_any_text(text):
     employer(text)
