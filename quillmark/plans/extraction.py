@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import employer, extract
-from quillmark.operators import fuzzy, gazetteer
+from quillmark.operators import fuzzy, gazetteer, scoring
 from quillmark.plans.catalog import query
 from quillmark.session import table
 from quillmark.shared import cut
@@ -116,3 +116,25 @@ def k08(spark, d):
         .otherwise(F.concat(F.lit("Work with colleagues from "), name, F.lit(" and others.")))
     )
     return table(spark, d, "customer").select("c_custkey", employer.employer_of(text).alias("e")).select("c_custkey", "e.name", "e.kind")
+
+
+@query(
+    "l09_left_out",
+    """WITH j AS (SELECT o_orderkey, ['Postdoc in cells', 'PhD student in cells', 'Doctoral post-doc of cells', 'Nurse of the ward', 'Professor of cells', 'short', 'Post of ' || year(o_orderdate) || ' in cells', 'Click here for posts'][1 + (o_orderkey % 8)::INT] AS title,
+  CASE WHEN o_custkey % 7 = 0 THEN 'History' ELSE 'cells' END AS field, CASE o_custkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN '' END AS deadline, CASE WHEN o_custkey % 2 = 0 THEN 'Korea' ELSE 'US' END AS region, o_orderdate FROM orders),
+ y AS (SELECT *, lower(title) AS t, nullif(regexp_extract(title, '(20[0-9]{2})', 1), '')::INT AS y FROM j)
+ SELECT o_orderkey, CASE WHEN deadline <> '' AND deadline::DATE < DATE '1998-05-01' THEN 'expired' WHEN y < 1998 THEN 'past year' WHEN coalesce(deadline, '') = '' AND year(o_orderdate) < 1998 THEN 'stale' WHEN field = 'History' THEN 'keyword'
+  WHEN t LIKE '%phd student%' OR t LIKE '%doctoral%' THEN CASE WHEN t LIKE '%post-doc%' THEN NULL ELSE 'student' END WHEN t LIKE '%nurse%' THEN 'not research' WHEN t LIKE '%professor%' AND region <> 'Korea' THEN 'faculty' WHEN length(title) < 10 THEN 'short'
+  WHEN t LIKE '%click here%' THEN 'garbage' END AS why FROM y""",
+)
+def l09(spark, d):
+    """Why a report leaves out each of the postings that are made of all orders."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    titles = ("Postdoc in cells", "PhD student in cells", "Doctoral post-doc of cells", "Nurse of the ward", "Professor of cells", "short", None, "Click here for posts")
+    named = F.array(*(F.lit(t) if t else F.concat(F.lit("Post of "), F.year("o_orderdate"), F.lit(" in cells")) for t in titles))
+    jobs = table(spark, d, "orders").select(
+        "o_orderkey", F.get(named, (k % 8).cast("int")).alias("title"), F.when(c % 7 == 0, "History").otherwise("cells").alias("field"),
+        F.when(c % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(c % 3 == 1, "").alias("deadline"), F.when(c % 2 == 0, "Korea").otherwise("US").alias("region"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted"),
+    )
+    profile = scoring.Profile(exclude=("history",), student_titles=("phd student", "doctoral"), other_titles=("nurse",), faculty_titles=("professor",), garbage_titles=("click here",))
+    return jobs.select("o_orderkey", scoring.left_out(jobs, profile, F.lit("1998-05-01").cast("date")).alias("why"))
