@@ -58,6 +58,14 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all tasks by a hash of all their columns, for work that takes long for each row: a compressed file is
+    read by as few tasks as it has splits, however many rows that is."""
+    spark = df.sparkSession
+    n = max(partitions(spark), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)))
+
+
 def placed(df: DataFrame, part: str = "part", n: int | None = None) -> DataFrame:
     """Rows dealt by the number of their range: one range a task, for windows over ``n`` ranges."""
     return df.repartitionById(n or partitions(df.sparkSession), F.col(part))
