@@ -9,6 +9,7 @@ from quillmark.functions import korean, people, terms
 from quillmark.operators import institutes, ranking, report, store
 from quillmark.plans.catalog import query
 from quillmark.session import table
+from quillmark.shared import spread
 from quillmark.streaming import jobs
 
 #: A ranking over the made-up institutes of ``_places``.
@@ -68,7 +69,7 @@ def k04(spark, d):
         F.lit("A "), F.when(k % 2 == 0, "full-time, fixed-term").otherwise("part-time permanent"), F.lit(" position. Salary: $"), s(50000 + k), F.lit(" per year. Duration: "), s(1 + k % 5),
         F.lit(" years; 7 years of research experience. Starting date: March "), s(1 + k % 28), F.lit(", 2026. PhD in "), "p_name", F.lit("; patience."),
     )
-    return table(spark, d, "part").select("p_partkey", terms.terms(text, F.lit("")).alias("t")).select("p_partkey", "t.*")
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", terms.terms(text, F.lit("")).alias("t")).select("p_partkey", "t.*")
 
 
 _FIRST, _SUR = ["Ahmed", "Maria", "Feng", "Jennifer", "Sarah", "Joanna"], ["Badran", "Garcia", "Zhang", "Doudna", "Basta-Kaim"]
@@ -92,7 +93,7 @@ def k05(spark, d):
         .otherwise(F.concat(F.lit("About "), name, F.lit(", Group Leader")))
     )
     title = F.concat(F.lit("Postdoc in Dr. "), sur, F.lit("'s Lab"))
-    return table(spark, d, "customer").select("c_custkey", people.leader_of(text).alias("leader"), people.leader_in_title(title).alias("of_title"))
+    return spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", people.leader_of(text).alias("leader"), people.leader_in_title(title).alias("of_title"))
 
 
 @query("k06_korean_fields", "SELECT s_suppkey, '한국대학교 ' || s_suppkey AS institute, '연봉 ' || s_suppkey || '만원' AS pay, '합성생물학' AS field, s_suppkey % 3 = 0 AS relevant, CASE WHEN s_suppkey % 3 = 0 THEN '생명과학과' END AS department, (2020 + s_suppkey % 7) || '-03-' || lpad((1 + s_suppkey % 28)::VARCHAR, 2, '0') AS due FROM supplier")
