@@ -50,6 +50,12 @@ def relative(c, as_of: Column) -> Column:
     return F.when(t.rlike(r"ago|yesterday|today|just now"), F.date_sub(as_of, ago))
 
 
+def told(day: Column) -> Column:
+    """A date as text; one before year 1 as "0044-03-15 (BC)", as the oracle's engine writes it, not with a signed year."""
+    early = F.concat(F.lpad((1 - F.year(day)).cast("string"), 4, "0"), F.date_format(day, "-MM-dd"), F.lit(" (BC)"))
+    return F.when(F.year(day) > 0, day.cast("string")).otherwise(early)
+
+
 def urgency_colour(days: Column) -> Column:
     """RRGGBB by the days left: a blend of two colours over 90 days, one of its own once they are over, null without
     a date."""

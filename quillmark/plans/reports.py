@@ -8,6 +8,7 @@ from quillmark.functions import dates
 from quillmark.operators import report, scoring
 from quillmark.plans.catalog import query
 from quillmark.session import table
+from quillmark.shared import spread
 from quillmark.sources import feeds
 
 AS_OF = "1999-01-01"
@@ -103,7 +104,7 @@ def m01(spark, d):
 def m02(spark, d):
     kind, n = F.col("event_type"), F.col("user_id").cast("string")
     text = F.when(kind == "view", "yesterday").when(kind == "click", F.concat(n, F.lit(" weeks ago"))).when(kind == "error", F.concat(n, F.lit("+ months ago"))).when(kind == "signup", "5 hours ago").otherwise(F.concat(n, F.lit(" days ago")))
-    return table(spark, d, "events").select("event_id", dates.relative(text, F.to_date("ts")).cast("string").alias("day"))
+    return table(spark, d, "events").select("event_id", dates.told(dates.relative(text, F.to_date("ts"))).alias("day"))
 
 
 @query("m03_korean_dates", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders")
@@ -141,4 +142,4 @@ def m07(spark, d):
         F.lit("<Set><PubmedArticle><PMID>"), F.col("c_custkey").cast("string"), F.lit("</PMID><ArticleTitle>"), "c_name", F.lit("</ArticleTitle><PubDate><Year>"), (F.col("c_nationkey") + 2000).cast("string"),
         F.lit("</Year></PubDate>"), author(F.lit("First")), author(F.col("c_mktsegment")), F.lit("</PubmedArticle></Set>"),
     )
-    return feeds.articles(table(spark, d, "customer").select(xml.alias("xml")), "xml").select("pmid", "title", "last_author", "year")
+    return feeds.articles(spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")).select(xml.alias("xml")), "xml").select("pmid", "title", "last_author", "year")

@@ -27,10 +27,9 @@ def articles(df: DataFrame, xml: str) -> DataFrame:
     """(pmid, title, year, published, abstract, authors, affiliations, last_author) of each <PubmedArticle> in column
     ``xml``. ``published`` is the date as far as it is given; parts of an abstract are joined by blanks."""
     one = F.regexp_extract_all(F.col(xml), F.lit(r"(?s)(<PubmedArticle\b.*?</PubmedArticle>)"))
-    x = lambda path: F.element_at(F.xpath("a", F.lit(path)), 1)
     lasts, fores = F.xpath("a", F.lit("//Author/LastName/text()")), F.xpath("a", F.lit("//Author/ForeName/text()"))
     return df.select(F.explode(one).alias("a")).select(
-        F.when(F.size(F.xpath("a", F.lit("//PMID/text()"))) > 0, x("//PMID/text()")).alias("pmid"),
+        F.get(F.xpath("a", F.lit("//PMID/text()")), F.lit(0)).alias("pmid"),
         F.xpath_string("a", F.lit("//ArticleTitle")).alias("title"),
         F.xpath_int("a", F.lit("//PubDate/Year")).alias("year"),
         F.concat_ws("-", *(F.when(F.xpath_string("a", F.lit(f"//PubDate/{part}")) != "", F.xpath_string("a", F.lit(f"//PubDate/{part}"))) for part in ("Year", "Month", "Day"))).alias("published"),
