@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmark.functions.text import html_to_text
 
@@ -62,32 +62,46 @@ def parse(html: str | None) -> Page:
     return page
 
 
-RECORD = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("n_links", T.IntegerType()),
-        T.StructField("pairs", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("text", T.StringType()),
-    ]
-)
-LINKS = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())]))
-
-
-@F.pandas_udf(RECORD)
-def _record(s: pd.Series) -> pd.DataFrame:
-    pages = [parse(h) for h in s]
-    return pd.DataFrame({"title": [p.title for p in pages], "n_links": [len(p.links) for p in pages], "pairs": [p.pairs for p in pages], "text": [html_to_text(h) for h in s]})
+#: Pages that are parsed before their records go back, so that what a worker holds doesn't grow with a batch.
+SLICE = 256
 
 
 def records(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", _record(F.col("html")).alias("r")).select("page_id", "url", "r.title", "r.n_links", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("r.pairs")))).alias("pairs"), "r.text")
+    kinds = dict(pages.dtypes)
+    schema = pa.schema([("title", pa.string()), ("n_links", pa.int32()), ("pairs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            out: list[list] = [[], [], [], []]
+            for html in batch.column("html").to_pylist():
+                page = parse(html)
+                for column, v in zip(out, (page.title, len(page.links), list(page.pairs.items()), html_to_text(html))):
+                    column.append(v)
+            arrays = [pa.array(v, f.type) for v, f in zip(out, schema)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *arrays], names=["page_id", "url", *schema.names])
 
-@F.pandas_udf(LINKS)
-def _links(html: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([[{"href": urljoin(u or "", h), "label": t} for h, t in parse(x).links] for x, u in zip(html, url)])
+    found = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, title string, n_links int, pairs map<string,string>, text string")
+    return found.select("page_id", "url", "title", "n_links", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("pairs")))).alias("pairs"), "text")
 
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, href, label) of every link, resolved against its page."""
-    return pages.select("page_id", F.explode(_links("html", "url")).alias("x")).select("page_id", "x.href", "x.label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            at, hrefs, labels = [], [], []
+            for k, (html, url) in enumerate(zip(batch.column("html").to_pylist(), batch.column("url").to_pylist())):
+                for href, label in parse(html).links:
+                    at.append(k)
+                    hrefs.append(urljoin(url or "", href))
+                    labels.append(label)
+            ids = batch.column("page_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(hrefs, pa.string()), pa.array(labels, pa.string())], names=["page_id", "href", "label"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, href string, label string")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)

@@ -1,5 +1,6 @@
 """What keeps work in proportion to its input: rows dealt to all tasks, state and batches that stay small."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +32,13 @@ def test_days_before_year_one(spark):
     told = days.select(dates.told(F.col("d")).alias("d"), dates.told(F.col("e")).alias("e"), dates.told(F.lit(None).cast("date")).alias("n")).first()
     assert told.d == "0442-11-20 (BC)"
     assert told.e == "2024-01-01" and told.n is None
+
+
+def test_pages_are_parsed_in_slices(spark):
+    from quillmark.sources import html
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(600)), "url": ["http://a/"] * 600, "html": ["<a href='b'>c</a>"] * 600})
+    assert [b.num_rows for b in html._slices(iter([batch]))] == [256, 256, 88]
+    pages = spark.createDataFrame([(k, "http://a/", "<title>t</title><a href='b'>c</a>") for k in range(600)] + [(600, None, None)], "page_id long, url string, html string").coalesce(1)
+    assert {tuple(r)[1:] for r in html.links(pages).collect()} == {("http://a/b", "c")} and html.links(pages).count() == 600
+    assert html.records(pages).where("title = 't' and n_links = 1 and pairs = '{}'").count() == 600
