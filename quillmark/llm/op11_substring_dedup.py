@@ -13,8 +13,9 @@ the boundary is repeated as well; so the windows across a boundary are looked up
 enough, and nowhere else.
 
 The segments of an anchor stay together, unless there are more than ``CROWD`` different ones, as where a passage that
-everyone has meets everyone's own words. Then each of their windows becomes a segment of its own, dealt by a hash of
-all its words, and takes the same way. Nothing is dropped.
+everyone has meets everyone's own words. Then their windows, of which a segment has at most as many as a window has places
+for its seed, are counted by 128 bits of hashes; each that occurs again becomes a segment of its own, with its number of
+copies, and takes the same way. One that occurs once has nothing to match, like an anchor that does.
 
 Defined results: null, empty and blank texts have no words and lose none; so do texts shorter than a window; repeated rows are
 copies of each other, whatever their ids, and lose all windows; windows may overlap their copy; of seeds whose hashes
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import cut, lean, partitions, plain, remove, sized_batches
+from quillmark.llm.common import cut, lean, partitions, plain, rebatched, remove, sized_batches
 
 WINDOW = 35
 #: Different segments of an anchor that stay in one block.
@@ -169,23 +170,37 @@ def _texts(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _single_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(h, c, n, m, at, x, y, words): every window of the segments ``rows``, with its place and two hashes of its words."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("at", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("words", pa.binary())])
+    """(h, c, n, m, hashes): two hashes of the words of each window of the segments ``rows``, in their order."""
+    hashes = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("hashes", hashes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                out: list[list] = [[] for _ in schema]
-                for h, c, n, m, words in zip(*(batch.column(k).slice(lo, 1000).to_pylist() for k in ("h", "c", "n", "m", "words"))):
-                    split = words.split()
-                    for at in range(n):
-                        text = b" ".join(split[at : at + window])
-                        x, y = divmod(xxhash.xxh3_128_intdigest(text), 1 << 64)
-                        for column, v in zip(out, (h, c, n, m, at, x - (1 << 63), y - (1 << 63), text)):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
+        for batch in rebatched(batches, 1000):
+            found = []
+            for n, words in zip(batch.column("n").to_pylist(), batch.column("words").to_pylist()):
+                split = words.split()
+                pairs = (divmod(xxhash.xxh3_128_intdigest(b" ".join(split[at : at + window])), 1 << 64) for at in range(n))
+                found.append([{"x": x - (1 << 63), "y": y - (1 << 63)} for x, y in pairs])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "c", "n", "m")), pa.array(found, hashes)], schema=schema)
+
+    return rows.select("h", "c", "n", "m", "words").mapInArrow(lean(run), "h long, c long, n int, m long, hashes array<struct<x:long,y:long>>")
+
+
+def _window_words(rows: DataFrame, window: int) -> DataFrame:
+    """(h, c, n, m, words): the windows that ``rows`` (words of a segment, asked: at, x, y, m) ask for, as segments with n of 0."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rebatched(batches, 1000):
+            out: list[list] = [[] for _ in schema]
+            for words, asked in zip(batch.column("words").to_pylist(), batch.column("asked").to_pylist()):
+                split = words.split()
+                for w in asked:
+                    for column, v in zip(out, (w["x"], w["y"], 0, w["m"], b" ".join(split[w["at"] : w["at"] + window]))):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
-    return rows.mapInArrow(lean(run), "h long, c long, n int, m long, at int, x long, y long, words binary")
+    return rows.select("words", "asked").mapInArrow(lean(run), "h long, c long, n int, m long, words binary")
 
 
 class Block:
@@ -313,12 +328,16 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     crowds, _ = cut(unlike.groupBy("h").agg(F.count(F.lit(1)).alias("k")).select("h", (F.col("k") > CROWD).alias("crowded")), "crowds")
     asked = unlike.join(crowds, "h").groupBy("rid").agg(F.collect_list(F.struct("s", *key, "m", "crowded")).alias("found"))  # of a text's own
     texts, _ = cut(_texts(rows.select("rid", "text").join(asked, "rid"), window), "words")
-    single, _ = cut(_single_windows(texts.where("crowded"), window), "windows")
-    added = single.groupBy("x", "y", "words").agg(F.sum("m").alias("m"))
-    own = added.select(F.col("x").alias("h"), F.col("y").alias("c"), F.lit(0).alias("n"), "m", "words")  # n of 0: single windows, apart from other segments
+    crowded = texts.where("crowded")
+    hashed, _ = cut(_single_windows(crowded, window), "windows")  # a row a segment
+    each = hashed.select(*key, "m", F.posexplode("hashes").alias("at", "w")).select(*key, "m", "at", "w.x", "w.y")
+    # a window that is nowhere else has nothing to match; of the others one segment gives the words
+    more, _ = cut(each.groupBy("x", "y").agg(F.sum("m").alias("m"), F.min(F.struct(*key, "at")).alias("one")).where("m > 1"), "repeated")
+    asked = more.select("one.*", "x", "y", "m").groupBy(*key).agg(F.collect_list(F.struct("at", "x", "y", "m")).alias("asked"))  # of a segment's own
+    own = _window_words(crowded.select(*key, "words").join(asked, key), window)
     found, _ = cut(factored(texts.where("not crowded").select(*key, "m", "words").unionByName(own), window), "factors")
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + window).alias("b")))
-    back = single.select(*key, "x", "y", whole.alias("spans")).join(found.where("n = 0").select(F.col("h").alias("x"), F.col("c").alias("y")), ["x", "y"]).groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    back = each.select(*key, "x", "y", whole.alias("spans")).join(found.where("n = 0").select(F.col("h").alias("x"), F.col("c").alias("y")), ["x", "y"]).groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     known = found.where("n > 0").unionByName(back)
     moved = F.transform("spans", lambda x: F.struct((x.a + F.col("s")).alias("a"), (x.b + F.col("s")).alias("b")))
     return places.join(known, key).select("rid", moved.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of a text's own

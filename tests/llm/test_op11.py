@@ -113,3 +113,22 @@ def test_hashes_do_not_depend_on_the_batch():
     assert a == b and set(of) == {0, 2} and int(np.sum(n[of == 0])) == 26
     of2, *rest = op11.segments(pa.array(texts)[2:3])
     assert sorted(zip(*rest)) == a
+
+
+def test_windows_of_a_crowd_are_a_row_a_segment(spark, monkeypatch):
+    """Own words around a passage that everyone has: Python gives a row a segment, and words only of windows that occur again."""
+    monkeypatch.setattr(op11, "CROWD", 3)
+    passage = " ".join(f"p{k}" for k in range(36))
+    texts = [f"{' '.join(f'a{i}_{k}' for k in range(30))} {passage} {' '.join(f'b{i}_{k}' for k in range(30))}" for i in range(60)]
+    sizes = {}
+    for name in ("_single_windows", "_window_words"):
+        def spied(rows, window, made=getattr(op11, name), name=name):
+            found, _ = op11.cut(made(rows, window), "spied")
+            sizes[name] = (rows.count(), found.count())
+            return found
+        monkeypatch.setattr(op11, name, spied)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in op11.query(docs).collect()}
+    assert got == {i: sum(g) for i, (_, g) in enumerate(brute(texts))} and set(got.values()) == {36}
+    rows, made = sizes["_single_windows"]
+    assert rows == made > 3 and sizes["_window_words"][1] <= 2
