@@ -1,8 +1,9 @@
 """Near copies by the Jaccard likeness of their word shingles, for pipelines.
 
 Two texts are near copies if at least 4 of 5 of all their distinct five-word shingles are in both.
-MinHash bands propose pairs (32 of 8 rows: a pair at 0.8 shares none once in 360, one at 0.85 once in 26,000) and the
-complete sets decide each. In a bucket of many, everything meets one centre first, twice; what those links have
+First come the pairs that op3's SimHash links, by its fingerprints and multi-index hashing; then, as texts that share four
+of five mostly lie beyond its radius, MinHash bands propose pairs (32 of 8 rows: a pair at 0.8 shares none once in 360,
+one at 0.85 once in 26,000). The complete sets decide each. What SimHash has joined isn't compared again. In a bucket of many, everything meets one centre first, twice; what those links have
 joined needs no comparison, so that a large group isn't expanded into its n * n pairs. After that the pairs of
 a bucket that are still in different groups are compared, but for those that can't be alike. Two exact bounds tell:
 the share of shingles not in common is a metric, so distances to a centre may not differ by more than near copies do;
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import cut, lean, rebatched
+from quillmark.llm import op3_simhash_dedup as op3
 from quillmark.llm.op3_simhash_dedup import keep_first, shingle_hashes
 from quillmark.operators.graph import components
 
@@ -75,16 +77,17 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rebatched(batches, 1024):
-        nodes, sizes, keys, odd = [], [], [], []
+        nodes, sizes, keys, odd, fps = [], [], [], [], []
         for t in batch.column("text"):
             held = shingle_set(t.as_py())
             nodes.append(node_of(held))
             sizes.append(len(held))
             keys.append(band_keys(held) if len(held) else [])
             odd.append(odd_parts(held))
+            fps.append(op3.fingerprint(shingle_hashes(t.as_py())))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("th"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-            names=["id", "th", "node", "n", "keys", "odd"],
+            [batch.column("id"), batch.column("th"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(fps, pa.int64())],
+            names=["id", "th", "node", "n", "keys", "odd", "fp"],
         )
 
 
@@ -105,18 +108,35 @@ def _measured(pairs: DataFrame, sets: DataFrame, like: tuple[int, int]) -> DataF
     return met.select("a", "b", ((num + den) * F.col("both") >= num * F.col("sum")).alias("near"), (1 - F.col("both") / (F.col("sum") - F.col("both"))).alias("apart"))
 
 
-def links(nodes: DataFrame, sets_of, centres: int = CENTRES, like: tuple[int, int] = LIKE) -> DataFrame:
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that connect all whose fingerprints op3 links, of ``prints`` (node, fp), distinct: the nodes of
+    one fingerprint through the least of them, and these through op3's edges."""
+    least, _ = cut(prints.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    alike = prints.join(least, "fp").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    end = lambda c, n: least.select(F.col("fp").alias(c), F.col("least").alias(n))
+    linked = op3.links(least.select("fp")).join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    return alike.unionByName(linked).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(nodes: DataFrame, sets_of, centres: int = CENTRES, like: tuple[int, int] = LIKE, first: DataFrame | None = None) -> DataFrame:
     """(node, root) of every node of ``nodes`` (node, n, keys, odd) that has a near copy; ``sets_of`` gives
-    (node, held) for a table of nodes."""
+    (node, held) for a table of nodes. ``first``: pairs (a, b) that are decided before those of the bands."""
     exploded, _ = cut(nodes.select("node", "n", F.explode("keys").alias("key")), "bands")
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     entries, _ = cut(exploded.join(shared, "key"), "buckets")
-    sets, _ = cut(sets_of(entries.select("node").distinct()), "sets")
+    wanted = entries.select("node")
+    if first is not None:
+        wanted = wanted.unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node")))
+    sets, _ = cut(sets_of(wanted.distinct()), "sets")
     odd = nodes.select("node", *(F.get("odd", F.lit(j)).alias(f"o{j}") for j in range(PARTS // 64)))
     num, den = like
     sized = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
     edges = tested = roots = None
     middle = []
+    if first is not None:
+        tested, _ = cut(_measured(first, sets, like), "measured")
+        edges = tested.where("near").select("a", "b")
+        roots, _ = cut(components(edges), "roots")
     for k in range(centres + 1):
         now = entries.withColumn("root", F.col("node"))
         if roots is not None:
@@ -162,7 +182,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if 5 * like[0] < 4 * like[1]:
         raise ValueError("the bands serve a likeness of 0.8 or more")
     slim = _slim(docs, id_col, text_col)
-    rows, _ = cut(slim.mapInArrow(lean(_sketched), "id long, th long, node long, n int, keys array<long>, odd array<long>"), "sketches")
+    rows, _ = cut(slim.mapInArrow(lean(_sketched), "id long, th long, node long, n int, keys array<long>, odd array<long>, fp long"), "sketches")
     least = F.min(F.struct(F.col("id").isNull().alias("null"), F.coalesce("id", F.lit(0)).alias("id"), "th")).alias("k")
     named, _ = cut(rows.groupBy("node").agg(least), "named")
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
@@ -173,7 +193,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = text.join(one.hint("merge"), ["null", "key", "th"]).select("node", "text")
         return found.mapInArrow(lean(_sets), "node long, held array<long>").groupBy("node").agg(F.first("held").alias("held"))
 
-    roots = links(nodes, sets_of, like=like)
+    first_, _ = cut(simhash_pairs(rows.select("node", "fp").distinct()), "simhash")
+    roots = links(nodes, sets_of, like=like, first=first_)
     grouped = named.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
     first, _ = cut(grouped.select(F.col("k.id").alias("id"), F.col("k.null").alias("null"), F.col("k.th").alias("th")), "first")
     return keep_first(docs, first, id_col, text_col)

@@ -91,3 +91,20 @@ def test_long_texts_of_many_words(spark):
     far = [*words[:20_000], *(f"y{k}" for k in range(40_000))]
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in ((1, words), (2, near), (3, far), (4, words[:300]))], "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == [1, 3, 4]
+
+
+def test_simhash_proposes_pairs(spark):
+    """What op3 links is met where no band is shared; the whole sets still decide."""
+    words = [f"w{k * k % 9973}" for k in range(4000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"x{k}" for k in range(500)), "w0", "w0 " * 6, "w0 w0 w0 w0 w0 w1"]
+    held = [near_copies.shingle_set(t) for t in texts]
+    prints = [near_copies.op3.fingerprint(near_copies.shingle_hashes(t)) for t in texts]
+    assert ((prints[0] ^ prints[1]) & (2**64 - 1)).bit_count() <= near_copies.op3.RADIUS
+    node = [near_copies.node_of(h) for h in held]
+    sets = spark.createDataFrame([(n, h.view(np.int64).tolist()) for n, h in zip(node, held)], "node long, held array<long>")
+    # no two have a band in common
+    nodes = spark.createDataFrame([(n, len(h), [8 * k], near_copies.odd_parts(h).tolist()) for k, (n, h) in enumerate(zip(node, held))], "node long, n int, keys array<long>, odd array<long>")
+    first = near_copies.simhash_pairs(spark.createDataFrame(list(zip(node, prints)), "node long, fp long"))
+    found = near_copies.links(nodes, lambda wanted: sets.join(wanted, "node"), first=first)
+    assert {(r.node, r.root) for r in found.collect()} == {(n, min(node[:2])) for n in node[:2]}
+    assert [tuple(r) for r in near_copies.links(nodes, lambda wanted: sets.join(wanted, "node")).collect()] == []
