@@ -137,44 +137,80 @@ def prepared(jobs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def links(rows: DataFrame, likeness=ratio, threshold: float = THRESHOLD, centres: int = 1) -> DataFrame:
+def links(rows: DataFrame, likeness=ratio, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): links that join the duplicates among prepared ``rows``. Candidates share a url, a leader, or a band of
-    the texts' signatures. Members of a block first meet its least row only; then those pairs are made that are
-    still in different groups, so a block of copies isn't expanded into all its pairs."""
+    the texts' signatures.
+
+    Postings of one leader meet by the leader. In a band only those are left that can be one without: one of the two has
+    no known leader, and, as a title alone doesn't reach the threshold, both have places, the same or alike enough. So
+    they meet by band and place, and by those pairs of places. Members of a block first meet one of it only; then
+    those pairs are made that are still in different groups. Pairs are decided as they are made; only links are kept."""
     # postings alike in all that is compared are decided upon once; each but the least is tied to it
     what = ["title", "institute", "person"]
     kinds, _ = cut(rows.groupBy(*what, "text").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n")), "kinds")
-    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in ("k", *what)))
+    side = lambda df, s, *more: df.select(*more, *(F.col(c).alias(f"{c}_{s}") for c in ("k", *what)))
+    title_alone = threshold <= TITLE  # then postings without a place may be one
 
-    def decided(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(side(kinds, "a"), "k_a").join(side(kinds, "b"), "k_b")
+    def decided(met: DataFrame, place: Column | None = None) -> DataFrame:
+        """Those of the pairs that are one; ``place`` where the likeness of their places is known."""
         part = lambda s: {"url": F.lit(""), "institute": F.col(f"institute_{s}"), "person": F.col(f"person_{s}")}
-        title = likeness(F.col("title_a"), F.col("title_b"))
-        place = likeness(F.col("institute_a"), F.col("institute_b"))
-        told = met.withColumns({"tl": title, "pl": place})
+        early = F.col("k_a") < F.col("k_b")  # likenesses depend on which text comes first: the earlier posting's
+        met = met.select(*(F.when(early, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{s}") for s, o in ("ab", "ba") for c in ("k", *what)), *([place.alias("pl")] if place is not None else []))
         a, b = part("a"), part("b")
+        x, y = F.col("title_a"), F.col("title_b")
+        if place is not None and likeness in (ratio, edit_likeness):  # both are at most 1 less the edits' share of all characters
+            bound = 1 - F.levenshtein(x, y) / F.greatest(F.length(x) + F.length(y), F.lit(1))
+            met = met.where(TITLE * bound + PLACE * F.col("pl") >= threshold - 1e-9)
+        told = met.withColumns({"tl": likeness(x, y), "pl": likeness(a["institute"], b["institute"]) if place is None else F.col("pl")})
         # one leader at one place needs less of the title
         there = (a["person"] != "") & (a["person"] == b["person"]) & (a["institute"] != "") & (a["institute"] == b["institute"]) & (F.col("tl") > SAME_LEADER_THERE)
-        return told.where(there | same_posting(F.col("tl"), F.col("pl"), a, b, threshold)).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+        return told.where(there | same_posting(F.col("tl"), F.col("pl"), a, b, threshold)).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
 
-    alone = decided(kinds.where("n > 1").select(F.col("k").alias("k_a"), F.col("k").alias("k_b"))).select(F.col("a").alias("least"))
+    alone = decided(side(kinds.where("n > 1"), "a").join(side(kinds.where("n > 1"), "b"), F.col("k_a") == F.col("k_b"))).select(F.col("a").alias("least"))
     copies = rows.join(kinds.where("n > 1").select(*what, F.col("k").alias("least")), what).join(alone, "least").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b"))
     urls = rows.where("url <> ''").groupBy("url").agg(F.min("k").alias("first"))
     linked, _ = cut(copies.unionByName(rows.join(urls, "url").where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))), "links")
-    people = kinds.where("person <> ''").select(F.concat(F.lit("p"), "person").alias("block"), "k")
-    bands = banded(kinds.select("k", "text"), "k", "text").select(F.concat_ws("-", "band", "digest").alias("block"), "k")
-    blocks = people.unionByName(bands)
-    many = blocks.groupBy("block").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks, _ = cut(blocks.join(many, "block").select("block", "k", "least"), "blocks")
-    first = blocks.where("k <> least").select(F.col("least").alias("k_a"), F.col("k").alias("k_b")).distinct()
-    met, _ = cut(decided(first), "met")
+
+    placed = kinds if title_alone else kinds.where("institute <> ''")
+    bands = banded(placed.select("k", "text"), "k", "text").select(F.concat_ws("-", "band", "digest").alias("block"), "k").join(placed, "k")
+    useful = bands.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("person").alias("least")).where("m > 1 and least = ''").select("block")
+    bands, _ = cut(bands.join(useful, "block").select("block", "k", *what), "bands")
+    led = kinds.where("person <> ''").select(F.col("person").alias("block"), "k", *what)
+
+    def first(df: DataFrame, key: list[str]) -> DataFrame:
+        """Every member of a block with one member of it, of no known leader if there is such."""
+        one = df.groupBy(*key).agg(F.min(F.struct((F.col("person") != "").alias("known"), "k", *what)).alias("o"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        centre = one.select(*(F.col(c).alias(f"__{c}") for c in key), *(F.col(f"o.{c}").alias(f"{c}_a") for c in ("k", *what)))
+        on = [F.col(f"__{c}") == F.col(c) for c in key]
+        keep = [F.col(f"{c}_{s}") for s in "ab" for c in ("k", *what)]
+        return df.join(centre, on).select(*(F.col(f"{c}_a") for c in ("k", *what)), *(F.col(c).alias(f"{c}_b") for c in ("k", *what))).select(*keep).where("k_a <> k_b")
+
+    unled = (F.col("person_a") == "") | (F.col("person_b") == "")
+    by_place = decided(first(bands, ["block", "institute"]).where(unled & (F.lit(True) if title_alone else F.col("institute_a") != "")), F.when(F.col("institute_a") != "", 1.0).otherwise(0.0))
+    met, _ = cut(decided(first(led, ["block"])).unionByName(by_place), "met")
     roots, _ = cut(components(linked.unionByName(met)), "roots")
-    held = blocks.join(roots.withColumnRenamed("node", "k"), "k", "left").select("block", "k", F.coalesce("root", "k").alias("root"))
-    open_ = held.groupBy("block").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("block")
-    held, _ = cut(held.join(open_, "block"), "open")
-    x, y = (held.select("block", F.col("k").alias(f"k_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
-    rest = x.join(y, "block").where("k_a < k_b and root_a <> root_b").select("k_a", "k_b").distinct().join(first, ["k_a", "k_b"], "left_anti")
-    return linked.unionByName(met).unionByName(decided(rest))
+
+    def open_(df: DataFrame, key: list[str]) -> DataFrame:
+        """The members of blocks with more than one group, with their groups."""
+        held = df.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        return held.join(held.groupBy(*key).agg((F.min("root") < F.max("root")).alias("open")).where("open").select(*key), key)
+
+    def both(df: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(side(df, s, *key, F.col("root").alias(f"root_{s}")) for s in "ab")
+
+    x, y = both(open_(led, ["block"]), "block")
+    led_rest = decided(x.join(y, "block").where("k_a < k_b and root_a <> root_b"))
+    held, _ = cut(open_(bands, ["block"]), "open")
+    x, y = both(held.withColumn("place", F.col("institute")), "block", "place")
+    x = x.where("person_a = ''")
+    one_place = decided(x.join(y, ["block", "place"]).where("root_a <> root_b and (person_b <> '' or k_a < k_b)"), F.when(F.col("institute_a") != "", 1.0).otherwise(0.0))
+    there = held.select("block", "institute").distinct()
+    two = there.withColumnRenamed("institute", "i").join(there.withColumnRenamed("institute", "j"), "block").where("i <> j").select("i", "j").distinct()
+    alike = lambda i, j: F.when((F.col(i) == "") | (F.col(j) == ""), 0.0).otherwise(likeness(F.col(i), F.col(j)))
+    near, _ = cut(two.withColumns({"p": alike("i", "j"), "q": alike("j", "i")}).where(TITLE + PLACE * F.greatest("p", "q") >= threshold - 1e-9), "places")
+    far = x.join(near.withColumnRenamed("i", "place"), "place").drop("place").join(y.withColumnRenamed("place", "j"), ["block", "j"])
+    two_places = decided(far.where("root_a <> root_b and (person_b <> '' or k_a < k_b)"), F.when(F.col("k_a") < F.col("k_b"), F.col("p")).otherwise(F.col("q")))
+    return linked.unionByName(met).unionByName(led_rest).unionByName(one_place).unionByName(two_places)
 
 
 def grouped(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESHOLD) -> DataFrame:

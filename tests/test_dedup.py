@@ -181,3 +181,36 @@ def test_nearest_seed_in_blocks(spark, monkeypatch):
     got = sorted((r.k, round(r.best, 9)) for r in recommend.nearest_seed(a, b, "k", "v").collect())
     assert got == sorted((k, round(max(cosine(v, s) for _, s in seeds if s is not None), 9)) for k, v in rows)
     assert {r.best for r in recommend.nearest_seed(a, b.limit(0), "k", "v").collect()} == {0.0}
+
+
+def test_unled_postings_meet_by_place(spark):
+    """Pairs are made of postings that can be one; what they join is what all pairs of a band, leader or url join."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(160):
+        title = f"{rng.choice(['large ring', 'small bolt'])} {rng.choice(['standard', 'economy'])} {rng.choice('abcd') * rng.randrange(1, 5)}"
+        rows.append((k, f"http://x/{k if k % 9 else 0}", title, rng.choice(["", "Institute abcdef", "Institute abcdeg", "Other place"]), rng.choice([None, None, "Ada Low", "Bob Hay"])))
+    jobs = spark.createDataFrame(rows, "k long, url string, title string, institute string, pi_name string")
+    made = dedup.prepared(jobs, "k").cache()
+    p = {r.k: r for r in made.collect()}
+    bands = {}
+    for r in dedup.banded(made, "k", "text").collect():
+        bands.setdefault((r.band, r.digest), set()).add(r.k)
+    def ratio(x, y):
+        return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+    root = {k: k for k in p}
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+    met = {(a, b) for held in bands.values() for a in held for b in held if a < b}
+    met |= {(a, b) for a in p for b in p if a < b and ((p[a].person and p[a].person == p[b].person) or p[a].url == p[b].url)}
+    for a, b in met:
+        x, y = p[a], p[b]
+        t, i = ratio(x.title, y.title), ratio(x.institute, y.institute)
+        led, known = bool(x.person) and x.person == y.person, bool(x.person and y.person)
+        one = led and (not x.institute or not y.institute or t > 0.3 or i > 0.3)
+        there = x.institute and x.institute == y.institute and t >= (0.6 if known else 0.85)
+        if x.url == y.url or one or (not (known and not led) and (there or 0.6 * t + 0.4 * i >= 0.85)):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r.k: r.grp for r in dedup.grouped(jobs, "k").collect()} == {k: find(k) for k in p}
