@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quillmark.shared import cut, remove
 
 
-def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Both orientations of every edge as (src, dst), once each."""
+def symmetric(edges: DataFrame, a: str, b: str, parts: int | None = None) -> DataFrame:
+    """Both orientations of every edge as (src, dst), once each; dealt to ``parts`` tasks, if given."""
     one = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    return one.union(one.select("dst", "src")).where("src <> dst").distinct()
+    both = one.union(one.select("dst", "src")).where("src <> dst")
+    return (both.repartition(parts, "src", "dst") if parts else both).distinct()
 
 
 def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -57,9 +58,10 @@ def cross_connections(edges: DataFrame, seeds: DataFrame, least: int = 2) -> Dat
     return found.agg(F.countDistinct("src").alias("n_seeds"), F.array_join(F.sort_array(F.collect_set("src")), ",").alias("seeds")).where(F.col("n_seeds") >= least)
 
 
-def connection_strength(edges: DataFrame, weight: str) -> DataFrame:
+def connection_strength(edges: DataFrame, weight: str, parts: int | None = None) -> DataFrame:
     """(node, neighbours, total, strength) over edges (src, dst, weight) in both orientations; strength
-    saturates at 1."""
+    saturates at 1. Edges are dealt to ``parts`` tasks, if given; a node's may go to several."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), weight).union(edges.select("dst", "src", weight))
+    both = both.repartition(parts, "node", "other") if parts else both
     found = both.groupBy("node").agg(F.countDistinct("other").alias("neighbours"), F.coalesce(F.sum(weight), F.lit(0)).alias("total"))
     return found.withColumn("strength", 1 - 1 / (1 + F.col("neighbours") * 0.5 + F.col("total") * 0.1))

@@ -9,6 +9,7 @@ from quillmark.functions import text as X
 from quillmark.operators import graph, lookup, ranking, recommend, store
 from quillmark.plans.catalog import query
 from quillmark.session import table
+from quillmark.shared import parts_for
 
 AS_OF = "1999-01-01"
 FLAG_WORDS = ["the", "and", "tion", "der", "que"]
@@ -254,20 +255,28 @@ _SUPPLY = "(SELECT DISTINCT o_custkey, l_suppkey + 10000000 AS supp FROM lineite
 SELECT node, min(hop) AS hop FROM walk GROUP BY node""",
 )
 def c13(spark, d):
-    edges = graph.symmetric(_supply(spark, d), "o_custkey", "supp")
+    edges = graph.symmetric(_supply(spark, d), "o_custkey", "supp", _dealt(spark, d)[2])
     return graph.within_hops(edges, spark.range(1, 2).toDF("node"), 2)
 
 
-def _supply(spark, d):
+def _dealt(spark, d):
+    """Lines and orders, dealt by order to a number of tasks that grows with the lines; and that number."""
     li, o = _t(spark, d, "lineitem", "orders")
+    n = parts_for(spark, li.count())  # from the files' footers
+    return li.select("l_orderkey", "l_suppkey").repartition(n, "l_orderkey"), o.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), n
+
+
+def _supply(spark, d):
+    li, o, n = _dealt(spark, d)
     one = li.join(o, li.l_orderkey == o.o_orderkey)
-    return one.select("o_custkey", (F.col("l_suppkey") + 10_000_000).alias("supp")).distinct()
+    return one.select("o_custkey", (F.col("l_suppkey") + 10_000_000).alias("supp")).repartition(n, "o_custkey", "supp").distinct()
 
 
 @query("c14_directed_edge_count", "SELECT o_custkey AS src, l_suppkey AS dst, count(*) AS citations FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def c14(spark, d):
-    li, o = _t(spark, d, "lineitem", "orders")
-    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count(F.lit(1)).alias("citations"))
+    li, o, n = _dealt(spark, d)
+    one = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return one.repartition(n, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("citations"))
 
 
 @query("c15_cache_last_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
@@ -323,7 +332,7 @@ SELECT node, count(DISTINCT other) AS neighbours, sum(w)::BIGINT AS total, round
 )
 def d06(spark, d):
     edges = c14(spark, d).select("src", (F.col("dst") + 10_000_000).alias("dst"), "citations")
-    return graph.connection_strength(edges, "citations").withColumn("strength", F.round("strength", 9))
+    return graph.connection_strength(edges, "citations", _dealt(spark, d)[2]).withColumn("strength", F.round("strength", 9))
 
 
 @query(
@@ -332,7 +341,7 @@ def d06(spark, d):
 SELECT node, count(DISTINCT src) AS n_seeds, string_agg(src::VARCHAR, ',' ORDER BY src) AS seeds FROM r GROUP BY node HAVING count(DISTINCT src) > 1""",
 )
 def d07(spark, d):
-    return graph.cross_connections(graph.symmetric(_supply(spark, d), "o_custkey", "supp"), spark.range(20).toDF("node"))
+    return graph.cross_connections(graph.symmetric(_supply(spark, d), "o_custkey", "supp", _dealt(spark, d)[2]), spark.range(20).toDF("node"))
 
 
 @query("d08_group_collect", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1")

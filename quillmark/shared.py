@@ -76,5 +76,11 @@ def ranges(spark: SparkSession, rows: int, each: int = 50_000) -> int:
     return max(1, min(partitions(spark), rows // each))
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
+    """Into how many partitions so many rows are dealt, so that a task's share doesn't grow with the table: at most about
+    ``each`` to one, and no fewer than the session's number."""
+    return max(partitions(spark), -(-rows // each))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

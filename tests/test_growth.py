@@ -42,3 +42,12 @@ def test_pages_are_parsed_in_slices(spark):
     pages = spark.createDataFrame([(k, "http://a/", "<title>t</title><a href='b'>c</a>") for k in range(600)] + [(600, None, None)], "page_id long, url string, html string").coalesce(1)
     assert {tuple(r)[1:] for r in html.links(pages).collect()} == {("http://a/b", "c")} and html.links(pages).count() == 600
     assert html.records(pages).where("title = 't' and n_links = 1 and pairs = '{}'").count() == 600
+
+
+def test_joins_of_lines_are_dealt_by_their_number(spark, monkeypatch):
+    from quillmark.plans import relational
+    from quillmark.shared import parts_for
+
+    assert parts_for(spark, 10_000_000) == 20 and parts_for(spark, 10) == 4
+    monkeypatch.setattr(relational, "parts_for", lambda spark, rows: 33)
+    assert catalog.QUERIES["c14_directed_edge_count"](spark, SF).rdd.getNumPartitions() == 33
