@@ -4,13 +4,20 @@ A slot is known by what its first posting was looked up by (url; leader and plac
 as the fused posting that it has become. What a posting joins thus depends on all before it, but only on those with
 which it shares a lookup, or which share one with these. Postings that lookups connect make up a component; components are
 dealt to tasks, and in each the postings pass one by one, in order, by the slots of that component alone.
+
+The order within a component can't be dealt out, so a component of any size is one task's. It costs little for each posting:
+of a bucket it meets those slots alone whose place and leader leave a choice, in order until the first that it
+joins, and buckets that no other posting has are left out.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
+from heapq import merge
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +27,6 @@ from quillmark.operators import dedup
 from quillmark.operators.graph import components
 from quillmark.shared import cut, partitions
 
-#: Postings of a component that one task takes in order.
-MOST = 100_000
-
 
 class Likeness:
     """The likeness of two texts by their common blocks, worked out no further than a bound needs; of an empty one 0."""
@@ -46,7 +50,13 @@ class Likeness:
         return self.value
 
 
-@dataclass
+@lru_cache(1 << 18)
+def alike(a: str, b: str, bound: float) -> bool:
+    """Are two places at least so alike?"""
+    return a == b or Likeness(a, b).over(bound, equal=True)
+
+
+@dataclass(slots=True)
 class Posting:
     key: int
     url: str
@@ -54,7 +64,7 @@ class Posting:
     institute: str
     person: str
     size: int
-    buckets: tuple[bytes, ...] = ()
+    buckets: tuple[str, ...] = ()
 
 
 def same(a: Posting, b: Posting, threshold: float = dedup.THRESHOLD) -> bool:
@@ -87,11 +97,32 @@ class Slots:
     def __init__(self, threshold: float = dedup.THRESHOLD):
         self.threshold = threshold
         self.slots: list[Posting] = []
-        self.firsts: list[int] = []
+        self.firsts: list[tuple[int, str, str, tuple[str, ...]]] = []  # key, url, person and buckets of the first posting
         self.by_url: dict[str, int] = {}
         self.by_both: dict[tuple[str, str], int] = {}
         self.by_person: dict[str, list[int]] = {}
-        self.by_bucket: dict[tuple[int, bytes], list[int]] = {}
+        self.by_bucket: dict[str, dict[tuple[str, bool], list[int]]] = {}  # by place, and whether there is a leader, as of now
+        self.now_url: dict[str, set[int]] = {}  # of slots that have another url, or leader, than their first posting
+        self.now_person: dict[str, set[int]] = {}
+
+    def _near(self, job: Posting) -> Iterator[int]:
+        """The slots of a bucket of ``job`` that it may join, in order. What ``same`` can't hold for is left out: unless the urls or
+        the leaders are the same, one side must be without a leader, and, where the title alone isn't enough, both placed, alike."""
+        bound = (self.threshold - dedup.TITLE) / dedup.PLACE - 1e-9
+        alone = self.threshold <= dedup.TITLE
+        found = []
+        for b in job.buckets:
+            for (place, led), at in self.by_bucket.get(b, {}).items():
+                if not (led and job.person) and (alone or (place and job.institute and alike(job.institute, place, bound))):
+                    found.append(at)
+        others = (self.now_url.get(job.url, set()) if job.url else set()) | (self.now_person.get(job.person, set()) if job.person else set())
+        own = set(job.buckets) if others else set()
+        found.append(sorted(at for at in others if not own.isdisjoint(self.firsts[at][3])))
+        last = -1
+        for at in merge(*found):
+            if at != last:
+                yield at
+            last = at
 
     def _found(self, job: Posting) -> int | None:
         if job.url and job.url in self.by_url:
@@ -99,12 +130,28 @@ class Slots:
         both = self.by_both.get((job.person, job.institute)) if job.person and job.institute else None
         if both is not None and Likeness(job.title, self.slots[both].title).over(dedup.SAME_LEADER_THERE):
             return both
-        met = self.by_person.get(job.person, []) if job.person else []
-        for at in met:
+        for at in self.by_person.get(job.person, ()) if job.person else ():
             if same(job, self.slots[at], self.threshold):
                 return at
-        near = {at for k, b in enumerate(job.buckets) for at in self.by_bucket.get((k, b), ())}
-        return next((at for at in sorted(near.difference(met)) if same(job, self.slots[at], self.threshold)), None)
+        met = lambda at: job.person and self.firsts[at][2] == job.person
+        return next((at for at in self._near(job) if not met(at) and same(job, self.slots[at], self.threshold)), None)
+
+    def _become(self, at: int, new: Posting) -> None:
+        """Slot ``at`` is compared as ``new`` from now on."""
+        old, (_, url, person, buckets) = self.slots[at], self.firsts[at]
+        self.slots[at] = new
+        was, now = ((x.institute, bool(x.person)) for x in (old, new))
+        for b in buckets if was != now else ():
+            held = self.by_bucket[b]
+            del held[was][bisect_left(held[was], at)]
+            if not held[was]:
+                del held[was]
+            insort(held.setdefault(now, []), at)
+        for known, first, x, y in ((self.now_url, url, old.url, new.url), (self.now_person, person, old.person, new.person)):
+            if x != y:
+                known.get(x, set()).discard(at)
+                if y and y != first:
+                    known.setdefault(y, set()).add(at)
 
     def place(self, job: Posting) -> int:
         """The key of the first posting of the slot that ``job`` joins or opens."""
@@ -112,47 +159,53 @@ class Slots:
         if at is None:
             at = len(self.slots)
             self.slots.append(job)
-            self.firsts.append(job.key)
+            self.firsts.append((job.key, job.url, job.person, job.buckets))
             if job.url:
                 self.by_url[job.url] = at
             if job.person:
                 self.by_person.setdefault(job.person, []).append(at)
                 if job.institute:
                     self.by_both[job.person, job.institute] = at
-            for k, b in enumerate(job.buckets):
-                self.by_bucket.setdefault((k, b), []).append(at)
+            for b in job.buckets:
+                self.by_bucket.setdefault(b, {}).setdefault((job.institute, bool(job.person)), []).append(at)
         else:  # the longer description wins, and takes over a leader that it lacks itself
             old = self.slots[at]
             best, other = (job, old) if job.size > old.size else (old, job)
-            self.slots[at] = Posting(best.key, best.url, best.title, best.institute, best.person or other.person, best.size)
-        return self.firsts[at]
+            self._become(at, Posting(best.key, best.url, best.title, best.institute, best.person or other.person, best.size))
+        return self.firsts[at][0]
 
 
 def lookups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(prepared rows with their ``buckets``; (a, b): postings that share a lookup, tied to the least that has it)."""
+    """(prepared rows with their ``buckets``, those that other postings have as well; (a, b): postings that share a lookup, tied
+    to the least that has it). A bucket whose postings all have a leader ties none: only one leader's could be one."""
     texts = rows.groupBy("text").agg(F.min("k").alias("least"))
     banded = dedup.banded(texts.select(F.col("least").alias("k"), "text"), "k", "text").groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "digest"))), lambda b: b.digest).alias("buckets"))
     known, _ = cut(rows.join(texts.join(banded.withColumnRenamed("k", "least"), "least").select("text", "buckets"), "text"), "lookups")
     named = lambda p, c: F.when(F.col(c) != "", F.array(F.concat(F.lit(p), F.col(c)))).otherwise(F.array().cast("array<string>"))
     buckets = F.transform("buckets", lambda b, i: F.concat(F.lit("b"), i.cast("string"), F.lit("-"), b))
-    each = known.select("k", F.explode(F.concat(named("u", "url"), named("p", "person"), buckets)).alias("by"))
-    least = each.groupBy("by").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return known, each.join(least, "by").where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b")).distinct()
+    each = known.select("k", "person", F.explode(F.concat(named("u", "url"), named("p", "person"), buckets)).alias("by"))
+    least = each.groupBy("by").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"), (F.min("person") == "").alias("unled")).where("n > 1").drop("n")
+    shared, _ = cut(each.join(least, "by").select("k", "by", "first", "unled"), "shared")
+    bucket = F.col("by").startswith("b")
+    held = known.drop("buckets").join(shared.where(bucket).groupBy("k").agg(F.collect_list("by").alias("buckets")), "k", "left")
+    ties = shared.where((F.col("k") != F.col("first")) & (~bucket | F.col("unled")))
+    return held.withColumn("buckets", F.coalesce("buckets", F.array().cast("array<string>"))), ties.select(F.col("k").alias("a"), F.col("first").alias("b")).distinct()
 
 
-def ordered_groups(jobs: DataFrame, key: str, threshold: float = dedup.THRESHOLD, most: int = MOST) -> DataFrame:
+def ordered_groups(jobs: DataFrame, key: str, threshold: float = dedup.THRESHOLD, most: int | None = None) -> DataFrame:
     """(k, grp): every posting's key, and the key of the first posting of its slot, in the order of ``key``.
 
-    A component of more than ``most`` postings is refused with an error that names it: its order can't be kept by dealing it
-    out, and ``dedup.grouped`` is the way that scales for it. Postings are slim here (no descriptions), and a task
-    holds the slots of one component at a time."""
+    Postings are slim here (no descriptions), and a task holds the slots of one component at a time: about a kilobyte for each.
+    With ``most``, a component of more postings is refused with an error that names it."""
     rows, _ = cut(dedup.prepared(jobs, key).join(jobs.select(F.col(key).cast("long").alias("k"), F.length(F.coalesce("description", F.lit(""))).cast("long").alias("size")), "k"), "prepared")
     known, ties = lookups(rows)
     roots, _ = cut(components(ties), "roots")
-    held, _ = cut(known.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "components")
-    large = held.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).orderBy(F.desc("n")).limit(1).collect()
-    if large:
-        raise ValueError(f"the component of posting {large[0].root} has {large[0].n} postings, more than {most}: use order='components', or raise most")
+    held = known.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    if most is not None:
+        held, _ = cut(held, "components")
+        large = held.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).orderBy(F.desc("n")).limit(1).collect()
+        if large:
+            raise ValueError(f"the component of posting {large[0].root} has {large[0].n} postings, more than {most}: use order='components', or raise most")
     columns = ["root", "k", "url", "title", "institute", "person", "size", "buckets"]
     schema = pa.schema([("k", pa.int64()), ("grp", pa.int64())])
 

@@ -1,11 +1,12 @@
 """What large inputs need: little work for each window, state or name, and no limit on a group."""
 
+import inspect
 import random
 
 import numpy as np
 import pytest
 
-from quillmark.operators import fuzzy
+from quillmark.operators import dedup, fuzzy, greedy
 from quillmark.plans import catalog, extraction
 from tests.conftest import SF
 
@@ -52,3 +53,57 @@ def test_few_windows_are_compared_at_all(spark, monkeypatch):
 def test_texts_are_dealt_to_all_tasks(spark):
     one = spark.createDataFrame([(k, f"text {k}") for k in range(100)], "k int, t string").coalesce(1)
     assert fuzzy.fuzzy_matches(one, "k", "t", ["text"], 0.8).rdd.getNumPartitions() >= 16
+
+
+class _Plain:
+    """Slots with no index: each posting looks at all, in order."""
+
+    def __init__(self):
+        self.firsts, self.now = [], []
+
+    def place(self, job):
+        near = [set(f.buckets) & set(job.buckets) for f in self.firsts]
+        both = [i for i, f in enumerate(self.firsts) if job.person and job.institute and (f.person, f.institute) == (job.person, job.institute)]
+        led = [i for i, f in enumerate(self.firsts) if job.person and f.person == job.person]
+        at = next((i for i, f in enumerate(self.firsts) if job.url and f.url == job.url), None)
+        if at is None and both and greedy.Likeness(job.title, self.now[both[-1]].title).over(dedup.SAME_LEADER_THERE):
+            at = both[-1]
+        if at is None:
+            at = next((i for i in [*led, *(i for i, n in enumerate(near) if n)] if greedy.same(job, self.now[i])), None)
+        if at is None:
+            self.firsts.append(job)
+            self.now.append(job)
+            return job.key
+        old = self.now[at]
+        best, other = (job, old) if job.size > old.size else (old, job)
+        self.now[at] = greedy.Posting(best.key, best.url, best.title, best.institute, best.person or other.person, best.size)
+        return self.firsts[at].key
+
+
+def _postings(n, seed):
+    rng = random.Random(seed)
+    words = "yeast plant cell gene".split()
+    places = ["", "eth zurich", "university of basel", "university of basle", "kth"]
+    return [greedy.Posting(k, rng.choice(["", f"u{rng.randrange(n)}"]), " ".join(rng.choices(words, k=3)) + rng.choice("xyz"), rng.choice(places), rng.choice(["", "", "ada byron", "bock", f"noa nr{rng.randrange(20)}"]), rng.randrange(9), tuple({f"b{rng.randrange(8)}" for _ in range(3)})) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slots_found_by_their_index(seed):
+    plain, slots = _Plain(), greedy.Slots()
+    posts = _postings(400, seed)
+    want = [plain.place(p) for p in posts]
+    assert [slots.place(p) for p in posts] == want and 20 < len(set(want)) < 390
+
+
+def test_postings_of_one_bucket_meet_few_slots(monkeypatch):
+    met = []
+    same = greedy.same
+    monkeypatch.setattr(greedy, "same", lambda *a: met.append(1) or same(*a))
+    slots = greedy.Slots()
+    posts = [greedy.Posting(k, "", f"yeast genetics {k}", "eth zurich", "" if k % 4 == 1 else f"noa nr{k}", 1, ("b0",)) for k in range(1000)]
+    assert len({slots.place(p) for p in posts}) > 700
+    assert len(met) < 3 * len(posts)  # not the square of the bucket
+
+
+def test_components_have_no_limit():
+    assert inspect.signature(greedy.ordered_groups).parameters["most"].default is None
