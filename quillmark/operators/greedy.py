@@ -195,7 +195,7 @@ def lookups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ordered_groups(jobs: DataFrame, key: str, threshold: float = dedup.THRESHOLD, most: int | None = None) -> DataFrame:
     """(k, grp): every posting's key, and the key of the first posting of its slot, in the order of ``key``.
 
-    Postings are slim here (no descriptions), and a task holds the slots of one component at a time: about a kilobyte for each.
+    Postings are slim here (no descriptions), and a task holds the slots of one component at a time.
     With ``most``, a component of more postings is refused with an error that names it."""
     rows, _ = cut(dedup.prepared(jobs, key).join(jobs.select(F.col(key).cast("long").alias("k"), F.length(F.coalesce("description", F.lit(""))).cast("long").alias("size")), "k"), "prepared")
     known, ties = lookups(rows)

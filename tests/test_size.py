@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quillmark.operators import dedup, fuzzy, greedy
+from quillmark.operators import dedup, fuzzy, gazetteer, greedy
 from quillmark.plans import catalog, extraction
 from tests.conftest import SF
 
@@ -107,3 +107,17 @@ def test_postings_of_one_bucket_meet_few_slots(monkeypatch):
 
 def test_components_have_no_limit():
     assert inspect.signature(greedy.ordered_groups).parameters["most"].default is None
+
+
+def test_long_tables_of_names_stay_distributed(spark, monkeypatch):
+    rng = random.Random(7)
+    words = ["new", "york", "city", "san", "jose", "Köln", "İz", "a", "b"]
+    names = [(" ".join(rng.choices(words, k=rng.randrange(1, 4))), f"L{k % 5}", k % 3) for k in range(80)] + [("", "x", 0), (None, "y", 0), ("?!", "z", 0)]
+    texts = ["".join((w.upper() if rng.random() < 0.3 else w) + rng.choice([" ", ", ", "_", "\n", "x", "-"]) for w in rng.choices(words, k=12)) for _ in range(60)] + ["", None, "...", "new  york"]
+    df = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "i int, t string")  # two texts a key
+    table = spark.createDataFrame(names, "name string, label string, rank int")
+    want = [sorted(map(tuple, gazetteer.matches(df, "i", "t", table, every=e).collect())) for e in (True, False)]
+    monkeypatch.setattr(gazetteer, "MOST", 10)
+    monkeypatch.setattr(gazetteer, "automata", None)  # nothing is collected into one
+    assert [sorted(map(tuple, gazetteer.matches(df, "i", "t", table, every=e).collect())) for e in (True, False)] == want
+    assert len(want[0]) > len(want[1]) > 100
