@@ -96,31 +96,37 @@ class _InOrder(StatefulProcessor):
         self.known = handle.getMapState("known", "item string", _KNOWN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for frame in rows for r in frame[["at", "id", "item", "failed", "value"]].itertuples(index=False)]
-        self.waiting.appendList([_plain(r) for r in new])
-        self.handle.registerTimer(int(min(r[0] for r in new)) + 1)
+        new = [_plain(r) for frame in rows for r in zip(*(frame[c].tolist() for c in ("at", "id", "item", "failed", "value")))]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(r[0] for r in new) + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         rows = sorted(map(_plain, self.waiting.get())) if self.waiting.exists() else []
         due, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
-        totals = [0] * len(self.columns)
+        # a call to the state costs more than a record: it is read and written once, not for each of them
+        before = {item: tuple(value) for (item,), value in self.known.iterator()} if self.known.exists() else {}
+        known, totals = dict(before), [0] * len(self.columns)
         for at, _, item, failed, value in due:
-            old = self.known.getValue((item,)) if self.known.exists() and self.known.containsKey((item,)) else None
-            new, answer = self.machine.take(tuple(old) if old is not None else None, at, failed, value)
+            new, answer = self.machine.take(known.get(item), at, failed, value)
             totals = [a + b for a, b in zip(totals, answer)]
             if new is not None:
-                self.known.updateValue((item,), new)
-            elif old is not None:
-                self.known.removeKey((item,))
-        self.waiting.put(later) if later else self.waiting.clear()
-        left = []
-        for (item,), value in list(self.known.iterator()) if self.known.exists() else []:
-            if value[2] <= now:
-                self.known.removeKey((item,))
+                known[item] = new
             else:
-                left.append(int(value[2]))
+                known.pop(item, None)
+        if later:
+            if due:
+                self.waiting.put(later)
+        elif rows:
+            self.waiting.clear()
+        known = {item: new for item, new in known.items() if new[2] > now}
+        for item, new in known.items():
+            if before.get(item) != new:
+                self.known.updateValue((item,), new)
+        for item in before.keys() - known.keys():
+            self.known.removeKey((item,))
+        left = [int(new[2]) for new in known.values()]
         for at in {*(r[0] + 1 for r in later[:1]), *([min(left)] if left else [])}:
             self.handle.registerTimer(at)
         yield pd.DataFrame({self.key: [key[0]], **{c: [n] for c, n in zip(self.columns, totals)}}) if due else pd.DataFrame()

@@ -2,12 +2,14 @@
 
 import inspect
 import random
+import types
 
 import numpy as np
 import pytest
 
 from quillmark.operators import dedup, fuzzy, gazetteer, greedy
 from quillmark.plans import catalog, extraction
+from quillmark.streaming import expiring
 from tests.conftest import SF
 
 
@@ -121,3 +123,65 @@ def test_long_tables_of_names_stay_distributed(spark, monkeypatch):
     monkeypatch.setattr(gazetteer, "automata", None)  # nothing is collected into one
     assert [sorted(map(tuple, gazetteer.matches(df, "i", "t", table, every=e).collect())) for e in (True, False)] == want
     assert len(want[0]) > len(want[1]) > 100
+
+
+class _State:
+    """A list or a map as the stream's state has it, which counts what it is asked."""
+
+    def __init__(self):
+        self.rows, self.held, self.calls = [], {}, 0
+
+    def __getattribute__(self, name):
+        if name not in ("rows", "held", "calls") and not name.startswith("__"):
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return bool(object.__getattribute__(self, "rows") or self.held)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+
+def test_state_is_asked_once_a_timer():
+    rng = random.Random(2)
+    machine = expiring.NegativeCache(60.0)
+    runner = expiring._InOrder(machine, "k")
+    timers = []
+    runner.handle = types.SimpleNamespace(registerTimer=timers.append)
+    runner.waiting, runner.known = _State(), _State()
+    rows = [(rng.randrange(10**6), k, rng.choice("ab"), rng.random() < 0.5, 0.0) for k in range(1000)]
+    runner.waiting.rows = rows
+    plain, totals = {}, np.zeros(2, int)
+    for now in (400_000, 400_000, 10**6 + 1, 10**7):
+        out = list(runner.handleExpiredTimer(("u",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None))
+        totals += sum(int(f.looked_up.sum()) for f in out if len(f)), sum(int(f.skipped.sum()) for f in out if len(f))
+        assert all(v[2] > now for v in runner.known.held.values())
+        assert sorted(runner.waiting.rows) == sorted(r for r in rows if r[0] >= now)
+    want = np.zeros(2, int)
+    for at, _, item, failed, value in sorted(rows):
+        plain[item], answer = machine.take(plain.get(item), at, failed, value)
+        want += answer
+    assert totals.tolist() == want.tolist() and totals.min() > 0
+    assert not runner.known.held and runner.waiting.calls + runner.known.calls < 50
