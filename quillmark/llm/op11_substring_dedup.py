@@ -13,9 +13,12 @@ the boundary is repeated as well; so the windows across a boundary are looked up
 enough, and nowhere else.
 
 The segments of an anchor stay together, unless there are more than ``CROWD`` different ones, as where a passage that
-everyone has meets everyone's own words. Then their windows, of which a segment has at most as many as a window has places
-for its seed, are counted by 128 bits of hashes; each that occurs again becomes a segment of its own, with its number of
-copies, and takes the same way. One that occurs once has nothing to match, like an anchor that does.
+everyone has meets everyone's own words. Then they are cut at fixed places around the anchor into parts, whose windows all hold
+the same longer stretch of words; that stretch takes the anchor's place. A part whose stretch occurs once has nothing to match,
+and parts whose stretch has no more than ``CROWD`` different ones meet in a block. Of the others, which hold the border of
+what everyone has, the windows are counted by 128 bits of hashes; each that occurs again becomes a segment of its own, with
+its number of copies, and takes the same way. A window has w places for its seed, and parts have at most about the root of w
+windows, so that a segment makes about twice that root of rows where single windows would make w.
 
 Defined results: null, empty and blank texts have no words and lose none; so do texts shorter than a window; repeated rows are
 copies of each other, whatever their ids, and lose all windows; windows may overlap their copy; of seeds whose hashes
@@ -26,6 +29,7 @@ table gives no rows; ``without_repeats`` keeps extra columns, whatever their nam
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,8 +94,8 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(text, first word, number of windows, hash of the anchor, hash of all words) of every segment of some texts."""
+def _placed_segments(texts: pa.Array, window: int) -> tuple[np.ndarray, ...]:
+    """What ``segments`` gives, and how many words of each segment stand before its anchor."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
@@ -106,7 +110,7 @@ def segments(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     wide = window - seed + 1
     n = len(starts) - window + 1
     if n < 1:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     words = _word_hashes(data, starts)
     of = np.searchsorted(ends[1:], starts, "right")
     first = np.searchsorted(starts, ends[:-1])  # each text's first word
@@ -122,7 +126,7 @@ def segments(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, ...]:
         width += more
     whole = np.flatnonzero(of[:n] == of[window - 1 :])  # windows within a text
     if not len(whole):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     anchor = (least[whole] & _LOW).astype(np.int64)
     heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     count = np.diff(np.append(heads, len(whole)))
@@ -130,7 +134,12 @@ def segments(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     power, inverse = _powers(_PLACE, len(words))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power[: len(words)])])
     content = _mixed((sums[at + count + window - 1] - sums[at]) * inverse[at] + count.astype(np.uint64))
-    return of[at], at - first[of[at]], count, grams[anchor[heads]].view(np.int64), content.view(np.int64)
+    return of[at], at - first[of[at]], count, grams[anchor[heads]].view(np.int64), content.view(np.int64), anchor[heads] - at
+
+
+def segments(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(text, first word, number of windows, hash of the anchor, hash of all words) of every segment of some texts."""
+    return _placed_segments(texts, window)[:5]
 
 
 _ANCHORS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("rid", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
@@ -169,8 +178,41 @@ def _texts(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("text", "found").mapInArrow(lean(run), "h long, c long, n int, m long, crowded boolean, words binary")
 
 
+def part_windows(window: int) -> int:
+    """How many windows a part of a segment has at most: the root, rounded up, of the places that a window has for its seed."""
+    return math.isqrt(window - seed_words(window)) + 1
+
+
+def _parts(rows: DataFrame, window: int) -> DataFrame:
+    """(h, c, n, m, at, x, y, k): the parts of the segments ``rows`` (h, c, n, m, words), each with its first window, the hash of
+    the words that all windows have which stand as they do around the anchor, the hash of all its words, and minus its number of windows.
+    Where one part ends and the next begins depends on the anchor alone, so that equal windows are in parts of one x."""
+    wide, width = window - seed_words(window) + 1, part_windows(window)
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("at", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("k", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized_batches(batches, "words", BATCH_BYTES):
+            found: list[list] = [[] for _ in range(5)]
+            before = _placed_segments(batch.column("words"), window)[5].tolist()  # a segment's words are one segment again
+            for row, (n, words, p) in enumerate(zip(batch.column("n").to_pylist(), batch.column("words").to_pylist(), before, strict=True)):
+                split, at = words.split(), 0
+                while at < n:  # the window at ``at`` has p - at words before the anchor
+                    low = (p - at) // width * width
+                    high, upto = min(low + width, wide) - 1, min(n, p - low + 1)
+                    core = b" ".join([b"%d" % low, *split[p - low : p - high + window]])
+                    whole = b" ".join(split[at : upto + window - 1])
+                    values = (row, at, xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_64_intdigest(whole, 1) - (1 << 63), at - upto)
+                    for column, v in zip(found, values):
+                        column.append(v)
+                    at = upto
+            of = pa.array(found[0], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("h", "c", "n", "m")), *(pa.array(v, f.type) for v, f in zip(found[1:], list(schema)[4:]))], schema=schema)
+
+    return rows.select("h", "c", "n", "m", "words").mapInArrow(lean(run), "h long, c long, n int, m long, at int, x long, y long, k int")
+
+
 def _single_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(h, c, n, m, hashes): two hashes of the words of each window of the segments ``rows``, in their order."""
+    """(h, c, n, m, hashes): two hashes of the words of each window of the segments or parts ``rows``, in their order."""
     hashes = pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("hashes", hashes)])
 
@@ -179,7 +221,7 @@ def _single_windows(rows: DataFrame, window: int) -> DataFrame:
             found = []
             for n, words in zip(batch.column("n").to_pylist(), batch.column("words").to_pylist()):
                 split = words.split()
-                pairs = (divmod(xxhash.xxh3_128_intdigest(b" ".join(split[at : at + window])), 1 << 64) for at in range(n))
+                pairs = (divmod(xxhash.xxh3_128_intdigest(b" ".join(split[at : at + window])), 1 << 64) for at in range(abs(n)))
                 found.append([{"x": x - (1 << 63), "y": y - (1 << 63)} for x, y in pairs])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "c", "n", "m")), pa.array(found, hashes)], schema=schema)
 
@@ -187,8 +229,9 @@ def _single_windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _window_words(rows: DataFrame, window: int) -> DataFrame:
-    """(h, c, n, m, words): the windows that ``rows`` (words of a segment, asked: at, x, y, m) ask for, as segments with n of 0."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("words", pa.binary())])
+    """(h, c, n, m, crowded, words): what ``rows`` (words of a segment or part, asked: at, x, y, k, m, crowded) ask for, as segments:
+    parts with their k, which is below 0, as n, and single windows with a k of 0."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int64()), ("crowded", pa.bool_()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, 1000):
@@ -196,11 +239,12 @@ def _window_words(rows: DataFrame, window: int) -> DataFrame:
             for words, asked in zip(batch.column("words").to_pylist(), batch.column("asked").to_pylist()):
                 split = words.split()
                 for w in asked:
-                    for column, v in zip(out, (w["x"], w["y"], 0, w["m"], b" ".join(split[w["at"] : w["at"] + window]))):
+                    own = b" ".join(split[w["at"] : w["at"] + max(-w["k"], 1) + window - 1])
+                    for column, v in zip(out, (w["x"], w["y"], w["k"], w["m"], w["crowded"], own)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
-    return rows.select("words", "asked").mapInArrow(lean(run), "h long, c long, n int, m long, words binary")
+    return rows.select("words", "asked").mapInArrow(lean(run), "h long, c long, n int, m long, crowded boolean, words binary")
 
 
 class Block:
@@ -307,7 +351,7 @@ def factored(rows: DataFrame, window: int) -> DataFrame:
                     yield solved(held)
                     held, size = [], 0
                 held.append(row)
-                last, size = row[0], size + row[2] + window
+                last, size = row[0], size + abs(row[2]) + window
         if held:
             yield solved(held)
 
@@ -329,16 +373,27 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     asked = unlike.join(crowds, "h").groupBy("rid").agg(F.collect_list(F.struct("s", *key, "m", "crowded")).alias("found"))  # of a text's own
     texts, _ = cut(_texts(rows.select("rid", "text").join(asked, "rid"), window), "words")
     crowded = texts.where("crowded")
-    hashed, _ = cut(_single_windows(crowded, window), "windows")  # a row a segment
+    parts, _ = cut(_parts(crowded, window), "parts")
+    alike, _ = cut(parts.groupBy("x", "y", "k").agg(F.sum("m").alias("m"), F.min(F.struct(*key, "at")).alias("one")), "alike")
+    tops, _ = cut(alike.groupBy("x").agg(F.sum("m").alias("t"), F.count(F.lit(1)).alias("k")).where("t > 1").select("x", (F.col("k") > CROWD).alias("crowded")), "tops")
+    asked = alike.join(tops, "x").select("one.*", "x", "y", "k", "m", "crowded").groupBy(*key).agg(F.collect_list(F.struct("at", "x", "y", "k", "m", "crowded")).alias("asked"))  # of a segment's own
+    pieces, _ = cut(_window_words(crowded.select(*key, "words").join(asked, key), window), "pieces")
+    borders = pieces.where("crowded")
+    hashed, _ = cut(_single_windows(borders, window), "windows")  # a row a part
     each = hashed.select(*key, "m", F.posexplode("hashes").alias("at", "w")).select(*key, "m", "at", "w.x", "w.y")
-    # a window that is nowhere else has nothing to match; of the others one segment gives the words
+    # a window that is nowhere else has nothing to match; of the others one part gives the words
     more, _ = cut(each.groupBy("x", "y").agg(F.sum("m").alias("m"), F.min(F.struct(*key, "at")).alias("one")).where("m > 1"), "repeated")
-    asked = more.select("one.*", "x", "y", "m").groupBy(*key).agg(F.collect_list(F.struct("at", "x", "y", "m")).alias("asked"))  # of a segment's own
-    own = _window_words(crowded.select(*key, "words").join(asked, key), window)
-    found, _ = cut(factored(texts.where("not crowded").select(*key, "m", "words").unionByName(own), window), "factors")
+    single = F.struct("at", "x", "y", F.lit(0).alias("k"), "m", F.lit(False).alias("crowded"))
+    asked = more.select("one.*", "x", "y", "m").groupBy(*key).agg(F.collect_list(single).alias("asked"))  # of a part's own
+    own = _window_words(borders.select(*key, "words").join(asked, key), window)
+    blocks = texts.where("not crowded").unionByName(pieces.where("not crowded")).unionByName(own)
+    found, _ = cut(factored(blocks.select(*key, "m", "words"), window), "factors")
     whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + window).alias("b")))
     back = each.select(*key, "x", "y", whole.alias("spans")).join(found.where("n = 0").select(F.col("h").alias("x"), F.col("c").alias("y")), ["x", "y"]).groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    known = found.where("n > 0").unionByName(back)
+    pieced, _ = cut(found.where("n < 0").unionByName(back), "pieced")  # parts, then their segments
+    inside = F.transform("spans", lambda x: F.struct((x.a + F.col("at")).alias("a"), (x.b + F.col("at")).alias("b")))
+    joined = parts.join(pieced.toDF("x", "y", "k", "spans"), ["x", "y", "k"]).select(*key, inside.alias("spans")).groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    known = found.where("n > 0").unionByName(joined)
     moved = F.transform("spans", lambda x: F.struct((x.a + F.col("s")).alias("a"), (x.b + F.col("s")).alias("b")))
     return places.join(known, key).select("rid", moved.alias("spans")).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of a text's own
 

@@ -132,3 +132,43 @@ def test_windows_of_a_crowd_are_a_row_a_segment(spark, monkeypatch):
     assert got == {i: sum(g) for i, (_, g) in enumerate(brute(texts))} and set(got.values()) == {36}
     rows, made = sizes["_single_windows"]
     assert rows == made > 3 and sizes["_window_words"][1] <= 2
+
+
+def test_crowds_are_cut_into_parts_first(spark, monkeypatch):
+    """Windows are made of the parts alone that hold the border of what everyone has, and in proportion to the texts."""
+    monkeypatch.setattr(op11, "CROWD", 3)
+    made = {}
+
+    def spied(df, name, cut=op11.cut):
+        found, path = cut(df, name)
+        if name == "words":
+            made["all"] = found.where("crowded").selectExpr("sum(n)").first()[0]
+        if name in ("parts", "windows"):
+            made[name] = found.selectExpr("count(*)" if name == "parts" else "sum(size(hashes))").first()[0]
+        return found, path
+
+    monkeypatch.setattr(op11, "cut", spied)
+    passage, sizes = " ".join(f"p{k}" for k in range(60)), []
+    for n in (60, 120):
+        texts = [f"{' '.join(f'a{i}_{k}' for k in range(30))} {passage} {' '.join(f'b{i}_{k}' for k in range(30))}" for i in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.n_removed for r in op11.query(docs).collect()} == {60}
+        assert made["all"] > 10 * n and made.get("parts", 0) + made["windows"] < made["all"] / 2
+        sizes.append((made["parts"], made["windows"]))
+    assert all(b <= 2.5 * a for a, b in zip(*sizes))
+
+
+@pytest.mark.parametrize("window, crowd", [(35, 2), (35, 5), (12, 1), (3, 1)])
+def test_parts_lose_no_repeat(spark, monkeypatch, window, crowd):
+    """Stretches that are alike for any number of words before and behind a common passage."""
+    monkeypatch.setattr(op11, "CROWD", crowd)
+    rng = random.Random(window + crowd)
+    left, passage, right = ([f"{c}{k}" for k in range(2 * window)] for c in "lpr")
+    texts = []
+    for i in range(120):
+        a, b = rng.randrange(2 * window), rng.randrange(2 * window)
+        middle = passage[: rng.choice([5, window - 1, window, 2 * window])]
+        texts.append(" ".join([f"x{i % 50}", *left[a:], *middle, *right[:b], *(f"y{i}_{k}" for k in range(rng.randrange(window)))]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    got = {r["__0"]: (r.n_words, r.n_removed, r.text) for r in op11.marked(docs, window).collect()}
+    assert got == {i: (len(w), sum(g), " ".join(x.decode() for x, y in zip(w, g) if not y)) for i, (w, g) in enumerate(brute(texts, window))}
