@@ -92,6 +92,8 @@ ONE_NAME = ((0.7, 0.0), (0.35, 0.3), (0.25, 0.5))  # (title, place), all of a pa
 SAME_PLACE = {True: 0.6, False: 0.85}  # of the title at one place, by whether both leaders are known
 TITLE, PLACE, THRESHOLD = 0.6, 0.4, 0.85
 SAME_LEADER_THERE = 0.4  # of the title, for one leader at one place
+#: Titles of a block and place that one task meets with as many others.
+SLICE = 512
 # What a fused posting takes over from its duplicates where it has nothing itself.
 FILL = ["pi_name", "deadline", "department", "field", "keywords", "requirements", "conditions", "country", "region", "scholar_url", "lab_url", "dept_url", "h_index", "citations"]
 
@@ -144,7 +146,8 @@ def links(rows: DataFrame, likeness=ratio, threshold: float = THRESHOLD) -> Data
     Postings of one leader meet by the leader. In a band only those are left that can be one without: one of the two has
     no known leader, and, as a title alone doesn't reach the threshold, both have places, the same or alike enough. So
     they meet by band and place, and by those pairs of places. Members of a block first meet one of it only; then
-    those pairs are made that are still in different groups. Pairs are decided as they are made; only links are kept."""
+    those pairs are made that are still in different groups: in a band, pairs of their titles, as nothing else decides there.
+    Pairs are decided as they are made; only links are kept."""
     # postings alike in all that is compared are decided upon once; each but the least is tied to it
     what = ["title", "institute", "person"]
     kinds, _ = cut(rows.groupBy(*what, "text").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n")), "kinds")
@@ -201,16 +204,56 @@ def links(rows: DataFrame, likeness=ratio, threshold: float = THRESHOLD) -> Data
     x, y = both(open_(led, ["block"]), "block")
     led_rest = decided(x.join(y, "block").where("k_a < k_b and root_a <> root_b"))
     held, _ = cut(open_(bands, ["block"]), "open")
-    x, y = both(held.withColumn("place", F.col("institute")), "block", "place")
-    x = x.where("person_a = ''")
-    one_place = decided(x.join(y, ["block", "place"]).where("root_a <> root_b and (person_b <> '' or k_a < k_b)"), F.when(F.col("institute_a") != "", 1.0).otherwise(0.0))
     there = held.select("block", "institute").distinct()
     two = there.withColumnRenamed("institute", "i").join(there.withColumnRenamed("institute", "j"), "block").where("i <> j").select("i", "j").distinct()
     alike = lambda i, j: F.when((F.col(i) == "") | (F.col(j) == ""), 0.0).otherwise(likeness(F.col(i), F.col(j)))
     near, _ = cut(two.withColumns({"p": alike("i", "j"), "q": alike("j", "i")}).where(TITLE + PLACE * F.greatest("p", "q") >= threshold - 1e-9), "places")
-    far = x.join(near.withColumnRenamed("i", "place"), "place").drop("place").join(y.withColumnRenamed("place", "j"), ["block", "j"])
-    two_places = decided(far.where("root_a <> root_b and (person_b <> '' or k_a < k_b)"), F.when(F.col("k_a") < F.col("k_b"), F.col("p")).otherwise(F.col("q")))
-    return linked.unionByName(met).unionByName(led_rest).unionByName(one_place).unionByName(two_places)
+    own = held.select(F.col("institute").alias("i")).distinct().select("i", F.col("i").alias("j"), *(F.when(F.col("i") != "", 1.0).otherwise(0.0).alias(c) for c in "pq"))
+    titles, _ = cut(titled(held), "titles")
+    banded_rest = decided_titles(title_pairs(titles, near.unionByName(own)), likeness, threshold)
+    return linked.unionByName(met).unionByName(led_rest).unionByName(banded_rest)
+
+
+def titled(held: DataFrame) -> DataFrame:
+    """The titles of ``held`` (block, k, title, institute, person, root) by block, place and group, with the least and the
+    greatest key of all their postings and of those without a known leader."""
+    led = F.when(F.col("person") == "", F.col("k"))
+    return held.groupBy("block", "institute", "title", "root").agg(F.min("k").alias("kmin"), F.max("k").alias("kmax"), F.min(led).alias("umin"), F.max(led).alias("umax"))
+
+
+def title_pairs(titles: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs of ``titled`` rows (columns _a and _b) of one block and different groups, of which the first has a posting without a
+    known leader, for each pair (i, j, p, q) of ``places``. Both sides of a block and place are dealt in slices, so that no task has a
+    whole one: of two slices the rows meet in one place."""
+    spark = titles.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    size, _ = cut(titles.groupBy("block", F.col("institute").alias("j")).agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("s")), "slices")
+    columns = ["institute", "title", "root", "kmin", "kmax", "umin", "umax"]
+    side = lambda df, c, *more: df.select("block", "j", *more, *(F.col(x).alias(f"{x}_{c}") for x in columns))
+    number, every = F.pmod(F.xxhash64("kmin"), "s").cast("int"), F.explode(F.sequence(F.lit(0), F.col("s") - 1))
+    x = titles.where("umin is not null").join(places.withColumnRenamed("i", "institute"), "institute").join(size, ["block", "j"])
+    x = side(x.withColumns({"v": number, "w": every}), "a", "p", "q", "v", "w")
+    y = side(titles.withColumn("j", F.col("institute")).join(size, ["block", "j"]).withColumns({"w": number, "v": every}), "b", "v", "w")
+    key = ["block", "j", "v", "w"]
+    return x.repartition(n, *key).join(y.repartition(n, *key), key).where("root_a <> root_b and (umin_b is null or kmin_a < kmin_b)")
+
+
+def decided_titles(pairs: DataFrame, likeness, threshold: float) -> DataFrame:
+    """(a, b): links for those of ``title_pairs`` with postings, one of them without a known leader, that are one."""
+    x, y = F.col("title_a"), F.col("title_b")
+    if likeness in (ratio, edit_likeness):  # one is at most 1 less the edits' share of all characters, the other is that of the longer text
+        least = F.least((threshold - PLACE * F.greatest("p", "q")) / TITLE, F.when(F.col("institute_a") == F.col("institute_b"), SAME_PLACE[False]))
+        size = F.greatest(F.length(x), F.length(y)) if likeness is edit_likeness else F.length(x) + F.length(y)
+        most = F.greatest(F.floor((1 - least) * size + 1e-6), F.lit(0)).cast("int")
+        pairs = pairs.where(F.call_function("levenshtein", x, y, most) >= 0)  # -1 beyond so many edits
+    # likenesses depend on which text comes first: the earlier posting's, and either title may have that
+    a_first = (F.col("umin_a") < F.col("kmax_b")) | F.coalesce(F.col("kmin_a") < F.col("umax_b"), F.lit(False))
+    b_first = (F.col("kmin_b") < F.col("umax_a")) | F.coalesce(F.col("umin_b") < F.col("kmax_a"), F.lit(False))
+    order = lambda s, o, p: F.struct(F.col(f"title_{s}").alias("x"), F.col(f"title_{o}").alias("y"), F.col(f"institute_{s}").alias("i"), F.col(f"institute_{o}").alias("j"), F.col(p).alias("pl"))
+    ways = F.array_compact(F.array(F.when(a_first, order("a", "b", "p")), F.when(b_first, order("b", "a", "q"))))
+    told = pairs.select("kmin_a", "kmin_b", F.explode(ways).alias("o")).select("kmin_a", "kmin_b", "o.*").withColumn("tl", likeness(F.col("x"), F.col("y")))
+    part = lambda c: {"url": F.lit(""), "institute": F.col(c), "person": F.lit("")}
+    return told.where(same_posting(F.col("tl"), F.col("pl"), part("i"), part("j"), threshold)).select(F.col("kmin_a").alias("a"), F.col("kmin_b").alias("b")).distinct()
 
 
 def grouped(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESHOLD) -> DataFrame:

@@ -214,3 +214,39 @@ def test_unled_postings_meet_by_place(spark):
         if x.url == y.url or one or (not (known and not led) and (there or 0.6 * t + 0.4 * i >= 0.85)):
             root[max(find(a), find(b))] = min(find(a), find(b))
     assert {r.k: r.grp for r in dedup.grouped(jobs, "k").collect()} == {k: find(k) for k in p}
+
+
+def test_bands_compare_titles_once(spark, monkeypatch):
+    """Postings of two titles at one place make one pair, however many they are, and links are those of all their pairs."""
+    monkeypatch.setattr(dedup, "SLICE", 3)
+    rng = random.Random(8)
+    titles = ["".join(rng.choice("ab ") for _ in range(rng.randrange(5, 12))) for _ in range(25)]
+    held = [("b", k, t, rng.choice(["u", "u", "v"]), rng.choice(["", "", "ada", "bob"]), titles.index(t) % 9) for k, t in enumerate(rng.choices(titles, k=400))]
+    places = [("u", "u", 1.0, 1.0), ("v", "v", 1.0, 1.0), ("u", "v", 0.9, 0.7), ("v", "u", 0.7, 0.9)]
+    alike = {x[:2]: x[2] for x in places}
+    found = dedup.titled(spark.createDataFrame(held, "block string, k long, title string, institute string, person string, root long"))
+    rows = {(r.institute, r.title, r.root): r.kmin for r in found.collect()}
+    assert rows == {c: min(h[1] for h in held if (h[3], h[2], h[5]) == c) for c in {(h[3], h[2], h[5]) for h in held}}
+    pairs = dedup.title_pairs(found, spark.createDataFrame(places, "i string, j string, p double, q double"))
+    made = [frozenset((r.kmin_a, r.kmin_b)) for r in pairs.collect()]
+    open_ = [(x, y) for x, y in itertools.combinations(held, 2) if x[5] != y[5] and "" in (x[4], y[4])]
+    name = lambda h: rows[h[3], h[2], h[5]]
+    assert len(made) == len(set(made)) and set(made) == {frozenset((name(x), name(y))) for x, y in open_} and 10 * len(made) < len(open_)
+    edit = lambda a, b: 1 - edits(a, b) / max(len(a), len(b))
+    for likeness, plain, threshold in ((dedup.ratio, like, 0.85), (dedup.ratio, like, 0.95), (dedup.edit_likeness, edit, 0.7)):
+        want = set()
+        for x, y in open_:  # in the order of their keys
+            t = plain(x[2], y[2])
+            if (x[3] == y[3] and t >= 0.85) or 0.6 * t + 0.4 * alike[x[3], y[3]] >= threshold:
+                want.add(frozenset((name(x), name(y))))
+        got = {frozenset(r) for r in dedup.decided_titles(pairs, likeness, threshold).collect()}
+        assert got == want and 0 < len(want) < len(made)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
