@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as X
 from quillmark.operators.graph import components
-from quillmark.shared import cut
+from quillmark.shared import apart, counted, cut
 
 # The modulus of the permutations, their number and the number of bands.
 PRIME = (1 << 31) - 1
@@ -79,7 +79,7 @@ def fuse(df: DataFrame, group: str, key: str, longest: str, fill: list[str], als
     so_far = Window.partitionBy(group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     won = df.select(group, key, size.alias("size")).withColumn("top", F.max("size").over(so_far))
     ranked = won.select(key, (F.col("top").isNull() | (F.col("size") > F.col("top"))).alias("__won"))
-    rows = df.join(ranked, key)
+    rows = df.join(apart(ranked), key)
     place = F.struct((~F.col("__won")).alias("lost"), F.when(F.col("__won"), -F.col(key)).otherwise(F.col(key)).alias("at"))
     firsts = [F.min_by(c, F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", place)).alias(f"__{c}") for c in fill]
     found = rows.groupBy(group).agg(F.min_by(F.struct(key, longest, *also), place).alias("r"), *firsts, F.count(F.lit(1)).alias("merged"))
@@ -169,15 +169,15 @@ def links(rows: DataFrame, likeness=ratio, threshold: float = THRESHOLD) -> Data
         there = (a["person"] != "") & (a["person"] == b["person"]) & (a["institute"] != "") & (a["institute"] == b["institute"]) & (F.col("tl") > SAME_LEADER_THERE)
         return told.where(there | same_posting(F.col("tl"), F.col("pl"), a, b, threshold)).select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
 
-    alone = decided(side(kinds.where("n > 1"), "a").join(side(kinds.where("n > 1"), "b"), F.col("k_a") == F.col("k_b"))).select(F.col("a").alias("least"))
-    copies = rows.join(kinds.where("n > 1").select(*what, F.col("k").alias("least")), what).join(alone, "least").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b"))
+    alone = decided(side(kinds.where("n > 1"), "a").join(apart(side(kinds.where("n > 1"), "b")), F.col("k_a") == F.col("k_b"))).select(F.col("a").alias("least"))
+    copies = rows.join(apart(kinds.where("n > 1").select(*what, F.col("k").alias("least"))), what).join(apart(alone), "least").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b"))
     urls = rows.where("url <> ''").groupBy("url").agg(F.min("k").alias("first"))
-    linked, _ = cut(copies.unionByName(rows.join(urls, "url").where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))), "links")
+    linked, _ = cut(copies.unionByName(rows.join(apart(urls), "url").where("k <> first").select(F.col("k").alias("a"), F.col("first").alias("b"))), "links")
 
     placed = kinds if title_alone else kinds.where("institute <> ''")
-    bands = banded(placed.select("k", "text"), "k", "text").select(F.concat_ws("-", "band", "digest").alias("block"), "k").join(placed, "k")
+    bands = banded(placed.select("k", "text"), "k", "text").select(F.concat_ws("-", "band", "digest").alias("block"), "k").join(apart(placed), "k")
     useful = bands.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("person").alias("least")).where("m > 1 and least = ''").select("block")
-    bands, _ = cut(bands.join(useful, "block").select("block", "k", *what), "bands")
+    bands, _ = cut(bands.join(apart(useful), "block").select("block", "k", *what), "bands")
     led = kinds.where("person <> ''").select(F.col("person").alias("block"), "k", *what)
 
     def first(df: DataFrame, key: list[str]) -> DataFrame:
@@ -186,7 +186,7 @@ def links(rows: DataFrame, likeness=ratio, threshold: float = THRESHOLD) -> Data
         centre = one.select(*(F.col(c).alias(f"__{c}") for c in key), *(F.col(f"o.{c}").alias(f"{c}_a") for c in ("k", *what)))
         on = [F.col(f"__{c}") == F.col(c) for c in key]
         keep = [F.col(f"{c}_{s}") for s in "ab" for c in ("k", *what)]
-        return df.join(centre, on).select(*(F.col(f"{c}_a") for c in ("k", *what)), *(F.col(c).alias(f"{c}_b") for c in ("k", *what))).select(*keep).where("k_a <> k_b")
+        return df.join(apart(centre), on).select(*(F.col(f"{c}_a") for c in ("k", *what)), *(F.col(c).alias(f"{c}_b") for c in ("k", *what))).select(*keep).where("k_a <> k_b")
 
     unled = (F.col("person_a") == "") | (F.col("person_b") == "")
     by_place = decided(first(bands, ["block", "institute"]).where(unled & (F.lit(True) if title_alone else F.col("institute_a") != "")), F.when(F.col("institute_a") != "", 1.0).otherwise(0.0))
@@ -195,22 +195,23 @@ def links(rows: DataFrame, likeness=ratio, threshold: float = THRESHOLD) -> Data
 
     def open_(df: DataFrame, key: list[str]) -> DataFrame:
         """The members of blocks with more than one group, with their groups."""
-        held = df.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-        return held.join(held.groupBy(*key).agg((F.min("root") < F.max("root")).alias("open")).where("open").select(*key), key)
+        held = df.join(apart(roots.withColumnRenamed("node", "k")), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        return held.join(apart(held.groupBy(*key).agg((F.min("root") < F.max("root")).alias("open")).where("open").select(*key)), key)
 
     def both(df: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
         return tuple(side(df, s, *key, F.col("root").alias(f"root_{s}")) for s in "ab")
 
     x, y = both(open_(led, ["block"]), "block")
-    led_rest = decided(x.join(y, "block").where("k_a < k_b and root_a <> root_b"))
+    led_rest = decided(x.join(apart(y), "block").where("k_a < k_b and root_a <> root_b"))
     held, _ = cut(open_(bands, ["block"]), "open")
     there = held.select("block", "institute").distinct()
-    two = there.withColumnRenamed("institute", "i").join(there.withColumnRenamed("institute", "j"), "block").where("i <> j").select("i", "j").distinct()
+    two = there.withColumnRenamed("institute", "i").join(apart(there.withColumnRenamed("institute", "j")), "block").where("i <> j").select("i", "j").distinct()
     alike = lambda i, j: F.when((F.col(i) == "") | (F.col(j) == ""), 0.0).otherwise(likeness(F.col(i), F.col(j)))
-    near, _ = cut(two.withColumns({"p": alike("i", "j"), "q": alike("j", "i")}).where(TITLE + PLACE * F.greatest("p", "q") >= threshold - 1e-9), "places")
+    near = two.withColumns({"p": alike("i", "j"), "q": alike("j", "i")}).where(TITLE + PLACE * F.greatest("p", "q") >= threshold - 1e-9)
     own = held.select(F.col("institute").alias("i")).distinct().select("i", F.col("i").alias("j"), *(F.when(F.col("i") != "", 1.0).otherwise(0.0).alias(c) for c in "pq"))
+    places, _ = cut(near.unionByName(own), "places")
     titles, _ = cut(titled(held), "titles")
-    banded_rest = decided_titles(title_pairs(titles, near.unionByName(own)), likeness, threshold)
+    banded_rest = decided_titles(title_pairs(titles, places), likeness, threshold)
     return linked.unionByName(met).unionByName(led_rest).unionByName(banded_rest)
 
 
@@ -231,11 +232,11 @@ def title_pairs(titles: DataFrame, places: DataFrame) -> DataFrame:
     columns = ["institute", "title", "root", "kmin", "kmax", "umin", "umax"]
     side = lambda df, c, *more: df.select("block", "j", *more, *(F.col(x).alias(f"{x}_{c}") for x in columns))
     number, every = F.pmod(F.xxhash64("kmin"), "s").cast("int"), F.explode(F.sequence(F.lit(0), F.col("s") - 1))
-    x = titles.where("umin is not null").join(places.withColumnRenamed("i", "institute"), "institute").join(size, ["block", "j"])
+    x = titles.where("umin is not null").join(apart(places.withColumnRenamed("i", "institute"), counted(places)), "institute").join(apart(size), ["block", "j"])
     x = side(x.withColumns({"v": number, "w": every}), "a", "p", "q", "v", "w")
-    y = side(titles.withColumn("j", F.col("institute")).join(size, ["block", "j"]).withColumns({"w": number, "v": every}), "b", "v", "w")
+    y = side(titles.withColumn("j", F.col("institute")).join(apart(size), ["block", "j"]).withColumns({"w": number, "v": every}), "b", "v", "w")
     key = ["block", "j", "v", "w"]
-    return x.repartition(n, *key).join(y.repartition(n, *key), key).where("root_a <> root_b and (umin_b is null or kmin_a < kmin_b)")
+    return x.repartition(n, *key).join(apart(y.repartition(n, *key)), key).where("root_a <> root_b and (umin_b is null or kmin_a < kmin_b)")
 
 
 def decided_titles(pairs: DataFrame, likeness, threshold: float) -> DataFrame:
@@ -260,7 +261,7 @@ def grouped(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESH
     """``jobs`` with ``grp``, the least key of each posting's duplicates."""
     rows, _ = cut(prepared(jobs, key), "prepared")
     roots = components(links(rows, likeness, threshold))
-    return jobs.join(roots.select(F.col("node").alias("__k"), "root"), F.col(key).cast("long") == F.col("__k"), "left").withColumn("grp", F.coalesce("root", F.col(key).cast("long"))).drop("__k", "root")
+    return jobs.join(apart(roots.select(F.col("node").alias("__k"), "root")), F.col(key).cast("long") == F.col("__k"), "left").withColumn("grp", F.coalesce("root", F.col(key).cast("long"))).drop("__k", "root")
 
 
 def deduplicated(jobs: DataFrame, key: str, likeness=ratio, threshold: float = THRESHOLD, fill: list[str] | None = None, order: str = "components") -> DataFrame:
@@ -275,7 +276,7 @@ def deduplicated(jobs: DataFrame, key: str, likeness=ratio, threshold: float = T
         from quillmark.operators.greedy import ordered_groups
 
         placed_ = ordered_groups(jobs, key, threshold).withColumnRenamed("k", "__k")
-        held, _ = cut(jobs.join(placed_, F.col(key).cast("long") == F.col("__k")).drop("__k"), "grouped")
+        held, _ = cut(jobs.join(apart(placed_), F.col(key).cast("long") == F.col("__k")).drop("__k"), "grouped")
     else:
         held, _ = cut(grouped(jobs, key, likeness, threshold), "grouped")
     fill = [c for c in (FILL if fill is None else fill) if c in jobs.columns]
@@ -286,10 +287,10 @@ def deduplicated(jobs: DataFrame, key: str, likeness=ratio, threshold: float = T
     so_far = Window.partitionBy("grp").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     marked = slim.withColumn("top", F.max("size").over(so_far)).withColumn("won", F.col("top").isNull() | (F.col("size") > F.col("top")))
     last = marked.where("won").groupBy("grp").agg(F.max("at").alias("best_at"), F.max_by("source", "at").alias("best_source"))
-    told = marked.join(last, "grp")
+    told = marked.join(apart(last), "grp")
     before = told.where("at < best_at").groupBy("grp", "best_source").agg(F.max_by(F.struct("url", "source"), F.when(F.col("won"), F.col("at"))).alias("x"), F.max(F.col("at")).alias("at"), F.max("led").alias("led"))
     prior = before.select("grp", F.struct(F.lit(-1).cast("long").alias("at"), "x.url", "x.source").alias("alt"), (F.col("led") & ~F.col("x.source").eqNullSafe(F.col("best_source"))).alias("ok"))
     after = told.where("at > best_at").select("grp", F.struct(F.col("at").cast("long").alias("at"), "url", "source").alias("alt"), (F.col("led") & ~F.col("source").eqNullSafe(F.col("best_source"))).alias("ok"))
     alts = prior.unionByName(after).where(F.col("ok") & (F.coalesce("alt.url", F.lit("")) != "")).groupBy("grp").agg(F.sort_array(F.collect_list("alt")).alias("alts"))
     listed = F.coalesce(F.transform("alts", lambda a: F.struct(a.url.alias("url"), a.source.alias("source"))), F.array().cast("array<struct<url:string,source:string>>"))
-    return best.join(alts, "grp", "left").withColumn("alt_urls", listed).drop("alts").select(*jobs.columns, "grp", "merged", "alt_urls")
+    return best.join(apart(alts), "grp", "left").withColumn("alt_urls", listed).drop("alts").select(*jobs.columns, "grp", "merged", "alt_urls")

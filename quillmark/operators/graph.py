@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.shared import cut, remove
+from quillmark.shared import apart, cut, remove
 
 
 def symmetric(edges: DataFrame, a: str, b: str, parts: int | None = None) -> DataFrame:
@@ -42,9 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (known := mark(now)) != seen and known[0]:
         near = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         low = near.groupBy("hi").agg(F.min("lo").alias("low")).select("hi", F.least("hi", "low").alias("low"))
-        up = near.join(low, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("low").alias("lo")).distinct()
+        up = near.join(apart(low, known[0]), "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("low").alias("lo")).distinct()
         own = up.groupBy("hi").agg(F.min("lo").alias("low"))
-        down = up.join(own, "hi").where("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+        down = up.join(apart(own, known[0]), "hi").where("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
         after, new = cut(down.unionByName(own.withColumnRenamed("low", "lo")).distinct(), "links")
         remove(spark, path)
         now, path, seen = after, new, known

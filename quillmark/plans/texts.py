@@ -10,6 +10,7 @@ from quillmark.operators import dedup, recommend, vectors
 from quillmark.plans.catalog import query
 from quillmark.plans.relational import c14
 from quillmark.session import table
+from quillmark.shared import apart
 from quillmark.sources import html as html_source
 from quillmark.streaming import jobs
 
@@ -205,7 +206,7 @@ def _postings(spark, d):
     part = table(spark, d, "part")
     one = part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
     k, v = F.col("k"), F.col("k") % 4
-    p = part.select(F.col("p_partkey").alias("k")).join(one, F.col("p_partkey") == F.col("k") - F.col("k") % 4)
+    p = part.select(F.col("p_partkey").alias("k")).join(apart(one), F.col("p_partkey") == F.col("k") - F.col("k") % 4)
     hashed = lambda c, n: F.substring(F.md5(c.cast("string")), 1, n)
     m = hashed(F.concat(F.lit("l"), F.col("p_partkey")), 6)
     x = F.concat_ws(" ", "name", F.lower("type"), hashed(F.col("p_partkey"), 8))

@@ -58,6 +58,21 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows that a table may have to be broadcast.
+FEW = 50_000
+
+
+def apart(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """One side of a join whose rows grow with the input: dealt by the key, never broadcast, unless it is known to be of few ``rows``.
+    Spark's own check goes by the size of compressed files, and keys that repeat or rise take many times that in the driver."""
+    return df if rows is not None and rows <= FEW else df.hint("merge")
+
+
+def counted(df: DataFrame) -> int:
+    """How many rows there are; counted up to one more than ``FEW``."""
+    return df.limit(FEW + 1).count()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all tasks by a hash of all their columns, for work that takes long for each row: a compressed file is
     read by as few tasks as it has splits, however many rows that is."""

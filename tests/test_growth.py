@@ -4,7 +4,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark import shared
 from quillmark.functions import dates, extract, terms
+from quillmark.operators import dedup, graph, greedy
 from quillmark.plans import catalog
 from tests.conftest import SF
 
@@ -51,3 +53,28 @@ def test_joins_of_lines_are_dealt_by_their_number(spark, monkeypatch):
     assert parts_for(spark, 10_000_000) == 20 and parts_for(spark, 10) == 4
     monkeypatch.setattr(relational, "parts_for", lambda spark, rows: 33)
     assert catalog.QUERIES["c14_directed_edge_count"](spark, SF).rdd.getNumPartitions() == 33
+
+
+@pytest.mark.parametrize("name", ["h04_dedup_components", "h05_dedup_fused", "h06_dedup_sequence_ratio"])
+def test_joins_of_postings_broadcast_nothing_that_grows(spark, monkeypatch, name):
+    """The size of a compressed file says little about the rows in it, so no plan may rest on it. Tables of few rows are broadcast; here no table is one, an empty one neither."""
+    plans = []
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def cut(df, name):
+        told(df)
+        return shared.cut(df, name)
+
+    monkeypatch.setattr(shared, "FEW", -1)
+    for module in (dedup, graph, greedy):
+        monkeypatch.setattr(module, "cut", cut)
+    told(catalog.QUERIES[name](spark, SF))
+    assert any("SortMergeJoin" in p for p in plans)
+    assert [line for p in plans for line in p.splitlines() if "Broadcast" in line] == []
+
+
+def test_few_rows_may_be_broadcast(spark):
+    some = spark.range(10)
+    assert shared.counted(some) == 10 and shared.counted(spark.range(shared.FEW + 7)) == shared.FEW + 1
+    joined = lambda side: spark.range(5).join(side, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in joined(shared.apart(some, 10)) and "Broadcast" not in joined(shared.apart(some)) + joined(shared.apart(some, shared.FEW + 1))
