@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import dedup
 from quillmark.operators.graph import components
-from quillmark.shared import cut, partitions
+from quillmark.shared import apart, cut, partitions
 
 
 class Likeness:
@@ -180,14 +180,14 @@ def lookups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     to the least that has it). A bucket whose postings all have a leader ties none: only one leader's could be one."""
     texts = rows.groupBy("text").agg(F.min("k").alias("least"))
     banded = dedup.banded(texts.select(F.col("least").alias("k"), "text"), "k", "text").groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "digest"))), lambda b: b.digest).alias("buckets"))
-    known, _ = cut(rows.join(texts.join(banded.withColumnRenamed("k", "least"), "least").select("text", "buckets"), "text"), "lookups")
+    known, _ = cut(rows.join(apart(texts.join(apart(banded.withColumnRenamed("k", "least")), "least").select("text", "buckets")), "text"), "lookups")
     named = lambda p, c: F.when(F.col(c) != "", F.array(F.concat(F.lit(p), F.col(c)))).otherwise(F.array().cast("array<string>"))
     buckets = F.transform("buckets", lambda b, i: F.concat(F.lit("b"), i.cast("string"), F.lit("-"), b))
     each = known.select("k", "person", F.explode(F.concat(named("u", "url"), named("p", "person"), buckets)).alias("by"))
     least = each.groupBy("by").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"), (F.min("person") == "").alias("unled")).where("n > 1").drop("n")
-    shared, _ = cut(each.join(least, "by").select("k", "by", "first", "unled"), "shared")
+    shared, _ = cut(each.join(apart(least), "by").select("k", "by", "first", "unled"), "shared")
     bucket = F.col("by").startswith("b")
-    held = known.drop("buckets").join(shared.where(bucket).groupBy("k").agg(F.collect_list("by").alias("buckets")), "k", "left")
+    held = known.drop("buckets").join(apart(shared.where(bucket).groupBy("k").agg(F.collect_list("by").alias("buckets"))), "k", "left")
     ties = shared.where((F.col("k") != F.col("first")) & (~bucket | F.col("unled")))
     return held.withColumn("buckets", F.coalesce("buckets", F.array().cast("array<string>"))), ties.select(F.col("k").alias("a"), F.col("first").alias("b")).distinct()
 
@@ -197,10 +197,10 @@ def ordered_groups(jobs: DataFrame, key: str, threshold: float = dedup.THRESHOLD
 
     Postings are slim here (no descriptions), and a task holds the slots of one component at a time.
     With ``most``, a component of more postings is refused with an error that names it."""
-    rows, _ = cut(dedup.prepared(jobs, key).join(jobs.select(F.col(key).cast("long").alias("k"), F.length(F.coalesce("description", F.lit(""))).cast("long").alias("size")), "k"), "prepared")
+    rows, _ = cut(dedup.prepared(jobs, key).join(apart(jobs.select(F.col(key).cast("long").alias("k"), F.length(F.coalesce("description", F.lit(""))).cast("long").alias("size"))), "k"), "prepared")
     known, ties = lookups(rows)
     roots, _ = cut(components(ties), "roots")
-    held = known.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    held = known.join(apart(roots.withColumnRenamed("node", "k")), "k", "left").withColumn("root", F.coalesce("root", "k"))
     if most is not None:
         held, _ = cut(held, "components")
         large = held.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).orderBy(F.desc("n")).limit(1).collect()

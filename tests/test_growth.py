@@ -55,7 +55,7 @@ def test_joins_of_lines_are_dealt_by_their_number(spark, monkeypatch):
     assert catalog.QUERIES["c14_directed_edge_count"](spark, SF).rdd.getNumPartitions() == 33
 
 
-@pytest.mark.parametrize("name", ["h04_dedup_components", "h05_dedup_fused", "h06_dedup_sequence_ratio"])
+@pytest.mark.parametrize("name", ["h04_dedup_components", "h05_dedup_fused", "h06_dedup_sequence_ratio", "h07_dedup_in_order"])
 def test_joins_of_postings_broadcast_nothing_that_grows(spark, monkeypatch, name):
     """The size of a compressed file says little about the rows in it, so no plan may rest on it. Tables of few rows are broadcast; here no table is one, an empty one neither."""
     plans = []
